@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,8 +16,17 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the expected grade of toxicity, and whether it is rejected."""
+    from tessera.llm.toxicity import REJECT, fit, score
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, fit(docs, _read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "severity", (F.col("severity") >= REJECT).alias("toxic"))
+
+
 def queries() -> dict:
-    return {"op8_minhash": op8_minhash}
+    return {"op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
