@@ -10,6 +10,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that overlap."""
+    from tessera.llm.decontaminate import overlaps
+
+    return overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.minhash import near_duplicates
 
@@ -26,7 +33,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
+    return {"op3_spaced_seeds": op3_spaced_seeds, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
