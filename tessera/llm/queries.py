@@ -17,6 +17,19 @@ def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def vocabulary() -> str:
+    """The tokenizer file of op4, which lies at the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir, "documents"), vocabulary())
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.minhash import near_duplicates
 
@@ -33,7 +46,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_spaced_seeds": op3_spaced_seeds, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
+    return {"op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
