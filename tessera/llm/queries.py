@@ -30,6 +30,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document that stays: its text without repeated lines, and how many it lost."""
+    from tessera.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), count="n_removed")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.minhash import near_duplicates
 
@@ -46,7 +53,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
+    return {"op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
