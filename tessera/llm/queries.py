@@ -10,6 +10,20 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many spans of each pattern, a digest of those, and all spans."""
+    from tessera.llm.secret_scan import KINDS, digest, fit, scan
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, fit(docs))
+
+    def of(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    base = digest("spans", KINDS[:3])
+    return found.select("doc_id", *(of(k).alias(f"n_{k}") for k in KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"), digest("spans").alias("spans"))
+
+
 def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that overlap."""
     from tessera.llm.decontaminate import overlaps
@@ -53,7 +67,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
+    return {"op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
