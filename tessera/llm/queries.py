@@ -51,6 +51,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), count="n_removed")
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.url_filter import judge, mine
+
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, mine(pages, _read(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.minhash import near_duplicates
 
@@ -67,7 +74,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
+    return {"op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op6_url_rules": op6_url_rules, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
