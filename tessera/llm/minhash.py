@@ -6,7 +6,8 @@ Each set gets a signature of `coords` minima. A (coordinate, value) pair is a po
 all sets follow (prefix filter). The order puts postings that many sets have last, by a fixed-size table of counts, so
 long posting lists are rarely opened. Lists are merged as sorted streams: a list first links each member to its first
 member only; lists whose members then still lie in different components are merged again, skipping pairs that a
-component already joins. Collisions are counted over whole signatures, and what stays is confirmed on the full sets.
+component already joins. Collisions are counted over whole signatures, and what stays is confirmed on the full sets. No
+step returns the pairs of a group: the last one returns the links that join components, and compares the rest in place.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def _signatures(sets: list[np.ndarray], coords: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, coords: int = 64) -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, coords: int = 96) -> DataFrame:
     """(_id, n_shingles, hi, lo, sig) per row; hi and lo name the set, sig holds the minima (null for an empty set)."""
 
     def run(batches):
@@ -162,26 +163,119 @@ def _first_links(postings: DataFrame, percent: int) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(run, "a long, b long").distinct()
 
 
-def _more_links(postings: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that share a list and lie in different components, but for those with the list's first member."""
-    long_lists = postings.join(postings.groupBy("token").agg(F.count("*").alias("size")).where("size > 2").select("token"), "token")
-    named = long_lists.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("c"))
+def _apart(rows: DataFrame, parts: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs whose ends no component joins yet."""
+    named = parts.select("node", "component")
+    one, two = named.select(F.col("node").alias("na"), F.col("component").alias("ca")), named.select(F.col("node").alias("nb"), F.col("component").alias("cb"))
+    both = rows.join(one, F.col(a) == F.col("na"), "left").join(two, F.col(b) == F.col("nb"), "left")
+    return both.where(F.coalesce("ca", a) != F.coalesce("cb", b)).select(*rows.columns)
 
-    def run(batches):
-        for x in _lists(batches, 4):
-            token, doc, n, c = x
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            for lo, hi in zip(starts, [*starts[1:], len(token)]):
-                k = c[lo:hi]
-                if hi - lo < 3 or (k == k[0]).all():
+
+def _streamed(batches, columns: int, width: int, merge):
+    """Merges whole lists of a stream sorted by its first column; the last column holds `width`-byte rows (0: of any size)."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(i).to_numpy() for i in range(columns)]
+        raw = batch.column(columns).to_pylist()
+        if width:
+            new.append(np.frombuffer(b"".join(raw), np.uint32).reshape(batch.num_rows, -1))
+        else:
+            last = np.empty(len(raw), object)
+            last[:] = [np.frombuffer(x, U64) for x in raw]
+            new.append(last)
+        x = [np.concatenate(y) for y in zip(held, new)] if held else new
+        cut = int(np.searchsorted(x[0], x[0][-1]))
+        if cut:
+            yield merge(*(y[:cut] for y in x))
+        held = [y[cut:] for y in x]
+    if held:
+        yield merge(*held)
+
+
+def _runs(token: np.ndarray):
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    return zip(starts.tolist(), [*starts[1:].tolist(), len(token)])
+
+
+def _open_groups(postings: DataFrame, parts: DataFrame, reps: DataFrame, percent: int, match: int) -> DataFrame:
+    """(group, doc, c): within each list that spans components, the documents that collide with one of another component.
+
+    Collisions are counted within the list, over whole signatures. Lists that give the same documents give one group.
+    """
+    named = postings.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    mixed = named.groupBy("token").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("size > 2 and low <> high").select("token")
+    rows = named.join(mixed, "token").join(reps.select(F.col("rep").alias("doc"), "sig"), "doc").select("token", "doc", "n", "c", "sig")
+
+    def merge(token, doc, n, c, sig):
+        out: list[list[np.ndarray]] = [[], [], []]
+        for lo, hi in _runs(token):
+            open_ = np.zeros(hi - lo, bool)
+            for i in range(lo, hi - 1):
+                at = np.arange(i + 1, hi)
+                at = at[(c[i + 1 : hi] != c[i]) & _alike(n[i + 1 : hi], n[i], percent)]
+                at = at[(sig[at] == sig[i]).sum(1) >= match]
+                if len(at):
+                    open_[i - lo] = True
+                    open_[at - lo] = True
+            d = doc[lo:hi][open_]
+            if len(d):
+                name = xxhash.xxh3_64_intdigest(d.tobytes()) >> 1
+                for k, v in enumerate((np.full(len(d), name), d, c[lo:hi][open_])):
+                    out[k].append(v)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.empty(0, np.int64)) for v in out], ["group", "doc", "c"])
+
+    wide = rows.repartition("token").sortWithinPartitions("token", "doc")
+    return wide.mapInArrow(lambda it: _streamed(it, 4, 4, merge), "group long, doc long, c long").dropDuplicates(["group", "doc"])
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """(x, set) of the documents in ids (x), and of a few more."""
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(flags(ids, "x")))
+
+    def sets(batches):
+        bits = np.unpackbits(wanted.value).view(bool)
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(bits[ids % len(bits)]):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i]], pa.int64()), pa.array([shingle_set(b.column(1)[int(i)].as_py(), size).tobytes()], pa.binary())], ["x", "set"])
+
+    full = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").cast("binary").alias("_t")).where("_id is not null").mapInArrow(sets, "x long, set binary")
+    return full.dropDuplicates(["x"])
+
+
+def _group_links(groups: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+    """(a, b): links of alike sets that join the components of each group. A group's full sets meet in one task, as a stream
+    of groups; every pair across components is compared until a link joins the two, and only joining links are returned."""
+    rows = groups.join(_sets_of(groups.select(F.col("doc").alias("x")), docs, doc_id, text, size), F.col("doc") == F.col("x")).select("group", "doc", "c", "set")
+
+    def merge(group, doc, c, sets):
+        a, b = [], []
+        for lo, hi in _runs(group):
+            own = c[lo:hi].copy()
+            sizes = np.array([len(s) for s in sets[lo:hi]])
+            _, at = np.unique(np.concatenate(sets[lo:hi]), return_inverse=True)
+            owner = np.repeat(np.arange(hi - lo), sizes)
+            order = np.argsort(at, kind="stable")
+            owners, ends = owner[order], np.cumsum(np.bincount(at))
+            ends = np.concatenate([[0], ends])
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            for i in range(hi - lo - 1):
+                if (own[i + 1 :] == own[i]).all():
                     continue
-                for i in range(lo + 1, hi - 1):  # each with those behind it that no component joins to it yet
-                    at = np.arange(i + 1, hi)
-                    at = at[(c[i + 1 : hi] != c[i]) & _alike(n[i + 1 : hi], n[i], percent)]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(np.full(len(at), doc[i]))], ["a", "b"])
+                mine = at[first[i] : first[i + 1]]
+                shared = np.bincount(np.concatenate([owners[ends[k] : ends[k + 1]] for k in mine]), minlength=hi - lo)
+                near = 100 * shared >= percent * (sizes + sizes[i] - shared)
+                near[: i + 1] = False
+                for j in np.flatnonzero(near & (own != own[i])):
+                    if own[j] != own[i]:
+                        own[own == own[j]] = own[i]
+                        a.append(doc[lo + j])
+                        b.append(doc[lo + i])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return named.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("group").sortWithinPartitions("group", "doc").mapInArrow(lambda it: _streamed(it, 3, 0, merge), "a long, b long").distinct()
 
 
 def _colliding(pairs: DataFrame, reps: DataFrame, coords: int, match: int) -> DataFrame:
@@ -201,18 +295,7 @@ def _colliding(pairs: DataFrame, reps: DataFrame, coords: int, match: int) -> Da
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are alike enough. Each set travels once for each pair, not twice."""
-    spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(np.packbits(flags(pairs.select(F.col("a").alias("x")).union(pairs.select("b")), "x")))
-
-    def sets(batches):
-        bits = np.unpackbits(wanted.value).view(bool)
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for i in np.flatnonzero(bits[ids % len(bits)]):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i]], pa.int64()), pa.array([shingle_set(b.column(1)[int(i)].as_py(), size).tobytes()], pa.binary())], ["x", "set"])
-
-    full = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").cast("binary").alias("_t")).where("_id is not null").mapInArrow(sets, "x long, set binary")
-    full = full.dropDuplicates(["x"])
+    full = _sets_of(pairs.select(F.col("a").alias("x")).union(pairs.select("b")), docs, doc_id, text, size)
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(16)).cast("int"))
     heads = dealt.select("b", "salt").distinct().join(full, F.col("b") == F.col("x")).select("b", "salt", F.lit(None).cast("long").alias("a"), "set")
     members = dealt.join(full, F.col("a") == F.col("x")).select("b", "salt", "a", "set")
@@ -235,25 +318,33 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size:
     return heads.unionByName(members).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, coords: int = 64, match: int = 30) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, coords: int = 96, match: int = 54) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest id reachable over links), kept.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| over their full shingle sets. A null, empty or
     blank text has no shingles and is linked with nothing; a text of fewer words than a shingle is one shingle. Rows
     with a null id get a null component and are kept. A repeated id gives its rows again, and they share a component.
     Other columns of docs are not read. match is how many of the coords minima a pair must share to be confirmed;
-    with the defaults, a pair of similarity 0.75 has fewer with a probability of about one in a million.
+    with the defaults, a pair of similarity 0.75 has fewer with a probability of about one in 100,000.
     """
     sigs = materialize(signatures(docs, doc_id, text, size, coords), "signatures")
     live = sigs.where("_id is not null and n_shingles > 0")
     reps = materialize(live.groupBy("hi", "lo").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "sets")
     postings = materialize(_postings(reps, coords, match), "postings")
-    links = materialize(_confirmed(materialize(_colliding(_first_links(postings, percent), reps, coords, match), "pairs"), docs, doc_id, text, size, percent), "links")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return materialize(_confirmed(materialize(pairs, "pairs"), docs, doc_id, text, size, percent), "links")
+
+    first = materialize(_first_links(postings, percent), "first")
+    # one link each, to the earliest document: it alone joins most groups, whatever their size
+    earliest = first.groupBy("a").agg(F.min("b").alias("b"))
+    links = confirm(_colliding(earliest, reps, coords, match))
+    parts = materialize(connected_components(links, "a", "b"), "parts")
+    links = links.unionByName(confirm(_colliding(_apart(first.join(earliest, ["a", "b"], "left_anti"), parts, "a", "b"), reps, coords, match)))
+    parts = materialize(connected_components(links, "a", "b"), "parts")
+    groups = materialize(_open_groups(postings, parts, reps, percent, match), "groups")
+    links = links.unionByName(materialize(_group_links(groups, docs, doc_id, text, size, percent), "links"))
     parts = materialize(connected_components(links, "a", "b"), "parts")
-    more = materialize(_colliding(_more_links(postings, parts, percent), reps, coords, match), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(materialize(_confirmed(more, docs, doc_id, text, size, percent), "links"))
-        parts = materialize(connected_components(links, "a", "b"), "parts")
     # a row's set -> the set's first document -> the component of that
     named = reps.select("hi", "lo", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("c"))
     linked = live.select("_id", "hi", "lo").join(named, ["hi", "lo"]).groupBy("_id").agg(F.min("c").alias("c"))
