@@ -58,6 +58,13 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, mine(pages, _read(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_extract import extract
+
+    out = extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.minhash import near_duplicates
 
@@ -74,7 +81,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op6_url_rules": op6_url_rules, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
+    return {"op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op6_url_rules": op6_url_rules, "op7_text_density": op7_text_density, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
