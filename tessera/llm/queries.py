@@ -80,9 +80,32 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "severity", (F.col("severity") >= REJECT).alias("toxic"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and digest are those of the payload as read back; for a revisit, those its record states."""
+    import uuid
+
+    from tessera.llm._common import shared_dir
+    from tessera.llm.warc import round_trip
+
+    path = f"{shared_dir(spark).rstrip('/')}/tessera/warc-{uuid.uuid4().hex}"
+    got = round_trip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    revisit = F.col("type") == "revisit"
+    return got.select("page_id", F.when(revisit, F.col("length")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"), F.when(revisit, F.col("digest")).otherwise(F.sha1("payload")).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
 def queries() -> dict:
-    return {"op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op6_url_rules": op6_url_rules, "op7_text_density": op7_text_density, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
+    return {"op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op6_url_rules": op6_url_rules, "op7_text_density": op7_text_density, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc}
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS d FROM pages),
+h AS (SELECT d, max(page_id) AS head FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN head IS NULL OR head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN head <> page_id THEN head END AS refers_to
+FROM p LEFT JOIN h ON p.d = h.d AND p.n >= 1000
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": OP10_SQL}
