@@ -10,6 +10,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every vector whose id is divisible by 50, against all others."""
+    from tessera.llm.ann import search
+
+    v = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(v, v.where("vec_id % 50 = 0"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many spans of each pattern, a digest of those, and all spans."""
     from tessera.llm.secret_scan import KINDS, digest, fit, scan
@@ -94,7 +102,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op6_url_rules": op6_url_rules, "op7_text_density": op7_text_density, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc}
+    return {"op1_posting_lists": op1_posting_lists, "op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op6_url_rules": op6_url_rules, "op7_text_density": op7_text_density, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc}
 
 
 OP10_SQL = """
