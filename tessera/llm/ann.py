@@ -24,7 +24,7 @@ SAMPLE, CENTROIDS, LIST = 20_000, 4096, 96
 #: Lists a vector is posted in at most, and how much farther than the nearest centroid (squared) they may be.
 REPLICAS, BOUNDARY = 6, 1.25
 #: Lists a query opens at most, and how much farther than the nearest (squared).
-PROBES, RATIO = 64, 1.9
+PROBES, RATIO = 128, 2.2
 #: Edges of a centroid in the graph; centroids held open during a search.
 DEGREE, OPEN = 24, 96
 #: Blocks of a list that are read by different tasks; queries held at once.
