@@ -2,10 +2,460 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import scalar as S
+from tessera.operators import ast_rules, findings, history, line_rules
+from tessera.plans import adapters as A
+from tessera.plans.scan import scan
+from tessera.sources import deps, files, sinks
+from tessera.streaming import watch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, *shapes: str, sql: str | None = None, **ctes: str):
+    """Registers f over DataFrames of the shapes; sql reads them as t0, t1, ... and the ctes by name."""
+
+    def put(f: Callable[..., DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(*(A.make(spark, sf_dir, s) for s in shapes))
+        if sql:
+            parts = [f"t{k} AS ({A.text(s)})" for k, s in enumerate(shapes)] + [f"{k} AS ({v})" for k, v in ctes.items()]
+            SQL[name] = f"WITH {', '.join(parts)} {sql}"
+        return f
+
+    return put
+
+
+RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 WHEN 'info' THEN 0 END"
+NORMAL = "CASE category WHEN 'taint_code_injection' THEN 'code_injection' WHEN 'script_injection' THEN 'xss' ELSE category END"
+#: The fold of duplicates, over lists of structs in order of seq.
+MERGED = f"""
+SELECT scan_id, r.seq AS seq, r.severity AS severity, r.category AS category, r.file AS file, r.line AS line, r.code AS code, r.description AS description FROM (
+  SELECT scan_id, list_reduce(list({{'seq': seq, 'rank': {RANK}, 'severity': severity, 'category': category, 'file': file, 'line': line, 'code': code, 'description': description}} ORDER BY seq), lambda a, b: {{
+    'seq': a.seq, 'rank': greatest(a.rank, b.rank),
+    'severity': CASE WHEN b.rank > a.rank THEN b.severity ELSE a.severity END, 'category': CASE WHEN b.rank > a.rank THEN b.category ELSE a.category END, 'file': a.file,
+    'line': CASE WHEN b.rank > a.rank THEN coalesce(nullif(b.line, 0), a.line) ELSE coalesce(nullif(a.line, 0), b.line) END,
+    'code': CASE WHEN b.rank > a.rank THEN (CASE WHEN b.code = '' THEN a.code ELSE b.code END) ELSE (CASE WHEN a.code = '' THEN b.code ELSE a.code END) END,
+    'description': CASE WHEN b.rank > a.rank
+      THEN (CASE WHEN a.description = '' OR starts_with(b.description, left(a.description, 30)) OR starts_with(a.description, left(b.description, 30)) THEN b.description ELSE b.description || ' | ' || a.description END)
+      ELSE (CASE WHEN b.description = '' OR starts_with(a.description, left(b.description, 30)) OR starts_with(b.description, left(a.description, 30)) THEN a.description ELSE a.description || ' | ' || b.description END) END
+  }}) AS r
+  FROM (SELECT *, coalesce(nullif(line, 0), -1) AS ln, {NORMAL} AS cat FROM t0) GROUP BY scan_id, file, ln, cat)
+"""
+CAPPED = "SELECT scan_id, seq, severity, category, file, line, code, description FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, file, category ORDER BY seq) AS n FROM t0) WHERE n <= 3"
+
+
+@query("findings_cap_per_file", A.FINDINGS, sql=CAPPED)
+def _(f):
+    return findings.cap_per_file(f)
+
+
+@query("findings_aggregate_noisy", A.FINDINGS, sql="""
+SELECT scan_id, seq, severity, category, file, line, code, description FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, category = 'network' AND severity = 'info' ORDER BY seq) AS n FROM t0)
+WHERE NOT (category = 'network' AND severity = 'info') OR n <= 5
+UNION ALL SELECT scan_id, 4611686018427387904, 'info', 'network', '(aggregated)', NULL, '', concat('...and ', count(*) - 5, ' more network findings (total ', count(*), ' across repo)')
+FROM t0 WHERE category = 'network' AND severity = 'info' GROUP BY scan_id HAVING count(*) > 5""")
+def _(f):
+    return findings.aggregate_noisy(f)
+
+
+@query("findings_merge", A.FINDINGS, sql=MERGED)
+def _(f):
+    return findings.merge_duplicates(f)
+
+
+@query("findings_severity_stats", A.FINDINGS, merged=MERGED, sql="""
+SELECT scan_id, file, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) AS total_findings FROM merged GROUP BY scan_id, file""")
+def _(f):
+    return findings.severity_counts(findings.merge_duplicates(f), "scan_id", "file")
+
+
+@query("findings_sorted_topk", A.FINDINGS, sql=f"SELECT scan_id, seq, severity, category, file FROM t0 ORDER BY coalesce({RANK}, -1) DESC, seq, scan_id LIMIT 100")
+def _(f):
+    return f.orderBy(*findings.by_severity(f), "scan_id").limit(100).select("scan_id", "seq", "severity", "category", "file")
+
+
+@query("findings_proposal", A.FINDINGS, sql="""
+SELECT severity, category, CASE WHEN severity IN ('critical', 'high') AND category IN ('code_injection', 'command_execution') THEN 'Remove / Fix' WHEN severity = 'critical' THEN 'Fix'
+  WHEN severity = 'high' AND category IN ('deserialization', 'native_code', 'data_exfiltration') THEN 'Fix' WHEN severity IN ('high', 'medium') THEN 'Investigate'
+  WHEN severity = 'low' AND category IN ('telemetry', 'tracking') THEN 'Keep / Remove' ELSE 'Keep' END AS proposal, count(*) AS n FROM t0 GROUP BY ALL""")
+def _(f):
+    return f.groupBy("severity", "category", S.proposal(F.col("severity"), F.col("category")).alias("proposal")).agg(F.count("*").alias("n"))
+
+
+@query("findings_fix", A.FINDINGS, sql="""
+SELECT category, CASE category WHEN 'code_injection' THEN 'Replace eval()/exec() with ast.literal_eval() or a safe parser' WHEN 'telemetry' THEN 'Optionally disable telemetry or verify collected data'
+  WHEN 'network' THEN 'Check if network connections are necessary and secure' ELSE 'Review code manually and assess risk' END AS fix, count(*) AS n FROM t0 GROUP BY ALL""")
+def _(f):
+    return f.groupBy("category", S.suggested_fix(F.col("category")).alias("fix")).agg(F.count("*").alias("n"))
+
+
+@query("findings_whitelist_filter", A.FINDINGS, A.WHITELIST, sql="""
+SELECT scan_id, seq, category, file, description FROM t0 WHERE NOT EXISTS (SELECT 1 FROM t1 WHERE t1.pattern_hash = substr(sha256(concat_ws('|', t0.category, t0.file, t0.description)), 1, 16))
+AND NOT EXISTS (SELECT 1 FROM t1 WHERE t1.category = t0.category AND t1.file_pattern <> '' AND contains(t0.file, t1.file_pattern))""")
+def _(f, w):
+    return findings.without_whitelisted(f, w).select("scan_id", "seq", "category", "file", "description")
+
+
+@query("findings_hash", A.FINDINGS, sql="SELECT scan_id, seq, substr(sha256(concat_ws('|', category, file, description)), 1, 16) AS hash FROM t0")
+def _(f):
+    return f.select("scan_id", "seq", S.finding_hash(F.col("category"), F.col("file"), F.col("description")).alias("hash"))
+
+
+@query("findings_llm_novel", A.FINDINGS, sql="""
+SELECT scan_id, seq, severity, category, file FROM (SELECT scan_id, seq, CASE WHEN seq % 5 = 0 THEN 'medium' ELSE severity END AS severity, category, CASE WHEN seq % 11 = 0 THEN '' ELSE replace(file, 'src/', 'lib/src/') END AS file FROM t0 WHERE seq % 3 = 0) r
+WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT scan_id, category, file FROM t0 WHERE seq % 3 = 1 AND seq < 200) s WHERE s.scan_id = r.scan_id AND s.category = r.category AND r.file <> '' AND (ends_with(r.file, s.file) OR ends_with(s.file, r.file)))""")
+def _(f):
+    r = f.where("seq % 3 = 0").withColumns({"severity": F.when(F.col("seq") % 5 == 0, "odd").otherwise(F.col("severity")), "file": F.when(F.col("seq") % 11 == 0, "").otherwise(F.replace("file", F.lit("src/"), F.lit("lib/src/")))})
+    return findings.novel_reviews(r, f.where("seq % 3 = 1 and seq < 200")).select("scan_id", "seq", "severity", "category", "file")
+
+
+@query("findings_sarif_rules", A.FINDINGS, sql="""
+SELECT scan_id, category AS rule_id, CASE WHEN s IN ('critical', 'high') THEN 'error' WHEN s = 'medium' THEN 'warning' ELSE 'note' END AS level, n
+FROM (SELECT scan_id, category, arg_min(severity, seq) AS s, count(*) AS n FROM t0 GROUP BY ALL)""")
+def _(f):
+    return findings.sarif_rules(f).select("scan_id", "rule_id", "level", "n")
+
+
+@query("findings_union_gated", A.FINDINGS, A.COMPONENTS, sql="""
+SELECT t0.scan_id, category, count(*) AS n, min(seq) AS first_seq FROM t0 JOIN t1 ON t0.scan_id = t1.scan_id
+WHERE (category = 'network' AND component_type IN ('integration', 'python_script', 'unknown')) OR (category = 'xss' AND component_type IN ('card', 'unknown')) OR category = 'telemetry' GROUP BY ALL""")
+def _(f, c):
+    out = findings.union_gated({"python": f.where("category = 'network'"), "js": f.where("category = 'xss'"), "yaml": f.where("category = 'telemetry'")}, c)
+    return out.groupBy("scan_id", "category").agg(F.count("*").alias("n"), F.min(F.col("seq") % F.lit(1 << 40)).alias("first_seq"))
+
+
+@query("findings_relative_paths", A.FINDINGS, sql="SELECT scan_id, seq, CASE WHEN starts_with(file, 'src/') THEN substr(file, 5) ELSE file END AS file FROM t0")
+def _(f):
+    return findings.relativised(f, "src").select("scan_id", "seq", "file")
+
+
+@query("findings_static_summary", A.FINDINGS, sql="""
+SELECT scan_id, sha256(string_agg(concat('- [', severity, '] ', file, ':', coalesce(CAST(line AS VARCHAR), '?'), ' ', description), chr(10) ORDER BY seq)) AS summary_hash FROM t0 WHERE seq <= 20 GROUP BY scan_id""")
+def _(f):
+    return findings.static_summary(f).select("scan_id", F.sha2(F.col("summary").cast("binary"), 256).alias("summary_hash"))
+
+
+TREND = """
+scored AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY scanned_at DESC, id DESC) AS back FROM t0 WHERE score IS NOT NULL),
+rep AS (SELECT a.domain, scan_count, avg_score, latest_score, CASE WHEN n < 2 OR n IS NULL THEN 'stable' WHEN newest - oldest > 0.5 THEN 'improving' WHEN newest - oldest < -0.5 THEN 'declining' ELSE 'stable' END AS trend
+  FROM (SELECT domain, count(*) AS scan_count, round_even(avg(score), 1) AS avg_score FROM t0 GROUP BY domain) a
+  LEFT JOIN (SELECT domain, count(*) AS n, max(score) FILTER (WHERE back = 1) AS latest_score, max(score) FILTER (WHERE back = 1) AS newest, arg_max(score, back) FILTER (WHERE back <= 3) AS oldest FROM scored GROUP BY domain) b ON a.domain = b.domain)
+"""
+
+
+def _with(name: str, shape: str, more: str, select: str) -> None:
+    SQL[name] = f"WITH t0 AS ({A.text(shape)}), {more.strip()} {select}"
+
+
+@query("history_reputation", A.HISTORY)
+def _(h):
+    return history.reputation(h)
+
+
+@query("history_all_reputations", A.HISTORY)
+def _(h):
+    return history.all_reputations(h).select("domain", "repo_url", "scan_count", "avg_score", "latest_score", "trend")
+
+
+_with("history_reputation", A.HISTORY, TREND, "SELECT domain, scan_count, avg_score, latest_score, trend FROM rep")
+_with("history_all_reputations", A.HISTORY, TREND, "SELECT k.domain, repo_url, scan_count, avg_score, latest_score, trend FROM (SELECT DISTINCT domain, repo_url FROM t0 WHERE domain <> '') k JOIN rep ON k.domain = rep.domain")
+
+
+@query("history_timeline", A.HISTORY, sql="SELECT domain, id, row_number() OVER (PARTITION BY domain ORDER BY scanned_at, id) AS n FROM t0")
+def _(h):
+    return history.timeline(h).select("domain", "id", F.col("n").cast("long").alias("n"))
+
+
+@query("history_score_delta", A.HISTORY, sql="""
+SELECT domain, max(score) FILTER (WHERE n = 1) AS latest, max(score) FILTER (WHERE n = 2) AS previous, round_even(max(score) FILTER (WHERE n = 1) - max(score) FILTER (WHERE n = 2), 1) AS delta
+FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY scanned_at DESC, id DESC) AS n FROM t0) WHERE n <= 2 GROUP BY domain HAVING count(*) = 2""")
+def _(h):
+    return history.score_delta(h)
+
+
+LONG = " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM t0 WHERE score IS NOT NULL" for m in history.METRICS)
+BASE = """SELECT metric, round_even(avg(v), 2) AS mean, round_even(stddev_pop(v), 2) AS stddev, list_sort(list(v))[CAST(least(floor(count(*) * 0.95), count(*) - 1) AS BIGINT) + 1] AS percentile_95, count(*) AS sample_count FROM long_ GROUP BY metric HAVING count(*) >= 10"""
+
+
+@query("history_baseline", A.HISTORY, long_=LONG, sql=BASE)
+def _(h):
+    return history.baseline(h)
+
+
+WATCHED = " UNION ALL ".join(f"SELECT id, domain, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM t0" for m in history.WATCHED)
+
+
+@query("history_deviations", A.HISTORY, long_=LONG, base=BASE, rows_=WATCHED, sql="""
+SELECT id, domain, rows_.metric, value, mean, stddev, round_even(abs(value - mean) / stddev, 1) AS z_score, CASE WHEN value > mean THEN 'above' ELSE 'below' END AS direction
+FROM rows_ JOIN base ON rows_.metric = base.metric WHERE stddev > 0 AND value IS NOT NULL AND abs(value - mean) / stddev > 2""")
+def _(h):
+    return history.deviations(h, history.baseline(h))
+
+
+@query("history_score_label", A.HISTORY, sql="SELECT CASE WHEN score IS NULL THEN 'N/A' WHEN score >= 8 THEN 'SAFE' WHEN score >= 5 THEN 'CAUTION' ELSE 'DANGER' END AS label, count(*) AS n FROM t0 GROUP BY ALL")
+def _(h):
+    return h.groupBy(S.score_label(F.col("score")).alias("label")).agg(F.count("*").alias("n"))
+
+
+KEYED = "SELECT *, row_number() OVER (PARTITION BY key ORDER BY created_at DESC, id DESC) AS place FROM (SELECT *, coalesce(nullif(domain, ''), repo_url) AS key, substr(sha256(concat_ws(chr(10), array_to_string(list_sort(imports), ','), array_to_string(list_sort(ha_apis), ','), array_to_string(list_sort(network_domains), ','))), 1, 16) AS hash FROM t0)"
+DIFFS = """SELECT o.key, array_to_string(list_sort(list_filter(n.imports, lambda x: NOT list_contains(o.imports, x))), ',') AS imports_added, array_to_string(list_sort(list_filter(o.imports, lambda x: NOT list_contains(n.imports, x))), ',') AS imports_removed,
+array_to_string(list_sort(list_filter(n.network_domains, lambda x: NOT list_contains(o.network_domains, x))), ',') AS domains_added, array_to_string(list_sort(list_filter(o.network_domains, lambda x: NOT list_contains(n.network_domains, x))), ',') AS domains_removed,
+CASE WHEN o.total_lines > 0 AND n.total_lines > 0 AND abs(round_even((n.total_lines - o.total_lines) / o.total_lines * 100, 1)) > 10 THEN round_even((n.total_lines - o.total_lines) / o.total_lines * 100, 1) END AS change_pct, o.hash <> n.hash AS changed
+FROM keyed n JOIN keyed o ON n.key = o.key AND n.place = 1 AND o.place = 2"""
+
+
+def _fps(f: DataFrame) -> DataFrame:
+    return f.withColumn("fingerprint_hash", history.fingerprint_hash("imports", "ha_apis", "network_domains"))
+
+
+def _diff(f: DataFrame) -> DataFrame:
+    text = lambda c: F.array_join(c, ",")
+    return f.select("key", text("imports_added").alias("imports_added"), text("imports_removed").alias("imports_removed"), text("network_domains_added").alias("domains_added"), text("network_domains_removed").alias("domains_removed"), "change_pct", "changed")
+
+
+@query("fp_latest", A.FINGERPRINTS, keyed=KEYED, sql="SELECT key, id, hash AS fingerprint_hash FROM keyed WHERE place = 1")
+def _(f):
+    return history.latest_fingerprints(_fps(f)).select("key", "id", "fingerprint_hash")
+
+
+@query("fp_diff", A.FINGERPRINTS, keyed=KEYED, sql=DIFFS)
+def _(f):
+    return _diff(history.fingerprint_diffs(_fps(f)))
+
+
+@query("fp_changed_all", A.FINGERPRINTS, keyed=KEYED, sql=f"SELECT * FROM ({DIFFS}) WHERE changed")
+def _(f):
+    return _diff(history.changed_components(_fps(f)))
+
+
+@query("fp_total_tracked", A.FINGERPRINTS, sql="SELECT count(DISTINCT coalesce(nullif(domain, ''), repo_url)) AS total_tracked FROM t0")
+def _(f):
+    return history.total_tracked(f)
+
+
+def _items(column: str, where: str, least: int, tail: str) -> str:
+    return f"""SELECT item, count(*) AS count, string_agg(key, ',' ORDER BY key) AS components FROM (SELECT DISTINCT key, unnest({column}) AS item FROM keyed WHERE place = 1) {where} GROUP BY item HAVING count(*) >= {least} {tail}"""
+
+
+@query("intel_shared_domains", A.FINGERPRINTS, keyed=KEYED, sql=_items("network_domains", "", 2, "ORDER BY count DESC, item LIMIT 20"))
+def _(f):
+    return history.shared_domains(f)
+
+
+@query("intel_shared_imports", A.FINGERPRINTS, keyed=KEYED, sql=_items("imports", "WHERE item <> 'os'", 2, "ORDER BY count DESC, item LIMIT 20"))
+def _(f):
+    return history.shared_imports(f)
+
+
+@query("intel_suspicious", A.FINGERPRINTS, keyed=KEYED, sql=_items("network_domains", "WHERE contains(item, 'pastebin.com')", 1, ""))
+def _(f):
+    return history.suspicious_hosts(f)
+
+
+@query("intel_outliers", A.FINGERPRINTS, keyed=KEYED, latest="SELECT key, total_lines, avg(total_lines) FILTER (WHERE total_lines > 0) OVER () AS mean, count(*) OVER () AS n FROM keyed WHERE place = 1", sql="""
+SELECT key, total_lines, round_even(mean, 0) AS avg_lines, round_even(total_lines / mean, 2) AS ratio, CASE WHEN total_lines / mean > 3 THEN 'larger' ELSE 'smaller' END AS direction
+FROM latest WHERE n >= 3 AND total_lines > 0 AND (total_lines / mean > 3 OR total_lines / mean < 0.1)""")
+def _(f):
+    return history.size_outliers(f)
+
+
+REQ = "SELECT id, scan_id, ecosystem, regexp_extract(req, '^([a-zA-Z0-9_.-]+)\\s*[=<>!~]+\\s*([\\d.]+)', 1) AS package, regexp_extract(req, '^([a-zA-Z0-9_.-]+)\\s*[=<>!~]+\\s*([\\d.]+)', 2) AS version FROM t0"
+
+
+def _required(p: DataFrame) -> DataFrame:
+    return p.withColumn("r", deps.requirement(F.col("req"))).where("r is not null").select("id", "scan_id", "ecosystem", "r.package", "r.version")
+
+
+@query("deps_requirements", A.PACKAGES, req_=REQ, sql="SELECT * FROM req_ WHERE package <> ''")
+def _(p):
+    return _required(p)
+
+
+@query("deps_malicious", A.PACKAGES, req_=REQ, sql="SELECT id, scan_id, package, version FROM req_ WHERE lower(package) IN ('colourama', 'ctx', 'jeilyfish')")
+def _(p):
+    return deps.malicious(_required(p)).select("id", "scan_id", "package", "version")
+
+
+VULN = """CASE WHEN NOT contains(score, 'CVSS') OR part IS NULL THEN 'high' WHEN part >= 9 THEN 'critical' WHEN part >= 7 THEN 'high' WHEN part >= 4 THEN 'medium' ELSE 'low' END"""
+PART = "SELECT *, TRY_CAST(list_filter(string_split(score, '/'), lambda p: regexp_full_match(p, '[0-9.]*[0-9][0-9.]*'))[1] AS DOUBLE) AS part FROM "
+
+
+@query("deps_vulnerable", A.PACKAGES, A.FEED, req_=REQ, feed_=PART + "t1", sql=f"SELECT id, scan_id, req_.package, req_.version, vuln_id, {VULN} AS severity FROM req_ JOIN feed_ ON lower(req_.package) = lower(feed_.package) AND req_.version = feed_.version WHERE req_.package <> ''")
+def _(p, f):
+    return deps.vulnerable(_required(p), f).select("id", "scan_id", "package", "version", "vuln_id", "severity")
+
+
+@query("deps_distinct_first", A.PACKAGES, req_=REQ, sql="SELECT scan_id, lower(package) AS package, version, min(id) AS id FROM req_ WHERE package <> '' GROUP BY ALL")
+def _(p):
+    return deps.distinct_first(_required(p), "id").select("scan_id", F.lower("package").alias("package"), "version", "id")
+
+
+@query("vuln_severity", A.FEED, part_=PART + "t0", sql=f"SELECT score, {VULN} AS severity, count(*) AS n FROM part_ GROUP BY ALL")
+def _(f):
+    return f.groupBy("score", S.vulnerability_severity(F.col("score")).alias("severity")).agg(F.count("*").alias("n"))
+
+
+LINES = "SELECT scan_id, path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM t0"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _rules_sql(rules, hit) -> str:
+    one = [f"SELECT scan_id, path AS file, {k} AS rule, {_quoted(sev)} AS severity, {_quoted(cat)} AS category, min(line) AS line FROM lines WHERE {hit(p)} GROUP BY scan_id, path" for k, (p, sev, cat) in enumerate(rules)]
+    return " UNION ALL ".join(one)
+
+
+@query("scan_script_patterns", A.SOURCES, lines=LINES, sql=_rules_sql(line_rules.SCRIPT_PATTERNS, lambda p: f"regexp_matches(text, {_quoted(p)})"))
+def _(s):
+    return line_rules.scan_script_patterns(s).select("scan_id", "file", "rule", "severity", "category", F.col("line").cast("long").alias("line"))
+
+
+@query("scan_text_parts", A.SOURCES, lines=LINES, sql=_rules_sql(line_rules.PYTHON_PARTS, lambda p: f"contains(lower(text), {_quoted(p)})"))
+def _(s):
+    return line_rules.scan_parts(s).select("scan_id", "file", "rule", "severity", "category", F.col("line").cast("long").alias("line"))
+
+
+@query("scan_secret_comment", A.SOURCES, lines=LINES, sql=f"""
+SELECT scan_id, file, line FROM (SELECT scan_id, path AS file, line, row_number() OVER (PARTITION BY scan_id, path ORDER BY line) AS n FROM lines WHERE regexp_matches(text, {_quoted(line_rules.SECRET_IN_COMMENT)})) WHERE n <= 3""")
+def _(s):
+    return line_rules.scan_secret_comments(s).select("scan_id", "file", F.col("line").cast("long").alias("line"))
+
+
+def _count(p: str) -> str:
+    return f"len(regexp_extract_all(content, {_quoted(p)}))"
+
+
+@query("scan_obfuscation_score", A.SOURCES, sql=f"""
+SELECT scan_id, path, {_count('_0x[0-9a-f]{4,}')} AS hex_refs, {_count(line_rules.PAYWALL[0][0])} + 3 * {_count(line_rules.PAYWALL[1][0])} + 2 * {_count(line_rules.PAYWALL[2][0])} AS paywall_score,
+  {_count('(?i)paypal')} AS paypal_refs, {_count('(?i)stripe')} AS stripe_refs, {_count(line_rules.HEX_NAME.replace(line_rules.HEX_NAME, chr(92) + 'biframe' + chr(92) + 'b'))} AS iframe_refs, 'evil.example.com' AS hosts FROM t0 WHERE {_count('_0x[0-9a-f]{4,}')} >= 5""")
+def _(s):
+    n = ("hex_refs", "paywall_score", "paypal_refs", "stripe_refs", "iframe_refs")
+    return line_rules.obfuscation_scores(s).select("scan_id", "path", *(F.col(c).cast("long").alias(c) for c in n), "hosts")
+
+
+@query("context_budget", A.CONTEXT, cut="SELECT *, coalesce(sum(length(left(content, 8000))) OVER (PARTITION BY scan_id ORDER BY prio, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t0", sql="""
+SELECT scan_id, count(*) AS n_files, CAST(sum(length(left(content, 8000))) AS BIGINT) AS n_chars, sha256(string_agg(concat('--- ', path, ' ---', chr(10), left(content, 8000)), concat(chr(10), chr(10)) ORDER BY prio, path)) AS context_hash FROM cut WHERE before < 15000 GROUP BY scan_id""")
+def _(c):
+    return files.context_budget(c).select("scan_id", "n_files", "n_chars", F.sha2(F.col("context").cast("binary"), 256).alias("context_hash"))
+
+
+@query("jobs_batch_status", A.JOBS, sql="SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE status = 'done') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, CASE WHEN count(*) FILTER (WHERE status IN ('done', 'failed')) >= count(*) THEN 'done' ELSE 'running' END AS status FROM t0 GROUP BY batch_id")
+def _(j):
+    return history.batch_status(j)
+
+
+@query("jobs_retention", A.JOBS, sql="SELECT id, status FROM t0 WHERE NOT (created_at < TIMESTAMP '1995-01-01 00:00:00' AND status <> 'running')")
+def _(j):
+    return history.retained(j, F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")).select("id", "status")
+
+
+@query("jobs_recovery", A.JOBS, sql="SELECT id, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status FROM t0")
+def _(j):
+    return history.recovered(j).select("id", "status")
+
+
+@query("jobs_active", A.JOBS, sql="SELECT id, batch_id FROM t0 WHERE status = 'running'")
+def _(j):
+    return history.active(j).select("id", "batch_id")
+
+
+@query("jobs_upsert", A.JOBS, sql="SELECT id, CASE WHEN id % 5 = 0 THEN 'done' ELSE status END AS status FROM t0")
+def _(j):
+    return history.upsert(j, j.where("id % 5 = 0").withColumn("status", F.lit("done")), "id").select("id", "status")
+
+
+@query("watch_new_alerts", A.CHECKS, lagged="SELECT *, lag(alerts) OVER (PARTITION BY component ORDER BY checked_at, id) AS before FROM t0", sql="""
+SELECT component, id, unnest(list_filter(list_distinct(alerts), lambda a: before IS NULL OR NOT list_contains(before, a))) AS alert FROM lagged""")
+def _(c):
+    return watch.new_alerts(c).select("component", "id", "alert")
+
+
+@query("status_newest", A.HISTORY, sql="SELECT domain, arg_max(id, scanned_at) AS id FROM t0 GROUP BY domain")
+def _(h):
+    return watch.newest_status(h).select("domain", "id")
+
+
+@query("status_topics", A.HISTORY, sql="SELECT DISTINCT concat('scanner/', domain, '/state') AS topic FROM t0")
+def _(h):
+    return sinks.status_topics(h).select("topic")
+
+
+@query("text_slugs", A.HISTORY, sql="SELECT DISTINCT domain, regexp_replace(lower(concat(domain, '.X y')), '[^a-z0-9_-]', '', 'g') AS slug FROM t0")
+def _(h):
+    return h.select("domain", S.slug(F.concat("domain", F.lit(".X y"))).alias("slug")).distinct()
+
+
+@query("text_masked", A.JOBS, sql="SELECT id, CASE WHEN length(concat('secret', id)) > 12 THEN concat(left(concat('secret', id), 8), '...', right(concat('secret', id), 4)) ELSE repeat('*', length(concat('secret', id))) END AS masked FROM t0")
+def _(j):
+    return j.select("id", S.masked(F.concat(F.lit("secret"), F.col("id").cast("string"))).alias("masked"))
+
+
+@query("report_sarif", A.FINDINGS)
+def _(f):
+    return sinks.sarif(findings.merge_duplicates(f))
+
+
+@query("report_nested", A.FINDINGS, A.COMPONENTS)
+def _(f, c):
+    return sinks.reports(c.select(F.col("scan_id").alias("id"), F.col("scan_id").alias("name"), F.lit("done").alias("status")), findings.merge_duplicates(f))
+
+
+#: A small component of every kind of file, as rows.
+SAMPLE = (
+    ("s1", "custom_components/x/manifest.json", '{"domain": "x", "name": "X", "requirements": ["ctx==1.0", "requests>=2.1"]}'),
+    ("s1", "custom_components/x/__init__.py", "import os\nimport subprocess\nimport requests\nfrom os import system\nd = entry.data['u']\nsubprocess.run(d, shell=True)\neval(d)\nhass.services.call(a, b)\nx = hass.auth\nPLATFORM_SCHEMA = 1\nu = 'https://api.example.com/v1'\n"),
+    ("s1", "custom_components/x/broken.py", "import pickle\ndef broken(:\n    base64.b64decode(x)\n"),
+    ("s2", "card.js", "el.innerHTML = x;\nnew WebSocket(u);\n// eval(1)\ndocument.write('a');\nsetTimeout('go()', 1);\n"),
+    ("s2", "broken.js", "function ( { eval(x)\n"),
+    ("s2", "package.json", '{"dependencies": {"event-stream": "^3.3.6"}, "devDependencies": {"left-pad": "~1.3.0"}}'),
+    ("s3", "conf.yaml", "automation:\n  - action:\n      - service: '{{ x }}'\nshell_command:\n  go: ls\nother: !include /etc/x.yaml\n# token: abcdefgh12345\n"),
+    ("s3", "requirements.txt", "# none\nflask==2.0\n-r other.txt\nurlib3>=1.0\n"),
+    ("s3", "pyproject.toml", "[project]\nname = 'x'\ndependencies = [\n  \"numpy>=1.20\",\n]\n"),
+)
+
+
+def _sample(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SAMPLE, "scan_id string, path string, content string")
+
+
+def _fixed(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: f(_sample(spark))
+
+
+def _register_fixed() -> None:
+    from tessera.operators.fingerprints import fingerprints
+
+    py = lambda s: ast_rules.facts(files.files_for(s, "python"))
+    _fixed("py_calls", lambda s: ast_rules.call_findings(py(s)))
+    _fixed("py_imports", lambda s: ast_rules.import_findings(py(s)))
+    _fixed("py_taint", lambda s: ast_rules.flow_findings(py(s)))
+    _fixed("api_rules", lambda s: ast_rules.platform_findings(py(s)))
+    _fixed("js_rules", lambda s: ast_rules.script_findings(files.files_for(s, "js")))
+    _fixed("yaml_structural", lambda s: ast_rules.yaml_structure_findings(files.files_for(s, "yaml")))
+    _fixed("yaml_patterns", lambda s: line_rules.scan_yaml_patterns(files.files_for(s, "yaml")))
+    _fixed("yaml_includes", lambda s: line_rules.scan_includes(files.files_for(s, "yaml")))
+    _fixed("deps_discover", deps.discover)
+    _fixed("component_types", files.component_types)
+    _fixed("component_manifests", files.manifests)
+    _fixed("fp_extract", fingerprints)
+    _fixed("code_context", lambda s: files.code_context(files.files_for(s, "context")))
+    _fixed("full_scan", scan)
+
+
+_register_fixed()
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
