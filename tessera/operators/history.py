@@ -76,7 +76,11 @@ def deviations(scans: DataFrame, base: DataFrame, above: float = 2.0) -> DataFra
 # Fingerprints: id, domain, repo_url, fingerprint_hash, imports, ha_apis, network_domains, total_lines, created_at
 
 LISTS = ("imports", "ha_apis", "network_domains")
-KEY = F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.col("repo_url"))
+
+
+def component_key():
+    """A component is named by its domain, without one by its repository."""
+    return F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.col("repo_url"))
 
 
 def fingerprint_hash(*lists):
@@ -88,7 +92,7 @@ def fingerprint_hash(*lists):
 def latest_fingerprints(fps: DataFrame, n: int = 1) -> DataFrame:
     """The newest n of each component, as key and rows with place (1: newest)."""
     w = Window.partitionBy("key").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return fps.withColumn("key", KEY).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return fps.withColumn("key", component_key()).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
 def fingerprint_diffs(fps: DataFrame) -> DataFrame:
@@ -109,7 +113,7 @@ def changed_components(fps: DataFrame) -> DataFrame:
 
 
 def total_tracked(fps: DataFrame) -> DataFrame:
-    return fps.select(KEY.alias("key")).agg(F.count_distinct("key").alias("total_tracked"))
+    return fps.select(component_key().alias("key")).agg(F.count_distinct("key").alias("total_tracked"))
 
 
 def _shared(latest: DataFrame, column: str, least: int, top: int | None) -> DataFrame:

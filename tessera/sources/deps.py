@@ -46,7 +46,7 @@ def pyproject(files: DataFrame) -> DataFrame:
     closes = F.col("opened") & ~opens & ((F.col("t") == "]") | F.startswith("t", F.lit("[")))
     x = x.withColumn("closed", F.sum(F.when(closes, 1).otherwise(0)).over(w) > 0)
     inside = x.where("opened and not closed").where(~opens)
-    return _rows(inside.select("scan_id", "path", requirement(F.trim(F.lit("\"',' "), F.col("t"))).alias("r")), "PyPI")
+    return _rows(inside.select("scan_id", "path", requirement(F.trim(F.col("t"), F.lit("\"',' "))).alias("r")), "PyPI")
 
 
 def package_json(files: DataFrame) -> DataFrame:

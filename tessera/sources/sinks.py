@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import escaped_html, severity_rank
 from tessera.operators.findings import FIELDS, sarif_rules
 
-ITEM = F.struct("seq", *FIELDS)
-
 
 def _ordered(findings: DataFrame, what) -> DataFrame:
     """(scan_id, items): a scan's findings in order, each as `what` makes it."""
-    return findings.groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(ITEM)), what).alias("items"))
+    return findings.groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", *FIELDS))), what).alias("items"))
 
 
 def reports(scans: DataFrame, findings: DataFrame) -> DataFrame:
