@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Where tables between jobs go if the session names no shared folder (local runs and tests only).
 LOCAL_SHARED = "file:///tmp/tessera-shared"
-#: Words that a worker remembers the hash of; the memory is emptied beyond it.
-WORD_CACHE = 300_000
+#: Words that a worker remembers the hash of; it starts anew once it has met as many again that it had no room for.
+WORD_CACHE = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,14 +43,18 @@ class WordHashes(dict):
 
     def __init__(self, norm=None):
         super().__init__()
-        self.norm = norm
+        self.norm, self.left_out = norm, 0
 
     def __missing__(self, word: bytes) -> int:
         w = self.norm(word) if self.norm else word
         h = (xxhash.xxh3_64_intdigest(w) or 1) if w else 0
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[word] = h
+        if len(self) < WORD_CACHE:
+            self[word] = h
+        else:
+            self.left_out += 1
+            if self.left_out > WORD_CACHE:
+                self.clear()
+                self.left_out = 0
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -65,6 +65,15 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, at: int, share: float
     return (lo + start, n, m) if n >= need and m >= share * n - 1e-9 else None
 
 
+def along(doc: np.ndarray, item: np.ndarray, shift: int, hits, share: float, least: int):
+    """The overlaps of one alignment: around its first hit, and around each further one that no stretch so far covers."""
+    upto = -1
+    for p in sorted(hits):
+        if p >= upto and (got := overlap(doc, item, shift, p, share, least)):
+            upto = got[0] + got[1]
+            yield got
+
+
 class _Index:
     """Benchmark seeds in memory: a bitmap in front of sorted hashes."""
 
@@ -78,20 +87,21 @@ class _Index:
         self.bits[(h >> U64(64 - BITS)).astype(np.int64)] = True
 
     def hits(self, w: np.ndarray):
-        """(item, shift, position) of each seed hit, one for each alignment of an item."""
-        out: dict[tuple[int, int], int] = {}
+        """The positions of the seed hits of each alignment (item, shift)."""
+        out: dict[tuple[int, int], set[int]] = {}
         for m in range(len(MASKS)):
             h = seeds(w, m)
             at = np.flatnonzero(self.bits[(h >> U64(64 - BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(self.h, h[at], "left"), np.searchsorted(self.h, h[at], "right")
             for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
                 for k in range(a, b):
-                    out.setdefault((int(self.item[k]), p - int(self.pos[k])), p)
+                    out.setdefault((int(self.item[k]), p - int(self.pos[k])), set()).add(p)
         return out
 
 
-def _best(found: dict[int, tuple[int, int, int]], item: int, got: tuple[int, int, int] | None) -> None:
-    if got and (item not in found or (got[2], -got[0]) > (found[item][2], -found[item][0])):
+def _best(found: dict[int, tuple[int, int, int]], item: int, got: tuple[int, int, int]) -> None:
+    """Most matching words first, then the earliest, then the longest."""
+    if (item not in found or (got[2], -got[0], got[1]) > (found[item][2], -found[item][0], found[item][1])):
         found[item] = got
 
 
@@ -124,8 +134,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
                 for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                     w = word_hashes(t.as_py())
                     found: dict[int, tuple[int, int, int]] = {}
-                    for (k, shift), p in idx.hits(w).items():
-                        _best(found, names[k], overlap(w, idx.items[k], shift, p, share, least))
+                    for (k, shift), hits in idx.hits(w).items():
+                        for got in along(w, idx.items[k], shift, hits, share, least):
+                            _best(found, names[k], got)
                     out += [(i, k, *v) for k, v in found.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], ["doc_id", "item_id", "start", "words", "matched"])
 
@@ -154,7 +165,7 @@ def _joined(d: DataFrame, items: DataFrame, share: float, least: int) -> DataFra
     """All overlaps, for a benchmark of any size."""
     s = items.select(F.col("_s").cast("binary").alias("_b"), "_item")
     hits = _seed_rows(d).join(_seed_rows(s.select("_item", "_b")).select(F.col("id").alias("item"), "h", F.col("pos").alias("at")), "h")
-    lines = hits.groupBy("id", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.min("pos").alias("pos"))
+    lines = hits.groupBy("id", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("pos").alias("pos"))
     both = lines.join(d, F.col("id") == F.col("_id")).join(s, F.col("item") == F.col("_item")).select("id", "item", "shift", "pos", "_t", "_b")
 
     def run(batches):
@@ -162,8 +173,8 @@ def _joined(d: DataFrame, items: DataFrame, share: float, least: int) -> DataFra
             out = []
             for i, k, shift, p, t, s in zip(*(b.column(c).to_pylist() for c in range(6))):
                 doc, item = word_hashes(t), word_hashes(s)
-                if -len(item) < shift < len(doc) and max(0, shift) <= p < min(len(doc), shift + len(item)) and (got := overlap(doc, item, shift, p, share, least)):
-                    out.append((i, k, *got))
+                hits = [x for x in p if max(0, shift) <= x < min(len(doc), shift + len(item))]
+                out += [(i, k, *got) for got in along(doc, item, shift, hits, share, least)]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], ["doc_id", "item_id", "start", "words", "matched"])
 
     return both.mapInArrow(run, SCHEMA)

@@ -9,6 +9,7 @@ randomness is a span of kind `markov`, unless it overlaps a span of the patterns
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +21,17 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 MIXED = r"[0-9][A-Za-z]|[A-Za-z][0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]"
 ORDINARY = r"[A-Za-z0-9+/_=-]{6,}"
+#: Ordinary words don't change between digits and letters so often; what does is left out of their sample, as it may be what is looked for.
+UNSURE = r"(?:[0-9]+[A-Za-z]+){3}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 K = len(ALPHABET) + 1
 #: Documents of each kind that training looks at; the bound of the sample.
 SAMPLE = 2_000
-#: Characters a span must have by the models, and how much likelier than an identifier, in all and by character.
-RATIO, RATIO_BY_CHAR = 12.0, 0.35
+#: What the counts of characters alone weigh against those of pairs.
+BACKOFF = 20.0
+#: How much likelier random than an identifier a span must be: log-likelihood ratio in all, and by character.
+RATIO, RATIO_BY_CHAR = 8.0, 0.25
 
 
 @dataclass
@@ -66,14 +71,20 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
     some = F.broadcast(lowest(ids.where("hit")))
     none = F.broadcast(lowest(ids.where("not hit").select("_id").where(F.pmod(F.xxhash64("_id"), F.lit(8)) == 0)))
     random = d.join(some, "_id").select(F.explode(_values(F.col("t"))).alias("token"))
-    plain = d.join(none, "_id").select(F.explode(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))).alias("token"))
-    n = [[1.0] * (K * K), [1.0] * (K * K)]
+    plain = d.join(none, "_id").select(F.explode(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))).alias("token")).where(~F.col("token").rlike(UNSURE))
+    n = [[0.0] * (K * K), [0.0] * (K * K)]
     for r in _bigrams(random, 0).unionByName(_bigrams(plain, 1)).collect():
         n[r["kind"]][r["at"]] += r["n"]
-    from math import log
+    kinds = [_transitions(x) for x in n]
+    return MarkovModel([log(a) - log(b) for a, b in zip(*kinds)])
 
-    rows = [[sum(x[i * K : (i + 1) * K]) for i in range(K)] for x in n]
-    return MarkovModel([log(n[0][i] / rows[0][i // K]) - log(n[1][i] / rows[1][i // K]) for i in range(K * K)])
+
+def _transitions(n: list[float], alpha: float = BACKOFF) -> list[float]:
+    """P(next | character) from counts; characters seen seldom lean on how often the next is seen at all."""
+    seen = [1.0 + sum(n[i * K + j] for i in range(K)) for j in range(K)]
+    alone = [x / sum(seen) for x in seen]
+    rows = [sum(n[i * K : (i + 1) * K]) for i in range(K)]
+    return [(n[i * K + j] + alpha * alone[j]) / (rows[i] + alpha) for i in range(K) for j in range(K)]
 
 
 def _placed(matches: str, text: str, pattern: str, kind: int) -> Column:
