@@ -21,6 +21,8 @@ WORD = re.compile(r"[^\W\d_]+")
 SAMPLE = 20_000
 #: Features the model keeps.
 FEATURES = 4096
+#: Standard errors that the log-odds of a feature must lie from 0: with all words tried, less is often chance.
+CLEAR = 4.5
 #: Documents a feature must occur in, so that single accidents don't count.
 SUPPORT = 5
 #: Expected grade from which a document is rejected.
@@ -92,7 +94,7 @@ def _encode(labelled: DataFrame, index: dict[str, int]) -> DataFrame:
     return labelled.select("text", "y").mapInArrow(run, "y long, words long, on array<int>")
 
 
-def _descend(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: int, grades: int, steps: int = 400, l2: float = 2e-4):
+def _descend(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: int, grades: int, steps: int = 600, l2: float = 8e-5):
     """Full-batch gradient descent with momentum and adaptive steps; thresholds are a base and positive gaps."""
     n, k = len(y), grades - 1
     over = (y[:, None] > np.arange(k)[None, :]).astype(float)
@@ -144,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # the log-odds over its standard error: strong and well-supported features first, for either kind
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     best = _count(rows).where(F.col("toxic") + F.col("clean") >= SUPPORT).select("feature", odds.alias("odds"), (odds / error).alias("z"))
-    best = best.where("abs(z) >= 3").orderBy(F.abs("z").desc(), "feature").limit(features).collect()
+    best = best.where(f"abs(z) >= {CLEAR}").orderBy(F.abs("z").desc(), "feature").limit(features).collect()
     index = {r["feature"]: i for i, r in enumerate(best)}
     strong = np.array([r["odds"] >= 2 for r in best], bool)
     t = _encode(rows, index).toArrow()
