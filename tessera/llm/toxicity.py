@@ -22,11 +22,11 @@ SAMPLE = 20_000
 #: Features the model keeps.
 FEATURES = 4096
 #: Standard errors that the log-odds of a feature must lie from 0: with all words tried, less is often chance.
-CLEAR = 4.5
+CLEAR = 3.5
 #: Documents a feature must occur in, so that single accidents don't count.
 SUPPORT = 5
 #: Expected grade from which a document is rejected.
-REJECT = 0.5
+REJECT = 0.4
 CACHE = 300_000
 
 
