@@ -63,9 +63,11 @@ class WordHashes(dict):
 
 def plain_word(word: bytes) -> bytes:
     """Lower case, letters and digits only: spelling that survives changes of case and punctuation."""
-    if word.isalpha():
+    word = word.strip(b".,;:!?|")
+    if word.isalnum():  # ASCII
         return word.lower()
-    return "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalnum()).encode()
+    w = word.decode("utf-8", "replace").lower()
+    return (w if w.isalnum() else "".join(filter(str.isalnum, w))).encode()
 
 
 def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
@@ -91,8 +93,8 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance of whole strings, bit-parallel over integers of any width."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance of whole strings, bit-parallel over integers of any width. Beyond `most`, any number above it."""
     n = 0
     for x, y in zip(a, b):
         if x != y:
@@ -111,8 +113,11 @@ def edit_distance(a: str, b: str) -> int:
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    plus, minus, score = full, 0, len(a)
+    plus, minus, score, left = full, 0, len(a), len(b)
     for c in b:
+        if most is not None and score - left > most:  # even if all that is left matches
+            return score - left
+        left -= 1
         eq = where.get(c, 0)
         d0 = (((eq & plus) + plus) ^ plus) | eq | minus
         hp = minus | ~(d0 | plus) & full
@@ -124,9 +129,10 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def edit_similarity(a: str, b: str) -> float:
-    most = max(len(a), len(b))
-    return 1.0 if not most else 1 - edit_distance(a, b) / most
+def alike(a: str, b: str, similarity: float) -> bool:
+    """Is 1 - distance / length of the longer at least `similarity`?"""
+    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
 
 
 def flags(df: DataFrame, col: str, bits: int = 22) -> np.ndarray:

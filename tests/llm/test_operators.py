@@ -32,6 +32,7 @@ def test_edit_distance_is_levenshtein():
             for j, y in enumerate(b, 1):
                 d.append(min(p[j] + 1, d[-1] + 1, p[j - 1] + (x != y)))
         assert edit_distance(a, b) == d[-1], (a, b)
+        assert all((edit_distance(a, b, m) <= m) == (d[-1] <= m) for m in range(9)), (a, b)
 
 
 def test_components(spark):
