@@ -1,12 +1,10 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence kept for each connected group.
+"""Fuzzy line dedup: keys from minima over neighbouring words, edit similarity, one occurrence kept for each connected group.
 
 Lines are normalised (lower case, letters and digits only, single spaces). Equal lines fold into one before
-anything is joined. Each distinct line gets a 64-bit SimHash of its words; the bits are cut into `BLOCKS` blocks, and two
-hashes that differ in at most BLOCKS - 2 bits agree on two whole blocks at least, so every pair of blocks is a key.
-Lines under one key are compared as a sorted stream: each is tied to the first and to the nearest of those before it
-within the distance, so a key that a group of any size shares gives a number of ties in proportion. Ties are verified by the
-edit similarity of the whole normalised lines. Of each connected group the first occurrence stays, by document id and
-line number.
+anything is joined. Each distinct line gets `TABLES` keys, each from two minima over the hashed pairs of its neighbouring words,
+and a short line those of all ways to leave up to two words out. Lines under one key are first tied to the key's first
+line; ties are verified by the edit similarity of the whole normalised lines. Of each
+connected group the first occurrence stays, by document id and line number.
 """
 
 from __future__ import annotations
@@ -21,14 +19,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import U64, WordHashes, alike, connected_components, flags, materialize, mix, plain_word
 
-BLOCKS = 5
-DISTANCE = BLOCKS - 2
 SIMILARITY = 0.85
+#: Keys from minima of every line; words up to which a line gets keys with words left out besides.
+TABLES, SHORT = 20, 8
 #: Lines of fewer words or characters stay: that short ones repeat says nothing.
 WORDS, CHARS = 3, 12
-#: Lines under one key that are compared at once.
-AT_ONCE = 2048
-_EDGE = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
+_SEEDS = np.random.default_rng(17).integers(0, 1 << 63, 2 * TABLES).astype(U64)
+_FACTORS = np.random.default_rng(18).integers(0, 1 << 62, 2 * TABLES).astype(U64) * U64(2) + U64(1)
 #: Byte -> eight counters of 8 bits, one for each bit.
 _SPREAD = np.array([sum(((n >> b) & 1) << (8 * b) for b in range(8)) for n in range(256)], np.uint64)
 _POWERS = np.cumprod(np.concatenate([[U64(1)], np.full(1 << 12, U64(0x9E3779B97F4A7C15), U64)]), dtype=np.uint64)
@@ -100,6 +97,35 @@ def simhash(w: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def line_keys(w: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The keys of each run of n hashed words, 4 bytes each: TABLES of them from pairs of minima over neighbouring words, and
+    for a run of up to SHORT words those of every way to leave up to two words out, so that two words at least are left."""
+    if not len(n):
+        return []
+    starts, pos = _at(n)
+    with np.errstate(over="ignore"):
+        pairs = mix(w * U64(0x9E3779B97F4A7C15) + np.roll(w, -1))  # the last word of a run pairs with its first, so all words count alike
+        ends = starts + n - 1
+        pairs[ends] = mix(w[ends] * U64(0x9E3779B97F4A7C15) + w[starts])
+        keys = np.empty((len(n), TABLES), np.uint32)
+        for t in range(TABLES):
+            one, two = (np.minimum.reduceat((pairs ^ _SEEDS[2 * t + i]) * _FACTORS[2 * t + i], starts) for i in (0, 1))
+            keys[:, t] = mix(one * U64(31) + two).astype(np.uint32)
+        out = [k.tobytes() for k in keys]
+        for size in range(3, SHORT + 1):
+            rows = np.flatnonzero(n == size)
+            if len(rows):
+                own = w[starts[rows][:, None] + np.arange(size)]
+                left = []
+                for gone in range(min(2, size - 2) + 1):
+                    for drop in combinations(range(size), gone):
+                        rest = np.delete(own, drop, axis=1)
+                        left.append(fold(rest.ravel(), np.full(len(rows), size - gone)).astype(np.uint32))
+                for r, x in zip(rows.tolist(), np.stack(left, 1)):
+                    out[r] += np.unique(x).tobytes()
+    return out
+
+
 def _portions(column, most: int = 2_000_000):
     """Runs of texts of a column that are worked on at once, as (first, texts); a longer text is worked on alone."""
     first, held, size = 0, [], 0
@@ -115,7 +141,7 @@ def _portions(column, most: int = 2_000_000):
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, h, raw, sim) of every line that counts; docs: (_id, _t). raw is the hash of the line as it stands."""
+    """(doc, line, h, raw, keys) of every line that counts; docs: (_id, _t). raw is the hash of the line as it stands."""
 
     def run(batches):
         for b in batches:
@@ -124,74 +150,57 @@ def _lines(docs: DataFrame) -> DataFrame:
                 at, no, w, n = line_hashes(texts)
                 split = {k: texts[k].split(b"\n") for k in np.unique(at).tolist()}
                 raw = [xxhash.xxh3_64_intdigest(split[k][i]) for k, i in zip(at.tolist(), no.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + at]), pa.array(no.astype(np.int32)), pa.array(fold(w, n).view(np.int64)), pa.array(np.array(raw, U64).view(np.int64)), pa.array(simhash(w, n).view(np.int64))], ["doc", "line", "h", "raw", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + at]), pa.array(no.astype(np.int32)), pa.array(fold(w, n).view(np.int64)), pa.array(np.array(raw, U64).view(np.int64)), pa.array(line_keys(w, n), pa.binary())], ["doc", "line", "h", "raw", "keys"])
 
-    return docs.mapInArrow(run, "doc long, line int, h long, raw long, sim long")
+    return docs.mapInArrow(run, "doc long, line int, h long, raw long, keys binary")
 
 
 def _keys(distinct: DataFrame) -> DataFrame:
-    """(key, h, sim): a row for each pair of blocks."""
-
-    def block(i: int):
-        width = _EDGE[i + 1] - _EDGE[i]
-        return F.shiftrightunsigned("sim", _EDGE[i]).bitwiseAND(F.lit((1 << width) - 1))
+    """(key, h): a row for each key of each line."""
 
-    keys = [F.lit(k << 58) + F.shiftleft(block(i), 20) + block(j) for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
-    return distinct.select(F.explode(F.array(*keys)).alias("key"), "h", "sim")
+    def run(batches):
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            n = np.array([len(x) // 4 for x in raw], np.int64)
+            _, pos = _at(n)
+            key = np.frombuffer(b"".join(raw), np.uint32).astype(np.int64) | np.minimum(pos, TABLES) << 32
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(b.column(0).to_numpy(), n))], ["key", "h"])
+
+    return distinct.select("h", "keys").mapInArrow(run, "key long, h long")
+
+
+def _runs(batches, columns: int):
+    """Whole keys of a stream sorted by its first column, as arrays of columns; later ones than integers as objects."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        x = [np.concatenate(y) for y in zip(held, new)] if held else new
+        cut = int(np.searchsorted(x[0], x[0][-1]))
+        if cut:
+            yield [y[:cut] for y in x]
+        held = [y[cut:] for y in x]
+    if held:
+        yield held
 
 
 def _ties(keys: DataFrame) -> DataFrame:
-    """(a, b): line hashes under one key whose SimHashes differ in DISTANCE bits at most."""
+    """(a, b): each line hash under a key with the key's first."""
 
     def run(batches):
-        held = None
-
-        def ties(x):
-            key, h, sim = x
-            single = np.concatenate([[True], key[1:] != key[:-1]])
-            starts = np.flatnonzero(single)
-            size = np.diff([*starts, len(key)])
-            two = starts[size == 2]
-            two = two[np.bitwise_count(sim[two].view(U64) ^ sim[two + 1].view(U64)) <= DISTANCE]
-            a, b = h[two + 1].tolist(), h[two].tolist()
-            for lo, n in zip(starts[size > 2].tolist(), size[size > 2].tolist()):
-                s, g = sim[lo : lo + n].view(U64), h[lo : lo + n]
-                for i in range(1, n):
-                    first = near = -1
-                    least = DISTANCE + 1
-                    for at in range(0, i, AT_ONCE):
-                        d = np.bitwise_count(s[at : min(i, at + AT_ONCE)] ^ s[i])
-                        j = int(np.argmin(d))
-                        if d[j] < least:
-                            least, near = int(d[j]), at + j
-                        if first < 0 and d[j] <= DISTANCE:
-                            first = at + int(np.argmax(d <= DISTANCE))
-                        if first >= 0 and (least == 0 or at > 64 * AT_ONCE):
-                            break
-                    for j in {first, near} - {-1}:
-                        a.append(g[i])
-                        b.append(g[j])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            new = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            if not new.shape[1]:
-                continue
-            x = np.concatenate([held, new], 1) if held is not None else new
-            cut = int(np.searchsorted(x[0], x[0, -1]))
-            if cut:
-                yield ties(x[:, :cut])
-            held = x[:, cut:]
-        if held is not None:
-            yield ties(held)
+        for key, h in _runs(batches, 2):
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            lead = np.repeat(starts, np.diff([*starts, len(key)]))
+            at = np.flatnonzero(h != h[lead])
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(h[lead[at]])], ["a", "b"])
 
     return keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(ties: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """The ties whose normalised lines are alike enough, over their whole length. A line's text is that of its first occurrence."""
-    ends = ties.select(F.col("a").alias("h")).union(ties.select("b")).distinct()
-    ends = materialize(ends.join(distinct.select("h", "raw"), "h"), "ends")
+def _texts(ids: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(h, s): the normalised line of each hash in ids (h). A line's text is that of its first occurrence."""
+    ends = materialize(ids.distinct().join(distinct.select("h", "raw"), "h"), "ends")
     wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(flags(ends, "raw")))
 
     def texts(batches):
@@ -208,7 +217,12 @@ def _verified(ties: DataFrame, docs: DataFrame, distinct: DataFrame, similarity:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), U64).view(np.int64)), pa.array([plain_line(x.decode("utf-8", "replace")) for x in found.values()], pa.string())], ["r", "s"])
 
     s = docs.mapInArrow(texts, "r long, s string").join(ends, F.col("r") == F.col("raw")).groupBy("h").agg(F.min("s").alias("s"))
-    s = materialize(s, "lines")
+    return materialize(s, "lines")
+
+
+def _verified(ties: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The ties whose normalised lines are alike enough, over their whole length."""
+    s = _texts(ties.select(F.col("a").alias("h")).union(ties.select("b")), docs, distinct)
     both = ties.join(s.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches):
@@ -226,8 +240,9 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc, line, keep_doc, keep_line) of every line that goes, and the occurrence that stays for it; lines count from 0."""
     d = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").cast("binary").alias("_t")).where("_id is not null and _t is not null")
     lines = materialize(_lines(d), "line-hashes")
-    distinct = materialize(lines.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), F.max(F.struct("doc", "line")).alias("last"), F.min_by(F.struct("raw", "sim"), F.struct("doc", "line")).alias("x")).select("h", "first", "last", "x.raw", "x.sim"), "distinct-lines")
-    ties = materialize(_ties(_keys(distinct)), "ties")
+    distinct = materialize(lines.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), F.max(F.struct("doc", "line")).alias("last"), F.min_by(F.struct("raw", "keys"), F.struct("doc", "line")).alias("x")).select("h", "first", "last", "x.raw", "x.keys"), "distinct-lines")
+    keys = _keys(distinct)
+    ties = materialize(_ties(keys), "ties")
     links = materialize(_verified(ties, d, distinct, similarity), "links")
     parts = materialize(connected_components(links, "a", "b"), "parts")
     named = distinct.join(parts, F.col("h") == F.col("node"), "left").select("h", F.coalesce("component", "h").alias("c"), "first", "last", F.col("node").isNotNull().alias("tied")).where("tied or first <> last")

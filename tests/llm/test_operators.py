@@ -198,6 +198,24 @@ def test_exact_lines_against_brute_force(spark):
     assert got == want
 
 
+def test_near_lines_of_8_to_60_words(spark):
+    rng = random.Random(21)
+    rows, pairs = [], 0
+    for n in (8, 9, 12, 20, 27, 40, 60):
+        for _ in range(12):
+            line = " ".join(words(rng, n, 5000))
+            near = line.split()
+            for i in rng.sample(range(n), n // 8):
+                near[i] = "other"
+            near = " ".join(near)
+            assert 1 - edit_distance(line, near) / max(len(line), len(near)) >= 0.85
+            pairs += 1
+            rows += [(2 * pairs, line), (2 * pairs + 1, near)]
+    left = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert {i for i, _ in rows if i % 2 == 0} <= left
+    assert len(left) <= 1.02 * pairs  # brute force leaves one of each pair
+
+
 def test_simhash_counts_beyond_its_lanes():
     w = np.arange(1, 70_001, dtype=np.uint64)
     whole = line_dedup.simhash(w, np.array([70_000]))[0]
