@@ -3,8 +3,9 @@
 Lines are normalised (lower case, letters and digits only, single spaces). Equal lines fold into one before
 anything is joined. Each distinct line gets `TABLES` keys, each from two minima over the hashed pairs of its neighbouring words,
 and a short line those of all ways to leave up to two words out. Lines under one key are first tied to the key's first
-line; ties are verified by the edit similarity of the whole normalised lines. Of each
-connected group the first occurrence stays, by document id and line number.
+line; ties are verified by the edit similarity of the whole normalised lines. A key that still holds several connected
+groups is then compared in full: every two of its lines whose groups nothing joins yet. Of each connected group the first
+occurrence stays, by document id and line number.
 """
 
 from __future__ import annotations
@@ -185,17 +186,23 @@ def _runs(batches, columns: int):
         yield held
 
 
-def _ties(keys: DataFrame) -> DataFrame:
-    """(a, b): each line hash under a key with the key's first."""
+def _shared(keys: DataFrame) -> DataFrame:
+    """(group, a, b): with a null group, the line hash a under a key and the key's first, b; else a is a line of a group, the
+    lines of a key of more than two. Keys that hold the same lines give one group."""
 
     def run(batches):
         for key, h in _runs(batches, 2):
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            lead = np.repeat(starts, np.diff([*starts, len(key)]))
-            at = np.flatnonzero(h != h[lead])
-            yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(h[lead[at]])], ["a", "b"])
+            size = np.diff([*starts, len(key)])
+            lead = np.repeat(starts, size)
+            at = np.flatnonzero(lead != np.arange(len(key)))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(h[at]), pa.array(h[lead[at]])], ["group", "a", "b"])
+            many = size > 2
+            names = [xxhash.xxh3_64_intdigest(h[lo : lo + n].tobytes()) >> 1 for lo, n in zip(starts[many].tolist(), size[many].tolist())]
+            own = h[np.repeat(many, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), size[many])), pa.array(own), pa.nulls(len(own), pa.int64())], ["group", "a", "b"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "a long, b long").distinct()
+    return keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "group long, a long, b long")
 
 
 def _texts(ids: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -236,15 +243,67 @@ def _verified(ties: DataFrame, docs: DataFrame, distinct: DataFrame, similarity:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _open_groups(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(group, h, c): the lines of the groups that hold several components."""
+    named = members.join(parts.select(F.col("node").alias("h"), "component"), "h", "left").select("group", "h", F.coalesce("component", "h").alias("c"))
+    mixed = named.groupBy("group").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("group")
+    return named.join(mixed, "group")
+
+
+def joining(lines: list[str], c: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of alike lines that join the components c: each two lines are compared unless something joins theirs already."""
+    own, size = c.copy(), np.array([len(x) for x in lines])
+    counts = np.zeros((len(lines), 32), np.int32)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    np.add.at(counts, (np.repeat(np.arange(len(lines)), size), codes % 32), 1)
+    names, many = np.unique(c, return_counts=True)
+    largest = names[np.argmax(many)]
+    order = np.concatenate([np.flatnonzero(c != largest), np.flatnonzero(c == largest)])
+    out = []
+    # two lines of the largest need no comparison, so only those of the others look at all after them
+    for place, i in enumerate(order[: int((c != largest).sum())].tolist()):
+        at = order[place + 1 :]
+        at = at[own[at] != own[i]]
+        most = ((1 - similarity) * np.maximum(size[at], size[i]) + 1e-9).astype(np.int64)
+        near = np.abs(size[at] - size[i]) <= most
+        at, most = at[near], most[near]
+        more = counts[at] - counts[i]  # an edit takes at most one character away and gives one
+        at = at[np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= most]
+        joined = set()
+        for j, d in zip(at.tolist(), own[at].tolist()):
+            if d not in joined and alike(lines[i], lines[j], similarity):
+                joined.add(d)
+                out.append((j, i))
+        if joined:
+            own[np.isin(own, list(joined))] = own[i]
+    return out
+
+
+def _group_links(groups: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of alike lines that join the components of each group. A group's lines meet in one task, as a stream of groups."""
+    rows = groups.join(_texts(groups.select("h"), docs, distinct), "h").select("group", "h", "c", "s")
+
+    def run(batches):
+        for group, h, c, s in _runs(batches, 4):
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist()
+            links = [(int(h[lo + i]), int(h[lo + j])) for lo, hi in zip(starts, [*starts[1:], len(group)]) for i, j in joining(s[lo:hi].tolist(), c[lo:hi], similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.repartition("group").sortWithinPartitions("group", "h").mapInArrow(run, "a long, b long").distinct()
+
+
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc, line, keep_doc, keep_line) of every line that goes, and the occurrence that stays for it; lines count from 0."""
     d = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").cast("binary").alias("_t")).where("_id is not null and _t is not null")
     lines = materialize(_lines(d), "line-hashes")
     distinct = materialize(lines.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), F.max(F.struct("doc", "line")).alias("last"), F.min_by(F.struct("raw", "keys"), F.struct("doc", "line")).alias("x")).select("h", "first", "last", "x.raw", "x.keys"), "distinct-lines")
-    keys = _keys(distinct)
-    ties = materialize(_ties(keys), "ties")
+    shared = materialize(_shared(_keys(distinct)), "shared")
+    ties = materialize(shared.where("group is null").select("a", "b").distinct(), "ties")
     links = materialize(_verified(ties, d, distinct, similarity), "links")
     parts = materialize(connected_components(links, "a", "b"), "parts")
+    groups = materialize(_open_groups(shared.where("group is not null").select("group", F.col("a").alias("h")).distinct(), parts), "groups")
+    links = links.unionByName(materialize(_group_links(groups, d, distinct, similarity), "links"))
+    parts = materialize(connected_components(links, "a", "b"), "parts")
     named = distinct.join(parts, F.col("h") == F.col("node"), "left").select("h", F.coalesce("component", "h").alias("c"), "first", "last", F.col("node").isNotNull().alias("tied")).where("tied or first <> last")
     keep = named.groupBy("c").agg(F.min("first").alias("keep"))
     named = named.join(keep, "c").select(F.col("h").alias("g"), "keep")

@@ -216,6 +216,31 @@ def test_near_lines_of_8_to_60_words(spark):
     assert len(left) <= 1.02 * pairs  # brute force leaves one of each pair
 
 
+def test_a_third_line_under_a_key_is_compared():
+    lines = ["one two three four five six seven eight nine ten", "ten nine eight seven six five four three two one", "six seven eight nine ten one two three four five", "ten nine eight seven six five four three two onn"]
+    assert [set(x) for x in line_dedup.joining(lines, np.array([1, 2, 3, 4]), 0.85)] == [{1, 3}]
+
+
+def test_lines_hidden_behind_permutations(spark):
+    """Lines alike but for order share keys; brute force says which are within the edit similarity."""
+    rng = random.Random(22)
+    halves = [" ".join(words(rng, 9, 5000)) for _ in range(2)]
+    rows = []
+    for k in range(40):  # blocks of the same words in any order, each with a near-copy
+        parts = " ".join(halves).split()
+        i = rng.randrange(len(parts))
+        line = " ".join(parts[i:] + parts[:i])
+        rows += [(2 * k, line), (2 * k + 1, line + " x")]
+    part = {i: i for i, _ in rows}
+    for i, x in rows:
+        for j, y in rows:
+            if i < j and 1 - edit_distance(x, y) / max(len(x), len(y)) >= 0.85:
+                a, b = part[i], part[j]
+                part = {k: min(a, b) if v in (a, b) else v for k, v in part.items()}
+    left = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert left == set(part.values())
+
+
 def test_simhash_counts_beyond_its_lanes():
     w = np.arange(1, 70_001, dtype=np.uint64)
     whole = line_dedup.simhash(w, np.array([70_000]))[0]
