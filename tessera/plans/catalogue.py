@@ -426,31 +426,36 @@ def _sample(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SAMPLE, "scan_id string, path string, content string")
 
 
-def _fixed(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: f(_sample(spark))
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of whole tables, and the sample."""
+    return A.make(spark, sf_dir, A.FILES).unionByName(_sample(spark))
 
 
-def _register_fixed() -> None:
+def _over_files(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: f(_files(spark, sf_dir))
+
+
+def _register_over_files() -> None:
     from tessera.operators.fingerprints import fingerprints
 
     py = lambda s: ast_rules.facts(files.files_for(s, "python"))
-    _fixed("py_calls", lambda s: ast_rules.call_findings(py(s)))
-    _fixed("py_imports", lambda s: ast_rules.import_findings(py(s)))
-    _fixed("py_taint", lambda s: ast_rules.flow_findings(py(s)))
-    _fixed("api_rules", lambda s: ast_rules.platform_findings(py(s)))
-    _fixed("js_rules", lambda s: ast_rules.script_findings(files.files_for(s, "js")))
-    _fixed("yaml_structural", lambda s: ast_rules.yaml_structure_findings(files.files_for(s, "yaml")))
-    _fixed("yaml_patterns", lambda s: line_rules.scan_yaml_patterns(files.files_for(s, "yaml")))
-    _fixed("yaml_includes", lambda s: line_rules.scan_includes(files.files_for(s, "yaml")))
-    _fixed("deps_discover", deps.discover)
-    _fixed("component_types", files.component_types)
-    _fixed("component_manifests", files.manifests)
-    _fixed("fp_extract", fingerprints)
-    _fixed("code_context", lambda s: files.code_context(files.files_for(s, "context")))
-    _fixed("full_scan", scan)
-
-
-_register_fixed()
+    _over_files("py_calls", lambda s: ast_rules.call_findings(py(s)))
+    _over_files("py_imports", lambda s: ast_rules.import_findings(py(s)))
+    _over_files("py_taint", lambda s: ast_rules.flow_findings(py(s)))
+    _over_files("api_rules", lambda s: ast_rules.platform_findings(py(s)))
+    _over_files("js_rules", lambda s: ast_rules.script_findings(files.files_for(s, "js")))
+    _over_files("yaml_structural", lambda s: ast_rules.yaml_structure_findings(files.files_for(s, "yaml")))
+    _over_files("yaml_patterns", lambda s: line_rules.scan_yaml_patterns(files.files_for(s, "yaml")))
+    _over_files("yaml_includes", lambda s: line_rules.scan_includes(files.files_for(s, "yaml")))
+    _over_files("deps_discover", deps.discover)
+    _over_files("component_types", files.component_types)
+    _over_files("component_manifests", files.manifests)
+    _over_files("fp_extract", fingerprints)
+    _over_files("code_context", lambda s: files.code_context(files.files_for(s, "context")))
+    _over_files("full_scan", scan)
+
+
+_register_over_files()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
