@@ -71,7 +71,9 @@ def without_whitelisted(findings: DataFrame, whitelist: DataFrame) -> DataFrame:
     h = finding_hash(F.col("category"), F.col("file"), F.col("description"))
     left = findings.withColumn("__h", h).join(whitelist.select(F.col("pattern_hash").alias("__h")).where("__h is not null").distinct(), "__h", "left_anti").drop("__h")
     w = whitelist.where("file_pattern <> ''").select(F.col("category").alias("__c"), F.col("file_pattern").alias("__p")).distinct()
-    return left.join(w, (F.col("category") == F.col("__c")) & F.contains(F.col("file"), F.col("__p")), "left_anti")
+    # each file is held against the patterns once, however many findings it has
+    named = left.select("category", "file").distinct().join(w, (F.col("category") == F.col("__c")) & F.contains(F.col("file"), F.col("__p")), "left_semi")
+    return left.join(named, ["category", "file"], "left_anti").select(*findings.columns)
 
 
 def relativised(findings: DataFrame, root: Column | str) -> DataFrame:

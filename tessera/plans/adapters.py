@@ -31,7 +31,7 @@ WHITELIST = """
 SELECT CASE WHEN p_partkey % 2 = 0 THEN substr(sha2(CAST(concat_ws('|', 'xss', concat('src/p', CAST(p_partkey AS STRING), '.py'), 'Text of 3') AS BINARY), 256), 1, 16) ELSE concat('none', CAST(p_partkey AS STRING)) END AS pattern_hash,
        CASE WHEN p_partkey % 4 = 1 THEN 'network' ELSE 'telemetry' END AS category,
        CASE WHEN p_partkey % 4 = 1 THEN concat('p', CAST(p_partkey AS STRING), '.py') WHEN p_partkey % 4 = 3 THEN concat('p1', CAST(p_partkey AS STRING)) ELSE '' END AS file_pattern
-FROM {part} WHERE p_partkey BETWEEN 0 AND 39
+FROM {part}
 """
 HISTORY = """
 SELECT event_id AS id, concat('d', CAST(user_id AS STRING)) AS domain, concat('https://example.org/', CAST(user_id % 9 AS STRING)) AS repo_url, ts AS scanned_at,
@@ -73,7 +73,7 @@ FROM (SELECT p.*, CASE p_partkey % 50 WHEN 0 THEN 'Colourama' WHEN 1 THEN 'ctx'
 FEED = """
 SELECT DISTINCT 'PyPI' AS ecosystem, upper(replace(p_name, ' ', '-')) AS package, concat(CAST(p_size AS STRING), '.', CAST(p_partkey % 3 AS STRING)) AS version, concat('V-', CAST(p_partkey % 6 AS STRING)) AS vuln_id,
        CASE p_partkey % 6 WHEN 0 THEN 'CVSS:3.1/9.8' WHEN 1 THEN 'CVSS:3.1/AV:N/7.0' WHEN 2 THEN 'CVSS/4.5/9.9' WHEN 3 THEN 'CVSS:3.1/AV:N/AC:L' WHEN 4 THEN '9.9' ELSE 'CVSS/1' END AS score
-FROM {part} WHERE p_partkey < 400
+FROM {part}
 """
 JOBS = """
 SELECT o_orderkey AS id, concat('b', CAST(o_custkey % 100 AS STRING)) AS batch_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_orderdate AS created_at FROM {orders}

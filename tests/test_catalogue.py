@@ -51,3 +51,25 @@ def test_file_queries_read_whole_tables(spark, db):
     assert all({r["scan_id"] for r in got[k]} == scans for k in ("fp_extract", "code_context"))
     assert all(sum(r[k] for r in got["fp_extract"]) > n_docs for k in ("py_files", "js_files"))
     assert got["full_scan"] and all(got.values())
+
+
+def test_feed_and_whitelist_grow_with_part(spark):
+    from tessera.plans import adapters as A
+
+    large = SF.replace("0.001", "0.01")
+    part = spark.read.parquet(f"{large}/part.parquet")
+    assert A.make(spark, large, A.WHITELIST).count() == part.count()
+    assert A.make(spark, large, A.FEED).select("package").distinct().count() == part.select("p_name").distinct().count()
+
+
+def test_all_findings_are_reviews(spark):
+    from tessera.plans import adapters as A
+
+    blank = A.make(spark, SF, A.FINDINGS).where("seq % 11 = 0").count()
+    got = entry.queries()["findings_llm_novel"](spark, SF)
+    assert got.count() == blank and got.where("file <> ''").count() == 0  # all others have a static finding of the same file
+
+
+@pytest.mark.parametrize("name", ("findings_llm_novel", "findings_whitelist_filter", "vuln_severity"))
+def test_whole_shapes_equal_sql(spark, db, name):
+    test_query_equals_sql(spark, db, name)
