@@ -28,34 +28,41 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 ENDS_P = BLOCK - {"br", "button", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
 #: Words of class, id or role that name furniture.
 FURNITURE = frozenset(_words("ad ads advert adverts advertisement adverts banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside rail widget footer foot masthead topbar cookie cookies consent notice notices gdpr popup modal overlay alert newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond replies reply discussion pagination pager toolbar skip complementary contentinfo search"))
+#: A node whose name holds such a word goes only with less than one part in so many of the page's text, or if it is mostly links.
+PART = 5
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "linked", "links", "density", "total")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "linked", "links", "density", "total", "named")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []  # children: Node or str
         self.chars = self.tags = self.linked = self.links = 0
         self.density = self.total = 0.0
+        self.named = 0  # by a word of furniture: 1 as a part of a name, 2 as a whole name
 
 
-def _furniture(tag: str, attrs: str, inside: frozenset | set) -> bool:
+def _furniture(tag: str, attrs: str, inside: frozenset | set) -> int:
+    """3: goes whatever it holds; 2: a whole name is a word of furniture; 1: a part of a name is; 0: none."""
     if tag in DROP or tag == "header" and not inside & {"article", "main"}:
-        return True
+        return 3
     if tag in ("html", "body", "article", "main") or not attrs:
-        return False
+        return 0
+    named = 0
+    words_of = FURNITURE if inside & {"article", "main"} else FURNITURE | {"header"}
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
+            return 3
         if key in ("class", "id", "role"):
-            words = {w.lower() for w in NAME.findall(value)}
-            if words & FURNITURE or words & {"header", "banner"} and not inside & {"article", "main"}:
-                return True
-    return False
+            if any(w.lower() in words_of for w in value.split()):
+                named = 2
+            elif not named and any(w.lower() in words_of for w in NAME.findall(value)):
+                named = 1
+    return named
 
 
 def parse(page: str) -> Node:
@@ -123,12 +130,14 @@ def parse(page: str) -> Node:
         if tag in VOID:
             stack[-1].children.append(Node(tag, stack[-1]))
             continue
-        if _furniture(tag, attrs, {x.tag for x in stack}):
+        named = _furniture(tag, attrs, {x.tag for x in stack})
+        if named == 3:
             stack[-1].children.append(Node("br", stack[-1]) if tag in BLOCK else " ")
             if not attrs.endswith("/"):
                 lost = [tag, 1]
             continue
         node = Node(tag, stack[-1])
+        node.named = named
         stack[-1].children.append(node)
         if not attrs.endswith("/"):
             stack.append(node)
@@ -143,10 +152,10 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
-def measure(root: Node) -> list[Node]:
-    """Sets the densities and their sums of all nodes; returns the nodes, parents first."""
-    nodes = _nodes(root)
+def _count(nodes: list[Node]) -> None:
+    """Sets characters, tags and links of nodes, which come parents first."""
     for x in reversed(nodes):
+        x.chars = x.tags = x.linked = x.links = 0
         for c in x.children:
             if isinstance(c, str):
                 x.chars += len(" ".join(c.split()))
@@ -155,18 +164,70 @@ def measure(root: Node) -> list[Node]:
                 x.linked += c.chars if c.tag == "a" else c.linked
                 x.tags += c.tags + 1
                 x.links += c.links + (c.tag == "a")
+
+
+def cut_furniture(root: Node) -> None:
+    """Takes out the nodes that are named as furniture: by a whole name, unless they hold most of the page's text without links;
+    by a part of one, if they hold little of it or are mostly links."""
+    nodes = _nodes(root)
+    _count(nodes)
+    whole = root.chars - root.linked
+
+    def goes(x: Node | str) -> bool:
+        if isinstance(x, str) or not x.named:
+            return False
+        own = x.chars - x.linked
+        return own * 2 <= whole and (x.named == 2 or own * PART <= whole or x.linked > own)
+
+    for x in nodes:
+        x.children = [(Node("br", x) if c.tag in BLOCK else " ") if goes(c) else c for c in x.children]
+
+
+def _density(x: Node, whole: float) -> float:
+    c, t, lc, lt = x.chars, max(1, x.tags), max(1, x.linked), max(1, x.links)
+    if not c:
+        return 0.0
+    # the base of the logarithm grows with the share of links; text without links is damped alike everywhere
+    base = math.log(c / max(1, c - x.linked) * lc + whole * c + math.e)
+    return c / t * max(0.0, math.log(max(1e-9, c / lc * t / lt))) / max(0.5, math.log(max(base, 1.001)))
+
+
+def measure(root: Node) -> list[Node]:
+    """Sets the densities and their sums of all nodes; returns the nodes, parents first."""
+    nodes = _nodes(root)
+    _count(nodes)
     whole = root.linked / max(1, root.chars)
     for x in nodes:
-        c, t, lc, lt = x.chars, max(1, x.tags), max(1, x.linked), max(1, x.links)
-        if c:
-            # the base of the logarithm grows with the share of links; text without links is damped alike everywhere
-            base = math.log(c / max(1, c - x.linked) * lc + whole * c + math.e)
-            x.density = c / t * max(0.0, math.log(max(1e-9, c / lc * t / lt))) / max(0.5, math.log(max(base, 1.001)))
+        x.density = _density(x, whole)
     for x in nodes:
         x.total = sum(c.density for c in x.children if isinstance(c, Node))
     return nodes
 
 
+def _bare_runs(x: Node, path: Node, whole: float) -> None:
+    """Makes a node of each run of bare text directly in x, with the inline elements in it, beside the child `path`."""
+    out: list = []
+    run: list = []
+    for c in [*x.children, None]:
+        if c is not None and c is not path and (isinstance(c, str) or c.tag not in BLOCK):
+            run.append(c)
+            continue
+        if any(isinstance(y, str) and y.strip() for y in run):
+            piece = Node("span", x)
+            piece.children = run
+            for y in run:
+                if isinstance(y, Node):
+                    y.parent = piece
+            _count([piece, *(z for y in run if isinstance(y, Node) for z in _nodes(y))])
+            piece.density = _density(piece, whole)
+            run = [piece]
+        out += run
+        run = []
+        if c is not None:
+            out.append(c)
+    x.children = out
+
+
 def _text(nodes: list[Node]) -> str:
     blocks: list[str] = [""]
     for top in nodes:
@@ -191,7 +252,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    cut_furniture(root)
     nodes = measure(root)
+    whole = root.linked / max(1, root.chars)
     best = max(nodes, key=lambda x: x.total)
     if best.total <= 0:  # no element with text of its own: what is left of the body
         return _text([root])
@@ -215,6 +278,7 @@ def main_text(page: str | None) -> str:
         if top is not x:  # what lies beside the path to the node is judged by itself
             y = top
             while y is not x:
+                _bare_runs(y.parent, y, whole)
                 todo += [c for c in y.parent.children if isinstance(c, Node) and c is not y]
                 y = y.parent
     chosen = {id(x) for x in marked}

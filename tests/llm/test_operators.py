@@ -367,6 +367,19 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("name", ["class='content with-sidebar'", "class='no-sidebar'", "class='post-with-comments'", "id='article-share'"])
+def test_a_word_in_a_wrapper_s_name_takes_no_article_away(name):
+    p = "A sentence of the article that is long enough to count as its text, with no link in it. "
+    page = f"<body><div {name}><p>{p * 3}</p><p>{p * 4}</p><div class='share-links'><a href=x>Share this</a></div></div><div class='sidebar'><a href=x>Other page</a></div></body>"
+    assert html_extract.main_text(page) == f"{(p * 3).strip()}\n{(p * 4).strip()}"
+
+
+def test_bare_text_beside_the_chosen_node_is_judged():
+    p = "A sentence of the article that is long enough to count as its text, with no link in it. "
+    page = f"<body><div>{p * 5}<section><p>{p * 3}</p><p>{p * 4}</p><p>{p * 3}</p></section></div></body>"
+    assert (p * 5).strip() in html_extract.main_text(page)
+
+
 def test_extract_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(5))
     out = html_extract.extract(df)
