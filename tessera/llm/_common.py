@@ -5,27 +5,53 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Where tables between jobs go if the session names no shared folder (local runs and tests only).
+#: Where tables between jobs go if a local session (tests, a single machine) names no shared folder.
 LOCAL_SHARED = "file:///tmp/tessera-shared"
-#: Words that a worker remembers the hash of; it starts anew once it has met as many again that it had no room for.
-WORD_CACHE = 400_000
+#: Bytes of text that are worked on at once; a longer text is worked on alone.
+PORTION = 1_000_000
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder that driver and executors share, as the session names it; on a cluster it must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or LOCAL_SHARED
+
+
+def fresh(names, *wanted: str) -> list[str]:
+    """Names for helper columns, like those wanted, that none of `names` equals in any case."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, and survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Removes the tables that this application wrote to the shared folder; for when its results are written. Returns how many."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,27 +64,79 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U64(32))
 
 
-class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash, remembered. norm changes a word before hashing; words it makes empty hash to 0."""
-
-    def __init__(self, norm=None):
-        super().__init__()
-        self.norm, self.left_out = norm, 0
-
-    def __missing__(self, word: bytes) -> int:
-        w = self.norm(word) if self.norm else word
-        h = (xxhash.xxh3_64_intdigest(w) or 1) if w else 0
-        if len(self) < WORD_CACHE:
-            self[word] = h
-        else:
-            self.left_out += 1
-            if self.left_out > WORD_CACHE:
-                self.clear()
-                self.left_out = 0
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
+# Words are hashed without taking them apart: the hash of a run of characters is the difference of two prefix sums of
+# value(character) * B**position, times B**-start, modulo 2**64 (B is odd, so it has an inverse).
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, U64), np.ones(1, U64)]
+_SPACES = (9, 10, 11, 12, 13, 32)
+_SPACE = np.isin(np.arange(256), _SPACES)
+_BYTE = mix(np.arange(256, dtype=U64) + U64(0x51ED270B))
+_BYTE[65:91] = _BYTE[97:123]
+_chars: list[np.ndarray] = []
+
+
+def _run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each run values[start:end]; 0 for empty runs and for no other."""
+    n = len(values) + 1
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            step = np.full(max(n, 2 * PORTION), U64(base))
+            step[0] = 1
+            _powers[k] = np.cumprod(step, dtype=U64)
+    sums = np.zeros(n, U64)
+    np.cumsum(values * _powers[0][: n - 1], out=sums[1:])
+    h = mix((sums[ends] - sums[starts]) * _powers[1][starts])
+    h[h == 0] = 1
+    h[starts == ends] = 0
+    return h
+
+
+def byte_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, number of words of each text): runs without ASCII white space, A-Z as a-z."""
+    data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    space = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return _run_hashes(_BYTE[data], starts, ends), np.diff(np.searchsorted(starts, bounds))
+
+
+def plain_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, line) of all words that have a letter or digit; lines count over all texts, and every text starts one.
+
+    Words are runs without ASCII white space, in lower case, letters and digits only (as plain_word has them).
+    """
+    if not _chars:
+        kind = np.fromiter(map(str.isalnum, map(chr, range(0x110000))), bool, 0x110000).astype(np.uint8) * 2
+        kind[list(_SPACES)] = 1
+        _chars.extend((kind, mix(np.arange(0x110000, dtype=U64) + U64(0x2545F491))))
+    text = (b"\n" + b"\n".join(texts) + b"\n").decode("utf-8", "replace").lower()
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kind = _chars[0][codes]
+    space = kind == 1
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts = edges[::2]
+    keep = kind == 2
+    upto = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(keep, out=upto[1:])
+    h = _run_hashes(_chars[1][codes[keep]], upto[starts], upto[edges[1::2]])
+    line = np.cumsum(codes == 10)[starts] - 1
+    live = h != 0
+    return h[live], line[live]
+
+
+def portions(column, most: int = PORTION):
+    """Runs of texts (bytes, null as empty) of an Arrow column that are worked on at once, as (first, texts)."""
+    first, held, size = 0, [], 0
+    for i, t in enumerate(column):
+        x = t.as_py() or b""
+        if held and size + len(x) > most:
+            yield first, held
+            first, held, size = i, [], 0
+        held.append(x)
+        size += len(x)
+    if held:
+        yield first, held
 
 
 def plain_word(word: bytes) -> bytes:

@@ -13,22 +13,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import U64, WordHashes, mix, plain_word
+from tessera.llm._common import U64, fresh, mix, plain_words, portions
 
 #: Four masks of weight 5: a run, and three that leave out one to four words.
 MASKS = ("11111", "1110101", "11010011", "101100101")
 SHARE, LEAST = 0.75, 12
 #: Words of benchmark text up to which seeds and items go to every executor (about 60 bytes a word).
-BROADCAST_WORDS = 2_000_000
+BROADCAST_WORDS = 500_000
 BITS = 22
+#: Sides on which a frequent seed of a joined benchmark is met.
+SALTS = 8
 ODD = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
-_words = WordHashes(plain_word)
+
+
+def each_words(texts: list[bytes]) -> list[np.ndarray]:
+    """The words of each whole text without case and punctuation, hashed; what has neither letter nor digit is no word."""
+    h, line = plain_words(texts)
+    first = np.cumsum([0, *(t.count(b"\n") + 1 for t in texts)])
+    return np.split(h, np.searchsorted(line, first[1:-1]))
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
-    """The words of a whole text without case and punctuation, hashed; what has neither letter nor digit is no word."""
-    h = _words.of(text.split()) if text else np.empty(0, U64)
-    return h[h != 0]
+    return each_words([text or b""])[0]
 
 
 def seeds(w: np.ndarray, mask: int) -> np.ndarray:
@@ -131,8 +137,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
             idx, names = index.value
             for b in batches:
                 out = []
-                for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                    w = word_hashes(t.as_py())
+                ids = b.column(0).to_pylist()
+                for i, w in ((ids[first + k], w) for first, texts in portions(b.column(1)) for k, w in enumerate(each_words(texts))):
                     found: dict[int, tuple[int, int, int]] = {}
                     for (k, shift), hits in idx.hits(w).items():
                         for got in along(w, idx.items[k], shift, hits, share, least):
@@ -148,33 +154,38 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 
 
 def _seed_rows(rows: DataFrame) -> DataFrame:
-    """(id, h, pos) of every seed of (id, text) rows."""
+    """(id, own, h, pos) of every seed of (id, own, text) rows; own names the text."""
 
     def run(batches):
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                w = word_hashes(t.as_py())
-                for m in range(len(MASKS)):
-                    h = seeds(w, m)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h.view(np.int64)), pa.array(np.arange(len(h)))], ["id", "h", "pos"])
+            ids, own = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for first, texts in portions(b.column(2)):
+                for k, w in enumerate(each_words(texts)):
+                    for m in range(len(MASKS)):
+                        h = seeds(w, m)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), ids[first + k])), pa.array(np.full(len(h), own[first + k])), pa.array(h.view(np.int64)), pa.array(np.arange(len(h)))], ["id", "own", "h", "pos"])
 
-    return rows.mapInArrow(run, "id long, h long, pos long")
+    return rows.mapInArrow(run, "id long, own long, h long, pos long")
 
 
 def _joined(d: DataFrame, items: DataFrame, share: float, least: int) -> DataFrame:
-    """All overlaps, for a benchmark of any size."""
-    s = items.select(F.col("_s").cast("binary").alias("_b"), "_item")
-    hits = _seed_rows(d).join(_seed_rows(s.select("_item", "_b")).select(F.col("id").alias("item"), "h", F.col("pos").alias("at")), "h")
-    lines = hits.groupBy("id", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("pos").alias("pos"))
-    both = lines.join(d, F.col("id") == F.col("_id")).join(s, F.col("item") == F.col("_item")).select("id", "item", "shift", "pos", "_t", "_b")
+    """All overlaps, for a benchmark of any size. Texts that share an id are told apart by a hash of the text."""
+    d = d.select("_id", F.xxhash64("_t").alias("_d"), "_t").distinct()
+    s = items.select("_item", F.col("_s").cast("binary").alias("_b")).select("_item", F.xxhash64("_b").alias("_k"), "_b").distinct()
+    # a seed that many documents hold is met on SALTS sides
+    one = _seed_rows(d).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    two = _seed_rows(s).select(F.col("id").alias("item"), F.col("own").alias("its"), "h", F.col("pos").alias("at"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))).alias("salt"))
+    hits = one.join(two, ["h", "salt"])
+    # of an alignment, no more positions than the item has words
+    lines = hits.groupBy("id", "own", "item", "its", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("pos").alias("pos"))
+    both = lines.join(d, (F.col("id") == F.col("_id")) & (F.col("own") == F.col("_d"))).join(s, (F.col("item") == F.col("_item")) & (F.col("its") == F.col("_k"))).select("id", "item", "shift", "pos", "_t", "_b")
 
     def run(batches):
         for b in batches:
             out = []
             for i, k, shift, p, t, s in zip(*(b.column(c).to_pylist() for c in range(6))):
                 doc, item = word_hashes(t), word_hashes(s)
-                hits = [x for x in p if max(0, shift) <= x < min(len(doc), shift + len(item))]
-                out += [(i, k, *got) for got in along(doc, item, shift, hits, share, least)]
+                out += [(i, k, *got) for got in along(doc, item, shift, p, share, least)]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], ["doc_id", "item_id", "start", "words", "matched"])
 
     return both.mapInArrow(run, SCHEMA)
@@ -182,5 +193,6 @@ def _joined(d: DataFrame, items: DataFrame, share: float, least: int) -> DataFra
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """The documents that overlap with no benchmark item, with their columns as they were."""
-    found = overlaps(docs, benchmark, doc_id, text, **parameters).select(F.col(doc_id).alias("__leak")).distinct()
-    return docs.join(found, F.col(f"`{doc_id}`").cast("long") == F.col("__leak"), "left_anti")
+    (leak,) = fresh(docs.columns, "leak")
+    found = overlaps(docs.select(doc_id, text), benchmark, doc_id, text, **parameters).select(F.col(doc_id).alias(leak)).distinct()
+    return docs.join(found, F.col(f"`{doc_id}`").cast("long") == F.col(leak), "left_anti")

@@ -1,61 +1,56 @@
 """Fuzzy line dedup: keys from minima over neighbouring words, edit similarity, one occurrence kept for each connected group.
 
 Lines are normalised (lower case, letters and digits only, single spaces). Equal lines fold into one before
-anything is joined. Each distinct line gets `TABLES` keys, each from two minima over the hashed pairs of its neighbouring words,
-and a short line those of all ways to leave up to two words out. Lines under one key are first tied to the key's first
-line; ties are verified by the edit similarity of the whole normalised lines. A key that still holds several connected
-groups is then compared in full: every two of its lines whose groups nothing joins yet. Of each connected group the first
-occurrence stays, by document id and line number.
+anything is joined. Each distinct line gets `KEYS` keys: pairs of minima over its hashed pairs of neighbouring words, or, for a
+short line, the line itself and all ways to leave one word out. Keys are dealt into buckets as packed arrays, so no
+row is made for a key that one line alone has. Lines under one key are first tied to the key's first line; ties are verified by
+the edit similarity of the whole normalised lines. A key that still holds several connected groups is then compared in full,
+block by block: every two of its lines whose groups nothing joins yet. Of each connected group the first occurrence stays,
+by document id and line number.
 """
 
 from __future__ import annotations
 
-from itertools import chain, combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import U64, WordHashes, alike, connected_components, flags, materialize, mix, plain_word
+from tessera.llm._common import U64, alike, connected_components, flags, fresh, materialize, mix, plain_word, plain_words, portions
 
 SIMILARITY = 0.85
-#: Keys from minima of every line; words up to which a line gets keys with words left out besides.
-TABLES, SHORT = 20, 8
+#: Keys of a line; a line of fewer words than that has keys with words left out instead of minima.
+KEYS = 8
 #: Lines of fewer words or characters stay: that short ones repeat says nothing.
 WORDS, CHARS = 3, 12
-_SEEDS = np.random.default_rng(17).integers(0, 1 << 63, 2 * TABLES).astype(U64)
-_FACTORS = np.random.default_rng(18).integers(0, 1 << 62, 2 * TABLES).astype(U64) * U64(2) + U64(1)
-#: Byte -> eight counters of 8 bits, one for each bit.
-_SPREAD = np.array([sum(((n >> b) & 1) << (8 * b) for b in range(8)) for n in range(256)], np.uint64)
+#: Keys that a bucket should hold; keys packed at once; lines of one key among those from which they are left in place.
+BUCKET, PACKED, MANY = 500_000, 1_000_000, 64
+#: Lines of a key that are compared with one another, or with as many others, in one task.
+BLOCK = 2_000
+#: Parts of a large group that are told its first line apart.
+SALTS = 16
+_SEEDS = np.random.default_rng(17).integers(0, 1 << 63, 2 * KEYS).astype(U64)
+_FACTORS = np.random.default_rng(18).integers(0, 1 << 62, 2 * KEYS).astype(U64) * U64(2) + U64(1)
 _POWERS = np.cumprod(np.concatenate([[U64(1)], np.full(1 << 12, U64(0x9E3779B97F4A7C15), U64)]), dtype=np.uint64)
+_NAMES = [f"k{t}" for t in range(KEYS)]
 
 
 def plain_line(line: str) -> str:
     return b" ".join(w for x in line.encode().split() if (w := plain_word(x))).decode()
 
 
-_words = WordHashes(plain_word)
-
-
-def line_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line number, hashed words line by line, words of each line) of the lines that are long enough to count."""
+def line_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(text, line number, hashed words line by line, words of each line, the lines) of the lines that are long enough to count."""
     lines = [t.split(b"\n") for t in texts]
-    counts = [len(x) for x in lines]
+    counts = np.array([len(x) for x in lines])
     every = [x for own in lines for x in own]
-    split = [x.split() for x in every]
-    sizes = np.array([len(x) for x in split])
-    chars = [len(x) for x in every]
-    w = np.fromiter(map(_words.__getitem__, chain.from_iterable(split)), U64, int(sizes.sum()))
-    line = np.repeat(np.arange(len(sizes)), sizes)
-    live = w != 0
-    line, w = line[live], w[live]
-    n = np.bincount(line, minlength=len(sizes))
-    keep = (n >= WORDS) & (np.array(chars) >= CHARS)
+    w, line = plain_words(texts)
+    n = np.bincount(line, minlength=len(every))
+    keep = (n >= WORDS) & (np.fromiter(map(len, every), np.int64, len(every)) >= CHARS)
     text = np.repeat(np.arange(len(texts)), counts)
-    number = np.arange(len(sizes)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return text[keep], number[keep], w[keep[line]], n[keep]
+    number = np.arange(len(every)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return text[keep], number[keep], w[keep[line]], n[keep], [every[i] for i in np.flatnonzero(keep).tolist()]
 
 
 def _at(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,140 +68,127 @@ def fold(w: np.ndarray, n: np.ndarray) -> np.ndarray:
         return mix(np.add.reduceat(w * p, starts) ^ n.astype(U64))
 
 
-def simhash(w: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The SimHash of each run of n hashed words."""
+def line_keys(w: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(runs, KEYS) keys of each run of n hashed words; 0 where it has fewer. From KEYS words on, pairs of minima over neighbouring
+    words; below, the whole run and every way to leave one word out."""
     if not len(n):
-        return np.empty(0, U64)
-    w, out = mix(w), np.zeros(len(n), U64)
-    few = n <= 255
-    if few.any():  # eight counters of 8 bits at once
-        own = w if few.all() else w[np.repeat(few, n)]
-        m = n[few]
-        starts, _ = _at(m)
-        raw, sim, half = own.view(np.uint8).reshape(-1, 8), np.zeros((len(m), 8), np.uint8), m[:, None]
-        for byte in range(8):
-            got = np.add.reduceat(_SPREAD[raw[:, byte]], starts)
-            sim[:, byte] = np.packbits(2 * got.view(np.uint8).reshape(-1, 8).astype(np.int32) > half, axis=1, bitorder="little")[:, 0]
-        out[few] = sim.view(U64)[:, 0]
+        return np.empty((0, KEYS), U64)
     starts, _ = _at(n)
-    for i in np.flatnonzero(~few):
-        total = np.zeros(64, np.int64)
-        for k in range(starts[i], starts[i] + n[i], 1 << 16):
-            part = w[k : min(k + (1 << 16), starts[i] + n[i])]
-            total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[i] = np.packbits(2 * total > n[i], bitorder="little").view(U64)[0]
-    return out
-
-
-def line_keys(w: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """The keys of each run of n hashed words, 4 bytes each: TABLES of them from pairs of minima over neighbouring words, and
-    for a run of up to SHORT words those of every way to leave up to two words out, so that two words at least are left."""
-    if not len(n):
-        return []
-    starts, pos = _at(n)
+    keys = np.zeros((len(n), KEYS), U64)
     with np.errstate(over="ignore"):
         pairs = mix(w * U64(0x9E3779B97F4A7C15) + np.roll(w, -1))  # the last word of a run pairs with its first, so all words count alike
         ends = starts + n - 1
         pairs[ends] = mix(w[ends] * U64(0x9E3779B97F4A7C15) + w[starts])
-        keys = np.empty((len(n), TABLES), np.uint32)
-        for t in range(TABLES):
+        for t in range(KEYS):
             one, two = (np.minimum.reduceat((pairs ^ _SEEDS[2 * t + i]) * _FACTORS[2 * t + i], starts) for i in (0, 1))
-            keys[:, t] = mix(one * U64(31) + two).astype(np.uint32)
-        out = [k.tobytes() for k in keys]
-        for size in range(3, SHORT + 1):
-            rows = np.flatnonzero(n == size)
-            if len(rows):
-                own = w[starts[rows][:, None] + np.arange(size)]
-                left = []
-                for gone in range(min(2, size - 2) + 1):
-                    for drop in combinations(range(size), gone):
-                        rest = np.delete(own, drop, axis=1)
-                        left.append(fold(rest.ravel(), np.full(len(rows), size - gone)).astype(np.uint32))
-                for r, x in zip(rows.tolist(), np.stack(left, 1)):
-                    out[r] += np.unique(x).tobytes()
-    return out
-
-
-def _portions(column, most: int = 2_000_000):
-    """Runs of texts of a column that are worked on at once, as (first, texts); a longer text is worked on alone."""
-    first, held, size = 0, [], 0
-    for i, t in enumerate(column):
-        x = t.as_py()
-        if held and size + len(x) > most:
-            yield first, held
-            first, held, size = i, [], 0
-        held.append(x)
-        size += len(x)
-    if held:
-        yield first, held
+            keys[:, t] = mix(one * U64(31) + two + U64(t))
+    for size in range(1, KEYS):
+        rows = np.flatnonzero(n == size)
+        if len(rows):
+            own = w[starts[rows][:, None] + np.arange(size)]
+            keys[rows] = 0
+            keys[rows, 0] = fold(own.ravel(), np.full(len(rows), size))
+            for gone in range(size if size > 2 else 0):
+                keys[rows, 1 + gone] = fold(np.delete(own, gone, axis=1).ravel(), np.full(len(rows), size - 1))
+    return keys
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, h, raw, keys) of every line that counts; docs: (_id, _t). raw is the hash of the line as it stands."""
+    """(doc, line, h, raw, k0, ...) of every line that counts; docs: (_id, _t). raw is the hash of the line as it stands."""
 
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for first, texts in _portions(b.column(1)):
-                at, no, w, n = line_hashes(texts)
-                split = {k: texts[k].split(b"\n") for k in np.unique(at).tolist()}
-                raw = [xxhash.xxh3_64_intdigest(split[k][i]) for k, i in zip(at.tolist(), no.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + at]), pa.array(no.astype(np.int32)), pa.array(fold(w, n).view(np.int64)), pa.array(np.array(raw, U64).view(np.int64)), pa.array(line_keys(w, n), pa.binary())], ["doc", "line", "h", "raw", "keys"])
+            for first, texts in portions(b.column(1)):
+                at, no, w, n, own = line_hashes(texts)
+                raw = np.fromiter(map(xxhash.xxh3_64_intdigest, own), U64, len(own))
+                keys = line_keys(w, n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + at]), pa.array(no.astype(np.int32)), pa.array(fold(w, n).view(np.int64)), pa.array(raw.view(np.int64)), *(pa.array(np.ascontiguousarray(keys[:, t]).view(np.int64)) for t in range(KEYS))], ["doc", "line", "h", "raw", *_NAMES])
+
+    return docs.mapInArrow(run, ", ".join(["doc long", "line int", "h long", "raw long", *(f"{k} long" for k in _NAMES)]))
+
 
-    return docs.mapInArrow(run, "doc long, line int, h long, raw long, keys binary")
+def _place(doc: str, line: str) -> Column:
+    """One number that orders lines by document id, then line number: aggregates of it need no sorting, unlike those of a struct."""
+    return F.expr(f"cast({doc} as decimal(20,0)) * 2147483648BD + {line}").cast("decimal(32,0)")
 
 
-def _keys(distinct: DataFrame) -> DataFrame:
-    """(key, h): a row for each key of each line."""
+def _packed(distinct: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, keys, lines) and (key, h, lead): the keys of lines, packed by bucket; and those of a key that very many of the lines
+    at hand have, each with the first of them, which alone goes into the bucket for them all."""
 
     def run(batches):
+        def pack(h, key):
+            order = np.lexsort((h, key))
+            h, key = h[order], key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff([*first, len(key)])
+            many = np.repeat(size >= MANY, size)
+            lead = np.repeat(first, size)
+            if many.any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(many.sum()), pa.int32()), pa.nulls(int(many.sum()), pa.binary()), pa.nulls(int(many.sum()), pa.binary()), pa.array(key[many].view(np.int64)), pa.array(h[many]), pa.array(h[lead[many]])], _PACKED)
+            go = ~many | (lead == np.arange(len(key)))
+            h, key = h[go], key[go]
+            part = (key % U64(buckets)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, key, h = part[order], key[order], h[order]
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
+            ends = [*cuts[1:], len(part)]
+            none = pa.nulls(len(cuts), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array([key[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([h[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), none, none, none], _PACKED)
+
+        hs, keys, held = [], [], 0
         for b in batches:
-            raw = b.column(1).to_pylist()
-            n = np.array([len(x) // 4 for x in raw], np.int64)
-            _, pos = _at(n)
-            key = np.frombuffer(b"".join(raw), np.uint32).astype(np.int64) | np.minimum(pos, TABLES) << 32
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(b.column(0).to_numpy(), n))], ["key", "h"])
+            h = b.column(0).to_numpy(zero_copy_only=False)
+            for t in range(KEYS):
+                k = b.column(1 + t).to_numpy(zero_copy_only=False).view(U64)
+                live = k != 0
+                hs.append(h[live])
+                keys.append(k[live])
+                held += len(keys[-1])
+            if held >= PACKED:
+                yield from pack(np.concatenate(hs), np.concatenate(keys))
+                hs, keys, held = [], [], 0
+        if held:
+            yield from pack(np.concatenate(hs), np.concatenate(keys))
 
-    return distinct.select("h", "keys").mapInArrow(run, "key long, h long")
+    return distinct.select("h", *_NAMES).mapInArrow(run, "bucket int, keys binary, lines binary, key long, h long, lead long")
 
 
-def _runs(batches, columns: int):
-    """Whole keys of a stream sorted by its first column, as arrays of columns; later ones than integers as objects."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
-        x = [np.concatenate(y) for y in zip(held, new)] if held else new
-        cut = int(np.searchsorted(x[0], x[0][-1]))
-        if cut:
-            yield [y[:cut] for y in x]
-        held = [y[cut:] for y in x]
-    if held:
-        yield held
+_PACKED = ["bucket", "keys", "lines", "key", "h", "lead"]
 
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """(group, a, b): with a null group, the line hash a under a key and the key's first, b; else a is a line of a group, the
-    lines of a key of more than two. Keys that hold the same lines give one group."""
+def _shared(packed: DataFrame) -> DataFrame:
+    """(key, h, lead): the lines of each key that several lines have, with the first of them."""
 
     def run(batches):
-        for key, h in _runs(batches, 2):
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff([*starts, len(key)])
-            lead = np.repeat(starts, size)
-            at = np.flatnonzero(lead != np.arange(len(key)))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(h[at]), pa.array(h[lead[at]])], ["group", "a", "b"])
-            many = size > 2
-            names = [xxhash.xxh3_64_intdigest(h[lo : lo + n].tobytes()) >> 1 for lo, n in zip(starts[many].tolist(), size[many].tolist())]
-            own = h[np.repeat(many, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), size[many])), pa.array(own), pa.nulls(len(own), pa.int64())], ["group", "a", "b"])
+        def told(keys, lines):
+            key, h = np.frombuffer(b"".join(keys), U64), np.frombuffer(b"".join(lines), np.int64)
+            order = np.lexsort((h, key))
+            key, h = key[order], h[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff([*first, len(key)])
+            some = np.repeat(size > 1, size)
+            return pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(h[some]), pa.array(h[np.repeat(first, size)[some]])], ["key", "h", "lead"])
+
+        now, keys, lines = None, [], []
+        for b in batches:
+            for bucket, k, h in zip(*(b.column(c) for c in range(3))):
+                if bucket.as_py() != now:
+                    if keys:
+                        yield told(keys, lines)
+                    now, keys, lines = bucket.as_py(), [], []
+                keys.append(k.as_py())
+                lines.append(h.as_py())
+        if keys:
+            yield told(keys, lines)
 
-    return keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "group long, a long, b long")
+    found = packed.where("bucket is not null").select("bucket", "keys", "lines").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, h long, lead long")
+    return found.unionByName(packed.where("bucket is null").select("key", "h", "lead"))
 
 
 def _texts(ids: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(h, s): the normalised line of each hash in ids (h). A line's text is that of its first occurrence."""
+    """(h, s): the normalised line of each hash in ids (h)."""
     ends = materialize(ids.distinct().join(distinct.select("h", "raw"), "h"), "ends")
     wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(flags(ends, "raw")))
 
@@ -223,10 +205,26 @@ def _texts(ids: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
                             found[r] = x
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), U64).view(np.int64)), pa.array([plain_line(x.decode("utf-8", "replace")) for x in found.values()], pa.string())], ["r", "s"])
 
-    s = docs.mapInArrow(texts, "r long, s string").join(ends, F.col("r") == F.col("raw")).groupBy("h").agg(F.min("s").alias("s"))
+    s = docs.mapInArrow(texts, "r long, s string").join(ends, F.col("r") == F.col("raw")).select("h", "s").dropDuplicates(["h"])
     return materialize(s, "lines")
 
 
+def _counts(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(length, characters counted by code modulo 32) of each line."""
+    size = np.array([len(x) for x in lines])
+    counts = np.zeros((len(lines), 32), np.int32)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    np.add.at(counts, (np.repeat(np.arange(len(lines)), size), codes % 32), 1)
+    return size, counts
+
+
+def _near(size, counts, other_size, other_counts, similarity: float) -> np.ndarray:
+    """Can these lines be alike? An edit takes at most one character away and gives one."""
+    most = ((1 - similarity) * np.maximum(size, other_size) + 1e-9).astype(np.int64)
+    more = counts - other_counts
+    return (np.abs(size - other_size) <= most) & (np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= most)
+
+
 def _verified(ties: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
     """The ties whose normalised lines are alike enough, over their whole length."""
     s = _texts(ties.select(F.col("a").alias("h")).union(ties.select("b")), docs, distinct)
@@ -234,28 +232,33 @@ def _verified(ties: DataFrame, docs: DataFrame, distinct: DataFrame, similarity:
 
     def run(batches):
         for b in batches:
-            at = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                at.append(alike(x, y, similarity))
-            keep = pa.array(at, pa.bool_())
+            if not b.num_rows:
+                continue
+            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            near = _near(*_counts(x), *_counts(y), similarity)
+            keep = pa.array([bool(ok) and alike(p, q, similarity) for ok, p, q in zip(near.tolist(), x, y)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _open_groups(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """(group, h, c): the lines of the groups that hold several components."""
-    named = members.join(parts.select(F.col("node").alias("h"), "component"), "h", "left").select("group", "h", F.coalesce("component", "h").alias("c"))
-    mixed = named.groupBy("group").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("group")
-    return named.join(mixed, "group")
+def _open_groups(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, h, c): the lines of the keys whose lines lie in several components, each set of lines under one of its keys only."""
+    named = shared.select("key", "h").join(parts.select(F.col("node").alias("h"), "component"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("c"))
+    # two lines have been compared as a tie already
+    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count_distinct("h").alias("n")).where("low <> high and n > 2").select("key")
+    rows = materialize(named.join(mixed, "key").distinct(), "open")
+    same = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.min("h").alias("low"), F.max("h").alias("high"))
+    once = same.groupBy("n", "x", "low", "high").agg(F.min("key").alias("key"), F.first("n").alias("size")).select("key", "size")
+    return rows.join(once, "key")
 
 
-def joining(lines: list[str], c: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of alike lines that join the components c: each two lines are compared unless something joins theirs already."""
-    own, size = c.copy(), np.array([len(x) for x in lines])
-    counts = np.zeros((len(lines), 32), np.int32)
-    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-    np.add.at(counts, (np.repeat(np.arange(len(lines)), size), codes % 32), 1)
+def joining(lines: list[str], c: np.ndarray, similarity: float, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of alike lines that join the components c: each two lines are compared unless something joins theirs already.
+
+    With `left`, only pairs of a line of the left and one of the right."""
+    own = c.copy()
+    size, counts = _counts(lines)
     names, many = np.unique(c, return_counts=True)
     largest = names[np.argmax(many)]
     order = np.concatenate([np.flatnonzero(c != largest), np.flatnonzero(c == largest)])
@@ -264,11 +267,9 @@ def joining(lines: list[str], c: np.ndarray, similarity: float) -> list[tuple[in
     for place, i in enumerate(order[: int((c != largest).sum())].tolist()):
         at = order[place + 1 :]
         at = at[own[at] != own[i]]
-        most = ((1 - similarity) * np.maximum(size[at], size[i]) + 1e-9).astype(np.int64)
-        near = np.abs(size[at] - size[i]) <= most
-        at, most = at[near], most[near]
-        more = counts[at] - counts[i]  # an edit takes at most one character away and gives one
-        at = at[np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= most]
+        if left is not None:
+            at = at[left[at] != left[i]]
+        at = at[_near(size[at], counts[at], size[i], counts[i], similarity)]
         joined = set()
         for j, d in zip(at.tolist(), own[at].tolist()):
             if d not in joined and alike(lines[i], lines[j], similarity):
@@ -279,35 +280,65 @@ def joining(lines: list[str], c: np.ndarray, similarity: float) -> list[tuple[in
     return out
 
 
+def _runs(batches, columns: int):
+    """Whole keys of a stream sorted by its first column, as arrays of columns; later ones than integers as objects."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        x = [np.concatenate(y) for y in zip(held, new)] if held else new
+        cut = int(np.searchsorted(x[0], x[0][-1]))
+        if cut:
+            yield [y[:cut] for y in x]
+        held = [y[cut:] for y in x]
+    if held:
+        yield held
+
+
 def _group_links(groups: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links of alike lines that join the components of each group. A group's lines meet in one task, as a stream of groups."""
-    rows = groups.join(_texts(groups.select("h"), docs, distinct), "h").select("group", "h", "c", "s")
+    """(a, b): links of alike lines that join the components of each group.
+
+    A group is cut into blocks of about BLOCK lines, and every two blocks meet in a task of their own: none holds more than two blocks."""
+    rows = groups.join(_texts(groups.select("h"), docs, distinct), "h")
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "h", "c", "s", (F.col("own") <= F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("within"))
 
     def run(batches):
-        for group, h, c, s in _runs(batches, 4):
-            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist()
-            links = [(int(h[lo + i]), int(h[lo + j])) for lo, hi in zip(starts, [*starts[1:], len(group)]) for i, j in joining(s[lo:hi].tolist(), c[lo:hi], similarity)]
+        for task, h, c, s, first, within in _runs(batches, 6):
+            starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])).tolist()
+            links = []
+            for lo, hi in zip(starts, [*starts[1:], len(task)]):
+                left = None if within[lo] else first[lo:hi].astype(bool)
+                links += [(int(h[lo + i]), int(h[lo + j])) for i, j in joining(s[lo:hi].tolist(), c[lo:hi], similarity, left)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.repartition("group").sortWithinPartitions("group", "h").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("task").sortWithinPartitions("task", "h").mapInArrow(run, "a long, b long").distinct()
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc, line, keep_doc, keep_line) of every line that goes, and the occurrence that stays for it; lines count from 0."""
-    d = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").cast("binary").alias("_t")).where("_id is not null and _t is not null")
+    d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("_t")).where("_id is not null and _t is not null")
     lines = materialize(_lines(d), "line-hashes")
-    distinct = materialize(lines.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), F.max(F.struct("doc", "line")).alias("last"), F.min_by(F.struct("raw", "keys"), F.struct("doc", "line")).alias("x")).select("h", "first", "last", "x.raw", "x.keys"), "distinct-lines")
-    shared = materialize(_shared(_keys(distinct)), "shared")
-    ties = materialize(shared.where("group is null").select("a", "b").distinct(), "ties")
+    distinct = lines.groupBy("h").agg(F.min(_place("doc", "line")).alias("place"), F.count("*").alias("n"), F.min("raw").alias("raw"), *(F.min(k).alias(k) for k in _NAMES))
+    distinct = materialize(distinct, "distinct-lines")
+    buckets = max(1, -(-distinct.count() * KEYS // BUCKET))
+    shared = materialize(_shared(materialize(_packed(distinct, buckets), "packed-keys")), "shared")
+    ties = materialize(shared.where("h <> lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct(), "ties")
     links = materialize(_verified(ties, d, distinct, similarity), "links")
     parts = materialize(connected_components(links, "a", "b"), "parts")
-    groups = materialize(_open_groups(shared.where("group is not null").select("group", F.col("a").alias("h")).distinct(), parts), "groups")
-    links = links.unionByName(materialize(_group_links(groups, d, distinct, similarity), "links"))
-    parts = materialize(connected_components(links, "a", "b"), "parts")
-    named = distinct.join(parts, F.col("h") == F.col("node"), "left").select("h", F.coalesce("component", "h").alias("c"), "first", "last", F.col("node").isNotNull().alias("tied")).where("tied or first <> last")
-    keep = named.groupBy("c").agg(F.min("first").alias("keep"))
-    named = named.join(keep, "c").select(F.col("h").alias("g"), "keep")
-    return lines.join(named, F.col("h") == F.col("g")).where("doc <> keep.doc or line <> keep.line").select("doc", "line", F.col("keep.doc").alias("keep_doc"), F.col("keep.line").alias("keep_line"))
+    groups = materialize(_open_groups(shared, parts), "groups")
+    if not groups.isEmpty():
+        links = links.unionByName(materialize(_group_links(groups, d, distinct, similarity), "links"))
+        parts = materialize(connected_components(links, "a", "b"), "parts")
+    named = distinct.join(parts, F.col("h") == F.col("node"), "left").select("h", F.coalesce("component", "h").alias("c"), "place", "n", F.col("node").isNotNull().alias("tied")).where("tied or n > 1")
+    # a group may hold very many lines: it is told its first one in SALTS parts
+    keep = named.groupBy("c").agg(F.min("place").alias("keep")).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    named = named.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")).join(keep, ["c", "salt"]).select(F.col("h").alias("g"), "keep")
+    gone = lines.select("doc", "line", "h").join(named, F.col("h") == F.col("g")).where(_place("doc", "line") != F.col("keep"))
+    number = F.expr("cast(pmod(keep, 2147483648BD) as int)")
+    return gone.withColumn("keep_line", number).select("doc", "line", F.expr("cast((keep - keep_line) div 2147483648BD as long)").alias("keep_doc"), "keep_line")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, count: str | None = None) -> DataFrame:
@@ -315,13 +346,15 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
 
     Lines end with \\n. A line of fewer than WORDS words or CHARS bytes always stays. Rows with a null id or text stay
     as they are. Rows that share an id count as one document: a line is a repeat of itself in none of them. A document
-    that loses all its lines but blank ones goes; one that loses none stays, empty or not.
+    that loses all its lines but blank ones goes; one that loses none stays, empty or not. Columns may have any other names.
     """
-    gone = repeated_lines(docs, doc_id, text, similarity).groupBy("doc").agg(F.collect_set("line").alias("__gone"))
     names = docs.columns
-    both = docs.join(gone.withColumnRenamed("doc", "__doc"), F.col(f"`{doc_id}`").cast("long") == F.col("__doc"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    new = F.when(F.col("__gone").isNull() | F.col(f"`{text}`").isNull(), F.col(f"`{text}`")).otherwise(kept)
-    out = both.withColumn("__text", new).where(F.col("__gone").isNull() | F.col(f"`{text}`").isNull() | (F.trim(F.translate("__text", "\n\r\t", "   ")) != ""))
-    cols = [F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in names]
-    return out.select(*cols, *([F.coalesce(F.size("__gone"), F.lit(0)).alias(count)] if count else []))
+    lost, own, new = fresh([*names, count or ""], "gone", "of", "left")
+    gone = repeated_lines(docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t")), "i", "t", similarity).groupBy("doc").agg(F.collect_set("line").alias(lost)).withColumnRenamed("doc", own)
+    both = docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col(own), "left")
+    t = F.col(f"`{text}`")
+    kept = F.array_join(F.filter(F.split(t, "\n", -1), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    both = both.withColumn(new, F.when(F.col(lost).isNull() | t.isNull(), t).otherwise(kept))
+    out = both.where(F.col(lost).isNull() | t.isNull() | (F.trim(F.translate(new, "\n\r\t", "   ")) != ""))
+    cols = [F.col(new).alias(c) if c == text else F.col(f"`{c}`") for c in names]
+    return out.select(*cols, *([F.coalesce(F.size(lost), F.lit(0)).alias(count)] if count else []))

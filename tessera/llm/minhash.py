@@ -18,27 +18,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import U64, WordHashes, connected_components, flags, materialize, mix
+from tessera.llm._common import U64, byte_words, connected_components, flags, materialize, mix, portions
 
 SEEDS = np.random.default_rng(20240229).integers(1, 2**63, 4096, dtype=np.uint64)
 #: Slots of the table of posting counts that orders the postings.
 COUNT_BITS = 18
-#: Shingles that are worked on at once; a longer document is worked on alone.
-AT_ONCE = 1_000_000
-_words = WordHashes()
+
+
+def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each whole text: words are runs without ASCII white space, A-Z lower-cased."""
+    words, counts = byte_words(texts)
+    out, at = [], 0
+    for m in counts.tolist():
+        w, at = words[at : at + m], at + m
+        if not m:
+            out.append(w)
+            continue
+        n = max(1, m - size + 1)
+        with np.errstate(over="ignore"):
+            h = np.zeros(n, U64)
+            for j in range(min(size, m)):
+                h += w[j : j + n] * (SEEDS[j] | U64(1))
+            out.append(np.unique(mix(h ^ U64(min(m, size)))))
+    return out
 
 
 def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
-    """The sorted distinct shingle hashes of a whole text: words are runs without ASCII white space, A-Z lower-cased."""
-    w = _words.of(text.lower().split()) if text else np.empty(0, U64)
-    if not len(w):
-        return w
-    n = max(1, len(w) - size + 1)
-    with np.errstate(over="ignore"):
-        h = np.zeros(n, U64)
-        for j in range(min(size, len(w))):
-            h += w[j : j + n] * (SEEDS[j] | U64(1))
-        return np.unique(mix(h ^ U64(min(len(w), size))))
+    return shingle_sets([text or b""], size)[0]
 
 
 def _signatures(sets: list[np.ndarray], coords: int) -> np.ndarray:
@@ -57,29 +63,16 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     def run(batches):
         for b in batches:
             ids, texts = b.column(0), b.column(1)
-            rows, sets, held = [], [], 0
-
-            def flush():
+            for first, held in portions(texts):
+                sets = shingle_sets(held, size)
                 live = [s for s in sets if len(s)]
                 sig = iter(_signatures(live, coords)) if live else iter(())
-                keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                kk = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                return pa.RecordBatch.from_arrays([
-                    ids.take(pa.array(rows, pa.int64())), pa.array([len(s) for s in sets], pa.int64()), pa.array(kk[:, 0]), pa.array(kk[:, 1]),
+                kk = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([
+                    ids.slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(kk[:, 0]), pa.array(kk[:, 1]),
                     pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ], ["_id", "n_shingles", "hi", "lo", "sig"])
 
-            for i, t in enumerate(texts):
-                s = shingle_set(t.as_py(), size)
-                rows.append(i)
-                sets.append(s)
-                held += len(s)
-                if held > AT_ONCE:
-                    yield flush()
-                    rows, sets, held = [], [], 0
-            if rows:
-                yield flush()
-
     src = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").cast("binary").alias("_t"))
     return src.mapInArrow(run, "_id long, n_shingles long, hi long, lo long, sig binary")
 
@@ -343,8 +336,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = links.unionByName(confirm(_colliding(_apart(first.join(earliest, ["a", "b"], "left_anti"), parts, "a", "b"), reps, coords, match)))
     parts = materialize(connected_components(links, "a", "b"), "parts")
     groups = materialize(_open_groups(postings, parts, reps, percent, match), "groups")
-    links = links.unionByName(materialize(_group_links(groups, docs, doc_id, text, size, percent), "links"))
-    parts = materialize(connected_components(links, "a", "b"), "parts")
+    if not groups.isEmpty():
+        links = links.unionByName(materialize(_group_links(groups, docs, doc_id, text, size, percent), "links"))
+        parts = materialize(connected_components(links, "a", "b"), "parts")
     # a row's set -> the set's first document -> the component of that
     named = reps.select("hi", "lo", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("c"))
     linked = live.select("_id", "hi", "lo").join(named, ["hi", "lo"]).groupBy("_id").agg(F.min("c").alias("c"))
