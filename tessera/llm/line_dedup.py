@@ -1,7 +1,7 @@
 """Fuzzy line dedup: keys from minima over neighbouring words, edit similarity, one occurrence kept for each connected group.
 
 Lines are normalised (lower case, letters and digits only, single spaces). Equal lines fold into one before
-anything is joined. Each distinct line gets `KEYS` keys: pairs of minima over its hashed pairs of neighbouring words, or, for a
+anything is joined. Each distinct line gets `KEYS` keys: minima over its hashed pairs of neighbouring words, three to a key, or, for a
 short line, the line itself and all ways to leave one word out. Keys are dealt into buckets as packed arrays, so no
 row is made for a key that one line alone has. Lines under one key are first tied to the key's first line; ties are verified by
 the edit similarity of the whole normalised lines. A key that still holds several connected groups is then compared in full,
@@ -20,18 +20,18 @@ from pyspark.sql import functions as F
 from tessera.llm._common import U64, alike, connected_components, flags, fresh, materialize, mix, plain_word, plain_words, portions
 
 SIMILARITY = 0.85
-#: Keys of a line; a line of fewer words than that has keys with words left out instead of minima.
-KEYS = 8
+#: Keys of a line, and minima of a key; a line of fewer words than keys has keys with words left out instead of minima.
+KEYS, MINIMA = 10, 3
 #: Lines of fewer words or characters stay: that short ones repeat says nothing.
 WORDS, CHARS = 3, 12
 #: Keys that a bucket should hold; keys packed at once; lines of one key among those from which they are left in place.
 BUCKET, PACKED, MANY = 500_000, 1_000_000, 64
 #: Lines of a key that are compared with one another, or with as many others, in one task.
-BLOCK = 2_000
+BLOCK = 500
 #: Parts of a large group that are told its first line apart.
 SALTS = 16
-_SEEDS = np.random.default_rng(17).integers(0, 1 << 63, 2 * KEYS).astype(U64)
-_FACTORS = np.random.default_rng(18).integers(0, 1 << 62, 2 * KEYS).astype(U64) * U64(2) + U64(1)
+_SEEDS = np.random.default_rng(17).integers(0, 1 << 63, MINIMA * KEYS).astype(U64)
+_FACTORS = np.random.default_rng(18).integers(0, 1 << 62, MINIMA * KEYS).astype(U64) * U64(2) + U64(1)
 _POWERS = np.cumprod(np.concatenate([[U64(1)], np.full(1 << 12, U64(0x9E3779B97F4A7C15), U64)]), dtype=np.uint64)
 _NAMES = [f"k{t}" for t in range(KEYS)]
 
@@ -69,7 +69,7 @@ def fold(w: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def line_keys(w: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(runs, KEYS) keys of each run of n hashed words; 0 where it has fewer. From KEYS words on, pairs of minima over neighbouring
+    """(runs, KEYS) keys of each run of n hashed words; 0 where it has fewer. From KEYS words on, minima over pairs of neighbouring
     words; below, the whole run and every way to leave one word out."""
     if not len(n):
         return np.empty((0, KEYS), U64)
@@ -80,8 +80,10 @@ def line_keys(w: np.ndarray, n: np.ndarray) -> np.ndarray:
         ends = starts + n - 1
         pairs[ends] = mix(w[ends] * U64(0x9E3779B97F4A7C15) + w[starts])
         for t in range(KEYS):
-            one, two = (np.minimum.reduceat((pairs ^ _SEEDS[2 * t + i]) * _FACTORS[2 * t + i], starts) for i in (0, 1))
-            keys[:, t] = mix(one * U64(31) + two + U64(t))
+            key = np.full(len(n), U64(t))
+            for i in range(MINIMA * t, MINIMA * (t + 1)):
+                key = mix(key * U64(31) + np.minimum.reduceat((pairs ^ _SEEDS[i]) * _FACTORS[i], starts))
+            keys[:, t] = key
     for size in range(1, KEYS):
         rows = np.flatnonzero(n == size)
         if len(rows):
