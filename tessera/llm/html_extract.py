@@ -2,9 +2,11 @@
 
 Every node has a density: its characters by tags, adjusted for links (text in links counts against a node, the more the
 larger its share). The sum of its children's densities finds the node that holds the text; the least density on the path from it
-up to the body is the threshold under which other nodes are furniture. From the body down, each node at least as
-dense gives the subtree with the largest sum, whole. Elements that never hold article text (scripts, styles, forms, menus,
-footers, adverts, notices, comments by readers, by tag, role or class) are taken out first.
+up to the body is the threshold under which other nodes are furniture. Inside an article or main element, that element's
+subtree is taken whole; without one, from the body down, each node at least as dense gives the subtree with the largest sum.
+Scripts, styles, form controls and hidden elements never hold text. All other signs (menus, footers, adverts, notices, comments
+by readers, by tag, role, class or heading) are hints: a node goes only if its measured text agrees, and never if the node with the
+largest sum is it or lies in it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ _words = str.split
 #: Elements without an end tag; whose content isn't markup; that never hold the article: fixed values of html.
 VOID = frozenset(_words("area base br col embed hr img input link meta param source track wbr"))
 RAW = frozenset(_words("script style textarea title noscript iframe noframes template xmp svg math canvas select"))
-DROP = RAW | frozenset(_words("head nav footer aside form button dialog menu object audio video fieldset datalist"))
+DROP = RAW | frozenset(_words("head button object audio video datalist label"))
+#: Elements that seldom hold the article: as good as a whole name.
+ASIDE = frozenset(_words("nav footer aside form dialog menu fieldset"))
 BLOCK = frozenset(_words("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul"))
 #: A start tag on the left ends an open element on the right, up to one of those at the end.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -30,8 +34,14 @@ ENDS_P = BLOCK - {"br", "button", "body", "html", "td", "th", "tr", "tbody", "th
 FURNITURE = frozenset(_words("ad ads advert adverts advertisement adverts banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside rail widget footer foot masthead topbar cookie cookies consent notice notices gdpr popup modal overlay alert newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond replies reply discussion pagination pager toolbar skip complementary contentinfo search"))
 #: A node whose name holds such a word goes only with less than one part in so many of the page's text, or if it is mostly links.
 PART = 5
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
+#: A tag ends before the next one starts, so that a sign like that in `a<b` is text.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*)>", re.S)
+ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""", re.S)
+#: Headings over what readers wrote, in the languages at hand.
+REMARKS = re.compile(r"\W*(?:\d+\W+)?(?:(?:reader |user )?comments?|responses?|replies|leave a (?:reply|comment)|join the (?:discussion|conversation)|(?:leser)?kommentare?|commentaires?|réactions|comentarios?|opiniones)\b", re.I)
+HEADS = frozenset(_words("h1 h2 h3 h4 h5 h6"))
+#: Who wrote a remark, or when, stands in one of these, in no more than so many characters.
+BYLINE, BYLINE_CHARS = frozenset(_words("b strong a span cite time small address em i h4 h5 h6 div header")), 60
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -46,18 +56,18 @@ class Node:
 
 
 def _furniture(tag: str, attrs: str, inside: frozenset | set) -> int:
-    """3: goes whatever it holds; 2: a whole name is a word of furniture; 1: a part of a name is; 0: none."""
-    if tag in DROP or tag == "header" and not inside & {"article", "main"}:
+    """3: goes whatever it holds; 2: a tag or a whole name says furniture; 1: a part of a name does; 0: none."""
+    if tag in DROP:
         return 3
-    if tag in ("html", "body", "article", "main") or not attrs:
-        return 0
-    named = 0
+    named = 2 if tag in ASIDE or tag == "header" and not inside & {"article", "main"} else 0
+    if not attrs:
+        return named
     words_of = FURNITURE if inside & {"article", "main"} else FURNITURE | {"header"}
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
             return 3
-        if key in ("class", "id", "role"):
+        if key in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
             if any(w.lower() in words_of for w in value.split()):
                 named = 2
             elif not named and any(w.lower() in words_of for w in NAME.findall(value)):
@@ -166,21 +176,84 @@ def _count(nodes: list[Node]) -> None:
                 x.links += c.links + (c.tag == "a")
 
 
+def _up(x: Node | None):
+    while x is not None:
+        yield x
+        x = x.parent
+
+
+def _plain(x: Node | str) -> str:
+    if isinstance(x, str):
+        return x
+    return "".join(c if isinstance(c, str) else _plain(c) for c in x.children) if x.chars < 400 else ""
+
+
+def _headed(x: Node) -> bool:
+    """Does a heading say that readers wrote this: the first thing in it?"""
+    first = next((c for c in x.children if not isinstance(c, str) and c.chars or isinstance(c, str) and c.strip()), None)
+    if not isinstance(first, Node):
+        return False
+    return bool(REMARKS.match(html.unescape(_plain(first)).strip())) and first.chars < 60 if first.tag in HEADS else first.tag not in ("p",) and first.chars < 120 and _headed(first)
+
+
+def _remarks(x: Node) -> bool:
+    """Is this a list of remarks: several blocks alike, each with a short byline first?"""
+    items = [c for c in x.children if isinstance(c, Node) and c.chars]
+    if len(items) == 1:
+        return items[0].tag in BLOCK and _remarks(items[0])
+    blocks = [c for c in items if c.tag in ("div", "li", "article", "section", "dd", "blockquote")]
+    if len(blocks) < 2 or sum(c.chars for c in blocks) * 2 < x.chars or len({c.tag for c in blocks}) > 1:
+        return False
+
+    def signed(c: Node) -> bool:
+        own = [y for y in c.children if isinstance(y, Node) and y.chars or isinstance(y, str) and y.strip()]
+        return len(own) > 1 and isinstance(own[0], Node) and own[0].tag in BYLINE and own[0].chars <= BYLINE_CHARS and own[0].chars * 2 < c.chars
+
+    return all(map(signed, blocks))
+
+
 def cut_furniture(root: Node) -> None:
-    """Takes out the nodes that are named as furniture: by a whole name, unless they hold most of the page's text without links;
-    by a part of one, if they hold little of it or are mostly links."""
-    nodes = _nodes(root)
-    _count(nodes)
-    whole = root.chars - root.linked
+    """Takes out the nodes that tags, names or headings hint at, where their text agrees.
 
-    def goes(x: Node | str) -> bool:
-        if isinstance(x, str) or not x.named:
+    Tags and whole names are followed if a fair part of the page's text without links, or an article, lies outside all of them; parts
+    of names if the node holds little text or is mostly links. What holds the node with the largest sum of densities always stays.
+    """
+    nodes = measure(root)
+    whole = root.chars - root.linked
+    inside: set[int] = set()
+    for x in nodes:  # parents first
+        if x.named == 2 or x.parent is not None and id(x.parent) in inside:
+            inside.add(id(x))
+    lost = sum(x.chars - x.linked for x in nodes if x.named == 2 and (x.parent is None or id(x.parent) not in inside))
+    free = [x for x in nodes if id(x) not in inside]
+    trusted = (whole - lost) * PART > whole or any(x.tag in ("article", "main") and x.chars > x.linked for x in free)
+    best = max(free if trusted else nodes, key=lambda x: x.total)
+    held = {id(x) for x in _up(best)}
+
+    def goes(x: Node | str, before: Node | str | None) -> bool:
+        if isinstance(x, str) or id(x) in held:
             return False
         own = x.chars - x.linked
-        return own * 2 <= whole and (x.named == 2 or own * PART <= whole or x.linked > own)
+        if x.named == 2 and (trusted or own * PART <= whole or x.linked > own):
+            return True
+        if x.named == 1 and (own * PART <= whole or x.linked > own):
+            return True
+        if own * 2 > whole or x.tag not in BLOCK or x.tag in HEADS:
+            return False
+        return _headed(x) or isinstance(before, Node) and before.tag in HEADS and x.tag != "p" and bool(REMARKS.match(html.unescape(_plain(before)).strip()))
 
     for x in nodes:
-        x.children = [(Node("br", x) if c.tag in BLOCK else " ") if goes(c) else c for c in x.children]
+        out, before = [], None
+        for c in x.children:
+            if goes(c, before):
+                if isinstance(before, Node) and before.tag in HEADS and REMARKS.match(html.unescape(_plain(before)).strip()) and before in out:
+                    out.remove(before)
+                out.append(Node("br", x) if c.tag in BLOCK else " ")
+            else:
+                out.append(c)
+            if not isinstance(c, str) or c.strip():
+                before = c
+        x.children = out
 
 
 def _density(x: Node, whole: float) -> float:
@@ -258,9 +331,13 @@ def main_text(page: str | None) -> str:
     best = max(nodes, key=lambda x: x.total)
     if best.total <= 0:  # no element with text of its own: what is left of the body
         return _text([root])
-    least, x = best.density, best
-    while x is not None:
-        least, x = min(least, x.density), x.parent
+    scope = next((x for x in _up(best) if x.tag in ("article", "main")), None)
+    if scope is not None and (scope.chars - scope.linked) * 2 >= best.chars - best.linked:
+        outer = next((x for x in _up(scope.parent) if x.tag in ("article", "main")), None)
+        if outer is not None and scope.tag == "article" and sum(c.tag == "article" and c.chars > 0 for c in nodes if c.parent is scope.parent) > 1 and outer.chars > 2 * scope.chars:
+            scope = outer  # one of several parts
+        return _text([scope])
+    least = min(x.density for x in _up(best))
     # a run of text directly in the chosen node, or a part of it too sparse by itself, stays with it
     marked: list[Node] = []
     todo = [root]
@@ -279,7 +356,7 @@ def main_text(page: str | None) -> str:
             y = top
             while y is not x:
                 _bare_runs(y.parent, y, whole)
-                todo += [c for c in y.parent.children if isinstance(c, Node) and c is not y]
+                todo += [c for c in y.parent.children if isinstance(c, Node) and c is not y and not _remarks(c)]
                 y = y.parent
     chosen = {id(x) for x in marked}
     order, todo = [], [root]
