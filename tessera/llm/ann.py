@@ -1,15 +1,17 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 Equal vectors fold into one first. A bounded sample gives centroids: k-means, with clusters cut in two while they hold too much.
-Every vector is posted under its nearest centroid and, near boundaries, under others almost as near that don't lie
-behind one it already has. Centroids are found by best-first search of a graph in memory, whose size is bounded. A query opens the
-lists whose centroids are within a ratio of the distance of its nearest one. Lists are read as streams, a list's
-queries first, so neither a long list nor many queries need to fit a task.
+Every vector is posted under its nearest centroid and, near boundaries, under others almost as near. Centroids are found by
+best-first search of a graph in memory, whose size is bounded. A query opens the lists whose centroids are within a ratio of the
+distance of its nearest one, up to a share of all lists. Lists are cut into blocks of bounded expected size, and so are the queries
+that open one; a block is read as a stream, its queries first. The lists are compared in single precision; the few nearest of
+each query are then measured again, one by one, on the original vectors.
 """
 
 from __future__ import annotations
 
 import heapq
+from math import sqrt, sumprod
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +22,16 @@ from pyspark.sql import functions as F
 from tessera.llm._common import materialize
 
 #: Vectors that training looks at, centroids at most, vectors a list should hold: the bounds of what is trained and broadcast.
-SAMPLE, CENTROIDS, LIST = 20_000, 4096, 96
+SAMPLE, CENTROIDS, LIST = 20_000, 4096, 48
 #: Lists a vector is posted in at most, and how much farther than the nearest centroid (squared) they may be.
-REPLICAS, BOUNDARY = 6, 1.25
-#: Lists a query opens at most, and how much farther than the nearest (squared).
-PROBES, RATIO = 128, 2.2
+REPLICAS, BOUNDARY = 4, 1.25
+#: Lists that a query opens: no farther than so often the nearest one's distance (squared), and no more than this share of all
+#: lists, which only binds where nearly all centroids are about as far; but so many at least.
+RATIO, SHARE, LEAST = 2.2, 0.13, 18
 #: Edges of a centroid in the graph; centroids held open during a search.
 DEGREE, OPEN = 24, 96
-#: Blocks of a list that are read by different tasks; queries held at once.
-BLOCKS, QUERIES = 4, 4096
+#: Vectors and queries that a task should hold of a list; queries multiplied at once; candidates measured again besides k.
+ROWS, ASKED, QUERIES, SPARE = 8192, 8192, 4096, 8
 
 
 def _valid(batch_ids, column, dim: int | None):
@@ -183,20 +186,17 @@ class Graph:
         out = sorted((max(0.0, -d), i) for d, i in best)[:want]
         return np.array([d for d, _ in out]), np.array([i for _, i in out], np.int64)
 
-    def home(self, v: np.ndarray, replicas: int, boundary: float) -> list[int]:
-        """The lists of a vector: its nearest centroid, and those almost as near that are nearer to it than to one it has."""
-        d, at = self.search(v, 4 * replicas, 4 * replicas)
-        out: list[int] = []
-        for x, i in zip(d, at.tolist()):
-            if out and (x > boundary * d[0] + 1e-12 or len(out) >= replicas):
-                break
-            if all(((self.c[i] - self.c[j]) ** 2).sum() >= x * 0.6 for j in out):
-                out.append(i)
-        return out
+    def home(self, v: np.ndarray, replicas: int = REPLICAS, boundary: float = BOUNDARY) -> list[int]:
+        """The lists of a vector: its nearest centroid, and those almost as near."""
+        d, at = self.search(v, replicas, 4 * replicas)
+        return at[d <= boundary * d[0] + 1e-12].tolist()
 
-    def probe(self, q: np.ndarray, probes: int, ratio: float) -> list[int]:
-        d, at = self.search(q, probes)
-        return at[d <= ratio * d[0] + 1e-12].tolist()
+    def probe(self, q: np.ndarray, ratio: float = RATIO, share: float = SHARE) -> list[int]:
+        """The lists that a query opens."""
+        d, at = self.search(q, max(LEAST, round(share * len(self.c))))
+        near = d <= ratio * d[0] + 1e-12
+        near[:LEAST] = True
+        return at[near].tolist()
 
 
 def _unit(raw: bytes) -> np.ndarray:
@@ -205,61 +205,83 @@ def _unit(raw: bytes) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", probes: int = PROBES, ratio: float = RATIO, sample: int = SAMPLE) -> DataFrame:
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """In double precision, the same whatever else is computed."""
+    a, b = (x / np.abs(x).max() for x in (a, b))  # lengths neither overflow nor vanish
+    a, b = a.tolist(), b.tolist()
+    return max(-1.0, min(1.0, sumprod(a, b) / (sqrt(sumprod(a, a)) * sqrt(sumprod(b, b)))))
+
+
+OUT = "query_id long, rank int, vec_id long, score double"
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", ratio: float = RATIO, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query by cosine, nearest first, ties to smaller ids.
 
     queries are rows (vec_id, embedding) too; a row with the query's own id is no candidate. Vectors that are null, empty, zero, or
-    hold null or non-finite values take no part on either side, nor do null ids and vectors of another length than most.
-    Equal vectors are searched once and all rows get the result; of equal candidates, the k + 1 smallest ids are enough
-    for any query. With fewer candidates than k, all that the opened lists hold are returned; small tables are one list.
+    hold null or non-finite values take no part on either side, nor do null ids. Vectors of different lengths are compared with
+    their like only: each length is a search of its own. Equal vectors are searched once and all rows get the result; of equal
+    candidates, the k + 1 smallest ids are enough for any query. With fewer candidates than k, all of them are returned; tables of
+    up to LEAST lists are searched whole. Other columns are not read.
     """
-    spark = vectors.sparkSession
 
     def rows(df: DataFrame) -> DataFrame:
-        return df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
-
-    out = "query_id long, rank int, vec_id long, score double"
-    most = rows(vectors).where("id is not null and v is not null and size(v) > 0").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if most is None:
-        return spark.createDataFrame([], out)
-    dim = most["d"]
-    reps = materialize(_fold(rows(vectors), dim, k + 1), "vectors")
-    n = reps.count()
-    some = reps.orderBy(F.xxhash64("rep", F.lit(1)), "rep").select("vec").limit(sample).collect()
-    if not n:
-        return spark.createDataFrame([], out)
-    x = np.stack([_unit(r["vec"]) for r in some])
-    graph = spark.sparkContext.broadcast(Graph(centroids(x, max(1, min(CENTROIDS, n // LIST)))))
-
-    def posted(batches):
-        g = graph.value
-        for b in batches:
-            rep, lists, vec = [], [], []
-            for r, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for j in g.home(_unit(v), REPLICAS, BOUNDARY):
-                    rep.append(r)
-                    lists.append(j)
-                    vec.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array([r % BLOCKS for r in rep], pa.int32()), pa.array([None] * len(rep), pa.int64()), pa.array(rep, pa.int64()), pa.array(vec, pa.binary())], ["list", "block", "q", "rep", "vec"])
-
-    def opened(batches):
-        g = graph.value
-        for b in batches:
-            q, lists, vec = [], [], []
-            for r, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for j in g.probe(_unit(v), probes, ratio):
-                    q.append(r)
-                    lists.append(j)
-                    vec.append(v)
-            m = len(q)
-            yield pa.RecordBatch.from_arrays([pa.array(lists * BLOCKS, pa.int32()), pa.array([s for s in range(BLOCKS) for _ in range(m)], pa.int32()), pa.array(q * BLOCKS, pa.int64()), pa.array([None] * (m * BLOCKS), pa.int64()), pa.array(vec * BLOCKS, pa.binary())], ["list", "block", "q", "rep", "vec"])
-
-    schema = "list int, block int, q long, rep long, vec binary"
-    wanted = materialize(_fold(rows(queries), dim, 1).select("h", "rep", "vec"), "queries")
-    stream = reps.select("rep", "vec").mapInArrow(posted, schema).unionByName(wanted.select("rep", "vec").mapInArrow(opened, schema))
+        return df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+
+    some = [r["d"] for r in rows(vectors).select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    out = vectors.sparkSession.createDataFrame([], OUT)
+    for dim in some:
+        found = _search(rows(vectors).where(F.size("v") == dim), rows(queries).where(F.size("v") == dim), dim, k, ratio, share, sample)
+        out = found if len(some) == 1 else out.unionByName(found)
+    return out
+
+
+def _search(vectors: DataFrame, queries: DataFrame, dim: int, k: int, ratio: float, share: float, sample: int) -> DataFrame:
+    spark = vectors.sparkSession
+    reps = materialize(_fold(vectors, dim, k + 1), "vectors")
+    wanted = materialize(_fold(queries, dim, 1).select("h", "rep", "vec"), "queries")
+    n, asked = reps.count(), wanted.count()
+    if not n or not asked:
+        return spark.createDataFrame([], OUT)
+    # by hash, so that the sample is the same whatever way the rows lie
+    x = np.stack([_unit(r["vec"]) for r in reps.orderBy(F.xxhash64("rep", F.lit(1)), "rep").select("vec").limit(sample).collect()])
+    own = Graph(centroids(x, max(1, min(CENTROIDS, n // LIST))))
+    lists = len(own.c)
+    blocks = -(-REPLICAS * n // (lists * ROWS))
+    groups = -(-asked * max(LEAST, round(share * lists)) // (lists * ASKED))
+    graph = spark.sparkContext.broadcast(own)
+    schema = "list int, block int, part int, q long, rep long, vec binary"
+
+    def posted(queries: bool):
+        """Rows of vectors under the lists they are posted in, one for each group of queries; or of queries, one for each block of a list."""
+
+        def run(batches):
+            g = graph.value
+            for b in batches:
+                out: list[tuple] = []
+                for r, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    v = _unit(raw)
+                    short = v.astype(np.float32).tobytes()
+                    if queries:
+                        out += [(j, s, r % groups, r, None, short) for j in g.probe(v, ratio, share) for s in range(blocks)]
+                    else:
+                        out += [(j, r % blocks, s, None, r, short) for j in g.home(v) for s in range(groups)]
+                    if len(out) > 20_000:
+                        yield _rows(out)
+                        out = []
+                yield _rows(out)
+
+        return run
+
+    def _rows(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["list", "block", "part", "q", "rep", "vec"])
+
+    stream = reps.select("rep", "vec").mapInArrow(posted(False), schema).unionByName(wanted.select("rep", "vec").mapInArrow(posted(True), schema))
+    most = k + 1 + SPARE
 
     def scanned(batches):
-        """(q, rep, score) of the k + 1 best of each query in each block of a list."""
+        """(q, rep, score) of the nearest of each query in each block of a list."""
         key, names, held, q, best = None, [], [], None, None
 
         def result():
@@ -269,12 +291,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([-r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["q", "rep", "score"])
 
         for b in batches:
-            lists, blocks, qs, rs, vecs = (b.column(i).to_pylist() for i in range(5))
+            lists, blocks, parts, qs, rs, vecs = (b.column(i).to_pylist() for i in range(6))
             at = 0
             while at < len(lists):
-                here = (lists[at], blocks[at])
+                here = (lists[at], blocks[at], parts[at])
                 end = at
-                while end < len(lists) and (lists[end], blocks[end]) == here:
+                while end < len(lists) and (lists[end], blocks[end], parts[end]) == here:
                     end += 1
                 if here != key:
                     if (r := result()) is not None:
@@ -287,20 +309,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
                 held += vecs[at:mid]
                 if mid < end and names:
                     if q is None:
-                        q = np.frombuffer(b"".join(held), np.float64).reshape(-1, dim)
-                        size, best, held = np.linalg.norm(q, axis=1), [[] for _ in names], []
-                    v = np.frombuffer(b"".join(vecs[mid:end]), np.float64).reshape(-1, dim)
-                    norms = np.linalg.norm(v, axis=1)
+                        q, best, held = np.frombuffer(b"".join(held), np.float32).reshape(-1, dim), [[] for _ in names], []
+                    v = np.frombuffer(b"".join(vecs[mid:end]), np.float32).reshape(-1, dim)
                     ids = np.array(rs[mid:end])
                     for lo in range(0, len(q), QUERIES):
-                        s = (q[lo : lo + QUERIES] @ v.T) / (size[lo : lo + QUERIES, None] * norms[None, :])
-                        few = min(k + 1, s.shape[1])
+                        s = q[lo : lo + QUERIES] @ v.T
+                        few = min(most, s.shape[1])
                         top = np.argpartition(-s, few - 1, axis=1)[:, :few]
                         for i in range(len(s)):
                             x = best[lo + i]
                             for j in top[i]:
                                 e = (float(s[i, j]), -int(ids[j]))
-                                if len(x) < k + 1:
+                                if len(x) < most:
                                     heapq.heappush(x, e)
                                 elif e > x[0]:
                                     heapq.heapreplace(x, e)
@@ -308,20 +328,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
         if (r := result()) is not None:
             yield r
 
-    found = stream.repartition("list", "block").sortWithinPartitions("list", "block", F.col("q").asc_nulls_last()).mapInArrow(scanned, "q long, rep long, score double")
+    found = stream.repartition("list", "block", "part").sortWithinPartitions("list", "block", "part", F.col("q").asc_nulls_last()).mapInArrow(scanned, "q long, rep long, score double")
     near = found.groupBy("q", "rep").agg(F.max("score").alias("score"))
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("place") <= k + 1)
-    ids = near.join(reps.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("id"))
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("place") <= most).select("q", "rep")
+
+    def measured(batches):
+        for b in batches:
+            score = [cosine(np.frombuffer(x), np.frombuffer(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), b.column(1)], ["q", "score", "ids"])
+
+    pairs = near.join(reps.select("rep", "ids", F.col("vec").alias("v")), "rep").join(wanted.select(F.col("rep").alias("q"), "vec"), "q").select("q", "ids", "v", "vec")
+    ids = pairs.mapInArrow(measured, "q long, score double, ids array<long>").select("q", "score", F.explode("ids").alias("id"))
     # of a query's vector, the k + 1 nearest ids: enough for any row that has it, whichever of them is its own
     ids = ids.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k + 1)
     answer = ids.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("found"))
 
-    def asked(batches):
+    def named(batches):
         for b in batches:
             own = b.column(0).to_pylist()
             at, vecs = _valid(own, b.column(1), dim)
             yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in at], pa.int64()), pa.array([xxhash.xxh3_64_intdigest((v + 0.0).tobytes()) >> 1 for v in vecs], pa.int64())], ["query_id", "hq"])
 
-    every = rows(queries).mapInArrow(asked, "query_id long, hq long").join(wanted.select(F.col("h").alias("hq"), F.col("rep").alias("q")), "hq").join(answer, "q")
-    own = every.select("query_id", F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k).alias("f")).distinct()
-    return own.select("query_id", F.posexplode("f").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
+    every = queries.mapInArrow(named, "query_id long, hq long").join(wanted.select(F.col("h").alias("hq"), F.col("rep").alias("q")), "hq").join(answer, "q")
+    mine = every.select("query_id", F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k).alias("f")).distinct()
+    return mine.select("query_id", F.posexplode("f").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
