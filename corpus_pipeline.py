@@ -2,13 +2,17 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. Stages but the last return
 the columns of documents. Whoever runs the stages writes each result as Parquet and reads it as the next one's docs.
+
+Rows with a null id or text pass the filtering stages (a null text has no words, so nothing is found in it) and are packed as
+an end token alone. Rows that share an id are judged alike by near-dup and decontamination: if one goes, all go. An empty
+table gives empty results. Columns besides doc_id and text may have any names and stay as they are up to the last stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm._common import materialize
+from tessera.llm._common import fresh, materialize
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.minhash import near_duplicates
@@ -37,8 +41,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest id, of each group of near-duplicates."""
     from pyspark.sql import functions as F
 
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    (gone,) = fresh(docs.columns, "gone")
+    rest = near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(rest, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +58,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
 
-#: Three stages (trained grades, edit distances, bred packings) are beyond SQL; tests hold the run against brute force.
+#: Trained grades, edit distances and bred packings are beyond SQL; tests/llm/test_pipeline.py holds a run against brute force.
 ORACLE_SQL = None
 
 

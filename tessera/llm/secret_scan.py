@@ -14,6 +14,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import fresh
+
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -69,7 +71,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
     ids = d.select("_id", hit.alias("hit"))
     lowest = lambda x: x.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
     some = F.broadcast(lowest(ids.where("hit")))
-    none = F.broadcast(lowest(ids.where("not hit").select("_id").where(F.pmod(F.xxhash64("_id"), F.lit(8)) == 0)))
+    none = F.broadcast(lowest(ids.where("not hit")))
     random = d.join(some, "_id").select(F.explode(_values(F.col("t"))).alias("token"))
     plain = d.join(none, "_id").select(F.explode(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))).alias("token")).where(~F.col("token").rlike(UNSURE))
     n = [[0.0] * (K * K), [0.0] * (K * K)]
@@ -109,11 +111,13 @@ def scan(docs: DataFrame, model: MarkovModel, doc_id: str = "doc_id", text: str
     Offsets are code points of the whole text, ends exclusive. Null and empty texts have none. All columns of docs stay (one
     named as `out` is replaced), so ids may be null or repeat; every row is judged by itself.
     """
-    names = [c for c in docs.columns if c != out]
-    d = docs.select(*(F.col(f"`{c}`") for c in names), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t"))
-    every = lambda pattern, group=0: F.regexp_extract_all("__t", F.lit(pattern), F.lit(group))
-    d = d.withColumns({"__m0": every(ASSIGN), "__m1": every(ACCESS), "__m2": every(HEX), "__c": every(CANDIDATE)})
-    d = d.withColumn("__v0", F.when(F.size("__m0") > 0, every(ASSIGN, 2)).otherwise(F.array().cast("array<string>")))
+    names = [c for c in docs.columns if c.lower() != out.lower()]
+    wanted = ("t", "m0", "m1", "m2", "c", "v0", "random", "s0", "s1", "s2", "base", "drawn")
+    at = dict(zip(wanted, fresh(names, *wanted)))
+    d = docs.select(*(F.col(f"`{c}`") for c in names), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(at["t"]))
+    every = lambda pattern, group=0: F.regexp_extract_all(at["t"], F.lit(pattern), F.lit(group))
+    d = d.withColumns({at["m0"]: every(ASSIGN), at["m1"]: every(ACCESS), at["m2"]: every(HEX), at["c"]: every(CANDIDATE)})
+    d = d.withColumn(at["v0"], F.when(F.size(at["m0"]) > 0, every(ASSIGN, 2)).otherwise(F.array().cast("array<string>")))
     weights = F.lit(model.weights)
 
     def odds(token: Column) -> Column:
@@ -128,16 +132,16 @@ def scan(docs: DataFrame, model: MarkovModel, doc_id: str = "doc_id", text: str
         mixed = token.rlike(MIXED)
         return F.when(mixed, odds(token) >= F.greatest(F.lit(RATIO), RATIO_BY_CHAR * F.length(token))).otherwise(False)
 
-    d = d.withColumn("__random", F.transform("__c", drawn))
-    d = d.withColumns({f"__s{k}": _placed(f"__m{k}", "__t", p, k) for k, p in enumerate((ASSIGN, ACCESS, HEX))})
-    d = d.withColumn("__s0", F.filter("__s0", lambda x: F.length(F.element_at("__v0", x["i"])) >= 6))
-    some = F.exists("__random", lambda x: x)
+    d = d.withColumn(at["random"], F.transform(at["c"], drawn))
+    d = d.withColumns({at[f"s{k}"]: _placed(at[f"m{k}"], at["t"], p, k) for k, p in enumerate((ASSIGN, ACCESS, HEX))})
+    d = d.withColumn(at["s0"], F.filter(at["s0"], lambda x: F.length(F.element_at(at["v0"], x["i"])) >= 6))
+    some = F.exists(at["random"], lambda x: x)
     empty = F.array().cast("array<struct<s:int,k:int,e:int,i:int>>")
-    d = d.withColumn("__base", F.concat("__s0", "__s1", "__s2"))
-    d = d.withColumn("__drawn", F.when(some, F.filter(_placed("__c", "__t", CANDIDATE, 3), lambda x: F.element_at("__random", x["i"]))).otherwise(empty))
-    d = d.withColumn("__drawn", F.filter("__drawn", lambda x: ~F.exists("__base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))))
+    d = d.withColumn(at["base"], F.concat(at["s0"], at["s1"], at["s2"]))
+    d = d.withColumn(at["drawn"], F.when(some, F.filter(_placed(at["c"], at["t"], CANDIDATE, 3), lambda x: F.element_at(at["random"], x["i"]))).otherwise(empty))
+    d = d.withColumn(at["drawn"], F.filter(at["drawn"], lambda x: ~F.exists(at["base"], lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))))
     kinds = F.array(*map(F.lit, KINDS))
-    spans = F.transform(F.array_sort(F.concat("__base", "__drawn")), lambda x: F.struct(F.element_at(kinds, x["k"] + 1).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), F.substring(F.col("__t"), x["s"] + 1, x["e"] - x["s"]).alias("value")))
+    spans = F.transform(F.array_sort(F.concat(at["base"], at["drawn"])), lambda x: F.struct(F.element_at(kinds, x["k"] + 1).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), F.substring(F.col(at["t"]), x["s"] + 1, x["e"] - x["s"]).alias("value")))
     return d.select(*(F.col(f"`{c}`") for c in names), spans.alias(out))
 
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import fresh, materialize
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Rows of labels that training looks at; the bound of the sample.
 SAMPLE = 20_000
@@ -137,7 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """
     picked = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("long").alias("y")).where("_id is not null and y >= 0")
     picked = picked.groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "_id").select("text", "y")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(picked), "_id")
+    # one row for an id, the least text, so that no more than `sample` rows are looked at; they are read several times
+    rows = materialize(rows.groupBy("_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y"), "labelled")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("y") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return OrdinalModel({}, np.zeros(0), np.full(grades - 1, np.inf))
@@ -194,5 +198,6 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", out: str = "
 
 def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", at: float = REJECT) -> DataFrame:
     """The documents whose expected grade stays below `at`, with their columns as they were."""
-    kept = score(docs.select("*"), fit(docs, labels, doc_id, text), text, "__severity")
-    return kept.where(F.col("__severity") < at).drop("__severity")
+    (severity,) = fresh(docs.columns, "severity")
+    kept = score(docs, fit(docs, labels, doc_id, text), text, severity)
+    return kept.where(F.col(severity) < at).select(*(F.col(f"`{c}`") for c in docs.columns))

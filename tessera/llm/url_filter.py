@@ -1,9 +1,10 @@
 """URL filter: rules first, mined associations for the rest. DataFrame and SQL functions only.
 
 Rules name a host and the start of a path; the longest that fits decides. Other urls are judged by association: FP-growth
-mines combinations of url tokens from labelled pages, and combinations that mark a page as bad with enough support and
-confidence become rules too. They are matched by an inverted index: a rule is posted under its rarest token, a url looks
-its tokens up, and a posting counts if the url has all tokens of the rule.
+mines combinations of url tokens, and a mark for bad pages, from labelled pages. A combination is held against the same one with the
+mark: if that has enough support and confidence, and no part of the combination does as well, it becomes a rule. Rules are matched
+by an inverted index: a rule is posted under the token that the fewest urls have, a url looks its tokens up, and a posting
+counts if the url has all tokens of the rule.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import fresh, materialize
+
 #: (host, path, verdict): fixed values.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,8 +22,8 @@ SUPPORT, CONFIDENCE = 0.002, 0.6
 LEAST = 20
 #: Labelled pages that mining looks at; the bound of the sample.
 SAMPLE = 200_000
-#: Tokens of the longest combination.
-LONGEST = 4
+#: Parts of a token's urls that are matched apart, as one token may be in most of them.
+SALTS = 8
 BAD = "\x00bad"
 
 
@@ -48,46 +51,60 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens_of(url: Column) -> Column:
-    """The distinct tokens of a url: scheme, each label and label part of the host, path and query parts, each with its place."""
+    """The distinct tokens of a url: each label of the host (but www), each part of a label that has several, and those of path and query, with their place."""
     def parts(of: Column, pattern: str, mark: str) -> Column:
         return F.transform(F.filter(F.split(F.lower(of), pattern), lambda x: F.length(x) > 0), lambda x: F.concat(F.lit(mark), x))
 
+    labels = F.filter(F.split(host_of(url), r"\."), lambda x: (F.length(x) > 0) & (x != "www"))
+    joined = F.array_join(F.filter(labels, lambda x: x.rlike("[-_0-9]")), "-")
     tail = F.regexp_extract(url, r"[?#](.*)$", 1)
-    host = host_of(url)
-    return F.coalesce(F.array_distinct(F.concat(parts(F.regexp_extract(url, r"^([^:/?#]*)://", 1), r":", "s:"), parts(host, r"\.", "h:"), parts(host, r"[.\-_0-9]+", "w:"), parts(path_of(url), r"[/\-_.,]+", "p:"), parts(tail, r"[=&#?\-_]+", "q:"))), F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(F.concat(F.transform(labels, lambda x: F.concat(F.lit("h:"), x)), parts(joined, r"[\-_0-9]+", "w:"), parts(path_of(url), r"[/\-_.,]+", "p:"), parts(tail, r"[=&#?\-_]+", "q:"))), F.array().cast("array<string>"))
 
 
 def mine(pages: DataFrame, labels: DataFrame, url: str = "url", page_id: str = "page_id", label_id: str = "doc_id", bad: Column | None = None, support: float = SUPPORT, confidence: float = CONFIDENCE, sample: int = SAMPLE) -> DataFrame:
     """(tokens, confidence, support) of the combinations of url tokens that mark bad pages; none with fewer than LEAST labelled pages.
 
     Labelled pages are those whose id a label names, `sample` of them at most, whose ids hash lowest. bad says which labels
-    are bad: by default those of low quality or toxic. A rule with a shorter rule inside it adds nothing and is left out.
+    are bad: by default those of low quality or toxic. A combination that holds a rule of at least its confidence adds nothing and is
+    left out. Null ids and urls are left out; of a page with several labels, one bad one counts; repeated pages count each.
     """
     from pyspark.ml.fpm import FPGrowth
 
+    spark = pages.sparkSession
     bad = F.expr("quality = 0 or toxic = 1") if bad is None else bad
-    marked = labels.select(F.col(label_id).cast("long").alias("_l"), F.coalesce(bad, F.lit(False)).alias("_bad")).where("_l is not null").groupBy("_l").agg(F.max("_bad").alias("_bad"))
-    p = pages.select(F.col(page_id).cast("long").alias("_p"), F.col(url).cast("string").alias("_u")).where("_p is not null and _u is not null")
-    rows = p.join(marked, F.col("_p") == F.col("_l")).select("_p", tokens_of(F.col("_u")).alias("t"), "_bad").orderBy(F.xxhash64("_p"), "_p").limit(sample)
-    # tokens that are rarer than any rule may be can be in none: they needn't reach the trees
-    n = rows.count()
+    marked = labels.select(F.col(f"`{label_id}`").cast("long").alias("l"), F.coalesce(bad, F.lit(False)).alias("b")).where("l is not null").groupBy("l").agg(F.max("b").alias("b"))
+    p = pages.select(F.col(f"`{page_id}`").cast("long").alias("p"), F.col(f"`{url}`").cast("string").alias("u")).where("p is not null and u is not null")
+    rows = p.join(marked, F.col("p") == F.col("l")).select("p", "u", "b").orderBy(F.xxhash64("p"), "p", "u").limit(sample)
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("row"), tokens_of(F.col("u")).alias("t"), "b"), "labelled")
+    n, n_bad = rows.agg(F.count("*"), F.count_if("b")).first()
     schema = "tokens array<string>, confidence double, support double"
-    if n < LEAST:
-        return pages.sparkSession.createDataFrame([], schema)
-    support = min(1.0, max(support, LEAST / n))
-    common = rows.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") >= support * n).select("w")
-    kept = rows.select("_p", "_bad", F.explode("t").alias("w")).join(common, "w", "left_semi").groupBy("_p").agg(F.collect_set("w").alias("t"), F.max("_bad").alias("_bad"))
-    items = kept.select(F.when(F.col("_bad"), F.array_append("t", BAD)).otherwise(F.col("t")).alias("items"))
-    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
-    rules = rules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= LONGEST))
-    return rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    if n < LEAST or not n_bad:
+        return spark.createDataFrame([], schema)
+    least = min(n, max(support * n, LEAST))
+    # tokens that fewer bad pages have than any rule must rest on can be in none: they needn't reach the trees
+    common = rows.where("b").select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("w")
+    kept = rows.select("row", "b", F.explode("t").alias("w")).join(common, "w", "left_semi").groupBy("row").agg(F.collect_set("w").alias("t"), F.max("b").alias("b"))
+    items = kept.select(F.when(F.col("b"), F.array_append("t", BAD)).otherwise(F.col("t")).alias("items"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = FPGrowth(itemsCol="items", minSupport=least / n, numPartitions=parts).fit(items).freqItemsets
+    sets = materialize(sets.select(F.array_sort(F.filter("items", lambda x: x != BAD)).alias("tokens"), F.array_contains("items", BAD).alias("b"), "freq").where(F.size("tokens") > 0), "itemsets")
+    share = (F.col("f") / F.col("freq")).alias("confidence")
+    rules = sets.where("b").select("tokens", F.col("freq").alias("f")).join(sets.where("not b").select("tokens", "freq"), "tokens").select("tokens", share, (F.col("f") / n).alias("support")).where(F.col("confidence") >= confidence)
+    rules = materialize(rules, "rules")
+    few = rules.select(F.explode("tokens").alias("k"), F.col("tokens").alias("all"), F.col("confidence").alias("sure"))
+    held = rules.select(F.element_at("tokens", 1).alias("k"), F.col("tokens").alias("part"), F.col("confidence").alias("own")).join(few, "k")
+    held = held.where((F.size("part") < F.size("all")) & (F.col("own") >= F.col("sure")) & (F.size(F.array_except("part", "all")) == 0)).select(F.col("all").alias("tokens")).distinct()
+    return rules.join(held, "tokens", "left_anti").select("tokens", "confidence", "support")
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(u) of the distinct urls, rows (u, t), that hold all tokens of a rule: by an index of the rules under their rarest token."""
-    posted = rules.select(F.explode("tokens").alias("k"), "tokens").groupBy("k").agg(F.count("*").alias("n"))
-    key = rules.select(F.explode("tokens").alias("k"), "tokens").join(posted, "k").groupBy("tokens").agg(F.min(F.struct("n", "k"))["k"].alias("k"))
-    looked = urls.select("u", "t", F.explode("t").alias("k")).join(key, "k").where(F.size(F.array_except("tokens", "t")) == 0)
+    """(u) of the distinct urls, rows (u, t), that hold all tokens of a rule: by an index of the rules under the token that fewest urls have."""
+    own = rules.select(F.explode("tokens").alias("k"), "tokens")
+    counted = urls.select(F.explode("t").alias("k")).join(own.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.count("*").alias("n"))
+    # a rule with a token that no url has matches none
+    key = own.join(counted, "k", "left").groupBy("tokens").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k")).alias("m")).where("m.n > 0")
+    key = key.select("tokens", F.col("m.k").alias("k"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    looked = urls.select("u", "t", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int").alias("salt"), F.explode("t").alias("k")).join(key, ["k", "salt"]).where(F.size(F.array_except("tokens", "t")) == 0)
     return looked.select("u").distinct()
 
 
@@ -95,14 +112,16 @@ def judge(pages: DataFrame, mined: DataFrame, url: str = "url", rules=RULES) ->
     """pages with host, path, rule and verdict; columns of these names are replaced, all others and all rows stay.
 
     A null url, or one without ://, has an empty host and path, fits no rule and is allowed unless its tokens match.
+    Columns of pages may have any other names.
     """
     own = ("host", "path", "rule", "verdict")
-    names = [c for c in pages.columns if c not in own]
-    p = pages.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{url}`").cast("string").alias("__u"))
-    p = p.withColumns({"__host": host_of(F.col("__u")), "__path": path_of(F.col("__u"))})
-    p = p.withColumn("__rule", rule_for(F.col("__host"), F.col("__path"), rules))
-    open_ = p.where("__rule is null and __u is not null").select(F.col("__u").alias("u")).distinct().select("u", tokens_of(F.col("u")).alias("t"))
-    found = matches(open_, mined).select(F.col("u").alias("__bad"))
-    p = p.join(found, F.col("__u") == F.col("__bad"), "left")
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("__bad").isNotNull(), "block").otherwise("allow"))
-    return p.select(*(F.col(f"`{c}`") for c in names), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule.rule").alias("rule"), verdict.alias("verdict"))
+    names = [c for c in pages.columns if c.lower() not in own]
+    u, host, path, rule, bad = fresh(pages.columns, "u", "h", "p", "r", "bad")
+    p = pages.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{url}`").cast("string").alias(u))
+    p = p.withColumns({host: host_of(F.col(u)), path: path_of(F.col(u))})
+    p = p.withColumn(rule, rule_for(F.col(host), F.col(path), rules))
+    open_ = p.where(F.col(rule).isNull() & F.col(u).isNotNull()).select(F.col(u).alias("u")).distinct().select("u", tokens_of(F.col("u")).alias("t"))
+    found = matches(open_, mined).select(F.col("u").alias(bad))
+    p = p.join(found, F.col(u) == F.col(bad), "left")
+    verdict = F.coalesce(F.col(f"{rule}.verdict"), F.when(F.col(bad).isNotNull(), "block").otherwise("allow"))
+    return p.select(*(F.col(f"`{c}`") for c in names), F.col(host).alias("host"), F.col(path).alias("path"), F.col(f"{rule}.rule").alias("rule"), verdict.alias("verdict"))
