@@ -26,7 +26,7 @@ IMPORTS = {
     "subprocess": ("high", "command_execution"),
     "webbrowser": ("medium", "data_exfiltration"),
 }
-NETWORK = ("aiohttp", "ftplib", "http", "httpx", "requests", "smtplib", "socket", "telnetlib", "urllib", "urllib3")
+NETWORK = ("aiohttp", "ftplib", "httpx", "requests", "smtplib", "socket", "telnetlib", "urllib", "urllib3")
 #: Where outside data comes from, and where it must not go.
 TAINT_ATTRIBUTES = ("args", "body", "cookies", "data", "form", "headers", "input", "json", "options", "params", "query", "query_string", "user_input")
 TAINT_CALLS = ("input", "raw_input")
@@ -115,6 +115,15 @@ def _flows(body: list[ast.stmt], names: set[str]):
             yield from _flows(h.body, set(names))
 
 
+def _validated(node: ast.AST) -> bool:
+    """Is it a call of vol.x or cv.x, or of what such a call returns?"""
+    while isinstance(node, ast.Call):
+        node = node.func
+        if isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name) and node.value.id in ("vol", "cv"):
+            return True
+    return False
+
+
 def python_facts(source: str) -> list[tuple[str, str, int, str]]:
     """(kind, name, line, detail): call, import, flow, platform facts of a file, each once for a name and line."""
     try:
@@ -139,16 +148,20 @@ def python_facts(source: str) -> list[tuple[str, str, int, str]]:
             n = _name(x.func)
             if n in CALLS and path[:-1] != ["re"]:
                 put("call", n, x)
-            if len(path) >= 3 and (path[-2], path[-1]) in PLATFORM_CALLS or len(path) == 2 and path[0] in ("services", "bus") and tuple(path) in PLATFORM_CALLS:
-                fixed = all(isinstance(a, ast.Constant) for a in x.args[:2])
-                put("platform", f"{path[-2]}.{path[-1]}", x, "fixed" if fixed else "dynamic")
-            if path[-2:] in (["states", "set"], ["states", "async_set"]) and x.args and not isinstance(x.args[0], ast.Constant):
-                put("state", path[-1], x, "dynamic")
-        elif isinstance(x, ast.Attribute) and x.attr in PLATFORM_ACCESS and (_name(x.value) == "hass"):
+            # a method of an attribute of anything: hass.services.call, self.hass.bus.fire, ...
+            owner = x.func.value.attr if isinstance(x.func, ast.Attribute) and isinstance(x.func.value, ast.Attribute) else ""
+            if (owner, n) in PLATFORM_CALLS:
+                put("platform", f"{owner}.{n}", x)
+                if owner == "services" and any(not isinstance(a, ast.Constant) for a in x.args[:2]):
+                    put("dynamic", f"{owner}.{n}", x)
+            if owner == "states" and n in ("set", "async_set") and x.args and not isinstance(x.args[0], ast.Constant):
+                put("state", n, x)
+        elif isinstance(x, ast.Attribute) and x.attr in PLATFORM_ACCESS and (isinstance(x.value, ast.Name) and x.value.id == "hass" or isinstance(x.value, ast.Attribute) and x.value.attr in ("hass", "_hass")):
             put("access", x.attr, x)
-        elif isinstance(x, ast.Assign) and any(_name(t) in SCHEMAS for t in x.targets):
-            if not any(isinstance(y, ast.Name) and y.id in ("vol", "cv") for y in ast.walk(x.value)):
-                put("schema", next(_name(t) for t in x.targets if _name(t) in SCHEMAS), x)
+        elif isinstance(x, ast.Assign):
+            for t in x.targets:
+                if isinstance(t, ast.Name) and t.id in SCHEMAS and not _validated(x.value):
+                    put("schema", t.id, x)
     for node, sink in _flows(tree.body, set()):
         shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)
         put("flow", sink, node, "shell" if shell else "")
@@ -188,7 +201,7 @@ def import_findings(f: DataFrame) -> DataFrame:
     hit = i.join(rules, (F.col("name") == F.col("module")) | F.startswith("name", F.concat(F.col("module"), F.lit("."))))
     danger = hit.groupBy("scan_id", "path", "module", "severity", "category", "line").agg(F.min("code").alias("code"))
     danger = danger.select("scan_id", F.col("path").alias("file"), "severity", "category", "line", "code", F.concat(F.lit("imports "), F.col("module")).alias("description"))
-    net = i.where("kind = 'import'").where(F.split_part("name", F.lit("."), F.lit(1)).isin(*NETWORK) & ((F.split_part("name", F.lit("."), F.lit(1)) != "http") | F.startswith("name", F.lit("http.client"))))
+    net = i.where("kind = 'import'").where(F.split_part("name", F.lit("."), F.lit(1)).isin(*NETWORK))
     return danger.unionByName(net.select("scan_id", F.col("path").alias("file"), F.lit("info").alias("severity"), F.lit("network").alias("category"), "line", "code", F.concat(F.lit("imports "), F.col("name")).alias("description")))
 
 
@@ -201,12 +214,12 @@ def flow_findings(f: DataFrame) -> DataFrame:
 
 
 def platform_findings(f: DataFrame) -> DataFrame:
-    """Platform calls (high if the first two arguments aren't constants), dynamic states, access to auth and config, schemas without validators."""
-    calls = _table(f, {".".join(k): v for k, v in PLATFORM_CALLS.items()}, "name")
-    a = f.where("kind = 'platform'").join(calls, "name").select("scan_id", "path", F.when(F.col("detail") == "dynamic", "high").otherwise(F.col("severity")).alias("severity"), F.when((F.col("detail") == "dynamic") & (F.col("category") == "ha_api_risk"), "ha_dynamic_service").otherwise(F.col("category")).alias("category"), "line", "code", "name")
-    b = f.where("kind = 'access'").join(_table(f, PLATFORM_ACCESS, "name"), "name").select("scan_id", "path", "severity", "category", "line", "code", "name")
-    c = f.where("kind in ('state', 'schema')").select("scan_id", "path", F.when(F.col("kind") == "state", "medium").otherwise("low").alias("severity"), F.when(F.col("kind") == "state", "ha_state_manipulation").otherwise("ha_missing_validation").alias("category"), "line", "code", "name")
-    x = a.unionByName(b).unionByName(c)
+    """Platform calls, service calls whose first two arguments aren't all constants, dynamic states, access to auth and config, schemas
+    without validators. One for a category and line."""
+    rules = {f"platform:{'.'.join(k)}": v for k, v in PLATFORM_CALLS.items()} | {f"access:{k}": v for k, v in PLATFORM_ACCESS.items()}
+    rules |= {f"dynamic:services.{m}": ("high", "ha_dynamic_service") for m in ("call", "async_call")} | {f"state:{m}": ("medium", "ha_dynamic_entity") for m in ("set", "async_set")}
+    rules |= {f"schema:{n}": ("medium", "ha_no_validation") for n in SCHEMAS}
+    x = f.withColumn("what", F.concat_ws(":", "kind", "name")).join(_table(f, rules, "what"), "what")
     return x.groupBy("scan_id", F.col("path").alias("file"), "category", "line").agg(F.min(F.struct("name", "severity", "code")).alias("m")).select("scan_id", "file", "m.severity", "category", "line", "m.code", F.concat(F.lit("Platform use: "), F.col("m.name")).alias("description"))
 
 
@@ -281,7 +294,7 @@ def script_facts(source: str) -> list[tuple[str, str, int]]:
 def script_findings(files: DataFrame) -> DataFrame:
     """Script rules by token; a finding for each category and line. Kind `unparsed` comes as category parse_info."""
     fixed = {f"{kind}:{name}": v for kind, names in SCRIPT.items() for name, v in names.items()}
-    fixed |= {"timer:setTimeout": ("high", "code_injection"), "timer:setInterval": ("high", "code_injection"), "element:script": ("high", "script_injection"), "element:iframe": ("high", "script_injection"), "source:src": ("medium", "data_exfiltration"), "unparsed:": ("info", "parse_info")}
+    fixed |= {"timer:setTimeout": ("high", "code_injection"), "timer:setInterval": ("high", "code_injection"), "element:script": ("high", "script_injection"), "element:iframe": ("high", "script_injection"), "source:src": ("medium", "script_injection"), "unparsed:": ("info", "parse_info")}
 
     def run(batches):
         for b in batches:
@@ -299,7 +312,9 @@ def script_findings(files: DataFrame) -> DataFrame:
     return files.where("content is not null").select("scan_id", "path", "content").mapInArrow(run, FINDING)
 
 
-_template = re.compile(TEMPLATE, re.S)
+_template = re.compile(TEMPLATE)
+#: Hosts of one's own network.
+_private = re.compile(r"http://(localhost|127\.0\.0\.1|192\.168\.|10\.|172\.(1[6-9]|2\d|3[01])\.)")
 
 
 def yaml_findings_of(text: str) -> list[tuple[str, str, str]]:
@@ -321,43 +336,39 @@ def yaml_findings_of(text: str) -> list[tuple[str, str, str]]:
         return []
     out: list[tuple[str, str, str]] = []
     holds = lambda v: isinstance(v, str) and bool(_template.search(v))
-
-    def action(x) -> None:
-        if not isinstance(x, dict):
-            return
-        service = x.get("service")
-        if isinstance(x.get("service_template"), str):
-            out.append(("medium", "template_injection", "service_template"))
-        if holds(service):
-            out.append(("high", "template_injection", "service by template"))
-        data = x.get("data") or x.get("data_template")
-        if isinstance(service, str) and service.startswith(("shell_command.", "python_script.", "script.")) and isinstance(data, dict) and any(map(holds, data.values())):
-            out.append(("high", "command_execution", f"template data into {service.split('.')[0]}"))
-        for key in ("sequence", "then", "else", "default"):
-            for y in x.get(key) if isinstance(x.get(key), list) else [x.get(key)]:
-                action(y)
-        for y in x.get("choose") if isinstance(x.get("choose"), list) else []:
-            action(y)
-
-    def section(name: str, x) -> None:
-        if name in ("automation", "script"):
-            for y in x if isinstance(x, list) else x.values() if isinstance(x, dict) else []:
-                if isinstance(y, dict):
-                    for key in ("action", "actions", "sequence"):
-                        for z in y.get(key) if isinstance(y.get(key), list) else [y.get(key)]:
-                            action(z)
-        if name in ("rest_command", "rest"):
-            for y in x.values() if isinstance(x, dict) else x if isinstance(x, list) else []:
-                url = y.get("url") or y.get("resource") if isinstance(y, dict) else None
-                if isinstance(url, str) and url.startswith("http://"):
-                    out.append(("medium", "insecure_url", f"{name} over http"))
+    plain_http = lambda v: isinstance(v, str) and v.startswith("http://") and not _private.match(v)
+
+    def actions(xs) -> None:
+        for x in xs if isinstance(xs, list) else []:
+            if not isinstance(x, dict):
+                continue
+            service = x.get("service") if isinstance(x.get("service"), str) else ""
+            if "service_template" in x:
+                out.append(("high", "automation_injection", "service_template"))
+            if holds(service):
+                out.append(("high", "automation_injection", f"service by template: {service[:80]}"))
+            data = x.get("data_template") or x.get("data")
+            if isinstance(data, dict) and service.startswith(("shell_command", "script")):
+                out.extend(("high", "template_injection", f"template in {k} goes to {service}") for k, v in data.items() if holds(v))
+            for key in ("sequence", "then", "else", "default"):
+                actions(x.get(key))
+            for y in x.get("choose") if isinstance(x.get("choose"), list) else []:
+                actions(y.get("sequence") if isinstance(y, dict) else None)
 
     if isinstance(top, dict):
-        for name, x in top.items():
-            section(str(name).split(" ")[0], x)
-    elif isinstance(top, list):
-        section("automation", top)
-    return list(dict.fromkeys(out))
+        own = top.get("automation")
+        for x in own if isinstance(own, list) else [own]:
+            if isinstance(x, dict):
+                first = x.get("action") or x.get("actions") or x.get("sequence")
+                actions([first] if isinstance(first, dict) else first)
+        commands = top.get("rest_command")
+        for name, x in commands.items() if isinstance(commands, dict) else ():
+            if plain_http(x.get("url") if isinstance(x, dict) else x):
+                out.append(("medium", "insecure_transport", f"rest_command {name} over http"))
+        for x in top.get("rest") if isinstance(top.get("rest"), list) else []:
+            if isinstance(x, dict) and plain_http(x.get("resource") or x.get("url")):
+                out.append(("medium", "insecure_transport", f"rest resource over http: {(x.get('resource') or x.get('url'))[:60]}"))
+    return out
 
 
 def yaml_structure_findings(files: DataFrame) -> DataFrame:

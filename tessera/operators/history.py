@@ -13,19 +13,19 @@ WATCHED = ("score", "findings_count", "total_lines", "network_domain_count")
 # Scans of a component: domain, repo_url, id, scanned_at, score (nullable), ...
 
 
-def _trend(scores):
-    """The last three scores, first to last: by more than 0.5 up or down, else stable; fewer than two are stable."""
-    last = F.slice(scores, -F.least(F.size(scores), F.lit(3)), F.lit(3))
-    d = F.element_at(last, -1) - F.element_at(last, 1)
-    return F.when(F.size(scores) < 2, "stable").when(d > 0.5, "improving").when(d < -0.5, "declining").otherwise("stable")
-
-
 def reputation(history: DataFrame) -> DataFrame:
-    """(domain, scan_count, avg_score, latest_score, trend): all scans count, scores are those that are there. avg is half-even at one place."""
-    got = F.struct("scanned_at", "id", "score")
-    x = history.groupBy("domain").agg(F.count("*").alias("scan_count"), F.bround(F.avg("score"), 1).alias("avg_score"), F.max_by("score", F.when(F.col("score").isNotNull(), F.struct("scanned_at", "id"))).alias("latest_score"), F.array_sort(F.collect_list(F.when(F.col("score").isNotNull(), got))).alias("s"))
-    x = x.withColumn("s", F.transform("s", lambda r: r["score"]))
-    return x.select("domain", "scan_count", "avg_score", "latest_score", F.when(F.size("s") == 0, "stable").otherwise(_trend(F.col("s"))).alias("trend"))
+    """(domain, scan_count, avg_score, latest_score, trend): all scans count, scores are those that are there. avg is half-even at one place.
+
+    The trend is that of the last three scores: by more than 0.5 up or down from the first to the last of them, else stable; fewer than
+    two are stable. Only those three are held for a domain, whatever the number of its scans.
+    """
+    w = Window.partitionBy("domain").orderBy(F.col("scanned_at").desc(), F.col("id").desc())
+    last = history.where("score is not null").select("domain", "score", F.row_number().over(w).alias("n")).where("n <= 3")
+    last = last.groupBy("domain").agg(F.max_by("score", F.when(F.col("n") == 1, F.col("n"))).alias("latest_score"), F.max_by("score", "n").alias("oldest"))
+    d = F.col("latest_score") - F.col("oldest")
+    trend = F.when(d > 0.5, "improving").when(d < -0.5, "declining").otherwise("stable")
+    x = history.groupBy("domain").agg(F.count("*").alias("scan_count"), F.bround(F.avg("score"), 1).alias("avg_score"))
+    return x.join(last, "domain", "left").select("domain", "scan_count", "avg_score", "latest_score", trend.alias("trend"))
 
 
 def all_reputations(history: DataFrame) -> DataFrame:
@@ -127,11 +127,49 @@ def shared_domains(fps: DataFrame, top: int = 20) -> DataFrame:
 
 
 #: Imports that every component has, and hosts that few should talk to.
-COMMON_IMPORTS = tuple(str.split("""
-abc aiohttp argparse asyncio base64 collections configparser contextlib copy dataclasses datetime enum functools hashlib homeassistant http
-io itertools json logging math multiprocessing os pathlib re shutil socket ssl string struct subprocess sys tempfile textwrap threading time
-typing unittest urllib uuid voluptuous
-"""))
+COMMON_IMPORTS = (
+    "abc",
+    "aiohttp",
+    "argparse",
+    "asyncio",
+    "base64",
+    "collections",
+    "configparser",
+    "contextlib",
+    "copy",
+    "dataclasses",
+    "datetime",
+    "enum",
+    "functools",
+    "hashlib",
+    "homeassistant",
+    "http",
+    "io",
+    "itertools",
+    "json",
+    "logging",
+    "math",
+    "multiprocessing",
+    "os",
+    "pathlib",
+    "re",
+    "shutil",
+    "socket",
+    "ssl",
+    "string",
+    "struct",
+    "subprocess",
+    "sys",
+    "tempfile",
+    "textwrap",
+    "threading",
+    "time",
+    "typing",
+    "unittest",
+    "urllib",
+    "uuid",
+    "voluptuous",
+)
 SUSPICIOUS_HOSTS = ("hastebin.com", "ngrok.io", "pastebin.com", "pipedream.com", "requestbin.com", "transfer.sh", "webhook.site")
 
 
@@ -186,6 +224,26 @@ def recovered(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("status", F.when(F.col("status") == "running", "failed").otherwise(F.col("status")))
 
 
+def scans_total(jobs: DataFrame) -> DataFrame:
+    """(scans_total): jobs that are done; none is 0."""
+    return jobs.agg(F.count_if(F.col("status") == "done").alias("scans_total"))
+
+
+def batches(jobs: DataFrame) -> DataFrame:
+    """batch_status with created_at, that of the first job."""
+    return batch_status(jobs).join(jobs.where("batch_id is not null").groupBy("batch_id").agg(F.min("created_at").alias("created_at")), "batch_id")
+
+
+def batch(jobs: DataFrame, batch_id: str) -> DataFrame:
+    """One batch by its id; no row if there is none."""
+    return batches(jobs.where(F.col("batch_id") == batch_id))
+
+
+def active_batches(jobs: DataFrame) -> DataFrame:
+    """Batches that run, newest first."""
+    return batches(jobs).where("status = 'running'").orderBy(F.desc("created_at"), "batch_id")
+
+
 def batch_status(jobs: DataFrame) -> DataFrame:
     """(batch_id, total, completed, failed, status), counted from the jobs' own status."""
     s = F.col("status")

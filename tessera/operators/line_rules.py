@@ -51,17 +51,17 @@ SCRIPT_PATTERNS = (
     (r"(?i)paypal\.com|paypal\.me|paypalobjects\.com", "medium", "payment"),
     (r"(?i)stripe\.com|stripe\.js", "medium", "payment"),
 )
-#: Fixed values: (pattern, pattern of what is exempt, severity, category, every line rather than the first).
+#: Fixed values: (pattern, severity, category, every hit rather than the first, another pattern that the file must hold too).
+YAML_SERVICES = r"^\s*(shell_command|command_line)\s*:"
 YAML_PATTERNS = (
-    (r"^\s*(shell_command|command_line)\s*:", None, "high", "command_execution", True),
-    (r"""(?i)^\s*(password|api_key|token|secret|client_secret)\s*:\s*["']?[^\s!][^\s#"']{8,}""", None, "high", "hardcoded_secret", False),
-    (r"""(?i)^\s*url\s*:\s*["']?http://""", r"""(?i)^\s*url\s*:\s*["']?http://(localhost|127\.0\.0\.1|192\.168\.|10\.|172\.(1[6-9]|2[0-9]|3[01])\.)""", "medium", "insecure_url", False),
-    (r"\{[%{].*?\b(eval|exec|import|__import__|compile)\b.*?[%}]\}", None, "high", "template_injection", False),
-    (r"\{[{%].*?(https?://[^\s}%]+).*?[%}]\}", None, "medium", "network", False),
+    (YAML_SERVICES, "medium", "command_execution", True, None),
+    (r"""(?i)^\s*(password|api_key|token|secret|client_secret)\s*:\s*["']?[^\s!][^\s#"']{8,}""", "high", "hardcoded_secret", False, None),
+    (r"""(?i)^\s*url\s*:\s*["']?http://(?!localhost|127\.0\.0\.1|192\.168\.|10\.|172\.(1[6-9]|2\d|3[01])\.)""", "low", "insecure_transport", False, None),
+    (r"\{[%{].*?\b(eval|exec|import|__import__|compile)\b.*?[%}]\}", "critical", "code_injection", False, None),
+    (r"\{[{%].*?states\s*\(.*?\).*?[%}]\}", "high", "template_injection", False, YAML_SERVICES),
 )
 SECRET_IN_COMMENT = r"(?i)#.*\b(password|api_key|token|secret|client_secret)\s*[:=]\s*\S{8,}"
 TEMPLATE = r"\{\{.*?\}\}|\{%.*?%\}"
-SHELL_TEMPLATE = r"\{[{%].*?states\s*\(.*?\).*?[%}]\}"
 #: Signs of obfuscated scripts, hosts that are fine to see there, and words that tell of payment.
 HEX_NAME = r"_0x[0-9a-f]{4,}"
 TECHNIQUES = (
@@ -80,48 +80,48 @@ def numbered_lines(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select("scan_id", "path", F.posexplode(lines(F.col(content))).alias("p", "text")).select("scan_id", "path", (F.col("p") + 1).alias("line"), "text")
 
 
-def _first_hits(files: DataFrame, hits: list[tuple[Column, str, str, str]], maybe: Column) -> DataFrame:
-    """The first line of each file that each rule hits: the rules of a line are told at once, then the least line is taken."""
-    told = F.filter(F.array(*(F.when(hit, F.struct(F.lit(k).alias("rule"), F.lit(sev).alias("severity"), F.lit(cat).alias("category"), F.lit(name).alias("name"))) for k, (hit, sev, cat, name) in enumerate(hits))), lambda x: x.isNotNull())
-    rows = numbered_lines(files.where(maybe)).withColumn("hits", told).where(F.size("hits") > 0)
-    x = rows.select("scan_id", "path", "line", "text", F.explode("hits").alias("h")).groupBy("scan_id", "path", "h.rule", "h.severity", "h.category", "h.name").agg(F.min(F.struct("line", "text")).alias("m"))
-    return x.select("scan_id", F.col("path").alias("file"), F.col("rule"), "severity", "category", F.col("m.line").alias("line"), snippet(F.col("m.text")).alias("code"), F.col("name").alias("description"))
+def _hit(pattern: str):
+    return lambda x: x.rlike(pattern)
+
+
+def _first_hits(files: DataFrame, rules: list[tuple[str, str, str, str, str | None]]) -> DataFrame:
+    """The first line of each file that each rule (pattern, severity, category, name, a pattern the file must hold too) hits.
+
+    A file stays one row: a rule that the whole text can't match costs one search, another looks along the list of lines. No
+    row for each line, no shuffle.
+    """
+    t = F.col("content")
+    own = lines(t)
+    one_line = lambda p: "(?m)" + p
+    hits = []
+    for k, (p, sev, cat, name, also) in enumerate(rules):
+        first = F.array_position(F.transform("ls", _hit(p)), True).cast("int")
+        told = F.struct(F.lit(k).alias("rule"), F.lit(sev).alias("severity"), F.lit(cat).alias("category"), F.lit(name).alias("description"), first.alias("line"))
+        maybe = t.rlike(one_line(p)) & (t.rlike(one_line(also)) if also else F.lit(True))
+        hits.append(F.when(maybe, told))
+    x = files.where(t.isNotNull()).withColumn("ls", own).select("scan_id", "path", "ls", F.explode(F.filter(F.array(*hits), lambda h: h["line"] > 0)).alias("h"))
+    return x.select("scan_id", F.col("path").alias("file"), "h.rule", "h.severity", "h.category", "h.line", snippet(F.element_at("ls", F.col("h.line"))).alias("code"), "h.description")
 
 
 def scan_parts(files: DataFrame, rules=PYTHON_PARTS) -> DataFrame:
     """The first line of each file that holds each part, in any case."""
-    text = F.lower("text")
-    hits = [(F.contains(text, F.lit(p)), sev, cat, f"holds {p}") for p, sev, cat in rules]
-    maybe = F.lit(False)
-    for p, *_ in rules:
-        maybe |= F.contains(F.lower("content"), F.lit(p))
-    return _first_hits(files, hits, maybe)
+    return _first_hits(files, [(r"(?i)\Q" + p + r"\E", sev, cat, f"holds {p}", None) for p, sev, cat in rules])
 
 
 def scan_script_patterns(files: DataFrame, rules=SCRIPT_PATTERNS) -> DataFrame:
     """The first line of each file that each script pattern hits."""
-    hits = [(F.col("text").rlike(p), sev, cat, f"matches {p}") for p, sev, cat in rules]
-    maybe = F.lit(False)
-    for p, *_ in rules:
-        maybe |= F.col("content").rlike(p.replace("(?:^|", "(?m)(?:^|"))
-    return _first_hits(files, hits, maybe)
+    return _first_hits(files, [(p, sev, cat, f"matches {p}", None) for p, sev, cat in rules])
 
 
 def scan_yaml_patterns(files: DataFrame, rules=YAML_PATTERNS) -> DataFrame:
-    """YAML pattern rules: the first line hit, or every one where the rule says so."""
-    hits = []
-    for p, but, sev, cat, _ in rules:
-        hit = F.col("text").rlike(p)
-        hits.append((hit & ~F.col("text").rlike(but) if but else hit, sev, cat, f"matches {p}"))
-    small = F.char_length("content") <= MOST_CHARS
-    first = _first_hits(files.where(small), [h for h, r in zip(hits, rules) if not r[4]], F.lit(True))
-    every = None
-    for h, r in zip(hits, rules):
-        if r[4]:
-            x = numbered_lines(files.where(small)).where(h[0])
-            x = x.select("scan_id", F.col("path").alias("file"), F.lit(-1).alias("rule"), F.lit(h[1]).alias("severity"), F.lit(h[2]).alias("category"), "line", snippet(F.col("text")).alias("code"), F.lit(h[3]).alias("description"))
-            every = x if every is None else every.unionByName(x)
-    return first if every is None else first.unionByName(every)
+    """YAML pattern rules over files up to MOST_CHARS: the first line hit, or every one where the rule says so."""
+    small = files.where(F.char_length("content") <= MOST_CHARS)
+    out = _first_hits(small, [(p, sev, cat, f"matches {p}", also) for p, sev, cat, every, also in rules if not every]).drop("rule")
+    for p, sev, cat, every, _ in rules:
+        if every:
+            x = numbered_lines(small.where(F.col("content").rlike("(?m)" + p))).where(F.col("text").rlike(p))
+            out = out.unionByName(x.select("scan_id", F.col("path").alias("file"), F.lit(sev).alias("severity"), F.lit(cat).alias("category"), "line", snippet(F.col("text")).alias("code"), F.lit(f"matches {p}").alias("description")))
+    return out
 
 
 def scan_includes(files: DataFrame) -> DataFrame:

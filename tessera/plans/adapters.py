@@ -11,7 +11,7 @@ FINDINGS = """
 SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS seq,
        severity, category, file, line, code, description
 FROM (
-  SELECT l.*, concat('scan', CAST(l_orderkey % 40 AS STRING)) AS scan_id,
+  SELECT l.*, concat('scan', CAST(CAST(floor(l_orderkey / 1500) AS BIGINT) AS STRING)) AS scan_id,
          CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' WHEN '4' THEN 'low' ELSE 'info' END AS severity,
          CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 'code_injection' WHEN 'AO' THEN 'taint_code_injection' WHEN 'NF' THEN 'telemetry'
               WHEN 'NO' THEN 'network' WHEN 'RF' THEN 'xss' ELSE 'script_injection' END AS category,
@@ -23,8 +23,8 @@ FROM (
 ) x
 """
 COMPONENTS = """
-SELECT DISTINCT concat('scan', CAST(l_orderkey % 40 AS STRING)) AS scan_id,
-       CASE l_orderkey % 40 % 4 WHEN 0 THEN 'integration' WHEN 1 THEN 'card' WHEN 2 THEN 'theme' ELSE 'unknown' END AS component_type
+SELECT DISTINCT concat('scan', CAST(CAST(floor(l_orderkey / 1500) AS BIGINT) AS STRING)) AS scan_id,
+       CASE CAST(floor(l_orderkey / 1500) AS BIGINT) % 4 WHEN 0 THEN 'integration' WHEN 1 THEN 'card' WHEN 2 THEN 'theme' ELSE 'unknown' END AS component_type
 FROM {lineitem}
 """
 WHITELIST = """
@@ -41,12 +41,12 @@ SELECT event_id AS id, concat('d', CAST(user_id AS STRING)) AS domain, concat('h
 FROM {events}
 """
 FINGERPRINTS = """
-SELECT page_id AS id, CASE WHEN page_id % 20 < 15 THEN concat('c', CAST(page_id % 20 AS STRING)) ELSE '' END AS domain, concat('https://example.org/', CAST(page_id % 20 AS STRING)) AS repo_url,
+SELECT page_id AS id, CASE WHEN CAST(floor(page_id / 12) AS BIGINT) % 4 < 3 THEN concat('c', CAST(CAST(floor(page_id / 12) AS BIGINT) AS STRING)) ELSE '' END AS domain, concat('https://example.org/', CAST(CAST(floor(page_id / 12) AS BIGINT) AS STRING)) AS repo_url,
        page_id AS created_at,
        split(concat('os,lib', CAST(page_id % 7 AS STRING), ',mod', CAST(page_id % 3 AS STRING)), ',') AS imports,
        split(concat('hass.states,hass.bus', CAST(page_id % 2 AS STRING)), ',') AS ha_apis,
        split(concat(regexp_extract(url, '://([^/]+)', 1), CASE WHEN page_id % 17 = 0 THEN ',x.pastebin.com' ELSE '' END), ',') AS network_domains,
-       (page_id % 13 + 1) * CASE WHEN page_id % 20 = 3 THEN 100 ELSE 1 END AS total_lines
+       (page_id % 13 + 1) * CASE WHEN CAST(floor(page_id / 12) AS BIGINT) % 9 = 3 THEN 100 ELSE 1 END AS total_lines
 FROM {pages}
 """
 SOURCES = """
@@ -84,7 +84,7 @@ SELECT event_id AS id, concat('d', CAST(user_id AS STRING)) AS component, ts AS
 FROM {events}
 """
 CONTEXT = """
-SELECT source AS scan_id, concat('f', lpad(CAST(doc_id AS STRING), 9, '0')) AS path, text AS content, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE 1 END AS prio FROM {documents}
+SELECT concat(source, '-', CAST(CAST(floor(doc_id / 500) AS BIGINT) AS STRING)) AS scan_id, concat('f', lpad(CAST(doc_id AS STRING), 9, '0')) AS path, text AS content, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE 1 END AS prio FROM {documents}
 """
 
 TABLES = ("lineitem", "orders", "part", "events", "pages", "documents")

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.operators import ast_rules, findings, history, line_rules
 from tessera.plans import adapters as A
+from tessera.plans import jobs
+from tessera.plans.expected import EXPECTED
+from tessera.plans.sample import SAMPLE
 from tessera.plans.scan import scan
 from tessera.sources import deps, files, sinks
+from tessera.sources.tables import Tables
 from tessera.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -333,9 +337,14 @@ def _count(p: str) -> str:
     return f"len(regexp_extract_all(content, {_quoted(p)}))"
 
 
+IFRAME = r"(?i)\biframe\b"
+#: The hosts of the first 20 urls that aren't safe, each once, ten at most.
+FOREIGN = f"""array_to_string(list_slice(list_sort(list_distinct(list_transform(list_slice(list_filter(regexp_extract_all(content, {_quoted(line_rules.URL)}), lambda u: NOT regexp_matches(u, '{'|'.join(h.replace('.', '[.]') for h in line_rules.SAFE_HOSTS)}')), 1, 20), lambda u: string_split(string_split(u, '//')[2], '/')[1]))), 1, 10), ',')"""
+
+
 @query("scan_obfuscation_score", A.SOURCES, sql=f"""
 SELECT scan_id, path, {_count('_0x[0-9a-f]{4,}')} AS hex_refs, {_count(line_rules.PAYWALL[0][0])} + 3 * {_count(line_rules.PAYWALL[1][0])} + 2 * {_count(line_rules.PAYWALL[2][0])} AS paywall_score,
-  {_count('(?i)paypal')} AS paypal_refs, {_count('(?i)stripe')} AS stripe_refs, {_count(line_rules.HEX_NAME.replace(line_rules.HEX_NAME, chr(92) + 'biframe' + chr(92) + 'b'))} AS iframe_refs, 'evil.example.com' AS hosts FROM t0 WHERE {_count('_0x[0-9a-f]{4,}')} >= 5""")
+  {_count('(?i)paypal')} AS paypal_refs, {_count('(?i)stripe')} AS stripe_refs, {_count(IFRAME)} AS iframe_refs, {FOREIGN} AS hosts FROM t0 WHERE {_count('_0x[0-9a-f]{4,}')} >= 5""")
 def _(s):
     n = ("hex_refs", "paywall_score", "paypal_refs", "stripe_refs", "iframe_refs")
     return line_rules.obfuscation_scores(s).select("scan_id", "path", *(F.col(c).cast("long").alias(c) for c in n), "hosts")
@@ -383,9 +392,77 @@ def _(h):
     return watch.newest_status(h).select("domain", "id")
 
 
-@query("status_topics", A.HISTORY, sql="SELECT DISTINCT concat('scanner/', domain, '/state') AS topic FROM t0")
+@query("status_topics", A.HISTORY, sql="""
+SELECT concat('scanner/', domain, '/state') AS topic, CASE WHEN score IS NULL THEN 'none' ELSE CAST(CAST(score * 2 AS BIGINT) AS VARCHAR) END AS doubled_score, findings_count
+FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY scanned_at DESC, id DESC) AS n FROM t0) WHERE n = 1""")
 def _(h):
-    return sinks.status_topics(h).select("topic")
+    """The payloads read again as JSON."""
+    x = sinks.status_topics(h).select("topic", F.from_json("payload", "score double, findings_count long").alias("p"))
+    return x.select("topic", F.coalesce((F.col("p.score") * 2).cast("long").cast("string"), F.lit("none")).alias("doubled_score"), F.col("p.findings_count").alias("findings_count"))
+
+
+@query("status_messages", A.HISTORY, A.JOBS, last="SELECT * FROM t0 ORDER BY scanned_at DESC, id DESC LIMIT 1", n="SELECT count(*) AS c FROM t1 WHERE status = 'done'", sql="""
+SELECT 'node/status' AS topic, 'done' AS payload, true AS retain UNION ALL SELECT 'node/last_scan', domain, true FROM last
+UNION ALL SELECT 'node/last_score', coalesce(CAST(score AS VARCHAR), 'N/A'), true FROM last UNION ALL SELECT 'node/scans_total', CAST(c AS VARCHAR), true FROM n""")
+def _(h, j):
+    return sinks.result_messages(h.select("id", F.col("domain").alias("name"), F.lit("done").alias("status"), "score", "scanned_at"), "node", history.scans_total(j))
+
+
+@query("discovery_messages", A.JOBS, sql="""
+SELECT concat('homeassistant/sensor/node/', k, '/config') AS topic, n AS name, concat('node_', k) AS unique_id, concat('node/', k) AS state_topic, i AS icon
+FROM (VALUES ('status', 'Status', 'mdi:shield-search'), ('last_scan', 'Last Scan', 'mdi:clock-check'), ('last_score', 'Last Score', 'mdi:counter'), ('scans_total', 'Total Scans', 'mdi:numeric')) v(k, n, i)""")
+def _(j):
+    x = sinks.discovery_messages(j.sparkSession, "node")
+    return x.select("topic", F.from_json("payload", "name string, unique_id string, state_topic string, icon string").alias("p")).select("topic", "p.*")
+
+
+@query("jobs_scans_total", A.JOBS, sql="SELECT count(*) AS scans_total FROM t0 WHERE status = 'done'")
+def _(j):
+    return history.scans_total(j)
+
+
+BATCHES = "SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE status = 'done') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, CASE WHEN count(*) FILTER (WHERE status IN ('done', 'failed')) >= count(*) THEN 'done' ELSE 'running' END AS status, CAST(min(created_at) AS VARCHAR) AS created_at FROM t0 GROUP BY batch_id"
+
+
+@query("jobs_batch", A.JOBS, b=BATCHES, sql="SELECT * FROM b WHERE batch_id = 'b7'")
+def _(j):
+    return history.batch(j, "b7").withColumn("created_at", F.col("created_at").cast("string"))
+
+
+@query("jobs_active_batches", A.JOBS, b=BATCHES, sql="SELECT * FROM b WHERE status = 'running'")
+def _(j):
+    return history.active_batches(j).withColumn("created_at", F.col("created_at").cast("string"))
+
+
+@query("whitelist_add", A.WHITELIST, sql="""
+SELECT pattern_hash, category, file_pattern FROM t0 WHERE pattern_hash <> substr(sha256('xss|f.js|d'), 1, 16) UNION ALL SELECT substr(sha256('xss|f.js|d'), 1, 16), 'xss', 'f.js'""")
+def _(w):
+    x = jobs.add_whitelist(w.withColumns({"description": F.lit(""), "reason": F.lit(""), "created_at": F.lit(0)}), "xss", "f.js", "d", "fine here", F.lit(1))
+    return x.select("pattern_hash", "category", "file_pattern")
+
+
+@query("whitelist_remove", A.WHITELIST, sql="SELECT pattern_hash, category, file_pattern FROM t0 WHERE pattern_hash <> 'none1'")
+def _(w):
+    return jobs.remove_whitelist(w, "none1")
+
+
+@query("whitelist_newest", A.WHITELIST, sql="SELECT pattern_hash, row_number() OVER (ORDER BY file_pattern DESC, pattern_hash) AS place FROM (SELECT * FROM t0 WHERE file_pattern <> '') ORDER BY place LIMIT 50")
+def _(w):
+    x = jobs.whitelist_newest(w.where("file_pattern <> ''").withColumn("created_at", F.col("file_pattern"))).limit(50)
+    return x.select("pattern_hash", F.row_number().over(Window.orderBy(F.desc("created_at"), "pattern_hash")).cast("long").alias("place"))
+
+
+@query("tables_round_trip", A.JOBS, sql="SELECT CAST(id AS VARCHAR) AS id, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, batch_id FROM t0 UNION ALL SELECT concat('again', id), status, batch_id FROM t0")
+def _(j):
+    """Jobs written, recovered into a new version, appended to, and read back."""
+    import uuid
+
+    folder = j.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tessera-shared"
+    t = Tables(j.sparkSession, f"{folder.rstrip('/')}/tables-{uuid.uuid4().hex}")
+    t.save("jobs", j)
+    t.save("jobs", history.recovered(t.load("jobs")))
+    t.append("jobs", j.withColumn("id", F.concat(F.lit("again"), F.col("id").cast("string"))))
+    return t.load("jobs").select("id", "status", "batch_id")
 
 
 @query("text_slugs", A.HISTORY, sql="SELECT DISTINCT domain, regexp_replace(lower(concat(domain, '.X y')), '[^a-z0-9_-]', '', 'g') AS slug FROM t0")
@@ -398,61 +475,111 @@ def _(j):
     return j.select("id", S.masked(F.concat(F.lit("secret"), F.col("id").cast("string"))).alias("masked"))
 
 
-@query("report_sarif", A.FINDINGS)
+LEVEL = "CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END"
+RUN = "version string, runs array<struct<tool:struct<driver:struct<name:string,rules:array<struct<id:string>>>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:bigint>>>>>>>>"
+
+
+@query("report_sarif", A.FINDINGS, merged=MERGED, sql=f"""
+SELECT m.scan_id, '2.1.0' AS version, n_rules, row_number() OVER (PARTITION BY m.scan_id ORDER BY seq) AS place, category AS rule_id, {LEVEL} AS level, description AS message, file AS uri, greatest(coalesce(line, 1), 1) AS start_line
+FROM merged m JOIN (SELECT scan_id, count(DISTINCT category) AS n_rules FROM merged GROUP BY scan_id) r ON m.scan_id = r.scan_id""")
 def _(f):
-    return sinks.sarif(findings.merge_duplicates(f))
+    """The SARIF text of each scan, read again as JSON: a row for each result."""
+    doc = sinks.sarif(findings.merge_duplicates(f)).select("scan_id", F.from_json("sarif", RUN).alias("d")).select("scan_id", "d.version", F.col("d.runs")[0].alias("run"))
+    x = doc.select("scan_id", "version", F.size("run.tool.driver.rules").cast("long").alias("n_rules"), F.posexplode("run.results").alias("p", "r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    return x.select("scan_id", "version", "n_rules", (F.col("p") + 1).cast("long").alias("place"), F.col("r.ruleId").alias("rule_id"), "r.level", F.col("r.message.text").alias("message"), place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].cast("long").alias("start_line"))
 
 
-@query("report_nested", A.FINDINGS, A.COMPONENTS)
+@query("report_nested", A.FINDINGS, A.COMPONENTS, merged=MERGED, sql="""
+SELECT m.scan_id AS id, 'done' AS status, critical, high, total_findings, row_number() OVER (PARTITION BY m.scan_id ORDER BY seq) AS place, severity, category, file, CAST(line AS BIGINT) AS line, code, description
+FROM merged m JOIN (SELECT scan_id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) AS total_findings FROM merged GROUP BY scan_id) r ON m.scan_id = r.scan_id""")
 def _(f, c):
-    return sinks.reports(c.select(F.col("scan_id").alias("id"), F.col("scan_id").alias("name"), F.lit("done").alias("status")), findings.merge_duplicates(f))
+    """The nested reports, opened again: a row for each finding of a report."""
+    scans = c.select(F.col("scan_id").alias("id"), F.col("scan_id").alias("name"), F.lit("done").alias("status"))
+    x = sinks.reports(scans, findings.merge_duplicates(f)).select("id", "status", "stats.*", F.posexplode("findings").alias("p", "f"))
+    return x.select("id", "status", "critical", "high", "total_findings", (F.col("p") + 1).cast("long").alias("place"), "f.severity", "f.category", "f.file", F.col("f.line").cast("long").alias("line"), "f.code", "f.description")
 
 
-#: A small component of every kind of file, as rows.
-SAMPLE = (
-    ("s1", "custom_components/x/manifest.json", '{"domain": "x", "name": "X", "requirements": ["ctx==1.0", "requests>=2.1"]}'),
-    ("s1", "custom_components/x/__init__.py", "import os\nimport subprocess\nimport requests\nfrom os import system\nd = entry.data['u']\nsubprocess.run(d, shell=True)\neval(d)\nhass.services.call(a, b)\nx = hass.auth\nPLATFORM_SCHEMA = 1\nu = 'https://api.example.com/v1'\n"),
-    ("s1", "custom_components/x/broken.py", "import pickle\ndef broken(:\n    base64.b64decode(x)\n"),
-    ("s2", "card.js", "el.innerHTML = x;\nnew WebSocket(u);\n// eval(1)\ndocument.write('a');\nsetTimeout('go()', 1);\n"),
-    ("s2", "broken.js", "function ( { eval(x)\n"),
-    ("s2", "package.json", '{"dependencies": {"event-stream": "^3.3.6"}, "devDependencies": {"left-pad": "~1.3.0"}}'),
-    ("s3", "conf.yaml", "automation:\n  - action:\n      - service: '{{ x }}'\nshell_command:\n  go: ls\nother: !include /etc/x.yaml\n# token: abcdefgh12345\n"),
-    ("s3", "requirements.txt", "# none\nflask==2.0\n-r other.txt\nurlib3>=1.0\n"),
-    ("s3", "pyproject.toml", "[project]\nname = 'x'\ndependencies = [\n  \"numpy>=1.20\",\n]\n"),
-)
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of whole tables: all documents as files of three languages, a manifest and dependencies for each part, and the sample
+    component, in which every rule is hit, once for each part."""
+    items = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("own", "path", "content"), row))) for row in SAMPLE))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.inline(items))
+    sample = part.select(F.concat("own", F.lit("-"), F.col("p_partkey").cast("string")).alias("scan_id"), "path", "content")
+    return A.make(spark, sf_dir, A.FILES).unionByName(sample)
 
 
-def _sample(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SAMPLE, "scan_id string, path string, content string")
+def _values(rows: tuple) -> str:
+    """Rows of constants, to be joined to every part."""
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else _quoted(v)
+    return ", ".join(f"({', '.join(map(text, r))})" for r in rows)
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of whole tables, and the sample."""
-    return A.make(spark, sf_dir, A.FILES).unionByName(_sample(spark))
+def _each_part(rows: tuple, *columns: str) -> str:
+    """Every part's copies of the sample's rows; the first column is the scan."""
+    return f"SELECT concat({columns[0]}, '-', p_partkey) AS {', '.join(columns)} FROM (SELECT p_partkey FROM part) p, (VALUES {_values(rows)}) v({', '.join(columns)})".replace(f"AS {columns[0]}, ", "AS scan_id, ", 1)
+
+
+FOUND = ("own", "file", "severity", "category", "line", "code")
 
 
-def _over_files(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
+def _over_files(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: f(_files(spark, sf_dir))
+    SQL[name] = sql
+
+
+def _rule(name: str, f: Callable[[DataFrame], DataFrame], last: str = "code", more: str = "") -> None:
+    """A query of findings over files; its SQL says that of all files only the sample's hold them, and those that `more` selects."""
+    fields = (*FOUND[:5], last)
+    cast = f"SELECT scan_id, file, severity, category, CAST(line AS BIGINT) AS line, {last} FROM ({_each_part(EXPECTED[name], *fields)})"
+    _over_files(name, lambda s: f(s).select("scan_id", "file", "severity", "category", F.col("line").cast("long").alias("line"), last), cast + more)
+
+
+#: Comments of documents that hold a secret, as YAML files: the first three of a file.
+SECRET_LINES = f"""SELECT scan_id, file, 'medium' AS severity, 'hardcoded_secret' AS category, line, left(trim(text), 120) AS code FROM (
+SELECT *, row_number() OVER (PARTITION BY scan_id, file ORDER BY line) AS n FROM (SELECT source AS scan_id, concat(doc_id, '.yaml') AS file, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+WHERE regexp_matches(text, {_quoted(line_rules.SECRET_IN_COMMENT)})) WHERE n <= 3"""
 
 
 def _register_over_files() -> None:
     from tessera.operators.fingerprints import fingerprints
 
     py = lambda s: ast_rules.facts(files.files_for(s, "python"))
-    _over_files("py_calls", lambda s: ast_rules.call_findings(py(s)))
-    _over_files("py_imports", lambda s: ast_rules.import_findings(py(s)))
-    _over_files("py_taint", lambda s: ast_rules.flow_findings(py(s)))
-    _over_files("api_rules", lambda s: ast_rules.platform_findings(py(s)))
-    _over_files("js_rules", lambda s: ast_rules.script_findings(files.files_for(s, "js")))
-    _over_files("yaml_structural", lambda s: ast_rules.yaml_structure_findings(files.files_for(s, "yaml")))
-    _over_files("yaml_patterns", lambda s: line_rules.scan_yaml_patterns(files.files_for(s, "yaml")))
-    _over_files("yaml_includes", lambda s: line_rules.scan_includes(files.files_for(s, "yaml")))
-    _over_files("deps_discover", deps.discover)
-    _over_files("component_types", files.component_types)
-    _over_files("component_manifests", files.manifests)
-    _over_files("fp_extract", fingerprints)
-    _over_files("code_context", lambda s: files.code_context(files.files_for(s, "context")))
-    _over_files("full_scan", scan)
+    _rule("py_calls", lambda s: ast_rules.call_findings(py(s)))
+    _rule("py_imports", lambda s: ast_rules.import_findings(py(s)))
+    _rule("py_taint", lambda s: ast_rules.flow_findings(py(s)))
+    _rule("api_rules", lambda s: ast_rules.platform_findings(py(s)))
+    _rule("js_rules", lambda s: ast_rules.script_findings(files.files_for(s, "js")))
+    _rule("yaml_structural", lambda s: ast_rules.yaml_structure_findings(files.files_for(s, "yaml")), "description")
+    _rule("yaml_patterns", lambda s: line_rules.scan_yaml_patterns(files.files_for(s, "yaml")))
+    _rule("yaml_includes", lambda s: line_rules.scan_includes(files.files_for(s, "yaml")))
+    _rule("full_scan", scan, more=f" UNION ALL {SECRET_LINES}")
+    found = (("s2", "event-stream", "3.3.6", "package.json", "npm"), ("s2", "left-pad", "1.3.0", "package.json", "npm"), ("s3", "flask", "2.0", "requirements.txt", "PyPI"), ("s3", "urlib3", "1.0", "requirements.txt", "PyPI"), ("s3", "numpy", "1.20", "pyproject.toml", "PyPI"))
+    _over_files("deps_discover", deps.discover, f"""{_each_part(found, "own", "package", "version", "source_file", "ecosystem")}
+UNION ALL SELECT concat('p', p_partkey), replace(p_name, ' ', '_'), CAST(p_size AS VARCHAR), concat('custom_components/p', p_partkey, '/requirements.txt'), 'PyPI' FROM part
+UNION ALL SELECT concat('p', p_partkey), replace(p_name, ' ', '-'), concat(p_size, '.0.0'), concat('custom_components/p', p_partkey, '/package.json'), 'npm' FROM part""")
+    kinds = (("s1", "integration"), ("s2", "card"), ("s3", "unknown"))
+    _over_files("component_types", files.component_types, f"""{_each_part(kinds, "own", "component_type")}
+UNION ALL SELECT DISTINCT concat('p', p_partkey), 'integration' FROM part UNION ALL SELECT DISTINCT source, 'unknown' FROM documents""")
+    names = (("s1", "x", "X", "ctx==1.0,requests>=2.1"), ("s2", "", "s2", ""), ("s3", "", "s3", ""))
+    _over_files("component_manifests", lambda s: files.manifests(s).select("scan_id", "domain", "name", F.array_join("requirements", ",").alias("requirements")), f"""
+SELECT scan_id, domain, CASE WHEN domain = '' THEN scan_id ELSE name END AS name, requirements FROM ({_each_part(names, "own", "domain", "name", "requirements")})
+UNION ALL SELECT concat('p', p_partkey), concat('p', p_partkey), p_name, concat(replace(p_name, ' ', '-'), '==', p_size) FROM part UNION ALL SELECT DISTINCT source, '', source, '' FROM documents""")
+    imports = "aiohttp,ctypes,ftplib,httpx,marshal,os,pickle,requests,shelve,smtplib,socket,subprocess,telnetlib,urllib,urllib3,voluptuous,webbrowser"
+    prints = (("s1", imports, "hass.bus,hass.services,hass.states", "api.example.com", 6, 0, 52), ("s2", "", "", "example.org", 0, 3, 19), ("s3", "", "", "", 0, 0, 0))
+    text = lambda c: F.array_join(c, ",").alias(c)
+    _over_files("fp_extract", lambda s: fingerprints(s).select("scan_id", text("imports"), text("ha_apis"), text("network_domains"), "py_files", "js_files", "total_lines"), f"""
+SELECT scan_id, imports, ha_apis, network_domains, CAST(py_files AS BIGINT) AS py_files, CAST(js_files AS BIGINT) AS js_files, CAST(total_lines AS BIGINT) AS total_lines FROM ({_each_part(prints, "own", "imports", "ha_apis", "network_domains", "py_files", "js_files", "total_lines")})
+UNION ALL SELECT DISTINCT concat('p', p_partkey), '', '', '', 0, 0, 0 FROM part
+UNION ALL SELECT source, '', '', array_to_string(list_sort(list_distinct(list_filter(flatten(list(list_transform(regexp_extract_all(text, 'https?://([a-zA-Z0-9._-]+)', 1), lambda x: lower(x)))), lambda x: x NOT IN ('0.0.0.0', '127.0.0.1', 'localhost')))), ','),
+  count(*), count(*), CAST(2 * sum(len(string_split(text, chr(10))) - CASE WHEN text IS NULL OR text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END) AS BIGINT) FROM documents GROUP BY source""")
+    told = (("s1", 6, sum(len(c) for _, p, c in SAMPLE if _ == "s1" and "tests/" not in p)), ("s2", 4, sum(len(c) for _, p, c in SAMPLE if _ == "s2")), ("s3", 4, sum(len(c) for _, p, c in SAMPLE if _ == "s3" and p.endswith(".yaml"))))
+    _over_files("code_context", lambda s: files.code_context(files.files_for(s, "context")).select("scan_id", "n_files", F.col("n_chars").cast("long").alias("n_chars")), f"""
+WITH f AS (SELECT source AS scan_id, concat(doc_id, suffix) AS path, left(text, 8000) AS part FROM documents, (VALUES ('.py'), ('.js'), ('.yaml')) s(suffix)),
+cut AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY scan_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
+SELECT scan_id, CAST(n_files AS BIGINT) AS n_files, CAST(n_chars AS BIGINT) AS n_chars FROM ({_each_part(told, "own", "n_files", "n_chars")})
+UNION ALL SELECT concat('p', p_partkey), 2, length(concat('{{"domain":"p', p_partkey, '","name":"', p_name, '","requirements":["', replace(p_name, ' ', '-'), '==', p_size, '"]}}')) + length(concat('{{"dependencies":{{"', replace(p_name, ' ', '-'), '":"^', p_size, '.0.0"}}}}')) FROM part
+UNION ALL SELECT scan_id, count(*), CAST(sum(length(part)) AS BIGINT) FROM cut WHERE before < 15000 GROUP BY scan_id""")
 
 
 _register_over_files()

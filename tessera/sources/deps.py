@@ -10,11 +10,58 @@ from tessera.functions.scalar import lines, vulnerability_severity
 REQUIREMENT = r"^([a-zA-Z0-9_.-]+)\s*[=<>!~]+\s*([\d.]+)"
 #: Packages known to be bad, in any version.
 MALICIOUS = {
-    "PyPI": """clorama coloramma colourama ctx importlib-metadata jeIlyfish noblesse noblesse2 pip-install pytagora pytagoras python-binance
-        python3-dateutil pythondateutil reequests requesrs requestes setup-tools urlib3 urrlib3""".split(),
-    "npm": """babelcli coa colors crossenv d3.js event-stream faker flatmap-stream gruntcli http-proxy.js is-promise jquery.js mongose
-        node-fabric node-opencv node-opensl node-openssl nodecaffe nodefabric nodemailer-js noderequest nodesass proxy.js rc shadowsock smb
-        sqliter ua-parser-js""".split(),
+    "PyPI": (
+        "clorama",
+        "coloramma",
+        "colourama",
+        "ctx",
+        "importlib-metadata",
+        "jeIlyfish",
+        "noblesse",
+        "noblesse2",
+        "pip-install",
+        "pytagora",
+        "pytagoras",
+        "python-binance",
+        "python3-dateutil",
+        "pythondateutil",
+        "reequests",
+        "requesrs",
+        "requestes",
+        "setup-tools",
+        "urlib3",
+        "urrlib3",
+    ),
+    "npm": (
+        "babelcli",
+        "coa",
+        "colors",
+        "crossenv",
+        "d3.js",
+        "event-stream",
+        "faker",
+        "flatmap-stream",
+        "gruntcli",
+        "http-proxy.js",
+        "is-promise",
+        "jquery.js",
+        "mongose",
+        "node-fabric",
+        "node-opencv",
+        "node-opensl",
+        "node-openssl",
+        "nodecaffe",
+        "nodefabric",
+        "nodemailer-js",
+        "noderequest",
+        "nodesass",
+        "proxy.js",
+        "rc",
+        "shadowsock",
+        "smb",
+        "sqliter",
+        "ua-parser-js",
+    ),
 }
 
 

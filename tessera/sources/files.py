@@ -22,6 +22,8 @@ READERS = {
     "context": ((".py", ".js", ".ts", ".yaml", ".yml", ".json"), ("node_modules", ".venv", "__pycache__", "tests", ".git")),
 }
 VENDOR_STEMS = ("docsify", "prism", "marked", "highlight", "mermaid")
+#: Parts in which the files of a scan are trimmed.
+SALTS = 16
 PRIORITY = ("manifest.json", "hacs.json", "__init__.py", "const.py")
 
 
@@ -40,8 +42,9 @@ def files_for(files: DataFrame, reader: str) -> DataFrame:
         ends |= F.endswith("path", F.lit(s))
     out = files.where(ends & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skip))))
     if reader == "js":
-        stem = F.split_part(F.lower(F.element_at(F.split("path", "/"), -1)), F.lit("."), F.lit(1))
-        out = out.where(~stem.isin(*VENDOR_STEMS))
+        # a vendor's name anywhere in the file name before its last suffix
+        stem = F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), r"\.[^.]*$", "")
+        out = out.where(~stem.rlike("|".join(VENDOR_STEMS)))
     return out
 
 
@@ -88,11 +91,15 @@ def code_context(files: DataFrame, most_chars: int = 15_000, per_file: int = 8_0
 
 
 def context_budget(files: DataFrame, most_chars: int = 15_000, per_file: int = 8_000) -> DataFrame:
-    """(scan_id, context, n_files, n_chars) of rows (scan_id, path, content, prio): the file that crosses the budget is the last."""
-    cut = files.withColumn("part", F.left("content", F.lit(per_file)))
-    w = Window.partitionBy("scan_id").orderBy("prio", "path")
-    before = F.coalesce(F.sum(F.length("part")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = cut.select("scan_id", "prio", "path", "part", before.alias("before")).where(F.col("before") < most_chars)
+    """(scan_id, context, n_files, n_chars) of rows (scan_id, path, content, prio): the file that crosses the budget is the last.
+
+    A scan's files are trimmed in SALTS parts first: one beyond the budget of its own part is beyond that of the whole, so only as
+    much as SALTS budgets of a scan ever meets in one task.
+    """
+    kept = files.select("scan_id", "prio", "path", F.left("content", F.lit(per_file)).alias("part"), F.pmod(F.xxhash64("path"), F.lit(SALTS)).alias("salt"))
+    for keys in (("scan_id", "salt"), ("scan_id",)):
+        w = Window.partitionBy(*keys).orderBy("prio", "path").rowsBetween(Window.unboundedPreceding, -1)
+        kept = kept.withColumn("before", F.coalesce(F.sum(F.length("part")).over(w), F.lit(0))).where(F.col("before") < most_chars)
     text = F.transform(F.array_sort(F.collect_list(F.struct("prio", "path", "part"))), lambda x: F.concat(F.lit("--- "), x["path"], F.lit(" ---\n"), x["part"]))
     return kept.groupBy("scan_id").agg(F.array_join(text, "\n\n").alias("context"), F.count("*").alias("n_files"), F.sum(F.length("part")).alias("n_chars"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import escaped_html, severity_rank
+from tessera.functions.scalar import escaped_html
 from tessera.operators.findings import FIELDS, sarif_rules
 
 
@@ -62,5 +62,31 @@ def status_topics(scans: DataFrame) -> DataFrame:
     return last.select(F.concat(F.lit("scanner/"), F.col("domain"), F.lit("/state")).alias("topic"), F.to_json(F.struct("score", "findings_count", "scanned_at")).alias("payload"))
 
 
-def ranked(findings: DataFrame) -> DataFrame:
-    return findings.withColumn("rank", severity_rank(F.col("severity")))
+#: Fixed values: (key, name, icon) of the values that a dashboard is told of.
+SENSORS = (("status", "Status", "mdi:shield-search"), ("last_scan", "Last Scan", "mdi:clock-check"), ("last_score", "Last Score", "mdi:counter"), ("scans_total", "Total Scans", "mdi:numeric"))
+
+
+def discovery_messages(spark, node: str, maker: str = "tessera", version: str = "1") -> DataFrame:
+    """(topic, payload, retain): a message for each sensor that tells a dashboard where its value is published."""
+    rows = [(f"homeassistant/sensor/{node}/{key}/config", name, f"{node}_{key}", f"{node}/{key}", icon) for key, name, icon in SENSORS]
+    x = spark.createDataFrame(rows, "topic string, name string, unique_id string, state_topic string, icon string")
+    device = F.struct(F.array(F.lit(node)).alias("identifiers"), F.lit(maker).alias("name"), F.lit(version).alias("model"), F.lit(maker).alias("manufacturer"))
+    return x.select("topic", F.to_json(F.struct("name", "unique_id", "state_topic", device.alias("device"), "icon")).alias("payload"), F.lit(True).alias("retain"))
+
+
+def result_messages(scans: DataFrame, node: str, total: DataFrame) -> DataFrame:
+    """(topic, payload, retain): status, name, score (N/A without one) and number of scans, for the newest of scans (name, status, score, scanned_at, id).
+
+    total: one row, scans_total. One scan at least, or no messages.
+    """
+    last = scans.orderBy(F.desc("scanned_at"), F.desc("id")).limit(1).select(F.lit(1).alias("one"), "status", "name", "score")
+    x = last.join(F.broadcast(total.select(F.lit(1).alias("one"), "scans_total")), "one")
+    values = {"status": F.col("status"), "last_scan": F.col("name"), "last_score": F.coalesce(F.col("score").cast("string"), F.lit("N/A")), "scans_total": F.col("scans_total").cast("string")}
+    told = F.array(*(F.struct(F.lit(f"{node}/{k}").alias("topic"), v.alias("payload"), F.lit(True).alias("retain")) for k, v in values.items()))
+    return x.select(F.inline(told))
+
+
+def publish(messages: DataFrame, send) -> None:
+    """Hands every message to send(topic, payload, retain) on the driver, a few at a time; for a sink in foreachBatch with a broker's client."""
+    for r in messages.toLocalIterator():
+        send(r["topic"], r["payload"], r["retain"] if "retain" in messages.columns else True)

@@ -18,15 +18,15 @@ def test_python_facts():
 
 
 def test_import_rules(spark):
-    f = A.facts(rows(spark, ("a.py", "import os\nfrom os import system\nimport subprocess.x\nimport http.client\nimport http\nimport subprocessing\n")))
+    f = A.facts(rows(spark, ("a.py", "import os\nfrom os import system\nimport subprocess.x\nimport http.client\nimport http\nimport subprocessing\nimport urllib.request\n")))
     got = {(r["category"], r["line"]) for r in A.import_findings(f).collect()}
-    assert got == {("command_execution", 2), ("command_execution", 3), ("network", 4)}
+    assert got == {("command_execution", 2), ("command_execution", 3), ("network", 7)}
 
 
 def test_platform_rules(spark):
-    f = A.facts(rows(spark, ("a.py", "hass.services.call('a', 'b')\nhass.services.async_call(x, y)\nhass.bus.fire(e)\nz = hass.auth\nPLATFORM_SCHEMA = {}\nCONFIG_SCHEMA = vol.Schema({})\n")))
-    got = {(r["line"], r["severity"], r["category"]) for r in A.platform_findings(f).collect()}
-    assert got == {(1, "medium", "ha_api_risk"), (2, "high", "ha_dynamic_service"), (3, "high", "ha_event_injection"), (4, "high", "ha_auth_access"), (5, "low", "ha_missing_validation")}
+    src = "hass.services.call('a', 'b')\nhass.services.async_call(x, y)\nhass.bus.fire(e)\nz = hass.auth\nPLATFORM_SCHEMA = {}\nCONFIG_SCHEMA = vol.Schema({})\nself._hass.config\nhass.states.set(e, 1)\nother.auth\n"
+    got = {(r["line"], r["severity"], r["category"]) for r in A.platform_findings(A.facts(rows(spark, ("a.py", src)))).collect()}
+    assert got == {(1, "medium", "ha_api_risk"), (2, "medium", "ha_api_risk"), (2, "high", "ha_dynamic_service"), (3, "medium", "ha_event_injection"), (4, "high", "ha_auth_access"), (5, "medium", "ha_no_validation"), (7, "low", "ha_config_access"), (8, "medium", "ha_dynamic_entity")}
 
 
 def test_script_rules():
@@ -36,16 +36,21 @@ def test_script_rules():
 
 
 def test_yaml_rules(spark):
-    text = "automation:\n  - action:\n      - service: \"{{ x }}\"\n      - choose:\n          - sequence:\n              - service: shell_command.x\n                data: {a: \"{{ b }}\"}\n      - service: null\n        data: {a: \"{{ b }}\"}\nother: !secret x\nrest: [{resource: http://a}]\n"
-    assert {c for _, c, _ in A.yaml_findings_of(text)} == {"template_injection", "command_execution", "insecure_url"}
-    assert A.yaml_findings_of("a: [") == []
-    y = rows(spark, ("a.yaml", "url: http://10.0.0.1/x\nurl: http://evil.example/x\npassword: abcdefghijk\npassword: !secret x\nshell_command:\nshell_command:\n"))
-    got = sorted((r["category"], r["line"]) for r in L.scan_yaml_patterns(y).collect())
-    assert got == [("command_execution", 5), ("command_execution", 6), ("hardcoded_secret", 3), ("insecure_url", 2)]
+    text = "automation:\n  - action:\n      - service: \"{{ x }}\"\n      - choose:\n          - sequence:\n              - service: shell_command.x\n                data: {a: \"{{ b }}\"}\n      - service: null\n        data: {a: \"{{ b }}\"}\n      - service_template: x\nother: !secret x\nrest: [{resource: http://a}, {resource: http://192.168.1.1/x}]\n"
+    assert [(s, c) for s, c, _ in A.yaml_findings_of(text)] == [("high", "automation_injection"), ("high", "template_injection"), ("high", "automation_injection"), ("medium", "insecure_transport")]
+    assert A.yaml_findings_of("a: [") == [] and A.yaml_findings_of("- service: '{{ x }}'") == []
+    y = rows(spark, ("a.yaml", "url: http://10.0.0.1/x\nurl: http://evil.example/x\npassword: abcdefghijk\npassword: !secret x\nshell_command:\nshell_command:\n  a: \"{{ states('x') }}\"\nb: \"{% import x %}\"\n"), ("b.yaml", "a: \"{{ states('x') }}\"\n"))
+    got = sorted((r["category"], r["severity"], r["line"]) for r in L.scan_yaml_patterns(y).collect())
+    assert got == [("code_injection", "critical", 8), ("command_execution", "medium", 5), ("command_execution", "medium", 6), ("hardcoded_secret", "high", 3), ("insecure_transport", "low", 2), ("template_injection", "high", 7)]
     inc = rows(spark, ("a.yaml", "a: !include {{ x }}.yaml\nb: !include ../x.yaml\nc: !include ok.yaml\nd: !include /abs.yaml"))
     assert sorted((r["line"], r["severity"]) for r in L.scan_includes(inc).collect()) == [(1, "high"), (2, "medium"), (4, "medium")]
 
 
+def test_vendor_files_are_passed_over(spark):
+    f = rows(spark, *((p, "eval(x)") for p in ("a.js", "my-prism.js", "docsify.min.js", "x/highlight.pack.ts", "prism/a.js")))
+    assert {r["path"] for r in files.files_for(f, "js").collect()} == {"a.js", "prism/a.js"}
+
+
 def test_first_line_of_each_pattern(spark):
     got = {(r["rule"], r["line"]) for r in L.scan_script_patterns(rows(spark, ("a.js", "x\nEVAL (1)\neval(2)\nnew Function(1)\nfunction (x)"), ("b.js", None), ("c.js", ""))).collect()}
     assert got == {(0, 2), (1, 4)}

@@ -1,13 +1,49 @@
-"""The whole scan over a small component of every kind."""
+"""The whole scan over a small component of every kind, and scans as recorded jobs."""
 
-from tessera.plans.catalogue import SAMPLE
+from pyspark.sql import functions as F
+
+from tessera.operators import history
+from tessera.plans import jobs
+from tessera.plans.expected import EXPECTED
+from tessera.plans.sample import SAMPLE
 from tessera.plans.scan import scan
+from tessera.sources.tables import Tables
+
+FILE = "scan_id string, path string, content string"
 
 
 def test_scan(spark):
-    files = spark.createDataFrame(SAMPLE, "scan_id string, path string, content string")
-    got = {(r["scan_id"], r["category"], r["line"]) for r in scan(files).collect()}
-    assert {("s1", "malicious_package", None), ("s1", "code_injection", 7), ("s1", "ha_auth_access", 9), ("s1", "obfuscation", 3)} <= got
-    assert {("s2", "xss", 1), ("s2", "network", 2), ("s2", "parse_info", None), ("s2", "malicious_package", None)} <= got
-    assert {("s3", "command_execution", 4), ("s3", "unsafe_include", 6), ("s3", "hardcoded_secret", 7), ("s3", "malicious_package", None)} <= got
-    assert ("s2", "code_injection", 3) not in got  # in a comment
+    got = sorted(tuple(str(r[c]) for c in ("scan_id", "file", "severity", "category", "line", "code")) for r in scan(spark.createDataFrame(SAMPLE, FILE)).collect())
+    assert got == sorted(tuple(map(str, r)) for r in EXPECTED["full_scan"])
+
+
+def test_scans_are_recorded(spark, tmp_path):
+    t = Tables(spark, f"file://{tmp_path}")
+    files = spark.createDataFrame([r for r in SAMPLE if r[0] == "s1"], FILE)
+    scores = spark.createDataFrame([("s1", 7.5)], "scan_id string, score double")
+    at = F.lit("2024-01-01").cast("timestamp")
+    first = jobs.run_scan(t, files, scores, at)
+    assert first["findings"].count() > 20 and first["changes"].count() == 0
+    more = files.unionByName(spark.createDataFrame([("s1", "custom_components/x/new.py", "import turtle\n")], FILE))
+    second = jobs.run_scan(t, more, scores, F.lit("2024-01-02").cast("timestamp"), batch_id="b")
+    assert second["changes"].count() == 1
+    assert [r["status"] for r in t.load("jobs").collect()] == ["done"] and t.load("history").count() == 2 and t.load("fingerprints").count() == 2
+    assert history.reputation(t.load("history")).first()["avg_score"] == 7.5
+    assert history.scans_total(t.load("jobs")).first()[0] == 1 and history.active_batches(t.load("jobs")).count() == 0
+    w = jobs.add_whitelist(t.load("whitelist"), "network", "x", "d", "known", at)
+    t.save("whitelist", jobs.add_whitelist(w, "network", "x", "d", "again", at))
+    row = t.load("whitelist").collect()
+    assert len(row) == 1 and row[0]["reason"] == "again"
+    t.save("whitelist", jobs.remove_whitelist(t.load("whitelist"), row[0]["pattern_hash"]))
+    assert t.load("whitelist").count() == 0
+
+
+def test_a_failed_scan_leaves_failed_jobs(spark, tmp_path):
+    t = Tables(spark, f"file://{tmp_path}")
+    bad = spark.createDataFrame([("s1", "a.py", "x")], FILE).withColumn("path", F.raise_error(F.lit("broken")).cast("string"))
+    try:
+        jobs.run_scan(t, bad, spark.createDataFrame([], "scan_id string, score double"), F.lit("2024-01-01").cast("timestamp"))
+    except Exception:
+        pass
+    got = t.load("jobs").collect()
+    assert [r["status"] for r in got] == ["failed"] and "broken" in got[0]["error"]
