@@ -101,8 +101,8 @@ def byte_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _run_hashes(_BYTE[data], starts, ends), np.diff(np.searchsorted(starts, bounds))
 
 
-def plain_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, line) of all words that have a letter or digit; lines count over all texts, and every text starts one.
+def plain_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, line, letters and digits) of all words that have a letter or digit; lines count over all texts, and every text starts one.
 
     Words are runs without ASCII white space, in lower case, letters and digits only (as plain_word has them).
     """
@@ -119,10 +119,11 @@ def plain_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keep = kind == 2
     upto = np.zeros(len(codes) + 1, np.int64)
     np.cumsum(keep, out=upto[1:])
-    h = _run_hashes(_chars[1][codes[keep]], upto[starts], upto[edges[1::2]])
+    lo, hi = upto[starts], upto[edges[1::2]]
+    h = _run_hashes(_chars[1][codes[keep]], lo, hi)
     line = np.cumsum(codes == 10)[starts] - 1
     live = h != 0
-    return h[live], line[live]
+    return h[live], line[live], (hi - lo)[live]
 
 
 def portions(column, most: int = PORTION):

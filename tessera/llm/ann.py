@@ -209,7 +209,7 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
     """In double precision, the same whatever else is computed."""
     a, b = (x / np.abs(x).max() for x in (a, b))  # lengths neither overflow nor vanish
     a, b = a.tolist(), b.tolist()
-    return max(-1.0, min(1.0, sumprod(a, b) / (sqrt(sumprod(a, a)) * sqrt(sumprod(b, b)))))
+    return max(-1.0, min(1.0, sumprod(a, b) / sqrt(sumprod(a, a) * sumprod(b, b))))
 
 
 OUT = "query_id long, rank int, vec_id long, score double"

@@ -28,7 +28,7 @@ ODD = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * U64(2)
 
 def each_words(texts: list[bytes]) -> list[np.ndarray]:
     """The words of each whole text without case and punctuation, hashed; what has neither letter nor digit is no word."""
-    h, line = plain_words(texts)
+    h, line, _ = plain_words(texts)
     first = np.cumsum([0, *(t.count(b"\n") + 1 for t in texts)])
     return np.split(h, np.searchsorted(line, first[1:-1]))
 

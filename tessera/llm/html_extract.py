@@ -34,6 +34,8 @@ ENDS_P = BLOCK - {"br", "button", "body", "html", "td", "th", "tr", "tbody", "th
 FURNITURE = frozenset(_words("ad ads advert adverts advertisement adverts banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside rail widget footer foot masthead topbar cookie cookies consent notice notices gdpr popup modal overlay alert newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond replies reply discussion pagination pager toolbar skip complementary contentinfo search"))
 #: A node whose name holds such a word goes only with less than one part in so many of the page's text, or if it is mostly links.
 PART = 5
+#: Characters without links outside all furniture that are an article, however much the furniture holds.
+ENOUGH = 300
 #: A tag ends before the next one starts, so that a sign like that in `a<b` is text.
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*)>", re.S)
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""", re.S)
@@ -226,7 +228,7 @@ def cut_furniture(root: Node) -> None:
             inside.add(id(x))
     lost = sum(x.chars - x.linked for x in nodes if x.named == 2 and (x.parent is None or id(x.parent) not in inside))
     free = [x for x in nodes if id(x) not in inside]
-    trusted = (whole - lost) * PART > whole or any(x.tag in ("article", "main") and x.chars > x.linked for x in free)
+    trusted = (whole - lost) * PART > whole or whole - lost > ENOUGH or any(x.tag in ("article", "main") and x.chars > x.linked for x in free)
     best = max(free if trusted else nodes, key=lambda x: x.total)
     held = {id(x) for x in _up(best)}
 

@@ -1,11 +1,11 @@
 """Fuzzy line dedup: keys from minima over neighbouring words, edit similarity, one occurrence kept for each connected group.
 
 Lines are normalised (lower case, letters and digits only, single spaces). Equal lines fold into one before
-anything is joined. Each distinct line gets `KEYS` keys: minima over its hashed pairs of neighbouring words, three to a key, or, for a
+anything is joined. Each distinct line gets `KEYS` keys: minima over its hashed pairs of neighbouring words, two to a key, or, for a
 short line, the line itself and all ways to leave one word out. Keys are dealt into buckets as packed arrays, so no
-row is made for a key that one line alone has. Lines under one key are first tied to the key's first line; ties are verified by
-the edit similarity of the whole normalised lines. A key that still holds several connected groups is then compared in full,
-block by block: every two of its lines whose groups nothing joins yet. Of each connected group the first occurrence stays,
+row is made for a key that one line alone has. Lines under one key whose lengths let them be alike are tied to the first of them; ties are verified by
+the edit similarity of the whole normalised lines. Such lines that still lie in several connected groups are then compared in full,
+block by block: every two of them whose groups nothing joins yet. Of each connected group the first occurrence stays,
 by document id and line number.
 """
 
@@ -21,7 +21,7 @@ from tessera.llm._common import U64, alike, connected_components, flags, fresh,
 
 SIMILARITY = 0.85
 #: Keys of a line, and minima of a key; a line of fewer words than keys has keys with words left out instead of minima.
-KEYS, MINIMA = 10, 3
+KEYS, MINIMA = 10, 2
 #: Lines of fewer words or characters stay: that short ones repeat says nothing.
 WORDS, CHARS = 3, 12
 #: Keys that a bucket should hold; keys packed at once; lines of one key among those from which they are left in place.
@@ -40,17 +40,18 @@ def plain_line(line: str) -> str:
     return b" ".join(w for x in line.encode().split() if (w := plain_word(x))).decode()
 
 
-def line_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(text, line number, hashed words line by line, words of each line, the lines) of the lines that are long enough to count."""
+def line_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(text, line number, hashed words line by line, words of each line, characters of each normalised line, the lines) of the lines that are long enough to count."""
     lines = [t.split(b"\n") for t in texts]
     counts = np.array([len(x) for x in lines])
     every = [x for own in lines for x in own]
-    w, line = plain_words(texts)
+    w, line, letters = plain_words(texts)
     n = np.bincount(line, minlength=len(every))
+    size = np.bincount(line, letters, len(every)).astype(np.int64) + n - 1
     keep = (n >= WORDS) & (np.fromiter(map(len, every), np.int64, len(every)) >= CHARS)
     text = np.repeat(np.arange(len(texts)), counts)
     number = np.arange(len(every)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return text[keep], number[keep], w[keep[line]], n[keep], [every[i] for i in np.flatnonzero(keep).tolist()]
+    return text[keep], number[keep], w[keep[line]], n[keep], size[keep], [every[i] for i in np.flatnonzero(keep).tolist()]
 
 
 def _at(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,18 +97,18 @@ def line_keys(w: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, h, raw, k0, ...) of every line that counts; docs: (_id, _t). raw is the hash of the line as it stands."""
+    """(doc, line, h, raw, size, k0, ...) of every line that counts; docs: (_id, _t). raw is the hash of the line as it stands, size its letters and digits."""
 
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for first, texts in portions(b.column(1)):
-                at, no, w, n, own = line_hashes(texts)
+                at, no, w, n, size, own = line_hashes(texts)
                 raw = np.fromiter(map(xxhash.xxh3_64_intdigest, own), U64, len(own))
                 keys = line_keys(w, n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + at]), pa.array(no.astype(np.int32)), pa.array(fold(w, n).view(np.int64)), pa.array(raw.view(np.int64)), *(pa.array(np.ascontiguousarray(keys[:, t]).view(np.int64)) for t in range(KEYS))], ["doc", "line", "h", "raw", *_NAMES])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + at]), pa.array(no.astype(np.int32)), pa.array(fold(w, n).view(np.int64)), pa.array(raw.view(np.int64)), pa.array(size.astype(np.int32)), *(pa.array(np.ascontiguousarray(keys[:, t]).view(np.int64)) for t in range(KEYS))], ["doc", "line", "h", "raw", "size", *_NAMES])
 
-    return docs.mapInArrow(run, ", ".join(["doc long", "line int", "h long", "raw long", *(f"{k} long" for k in _NAMES)]))
+    return docs.mapInArrow(run, ", ".join(["doc long", "line int", "h long", "raw long", "size int", *(f"{k} long" for k in _NAMES)]))
 
 
 def _place(doc: str, line: str) -> Column:
@@ -115,78 +116,91 @@ def _place(doc: str, line: str) -> Column:
     return F.expr(f"cast({doc} as decimal(20,0)) * 2147483648BD + {line}").cast("decimal(32,0)")
 
 
+#: A bit of a size that says that the line stands for very many lines of its key.
+_HOT = 1 << 30
+
+
 def _packed(distinct: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, keys, lines) and (key, h, lead): the keys of lines, packed by bucket; and those of a key that very many of the lines
-    at hand have, each with the first of them, which alone goes into the bucket for them all."""
+    """(bucket, keys, lines, sizes, leads): the keys of lines, packed by bucket. Lines of a key that very many of the lines at hand
+    have are left in place, with the first of them as lead, which alone goes into the bucket for them all."""
 
     def run(batches):
-        def pack(h, key):
+        def pack(h, key, size):
             order = np.lexsort((h, key))
-            h, key = h[order], key[order]
+            h, key, size = h[order], key[order], size[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff([*first, len(key)])
-            many = np.repeat(size >= MANY, size)
-            lead = np.repeat(first, size)
+            n = np.diff([*first, len(key)])
+            many, lead = np.repeat(n >= MANY, n), np.repeat(first, n)
             if many.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(int(many.sum()), pa.int32()), pa.nulls(int(many.sum()), pa.binary()), pa.nulls(int(many.sum()), pa.binary()), pa.array(key[many].view(np.int64)), pa.array(h[many]), pa.array(h[lead[many]])], _PACKED)
+                for lo in range(0, int(many.sum()), BUCKET):
+                    at = np.flatnonzero(many)[lo : lo + BUCKET]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(key[at[0]] % U64(buckets))], pa.int32()), pa.array([key[at].tobytes()]), pa.array([h[at].tobytes()]), pa.array([b""]), pa.array([h[lead[at]].tobytes()])], _BLOBS)
+                size = size | np.where(many, _HOT, 0).astype(np.int32)
             go = ~many | (lead == np.arange(len(key)))
-            h, key = h[go], key[go]
+            h, key, size = h[go], key[go], size[go]
             part = (key % U64(buckets)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            part, key, h = part[order], key[order], h[order]
+            part, cols = part[order], [x[order] for x in (key, h, size)]
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
             ends = [*cuts[1:], len(part)]
-            none = pa.nulls(len(cuts), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array([key[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([h[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), none, none, none], _PACKED)
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), *(pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for x in cols), pa.nulls(len(cuts), pa.binary())], _BLOBS)
 
-        hs, keys, held = [], [], 0
+        held: list[list[np.ndarray]] = [[], [], []]
+        n = 0
         for b in batches:
-            h = b.column(0).to_numpy(zero_copy_only=False)
+            h, size = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for t in range(KEYS):
-                k = b.column(1 + t).to_numpy(zero_copy_only=False).view(U64)
+                k = b.column(2 + t).to_numpy(zero_copy_only=False).view(U64)
                 live = k != 0
-                hs.append(h[live])
-                keys.append(k[live])
-                held += len(keys[-1])
-            if held >= PACKED:
-                yield from pack(np.concatenate(hs), np.concatenate(keys))
-                hs, keys, held = [], [], 0
-        if held:
-            yield from pack(np.concatenate(hs), np.concatenate(keys))
+                for x, y in zip(held, (h, k, size)):
+                    x.append(y[live])
+                n += int(live.sum())
+            if n >= PACKED:
+                yield from pack(*map(np.concatenate, held))
+                held, n = [[], [], []], 0
+        if n:
+            yield from pack(*map(np.concatenate, held))
 
-    return distinct.select("h", *_NAMES).mapInArrow(run, "bucket int, keys binary, lines binary, key long, h long, lead long")
+    return distinct.select("h", "size", *_NAMES).mapInArrow(run, "bucket int, keys binary, lines binary, sizes binary, leads binary")
 
 
-_PACKED = ["bucket", "keys", "lines", "key", "h", "lead"]
+_BLOBS = ["bucket", "keys", "lines", "sizes", "leads"]
 
 
-def _shared(packed: DataFrame) -> DataFrame:
-    """(key, h, lead): the lines of each key that several lines have, with the first of them."""
+def _shared(packed: DataFrame, similarity: float) -> DataFrame:
+    """(key, h, lead): the lines that share a key and may be alike by their lengths, as a key of their own, with the first of them."""
 
     def run(batches):
-        def told(keys, lines):
-            key, h = np.frombuffer(b"".join(keys), U64), np.frombuffer(b"".join(lines), np.int64)
-            order = np.lexsort((h, key))
-            key, h = key[order], h[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff([*first, len(key)])
-            some = np.repeat(size > 1, size)
-            return pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(h[some]), pa.array(h[np.repeat(first, size)[some]])], ["key", "h", "lead"])
-
-        now, keys, lines = None, [], []
+        def rows(key, h, lead):
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h), pa.array(lead)], ["key", "h", "lead"])
+
+        def told(keys, lines, sizes):
+            key, h, size = np.frombuffer(b"".join(keys), U64), np.frombuffer(b"".join(lines), np.int64), np.frombuffer(b"".join(sizes), np.int32)
+            hot = np.isin(key, key[size >= _HOT])  # such a key stays in one piece, as its lines were left in place under its name
+            size = np.where(hot, 0, size)
+            order = np.lexsort((h, size, key))
+            key, h, size, hot = key[order], h[order], size[order], hot[order]
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (size[:-1] < similarity * size[1:] - 1e-9)]))
+            n = np.diff([*first, len(key)])
+            some, lead = np.repeat(n > 1, n), h[np.repeat(first, n)]
+            return rows(np.where(hot, key, mix(key + lead.view(U64)))[some], h[some], lead[some])
+
+        now, held = None, ([], [], [])
         for b in batches:
-            for bucket, k, h in zip(*(b.column(c) for c in range(3))):
+            for bucket, *blobs, leads in zip(*(b.column(c) for c in range(5))):
+                if leads.is_valid:
+                    yield rows(np.frombuffer(blobs[0].as_py(), U64), np.frombuffer(blobs[1].as_py(), np.int64), np.frombuffer(leads.as_py(), np.int64))
+                    continue
                 if bucket.as_py() != now:
-                    if keys:
-                        yield told(keys, lines)
-                    now, keys, lines = bucket.as_py(), [], []
-                keys.append(k.as_py())
-                lines.append(h.as_py())
-        if keys:
-            yield told(keys, lines)
+                    if held[0]:
+                        yield told(*held)
+                    now, held = bucket.as_py(), ([], [], [])
+                for x, y in zip(held, blobs):
+                    x.append(y.as_py())
+        if held[0]:
+            yield told(*held)
 
-    found = packed.where("bucket is not null").select("bucket", "keys", "lines").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, h long, lead long")
-    return found.unionByName(packed.where("bucket is null").select("key", "h", "lead"))
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, h long, lead long")
 
 
 def _texts(ids: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -323,10 +337,10 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc, line, keep_doc, keep_line) of every line that goes, and the occurrence that stays for it; lines count from 0."""
     d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("_t")).where("_id is not null and _t is not null")
     lines = materialize(_lines(d), "line-hashes")
-    distinct = lines.groupBy("h").agg(F.min(_place("doc", "line")).alias("place"), F.count("*").alias("n"), F.min("raw").alias("raw"), *(F.min(k).alias(k) for k in _NAMES))
+    distinct = lines.groupBy("h").agg(F.min(_place("doc", "line")).alias("place"), F.count("*").alias("n"), F.min("raw").alias("raw"), F.min("size").alias("size"), *(F.min(k).alias(k) for k in _NAMES))
     distinct = materialize(distinct, "distinct-lines")
     buckets = max(1, -(-distinct.count() * KEYS // BUCKET))
-    shared = materialize(_shared(materialize(_packed(distinct, buckets), "packed-keys")), "shared")
+    shared = materialize(_shared(_packed(distinct, buckets), similarity), "shared")
     ties = materialize(shared.where("h <> lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct(), "ties")
     links = materialize(_verified(ties, d, distinct, similarity), "links")
     parts = materialize(connected_components(links, "a", "b"), "parts")

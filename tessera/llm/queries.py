@@ -47,6 +47,7 @@ def vocabulary() -> str:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece of a document: its ids by digest, and its place in the sequences."""
     from tessera.llm.packing import pack_documents
 
     return pack_documents(_read(spark, sf_dir, "documents"), vocabulary())
@@ -60,6 +61,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: host and path of its url, the rule that fits, and the verdict."""
     from tessera.llm.url_filter import judge, mine
 
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
@@ -67,6 +69,7 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: its main text, and how long that is."""
     from tessera.llm.html_extract import extract
 
     out = extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -74,6 +77,7 @@ def op7_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the size of its set of shingles, its component, and whether it stays."""
     from tessera.llm.minhash import near_duplicates
 
     return near_duplicates(_read(spark, sf_dir, "documents"))
@@ -115,5 +119,28 @@ FROM p LEFT JOIN h ON p.d = h.d AND p.n >= 1000
 """
 
 
+#: Urls that no rule fits are allowed: where labels don't depend on urls, as in the tables at hand, nothing is mined that blocks them.
+OP6_SQL = """
+WITH p AS (SELECT page_id, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r(name, h, p, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+best AS (SELECT page_id, arg_max(name, length(name)) AS rule, arg_max(verdict, length(name)) AS verdict FROM h, r WHERE (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p) GROUP BY page_id)
+SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN best ON h.page_id = best.page_id
+"""
+
+OP8_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(y, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(y, w.doc_id)) AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN least ON w.doc_id = least.x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL}
+    return {"op6_url_rules": OP6_SQL, "op8_minhash": OP8_SQL, "op10_warc": OP10_SQL}

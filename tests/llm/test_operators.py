@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, decontaminate, html_extract, line_dedup, minhash, packing, secret_scan, toxicity, url_filter, warc
-from tessera.llm._common import LOCAL_SHARED, connected_components, edit_distance, shared_dir
+from tessera.llm._common import LOCAL_SHARED, byte_words, connected_components, drop_tables, edit_distance, materialize, plain_words, shared_dir
 from tessera.llm.queries import vocabulary
 
 DOC = "doc_id long, text string"
@@ -111,6 +111,32 @@ def test_overlaps_either_way(spark):
     assert decontaminate.overlaps(d, b.limit(0)).count() == 0 and decontaminate.overlaps(d.limit(0), b).count() == 0
 
 
+def test_overlaps_of_texts_that_share_an_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(25))
+    b = spark.createDataFrame([(1, one), (1, two), (1, one)], "item_id long, text string")
+    d = spark.createDataFrame([(5, f"x y {one} z {two}"), (5, two), (6, "\n".join(two.split()[:12])), (7, "a0 a1 b7")], DOC)
+    near, far = (sorted(map(tuple, decontaminate.overlaps(d, b, broadcast_words=n).collect())) for n in (1000, 0))
+    assert near == far and [r[:2] for r in near] == [(5, 1), (6, 1)] and near[0][4] == 25
+
+
+def test_no_helper_column_clashes(spark):
+    """Columns named like those inside, in any case, stay as they are."""
+    names = ("t", "gone", "leak", "leak_", "u", "c", "m0", "s1", "base", "random", "of", "left", "severity", "h", "p", "r", "bad", "_id", "_t", "raw", "key", "__t")
+    text = " ".join(f"word{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text), (2, f"{text}\nand a line of its own"), (3, None)], DOC).withColumns({n: F.lit(n) for n in names})
+    bench = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(20)))], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    urls = df.select("doc_id", *(c for c in df.columns if c not in ("doc_id", "text"))).withColumns({"url": F.lit("x://a.b/c"), "page_id": F.col("doc_id")})
+    none = spark.createDataFrame([], "tokens array<string>, confidence double, support double")
+    for out in (line_dedup.dedup_lines(df), decontaminate.decontaminate(df, bench), toxicity.reject(df, labels), secret_scan.scan(df, secret_scan.fit(df)), url_filter.judge(urls, none)):
+        assert all(r[n] == n for r in out.collect() for n in names)
+
+
+def test_tables_between_jobs_can_be_dropped(spark):
+    t = materialize(spark.range(3).toDF("x"), "some")
+    assert t.count() == 3 and drop_tables(spark) >= 1 and drop_tables(spark) == 0
+
+
 # 4: packing
 
 
@@ -152,6 +178,29 @@ def test_breeding_finds_what_best_fit_misses():
     assert sorted(i for b in child for i in b) == list(range(10)) and all(sum(sizes[i] for i in b) <= 60 for b in child)
 
 
+def test_breeding_saves_bins():
+    rng = random.Random(12)
+    sizes = []
+    for _ in range(60):  # threes that fill a bin of 1000 exactly: best fit in order of size needs more bins
+        a, b = rng.randrange(260, 360), rng.randrange(260, 360)
+        sizes += [a, b, 1000 - a - b]
+    sizes.sort(reverse=True)
+    start = packing._new(sizes, 1000, random.Random(0), True)
+    out = packing.breed(sizes, [start], 1000, 3, population=8, children=400)
+    assert sorted(i for b in out for i in b) == list(range(180)) and len(out) < len(start)
+
+
+def test_words_seen_before_and_long_ago(spark):
+    from tessera.llm.packing import Encoder, Recent
+
+    made = []
+    r = Recent(lambda k: made.append(k) or k.encode(), 2)
+    assert [r(k) for k in "abacada"] == [k.encode() for k in "abacada"] and made.count("a") == 1
+    e = Encoder(vocabulary())
+    texts = ["a b", "", "It's x... (y)", "日本", "ÀÉ été", "<|endoftext|>", "\u0301", "K\u212a 1/2"]
+    assert e.short and e.all(texts) == [np.array(e.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_packing_over_many_blocks(spark):
     rng = random.Random(6)
     df = spark.createDataFrame([(i, rng.randrange(1, 60)) for i in range(600)] + [(1000, 64)], "key long, size long")
@@ -241,11 +290,52 @@ def test_lines_hidden_behind_permutations(spark):
     assert left == set(part.values())
 
 
-def test_simhash_counts_beyond_its_lanes():
-    w = np.arange(1, 70_001, dtype=np.uint64)
-    whole = line_dedup.simhash(w, np.array([70_000]))[0]
-    bits = np.unpackbits(line_dedup.mix(w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    assert whole == np.packbits(2 * bits > 70_000, bitorder="little").view(np.uint64)[0]
+def test_links_against_all_pairs_of_a_table(spark):
+    """Lines of real documents with words replaced: of all lines within the edit similarity, at least nine in ten are found."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect() if r["text"]]
+    rng, rows = random.Random(11), []
+    for line in sorted({x for t in texts for x in t.split("\n") if 8 <= len(x.split()) <= 60})[:150]:
+        w = line.split()
+        for i in rng.sample(range(len(w)), max(1, len(w) // 14)):
+            w[i] = "changed"
+        rows += [(len(rows), line), (len(rows) + 1, " ".join(w))]
+    plain = {i: line_dedup.plain_line(x) for i, x in rows}
+    part = {i: i for i in plain}
+    for i in plain:
+        for j in plain:
+            if i < j and part[i] != part[j] and line_dedup.alike(plain[i], plain[j], 0.85):
+                a, b = part[i], part[j]
+                part = {k: min(a, b) if v in (a, b) else v for k, v in part.items()}
+    gone = {i for i in part if part[i] != i}
+    found = {r["doc"] for r in line_dedup.repeated_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert len(gone) > 100 and found <= gone and len(found) >= 0.9 * len(gone)
+
+
+def test_large_groups_meet_in_blocks(spark, monkeypatch):
+    """Blocks of two lines, keys left in place from three lines on: the same links."""
+    rng = random.Random(23)
+    base = words(rng, 12, 5000)
+    rows = []
+    for k in range(30):
+        w = base[k % 12 :] + base[: k % 12]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, "x"]))]
+    df = spark.createDataFrame(rows, DOC)
+    want = sorted(map(tuple, line_dedup.repeated_lines(df).collect()))
+    monkeypatch.setattr(line_dedup, "BLOCK", 2)
+    monkeypatch.setattr(line_dedup, "MANY", 3)
+    monkeypatch.setattr(line_dedup, "BUCKET", 50)
+    assert sorted(map(tuple, line_dedup.repeated_lines(df).collect())) == want and want
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    texts = [b"", b"One, two  THREE\n\nfour!", "É-é …  x\ty".encode(), b"three two one four", b"\n...\n"]
+    h, counts = byte_words(texts)
+    assert counts.tolist() == [0, 4, 4, 4, 1]
+    assert h[1] == byte_words([b"two"])[0][0] and h[2] == byte_words([b"three"])[0][0] and len(set(h.tolist())) == 11
+    h, line, _ = plain_words(texts)
+    lines = [x for t in texts for x in t.split(b"\n")]
+    assert [(k, plain_words([x])[0].tolist()) for k, x in enumerate(lines) if plain_words([x])[0].size] == [(k, h[line == k].tolist()) for k in np.unique(line)]
+    assert plain_words([b"four!"])[0] == plain_words([b"FOUR"])[0] and plain_words(["É-é".encode()])[0] == plain_words(["éé".encode()])[0]
 
 
 # 9: toxicity
@@ -346,6 +436,7 @@ def test_mined_rules_block_what_labels_mark(spark):
     df = spark.createDataFrame(rows, "page_id long, url string")
     lab = spark.createDataFrame([*labels, (None, 0, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     mined = url_filter.mine(df, lab)
+    assert {tuple(r["tokens"]) for r in mined.collect()} >= {("p:bets",)} and all(len(r["tokens"]) == 1 for r in mined.collect())  # no rule within another
     assert mined.count() and mined.agg(F.min("confidence")).first()[0] >= url_filter.CONFIDENCE
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, mined).collect()}
     assert all((got[i] == "block") == (i % 6 == 0) for i in range(600))
@@ -374,6 +465,47 @@ def test_a_word_in_a_wrapper_s_name_takes_no_article_away(name):
     assert html_extract.main_text(page) == f"{(p * 3).strip()}\n{(p * 4).strip()}"
 
 
+P = "<p>A sentence of the article that is long enough to count as its text, with no link in it.</p>"
+MENU = "<nav><ul><li><a href=1>Home page</a></li><li><a href=2>News of today</a></li></ul></nav>"
+REMARKS = "".join(f"<div><b>Reader {i}</b><p>I liked this very much, thank you for all of it.</p><a href=#>Reply</a></div>" for i in range(5))
+
+
+@pytest.mark.parametrize("attrs", ["class='has-sidebar'", "class='post with-comments'", "class='ad-free'", "class='article-discussion'", "class='rail-transport'", "class='modal-logic'", "class='login-free'", "class='entry related-work'", "title='a hidden gem'", 'data-role="menu item"', "class='sidebar'"])
+def test_no_attribute_takes_the_article_away(attrs):
+    assert html_extract.main_text(f"<body>{MENU}<div {attrs}><h1>Title</h1>{P * 4}</div><footer>Some footer text</footer></body>") == "\n".join(["Title", *[P[3:-4]] * 4])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article>{P * 4}</article><div class=c1>{REMARKS}</div>", f"<div>{P * 4}</div><div class=c1>{REMARKS}</div>", f"<article>{P * 4}<section><h3>5 Comments</h3>{REMARKS}</section></article>",
+        f"<div>{P * 4}</div><div class=comments>{REMARKS * 9}</div>", f"<form action=x>{P * 4}<input name=q></form>", f"<div><div>{P * 4}</div><div class=s><ul>{'<li><a href=x>Some other headline here</a></li>' * 9}</ul></div></div>", f"<aside>{P}</aside><main>{P * 4}</main>",
+    ],
+)
+def test_density_decides_what_the_article_is(page):
+    assert html_extract.main_text(f"<body>{MENU}{page}<footer>Some footer text</footer></body>") == "\n".join([P[3:-4]] * 4)
+
+
+def test_signs_that_are_no_tags():
+    assert html_extract.main_text("<body><p>1 < 2 and if a<b then more</p></body>") == "1 < 2 and if a<b then more"
+
+
+def test_densities_against_their_definition():
+    root = html_extract.parse(f"<body>{MENU}<div>{P * 3}<ul><li><a href=x>one link</a></li></ul></div></body>")
+    nodes = html_extract.measure(root)
+
+    def texts(x, links=False):
+        return sum((0 if links else len(" ".join(c.split()))) if isinstance(c, str) else texts(c, links and c.tag != "a") for c in x.children)
+
+    def tags(x):
+        return sum(1 + tags(c) for c in x.children if not isinstance(c, str))
+
+    for x in nodes:
+        assert (x.chars, x.tags) == (texts(x), tags(x))
+        assert x.total == pytest.approx(sum(c.density for c in x.children if not isinstance(c, str)))
+    assert max(nodes, key=lambda x: x.total).tag == "div"
+
+
 def test_bare_text_beside_the_chosen_node_is_judged():
     p = "A sentence of the article that is long enough to count as its text, with no link in it. "
     page = f"<body><div>{p * 5}<section><p>{p * 3}</p><p>{p * 4}</p><p>{p * 3}</p></section></div></body>"
@@ -431,7 +563,7 @@ def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 16)).astype(np.float32)
     x[50:80] = x[50]  # many equal ones
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, []), (9004, [1.0, 2.0]), (None, [1.0] * 16), (9005, [None] * 16)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, []), (None, [1.0] * 16), (9005, [None] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("q", F.lit(1))
     got: dict[int, list] = {}
     for r in ann.search(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
@@ -452,5 +584,40 @@ def test_neighbours_against_brute_force(spark):
     assert ann.search(df.limit(0), df).count() == 0 and ann.search(df, df.limit(0)).count() == 0
 
 
+def test_lists_are_pruned_and_boundaries_replicated():
+    """In clusters, nine in ten of the nearest are found in under a fifth of the rows; in shapeless data every vector is near boundaries."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((150, 24))[rng.integers(0, 150, 6000)] + 0.4 * rng.standard_normal((6000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    g = ann.Graph(ann.centroids(x, 6000 // ann.LIST))
+    home = [g.home(v) for v in x]
+    lists = {}
+    for i, js in enumerate(home):
+        for j in js:
+            lists.setdefault(j, set()).add(i)
+    hit = seen = 0
+    for q in range(0, 6000, 60):
+        rows = set().union(*(lists.get(j, set()) for j in g.probe(x[q])))
+        s = x @ x[q]
+        s[q] = -9
+        hit += len(rows & set(np.argsort(-s)[:5].tolist()))
+        seen += len(rows)
+    assert hit >= 0.9 * 500 and seen < 100 * 6000 / 5
+    assert 1 < np.mean(list(map(len, home))) <= ann.REPLICAS
+    y = rng.standard_normal((3000, 24))
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    g = ann.Graph(ann.centroids(y, 60))
+    assert np.mean([len(g.home(v)) for v in y]) > 2
+
+
+def test_lengths_are_searched_apart_and_scores_do_not_depend_on_blocks(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 4.0]), (2, [1.0, 2.1]), (3, [1.0, 2.0, 3.0]), (4, [3.0, 2.0, 1.0]), (5, [7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(df, df).collect()}
+    assert got[0, 1][0] == 1 and got[0, 1][1] == pytest.approx(1, abs=1e-15) and got[0, 2][0] == 2 and (0, 3) not in got and got[3, 1][0] == 4 and not any(q == 5 for q, _ in got)
+    a = np.array([0.1, 0.2, 0.7])
+    assert ann.cosine(a, a) == 1.0 and ann.cosine(a * 1e-200, a * 1e200) == 1.0
+
+
 def test_shared_folder_is_the_session_s(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir", LOCAL_SHARED)
