@@ -228,10 +228,9 @@ def _texts(ids: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
 def _counts(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(length, characters counted by code modulo 32) of each line."""
     size = np.array([len(x) for x in lines])
-    counts = np.zeros((len(lines), 32), np.int32)
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-    np.add.at(counts, (np.repeat(np.arange(len(lines)), size), codes % 32), 1)
-    return size, counts
+    counts = np.bincount(np.repeat(32 * np.arange(len(lines)), size) + codes % 32, minlength=32 * len(lines))
+    return size, counts.reshape(-1, 32).astype(np.int32)
 
 
 def _near(size, counts, other_size, other_counts, similarity: float) -> np.ndarray:
@@ -269,12 +268,12 @@ def _open_groups(shared: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.join(once, "key")
 
 
-def joining(lines: list[str], c: np.ndarray, similarity: float, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+def joining(lines: list[str], c: np.ndarray, similarity: float, left: np.ndarray | None = None, counted: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Pairs of alike lines that join the components c: each two lines are compared unless something joins theirs already.
 
     With `left`, only pairs of a line of the left and one of the right."""
     own = c.copy()
-    size, counts = _counts(lines)
+    size, counts = counted or _counts(lines)
     names, many = np.unique(c, return_counts=True)
     largest = names[np.argmax(many)]
     order = np.concatenate([np.flatnonzero(c != largest), np.flatnonzero(c == largest)])
@@ -325,9 +324,10 @@ def _group_links(groups: DataFrame, docs: DataFrame, distinct: DataFrame, simila
         for task, h, c, s, first, within in _runs(batches, 6):
             starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])).tolist()
             links = []
+            size, counts = _counts(s.tolist())
             for lo, hi in zip(starts, [*starts[1:], len(task)]):
                 left = None if within[lo] else first[lo:hi].astype(bool)
-                links += [(int(h[lo + i]), int(h[lo + j])) for i, j in joining(s[lo:hi].tolist(), c[lo:hi], similarity, left)]
+                links += [(int(h[lo + i]), int(h[lo + j])) for i, j in joining(s[lo:hi].tolist(), c[lo:hi], similarity, left, (size[lo:hi], counts[lo:hi]))]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return rows.repartition("task").sortWithinPartitions("task", "h").mapInArrow(run, "a long, b long").distinct()
