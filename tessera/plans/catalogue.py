@@ -457,7 +457,10 @@ def _(j):
     """Jobs written, recovered into a new version, appended to, and read back."""
     import uuid
 
-    folder = j.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tessera-shared"
+    folder = j.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder and not j.sparkSession.sparkContext.master.startswith(("local[", "local*")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = folder or "file:///tmp/tessera-shared"
     t = Tables(j.sparkSession, f"{folder.rstrip('/')}/tables-{uuid.uuid4().hex}")
     t.save("jobs", j)
     t.save("jobs", history.recovered(t.load("jobs")))
