@@ -172,6 +172,10 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: Columns after which an edit distance is held against its bound.
+_COLUMNS = 12
+
+
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
     """Levenshtein distance of whole strings, bit-parallel over integers of any width. Beyond `most`, any number above it."""
     n = 0
@@ -191,21 +195,22 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    plus, minus, score, left = full, 0, len(a), len(b)
-    for c in b:
-        if most is not None and score - left > most:  # even if all that is left matches
-            return score - left
-        left -= 1
-        eq = where.get(c, 0)
-        d0 = (((eq & plus) + plus) ^ plus) | eq | minus
-        hp = minus | ~(d0 | plus) & full
-        hm = d0 & plus
-        score += bool(hp & top) - bool(hm & top)
-        hp = hp << 1 | 1
-        plus = (hm << 1 | ~(d0 | hp)) & full
-        minus = hp & d0 & full
-    return score
+    full = (1 << len(a)) - 1
+    plus, minus = full, 0  # rows of the column that are one more, or one less, than the row above
+    slack = len(a) - len(b)
+    for start in range(0, len(b), _COLUMNS):
+        # no path costs less than the cell on the last cell's diagonal: costs change by one a row, and a path that is off it must come back
+        if most is not None and start and start + slack > 0:
+            upper = (1 << start + slack) - 1
+            if start + (plus & upper).bit_count() - (minus & upper).bit_count() > most:
+                return most + 1
+        for c in b[start : start + _COLUMNS]:
+            eq = where.get(c, 0)
+            d0 = (((eq & plus) + plus) ^ plus) | eq | minus
+            hp = (minus | ~(d0 | plus) & full) << 1 | 1
+            plus = ((d0 & plus) << 1 | ~(d0 | hp)) & full
+            minus = hp & d0 & full
+    return len(b) + plus.bit_count() - minus.bit_count()
 
 
 def alike(a: str, b: str, similarity: float) -> bool:
