@@ -28,6 +28,8 @@ WORDS, CHARS = 3, 12
 BUCKET, PACKED, MANY = 500_000, 1_000_000, 64
 #: Lines of a key that are compared with one another, or with as many others, in one task.
 BLOCK = 500
+#: Hash values by which runs of three characters are counted.
+GRAMS = 1024
 #: Parts of a large group that are told its first line apart.
 SALTS = 16
 _SEEDS = np.random.default_rng(17).integers(0, 1 << 63, MINIMA * KEYS).astype(U64)
@@ -233,6 +235,26 @@ def _counts(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return size, counts.reshape(-1, 32).astype(np.int32)
 
 
+def _grams(lines: list[str]) -> np.ndarray:
+    """Three neighbouring characters of each line, counted by hash modulo GRAMS."""
+    size = np.array([len(x) for x in lines])
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(U64)
+    with np.errstate(over="ignore"):
+        h = (codes[:-2] * U64(0x9E3779B97F4A7C15) + codes[1:-1]) * U64(0x9E3779B97F4A7C15) + codes[2:]
+        h = (h * U64(0xFF51AFD7ED558CCD)) >> U64(40)
+    line = np.repeat(np.arange(len(lines)), size)[: len(h)]
+    own = np.arange(len(h)) + 3 <= np.cumsum(size)[line]
+    places = line[own] * GRAMS + (h[own] % U64(GRAMS)).astype(np.int64)
+    return np.bincount(places, minlength=GRAMS * len(lines)).reshape(-1, GRAMS).astype(np.int32)
+
+
+def _close(size, grams, other_size, other_grams, similarity: float) -> np.ndarray:
+    """Can these lines be alike? An edit changes three runs of three characters at most."""
+    most = ((1 - similarity) * np.maximum(size, other_size) + 1e-9).astype(np.int64)
+    more = grams - other_grams
+    return np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= 3 * most
+
+
 def _near(size, counts, other_size, other_counts, similarity: float) -> np.ndarray:
     """Can these lines be alike? An edit takes at most one character away and gives one."""
     most = ((1 - similarity) * np.maximum(size, other_size) + 1e-9).astype(np.int64)
@@ -274,6 +296,7 @@ def joining(lines: list[str], c: np.ndarray, similarity: float, left: np.ndarray
     With `left`, only pairs of a line of the left and one of the right."""
     own = c.copy()
     size, counts = counted or _counts(lines)
+    grams = None
     names, many = np.unique(c, return_counts=True)
     largest = names[np.argmax(many)]
     order = np.concatenate([np.flatnonzero(c != largest), np.flatnonzero(c == largest)])
@@ -285,6 +308,9 @@ def joining(lines: list[str], c: np.ndarray, similarity: float, left: np.ndarray
         if left is not None:
             at = at[left[at] != left[i]]
         at = at[_near(size[at], counts[at], size[i], counts[i], similarity)]
+        if len(at):
+            grams = _grams(lines) if grams is None else grams
+            at = at[_close(size[at], grams[at], size[i], grams[i], similarity)]
         joined = set()
         for j, d in zip(at.tolist(), own[at].tolist()):
             if d not in joined and alike(lines[i], lines[j], similarity):
