@@ -24,15 +24,15 @@ def words(rng, n, vocabulary=400):
 
 def test_edit_distance_is_levenshtein():
     rng = random.Random(1)
-    for _ in range(200):
-        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(2))
+    for n in [9] * 200 + [80] * 60:
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(n))) for _ in range(2))
         d = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
             d, p = [i], d
             for j, y in enumerate(b, 1):
                 d.append(min(p[j] + 1, d[-1] + 1, p[j - 1] + (x != y)))
         assert edit_distance(a, b) == d[-1], (a, b)
-        assert all((edit_distance(a, b, m) <= m) == (d[-1] <= m) for m in range(9)), (a, b)
+        assert all((edit_distance(a, b, m) <= m) == (d[-1] <= m) for m in range(n)), (a, b)
 
 
 def test_components(spark):
@@ -265,6 +265,29 @@ def test_near_lines_of_8_to_60_words(spark):
     assert len(left) <= 1.02 * pairs  # brute force leaves one of each pair
 
 
+def test_bounds_pass_over_no_alike_line():
+    rng = np.random.default_rng(23)
+    letters, found = list("abcdefghij klmn éß日"), 0
+    for n in (0, 1, 2, 3, 12, 40, 90, 300):
+        for _ in range(25):
+            line = "".join(rng.choice(letters, n))
+            lines = [line]
+            for share in (0.05, 0.13, 0.2, 0.5):
+                own = list(line)
+                for at in rng.integers(0, n + 1, int(share * n)).tolist():
+                    own[at : at + int(rng.integers(0, 2))] = list(rng.choice(letters, int(rng.integers(0, 2))))
+                lines.append("".join(own))
+            size, grams = np.array([len(x) for x in lines]), line_dedup._grams(lines)
+            close = line_dedup._close(size, grams, size[0], grams[0], 0.85)
+            for near, ok in zip(lines, close.tolist()):
+                d = edit_distance(line, near)
+                alike = d <= int(0.15 * max(n, len(near)) + 1e-9)
+                assert line_dedup.alike(line, near, 0.85) == alike and (ok or not alike), (line, near)
+                assert all((edit_distance(line, near, m) <= m) == (d <= m) for m in (d - 1, d, d + 1, 2 * d) if m >= 0), (line, near)
+                found += alike and line != near
+    assert found > 100
+
+
 def test_a_third_line_under_a_key_is_compared():
     lines = ["one two three four five six seven eight nine ten", "ten nine eight seven six five four three two one", "six seven eight nine ten one two three four five", "ten nine eight seven six five four three two onn"]
     assert [set(x) for x in line_dedup.joining(lines, np.array([1, 2, 3, 4]), 0.85)] == [{1, 3}]
