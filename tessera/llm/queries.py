@@ -105,8 +105,72 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", F.when(revisit, F.col("length")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"), F.when(revisit, F.col("digest")).otherwise(F.sha1("payload")).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 
+#: What op11 tells of each file, besides what the manifest has.
+FILE_DIGEST = "day long, file_no long, path string, rewritten boolean, n_rows long, cents long, rows_crc long, columns string, ids_sha256 string"
+
+
+def _file_digests(listed: DataFrame) -> DataFrame:
+    """Each file (day, file_no, path, rewritten) read back by an executor in a stream, and told in a row."""
+    import hashlib
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    from tessera.llm.late_overwrite import _open, _tasks
+
+    def micros(c):
+        return pc.fill_null(pc.cast(pc.cast(c, pa.int64()), pa.string()), "")
+
+    def tell(path: str) -> tuple:
+        n, cents, crc, ids, comma = 0, 0, 0, hashlib.sha256(), b""
+        fs, at = _open(path)
+        with fs.open_input_file(at) as f:
+            file = pq.ParquetFile(f)
+            for b in file.iter_batches(batch_size=50_000, columns=["sale_id", "total", "sold_at", "arrived_at"]):
+                c = dict(zip(b.schema.names, b.columns))
+                n += b.num_rows
+                cents += int(np.floor(100 * pc.fill_null(c["total"], 0.0).to_numpy(zero_copy_only=False) + 0.5).sum())
+                sale = pc.fill_null(pc.cast(c["sale_id"], pa.string()), "")
+                rows = pc.binary_join_element_wise(sale, micros(c["sold_at"]), micros(c["arrived_at"]), ":")
+                crc += sum(map(zlib.crc32, pc.cast(rows, pa.binary()).to_pylist()))
+                if b.num_rows:
+                    ids.update(comma + ",".join(sale.to_pylist()).encode())
+                    comma = b","
+            return n, cents, crc, ",".join(file.schema_arrow.names), ids.hexdigest()
+
+    def run(batches):
+        for b in batches:
+            told = [tell(p) for p in b.column(2).to_pylist()]
+            cells = list(zip(*told)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cells, kinds))], [x.split()[0] for x in FILE_DIGEST.split(", ")])
+
+    return listed.repartition(_tasks(listed.sparkSession), "path").mapInArrow(run, FILE_DIGEST)
+
+
+def op11_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file of the layout that late rows have overwritten: what it holds, read back, and whether it was written anew."""
+    import uuid
+
+    from tessera.llm._common import shared_dir
+    from tessera.llm.late_overwrite import Layout, create, manifest, overwrite_late
+
+    sales = _read(spark, sf_dir, "sales").select("sale_id", "client_id", "status", "total", "sold_at", "arrived_at", "priority")
+    to = Layout(f"{shared_dir(spark).rstrip('/')}/tessera/late-{uuid.uuid4().hex}", "sale_id", "sold_at", "arrived_at", 1 + sales.count() // 700)
+    h = F.crc32(F.col("sale_id").cast("string").cast("binary"))
+    copies = sales.where((h % 3 == 0) & (to.day() % 7 == 0)).withColumns({"total": F.col("total") + 1, "sold_at": F.col("sold_at") + F.make_dt_interval((h % 2).cast("int")), "arrived_at": F.col("arrived_at") + F.make_dt_interval((1 + h % 97).cast("int"))})
+    rows = sales.unionByName(copies)
+    early = F.coalesce(F.col("arrived_at") < F.lit("2024-04-10").cast("timestamp_ntz"), F.lit(False))
+    create(rows.where(early), to)
+    overwrite_late(rows.where(~early), to)
+    return _file_digests(manifest(spark, to.path).select("day", "file_no", "path", (F.col("generation") > 1).alias("rewritten")))
+
+
 def queries() -> dict:
-    return {"op1_posting_lists": op1_posting_lists, "op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op6_url_rules": op6_url_rules, "op7_text_density": op7_text_density, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc}
+    return {"op1_posting_lists": op1_posting_lists, "op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op6_url_rules": op6_url_rules, "op7_text_density": op7_text_density, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc, "op11_late_overwrite": op11_late_overwrite}
 
 
 OP10_SQL = """
