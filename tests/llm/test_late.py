@@ -122,7 +122,7 @@ def test_an_unfinished_generation_does_not_count(spark, tmp_path):
 
 def test_clashing_names_and_a_hot_id(spark, tmp_path):
     to = lo.Layout(f"file://{tmp_path}/c", "sale_id", "sold_at", "arrived_at", 3)
-    x = make(spark, [row(k % 7 if k % 3 else 5, 1 + k % 2, 1 + k % 9, k) for k in range(200)])
+    x = make(spark, [row(k % 7 if k % 3 else 5, 1 + k % 2, 1 + k % 9, float(k)) for k in range(200)])
     for c in ("day", "at", "part", "path", "was", "ident", "n", "file_no", "place"):
         x = x.withColumn(c, F.lit(c))
     early = F.col("arrived_at") < F.lit("2024-01-06").cast("timestamp_ntz")
