@@ -169,8 +169,26 @@ def op11_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _file_digests(manifest(spark, to.path).select("day", "file_no", "path", (F.col("generation") > 1).alias("rewritten")))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, a tenth of them made periodic: its runs by count and digest, the one of most periods, and its text without repetitions."""
+    from tessera.llm.tandem_runs import collapse_runs
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w"))
+    docs = docs.withColumn("a", F.col("g") % F.col("n")).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).cast("int")))
+    docs = docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+    row = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = F.reduce(F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0))), F.get("runs", F.lit(0)), lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    out = collapse_runs(docs).select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(F.array_join(row, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+    milli = F.floor(F.col("b.length") * 1000 / F.col("b.period"))
+    return out.select("doc_id", "n_runs", *(F.col(f"b.{c}").alias(c) for c in ("start", "length", "period")), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
-    return {"op1_posting_lists": op1_posting_lists, "op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op6_url_rules": op6_url_rules, "op7_text_density": op7_text_density, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc, "op11_late_overwrite": op11_late_overwrite}
+    return {"op1_posting_lists": op1_posting_lists, "op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op6_url_rules": op6_url_rules, "op7_text_density": op7_text_density, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc, "op11_late_overwrite": op11_late_overwrite, "op12_periodic_runs": op12_periodic_runs}
 
 
 OP10_SQL = """
