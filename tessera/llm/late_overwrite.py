@@ -198,6 +198,7 @@ def overwrite_late(late: DataFrame, to: Layout) -> int:
     """Makes the layout that of its rows and `late` together, and returns the new generation.
 
     Of the files of clean days only ids and arrivals are read; they stay as they are. `late` has the layout's columns.
+    Joins on ids are told to shuffle: however well ids compress, they are as many as the rows.
     """
     spark, columns = late.sparkSession, late.columns
     now = _newest(spark, to.path)
@@ -206,7 +207,7 @@ def overwrite_late(late: DataFrame, to: Layout) -> int:
     stands = read_files(old.select(F.col("day").alias(was), F.col("path").alias(path)), [to.ident, to.arrived], late.schema, path)
     stands = stands.select(was, F.col(to.ident).alias(ident), F.col(to.arrived).alias(came))
     x = latest(late, to.ident, to.arrived)
-    x = x.join(stands, F.col(to.ident).eqNullSafe(F.col(ident)), "left")
+    x = x.join(stands.hint("merge"), F.col(to.ident).eqNullSafe(F.col(ident)), "left")
     later = F.col(came).isNull() & F.col(to.arrived).isNotNull() | (F.col(to.arrived) > F.col(came))
     kept = x.where(F.col(was).isNull() | later).select(*columns, was, to.day().alias(new_day))
     kept = materialize(kept, "late")
@@ -215,7 +216,7 @@ def overwrite_late(late: DataFrame, to: Layout) -> int:
     # the rows of dirty days that no late row replaces
     stay = read_files(old.join(dirty, "day", "left_semi").select(F.col("path").alias(path)), columns, late.schema, path).select(*columns)
     gone = kept.where(F.col(was).isNotNull()).select(F.col(to.ident).alias(ident))
-    stay = stay.join(gone, F.col(to.ident).eqNullSafe(F.col(ident)), "left_anti")
+    stay = stay.join(gone.hint("merge"), F.col(to.ident).eqNullSafe(F.col(ident)), "left_anti")
     files = _write(stay.unionByName(kept.select(*columns)), to, columns, now + 1)
     _commit(old.join(dirty, "day", "left_anti").select(files.columns).unionByName(files), to, now + 1)
     for row in old.join(dirty, "day", "left_semi").select("path").toLocalIterator():
