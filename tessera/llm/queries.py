@@ -187,8 +187,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", *(F.col(f"b.{c}").alias(c) for c in ("start", "length", "period")), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its bytes, and what is left of them without strings of 200 bytes that start twice."""
+    from tessera.llm.suffix_dedup import cut_repeats
+
+    out = cut_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {"op1_posting_lists": op1_posting_lists, "op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op6_url_rules": op6_url_rules, "op7_text_density": op7_text_density, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc, "op11_late_overwrite": op11_late_overwrite, "op12_periodic_runs": op12_periodic_runs}
+    return {"op1_posting_lists": op1_posting_lists, "op2_secrets": op2_secrets, "op3_spaced_seeds": op3_spaced_seeds, "op4_best_fit_packing": op4_best_fit_packing, "op5_line_dedup": op5_line_dedup, "op6_url_rules": op6_url_rules, "op7_text_density": op7_text_density, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc, "op11_late_overwrite": op11_late_overwrite, "op12_periodic_runs": op12_periodic_runs, "op13_suffix_array": op13_suffix_array}
 
 
 OP10_SQL = """
