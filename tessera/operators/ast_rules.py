@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.line_rules import MOST_CHARS, TEMPLATE
+from tessera.operators.script_syntax import Node, parse_script
 
 #: Fixed values: (severity, category) by called name, by imported module, and modules that open the network.
 CALLS = {"__import__": ("high", "code_injection"), "compile": ("medium", "code_injection"), "eval": ("critical", "code_injection"), "exec": ("critical", "code_injection")}
@@ -229,72 +230,75 @@ def size_findings(files: DataFrame) -> DataFrame:
     return files.where(n > MOST_CHARS).select("scan_id", F.col("path").alias("file"), F.lit("info").alias("severity"), F.lit("size").alias("category"), F.lit(None).cast("int").alias("line"), F.lit("").alias("code"), F.concat(F.lit("File of "), (n / 1024).cast("long").cast("string"), F.lit(" KB is too large to analyse")).alias("description"))
 
 
-#: Script calls (object.method), members, constructors, assignments and names: (severity, category).
+#: Fixed values, (severity, category): called names and methods, constructors, members, objects whose members are read, names wherever
+#: they stand, assigned members, timers that get a text, elements that are created, and sources set to an address.
 SCRIPT = {
-    "call": {"Function": ("critical", "code_injection"), "amplitude": ("medium", "telemetry"), "atob": ("medium", "obfuscation"), "eval": ("critical", "code_injection"), "fetch": ("info", "network"), "ga": ("high", "telemetry"), "gtag": ("high", "telemetry"), "mixpanel": ("medium", "telemetry"), "segment": ("medium", "telemetry"), "unescape": ("medium", "obfuscation"), "XMLHttpRequest": ("info", "network")},
+    "call": {"Function": ("critical", "code_injection"), "XMLHttpRequest": ("info", "network"), "amplitude": ("medium", "telemetry"), "eval": ("critical", "code_injection"), "fetch": ("info", "network"), "ga": ("high", "telemetry"), "gtag": ("high", "telemetry"), "mixpanel": ("medium", "telemetry"), "segment": ("medium", "telemetry"), "unescape": ("medium", "obfuscation")},
     "method": {"String.fromCharCode": ("medium", "obfuscation"), "document.write": ("high", "xss"), "document.writeln": ("high", "xss"), "navigator.sendBeacon": ("high", "data_exfiltration")},
-    "new": {"Function": ("critical", "code_injection"), "Image": ("medium", "data_exfiltration"), "WebSocket": ("medium", "network"), "XMLHttpRequest": ("info", "network")},
+    "new": {"Image": ("medium", "data_exfiltration"), "WebSocket": ("medium", "network")},
     "member": {"document.cookie": ("medium", "data_access"), "navigator.language": ("low", "telemetry"), "navigator.userAgent": ("low", "telemetry")},
-    "name": {"localStorage": ("low", "data_access"), "sessionStorage": ("low", "data_access"), "Sentry": ("low", "telemetry"), "sentry": ("low", "telemetry")},
-    "assign": {"innerHTML": ("medium", "xss"), "outerHTML": ("medium", "xss")},
+    "storage": {"localStorage": ("low", "data_access"), "sessionStorage": ("low", "data_access")},
+    "name": {"atob": ("medium", "obfuscation"), "sentry": ("low", "telemetry")},
+    "assign": {"innerHTML": ("medium", "xss"), "insertAdjacentHTML": ("medium", "xss"), "outerHTML": ("medium", "xss")},
+    "timer": {"setInterval": ("high", "code_injection"), "setTimeout": ("high", "code_injection")},
+    "element": {"iframe": ("high", "script_injection"), "script": ("high", "script_injection")},
+    "source": {"src": ("medium", "script_injection")},
 }
-_TOKEN = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[A-Za-z_$][\w$]*|\d[\w.]*|\s+|.""", re.S)
-_NAME = re.compile(r"[A-Za-z_$][\w$]*\Z")
+
+
+def _facts_of(x: Node):
+    """(kind, name) of what rules know about one node."""
+    name = x.value if x.kind == "Name" else None
+    if name in SCRIPT["name"]:
+        yield "name", name
+    if not x.parts:
+        return
+    first = x.parts[0]
+    called = first.value if first.kind == "Name" else None
+    member = tuple(y.value if y.kind == "Name" else None for y in first.parts) if first.kind == "Member" else (None, None)
+    text = x.parts[1].value if len(x.parts) > 1 and x.parts[1].kind == "Text" else None
+    if x.kind == "Call":
+        if called in SCRIPT["call"]:
+            yield "call", called
+        elif called in SCRIPT["timer"] and text is not None:
+            yield "timer", called
+        if f"{member[0]}.{member[1]}" in SCRIPT["method"]:
+            yield "method", f"{member[0]}.{member[1]}"
+        elif member == ("document", "createElement") and text in SCRIPT["element"]:
+            yield "element", text
+        elif member[0] and member[1] == "insertAdjacentHTML":
+            yield "assign", member[1]
+    elif x.kind == "New" and called in SCRIPT["new"]:
+        yield "new", called
+    elif x.kind == "Member":
+        pair = f"{called}.{x.parts[1].value}" if x.parts[1].kind == "Name" else ""
+        if pair in SCRIPT["member"]:
+            yield "member", pair
+        if called in SCRIPT["storage"]:
+            yield "storage", called
+    elif x.kind == "Assign" and first.kind == "Member":
+        target = first.parts[1].value if first.parts[1].kind == "Name" else None
+        if target in ("innerHTML", "outerHTML"):
+            yield "assign", target
+        elif target in SCRIPT["source"] and (text or "").startswith(("http://", "https://")):
+            yield "source", target
 
 
 def script_facts(source: str) -> list[tuple[str, str, int]]:
-    """(kind, name, line) from the tokens of a script, comments and strings set aside; an approximation of a parser.
+    """(kind, name, line) of a script's syntax tree, in the order of a walk, each once.
 
-    A file whose brackets don't pair gives one fact `unparsed`: patterns are the fallback then.
+    A script that isn't in the parser's language gives one fact `unparsed`: patterns are the fallback then.
     """
-    tokens, line, depth = [], 1, []
-    for m in _TOKEN.finditer(source):
-        t = m[0]
-        if not t.isspace() and t[:2] not in ("//", "/*"):
-            tokens.append((t, line))
-            if t in "([{":
-                depth.append(t)
-            elif t in ")]}":
-                if not depth or depth.pop() + t not in ("()", "[]", "{}"):
-                    return [("unparsed", "", 0)]
-        line += t.count("\n")
-    if depth:
+    try:
+        tree = parse_script(source)
+    except SyntaxError:
         return [("unparsed", "", 0)]
-    out: dict[tuple[str, str, int], None] = {}
-    at = lambda k: tokens[k][0] if 0 <= k < len(tokens) else ""
-    for k, (t, ln) in enumerate(tokens):
-        if not _NAME.match(t):
-            continue
-        before, after = at(k - 1), at(k + 1)
-        owner = at(k - 2) if before == "." else ""
-        if before == "new" and t in SCRIPT["new"]:
-            out[("new", t, ln)] = None
-        elif after == "(" and before != "function":
-            if owner and f"{owner}.{t}" in SCRIPT["method"]:
-                out[("method", f"{owner}.{t}", ln)] = None
-            elif owner == "document" and t == "createElement" and at(k + 2)[1:-1].lower() in ("script", "iframe"):
-                out[("element", at(k + 2)[1:-1].lower(), ln)] = None
-            elif t in ("setTimeout", "setInterval") and at(k + 2)[:1] in "\"'`" and at(k + 2):
-                out[("timer", t, ln)] = None
-            elif t in SCRIPT["call"] and (not owner or owner in ("window", "self", "globalThis")):
-                out[("call", t, ln)] = None
-            elif t == "insertAdjacentHTML":
-                out[("assign", "innerHTML", ln)] = None
-        elif owner and f"{owner}.{t}" in SCRIPT["member"]:
-            out[("member", f"{owner}.{t}", ln)] = None
-        elif owner and t in SCRIPT["assign"] and (after == "=" and at(k + 2) != "=" or after == "+" and at(k + 2) == "="):
-            out[("assign", t, ln)] = None
-        elif owner and t == "src" and after == "=" and at(k + 2)[1:5] == "http":
-            out[("source", t, ln)] = None
-        if t in SCRIPT["name"] and before != ".":
-            out[("name", t, ln)] = None
-    return list(out)
+    return list(dict.fromkeys((kind, name, x.line) for x in tree.walk() for kind, name in _facts_of(x)))
 
 
 def script_findings(files: DataFrame) -> DataFrame:
-    """Script rules by token; a finding for each category and line. Kind `unparsed` comes as category parse_info."""
-    fixed = {f"{kind}:{name}": v for kind, names in SCRIPT.items() for name, v in names.items()}
-    fixed |= {"timer:setTimeout": ("high", "code_injection"), "timer:setInterval": ("high", "code_injection"), "element:script": ("high", "script_injection"), "element:iframe": ("high", "script_injection"), "source:src": ("medium", "script_injection"), "unparsed:": ("info", "parse_info")}
+    """Script rules by syntax tree; a finding for each category and line, the first of the walk. Kind `unparsed` comes as category parse_info."""
+    fixed = {f"{kind}:{name}": v for kind, names in SCRIPT.items() for name, v in names.items()} | {"unparsed:": ("info", "parse_info")}
 
     def run(batches):
         for b in batches:
@@ -355,12 +359,12 @@ def yaml_findings_of(text: str) -> list[tuple[str, str, str]]:
             for y in x.get("choose") if isinstance(x.get("choose"), list) else []:
                 actions(y.get("sequence") if isinstance(y, dict) else None)
 
+    own = top.get("automation") if isinstance(top, dict) else top  # a file of its own is a list of automations
+    for x in own if isinstance(own, list) else [own] if isinstance(top, dict) else []:
+        if isinstance(x, dict):
+            first = x.get("action") or x.get("actions") or x.get("sequence")
+            actions([first] if isinstance(first, dict) else first)
     if isinstance(top, dict):
-        own = top.get("automation")
-        for x in own if isinstance(own, list) else [own]:
-            if isinstance(x, dict):
-                first = x.get("action") or x.get("actions") or x.get("sequence")
-                actions([first] if isinstance(first, dict) else first)
         commands = top.get("rest_command")
         for name, x in commands.items() if isinstance(commands, dict) else ():
             if plain_http(x.get("url") if isinstance(x, dict) else x):

@@ -104,8 +104,8 @@ def _first_hits(files: DataFrame, rules: list[tuple[str, str, str, str, str | No
 
 
 def scan_parts(files: DataFrame, rules=PYTHON_PARTS) -> DataFrame:
-    """The first line of each file that holds each part, in any case."""
-    return _first_hits(files, [(r"(?i)\Q" + p + r"\E", sev, cat, f"holds {p}", None) for p, sev, cat in rules])
+    """The first line of each file up to MOST_CHARS that holds each part, in any case."""
+    return _first_hits(analysed(files), [(r"(?i)\Q" + p + r"\E", sev, cat, f"holds {p}", None) for p, sev, cat in rules])
 
 
 def scan_script_patterns(files: DataFrame, rules=SCRIPT_PATTERNS) -> DataFrame:
@@ -114,28 +114,33 @@ def scan_script_patterns(files: DataFrame, rules=SCRIPT_PATTERNS) -> DataFrame:
 
 
 def scan_yaml_patterns(files: DataFrame, rules=YAML_PATTERNS) -> DataFrame:
-    """YAML pattern rules over files up to MOST_CHARS: the first line hit, or every one where the rule says so."""
-    small = files.where(F.char_length("content") <= MOST_CHARS)
+    """YAML pattern rules over files up to MOST_CHARS: the first line hit, or every hit, with what was hit as code, where the rule says so."""
+    small = analysed(files)
     out = _first_hits(small, [(p, sev, cat, f"matches {p}", also) for p, sev, cat, every, also in rules if not every]).drop("rule")
     for p, sev, cat, every, _ in rules:
         if every:
             x = numbered_lines(small.where(F.col("content").rlike("(?m)" + p))).where(F.col("text").rlike(p))
-            out = out.unionByName(x.select("scan_id", F.col("path").alias("file"), F.lit(sev).alias("severity"), F.lit(cat).alias("category"), "line", snippet(F.col("text")).alias("code"), F.lit(f"matches {p}").alias("description")))
+            out = out.unionByName(x.select("scan_id", F.col("path").alias("file"), F.lit(sev).alias("severity"), F.lit(cat).alias("category"), "line", snippet(F.regexp_extract("text", p, 0)).alias("code"), F.lit(f"matches {p}").alias("description")))
     return out
 
 
+def analysed(files: DataFrame) -> DataFrame:
+    """Files up to MOST_CHARS characters; others aren't looked into."""
+    return files.where(F.char_length("content") <= MOST_CHARS)
+
+
 def scan_includes(files: DataFrame) -> DataFrame:
-    """Lines with !include: a template in the path is high, an absolute or parent path medium."""
-    rows = numbered_lines(files.where(F.contains("content", F.lit("!include")))).where(F.contains("text", F.lit("!include")))
+    """Lines of files up to MOST_CHARS with !include: a template in the path is high, an absolute or parent path medium."""
+    rows = numbered_lines(analysed(files).where(F.contains("content", F.lit("!include")))).where(F.contains("text", F.lit("!include")))
     part = F.trim(F.substr("text", F.instr("text", "!include") + 8))
     sev = F.when(part.rlike(TEMPLATE), "high").when(F.startswith(part, F.lit("/")) | F.contains(part, F.lit("..")), "medium")
     return rows.select("scan_id", F.col("path").alias("file"), sev.alias("severity"), F.lit("unsafe_include").alias("category"), "line", snippet(F.col("text")).alias("code")).where("severity is not null")
 
 
 def scan_secret_comments(files: DataFrame, most: int = 3) -> DataFrame:
-    """The first lines of each file whose comment seems to hold a secret."""
+    """The first lines of each file up to MOST_CHARS whose comment seems to hold a secret."""
     hits = F.filter(F.transform(lines(F.col("content")), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"))), lambda x: x["text"].rlike(SECRET_IN_COMMENT))
-    few = files.where(F.col("content").rlike(SECRET_IN_COMMENT)).select("scan_id", "path", F.explode(F.slice(hits, 1, most)).alias("h"))
+    few = analysed(files).where(F.col("content").rlike(SECRET_IN_COMMENT)).select("scan_id", "path", F.explode(F.slice(hits, 1, most)).alias("h"))
     return few.select("scan_id", F.col("path").alias("file"), F.lit("medium").alias("severity"), F.lit("hardcoded_secret").alias("category"), "h.line", snippet(F.col("h.text")).alias("code"))
 
 
@@ -152,7 +157,7 @@ def obfuscation_scores(files: DataFrame) -> DataFrame:
     count = lambda p: F.regexp_count(t, F.lit(p))
     paywall = sum((count(p) * w for p, w in PAYWALL), F.lit(0))
     out = gate.select(
-        "scan_id", "path", "hex_refs", F.when(F.size(found) > 0, F.array_join(found, "; ")).otherwise("Hex-encoded variable names").alias("techniques"),
+        "scan_id", "path", "hex_refs", snippet(F.left(t, F.lit(120))).alias("code"), F.when(F.size(found) > 0, F.array_join(found, "; ")).otherwise("Hex-encoded variable names").alias("techniques"),
         F.array_join(hosts, ",").alias("hosts"), paywall.alias("paywall_score"), count("(?i)paypal").alias("paypal_refs"), count("(?i)stripe").alias("stripe_refs"), count(r"(?i)\biframe\b").alias("iframe_refs"),
     )
     return out.withColumns({"hidden_paywall": F.col("paywall_score") >= 20, "hidden_payment": (F.col("paypal_refs") >= 5) | (F.col("stripe_refs") >= 5), "iframe_injection": F.col("iframe_refs") >= 3})
@@ -161,10 +166,10 @@ def obfuscation_scores(files: DataFrame) -> DataFrame:
 def obfuscation_findings(files: DataFrame) -> DataFrame:
     """The findings that the scores stand for, one row each."""
     s = obfuscation_scores(files)
-    row = lambda sev, cat, text: F.struct(F.lit(sev).alias("severity"), F.lit(cat).alias("category"), text.alias("description"))
+    row = lambda sev, cat, text, code=F.lit(""): F.struct(F.lit(sev).alias("severity"), F.lit(cat).alias("category"), code.alias("code"), text.alias("description"))
     provider = F.when(F.col("paypal_refs") > F.col("stripe_refs"), "PayPal").otherwise("Stripe")
     all_ = F.array(
-        row("high", "obfuscation", F.concat(F.lit("Obfuscated code: "), F.col("hex_refs").cast("string"), F.lit(" hex names; "), F.col("techniques"))),
+        row("high", "obfuscation", F.concat(F.lit("Obfuscated code: "), F.col("hex_refs").cast("string"), F.lit(" hex names; "), F.col("techniques")), F.col("code")),
         F.when(F.col("hosts") != "", row("high", "data_exfiltration", F.concat(F.lit("External hosts in obfuscated code: "), F.col("hosts")))),
         F.when(F.col("hidden_paywall"), row("high", "hidden_paywall", F.concat(F.lit("License or activation system in obfuscated code, score "), F.col("paywall_score").cast("string")))),
         F.when(F.col("hidden_payment"), row("high", "hidden_payment", F.concat(provider, F.lit(" integration in obfuscated code, "), F.greatest("paypal_refs", "stripe_refs").cast("string"), F.lit(" references")))),

@@ -62,7 +62,9 @@ EXPECTED = {
     ),
     "js_rules": (
         ("s2", "broken.js", "info", "parse_info", None, ""),
+        ("s2", "newer.mjs", "info", "parse_info", None, ""),
         ("s2", "card.js", "critical", "code_injection", 5, "eval(x);"),
+        ("s2", "card.js", "critical", "code_injection", 18, "html = `<b>${eval(y)}</b> eval(0)`;"),
         ("s2", "card.js", "high", "code_injection", 6, "setTimeout('go()', 1);"),
         ("s2", "card.js", "high", "data_exfiltration", 10, "navigator.sendBeacon(u, d);"),
         ("s2", "card.js", "high", "script_injection", 11, "document.createElement('script');"),
@@ -73,7 +75,10 @@ EXPECTED = {
         ("s2", "card.js", "medium", "data_access", 3, "document.write('a'); document.cookie;"),
         ("s2", "card.js", "medium", "data_exfiltration", 9, "new WebSocket(u); new Image();"),
         ("s2", "card.js", "medium", "network", 9, "new WebSocket(u); new Image();"),
+        ("s2", "card.js", "low", "telemetry", 21, "this.sentry.go();"),
         ("s2", "card.js", "medium", "obfuscation", 13, "atob(x); String.fromCharCode(1);"),
+        ("s2", "card.js", "medium", "obfuscation", 19, "/'/.test(b); unescape(q); /'/.test(c);"),
+        ("s2", "card.js", "medium", "obfuscation", 20, "x.map(atob);"),
         ("s2", "card.js", "medium", "script_injection", 12, "img.src = 'https://example.org/x.png';"),
         ("s2", "card.js", "medium", "telemetry", 16, "mixpanel(x);"),
         ("s2", "card.js", "medium", "xss", 1, "el.innerHTML = x; // eval(0)"),
@@ -81,6 +86,8 @@ EXPECTED = {
         ("s2", "card.js", "medium", "xss", 4, "el.insertAdjacentHTML('beforeend', x);"),
     ),
     "yaml_structural": (
+        ("s3", "automations.yaml", "high", "automation_injection", None, "service by template: {{ y }}"),
+        ("s3", "automations.yaml", "high", "automation_injection", None, "service_template"),
         ("s3", "conf.yaml", "high", "automation_injection", None, "service by template: {{ x }}"),
         ("s3", "conf.yaml", "high", "automation_injection", None, "service_template"),
         ("s3", "conf.yaml", "high", "template_injection", None, "template in arg goes to script.go"),
@@ -144,6 +151,7 @@ EXPECTED = {
         ("s2", "(repo)", "info", "parse_info", None, ""),
         ("s2", "broken.js", "critical", "code_injection", 1, "function ( { eval(x)"),
         ("s2", "card.js", "critical", "code_injection", 5, "eval(x);"),
+        ("s2", "card.js", "critical", "code_injection", 18, "html = `<b>${eval(y)}</b> eval(0)`;"),
         ("s2", "card.js", "high", "code_injection", 6, "setTimeout('go()', 1);"),
         ("s2", "card.js", "high", "data_exfiltration", 10, "navigator.sendBeacon(u, d);"),
         ("s2", "card.js", "high", "script_injection", 11, "document.createElement('script');"),
@@ -154,12 +162,17 @@ EXPECTED = {
         ("s2", "card.js", "medium", "data_access", 3, "document.write('a'); document.cookie;"),
         ("s2", "card.js", "medium", "data_exfiltration", 9, "new WebSocket(u); new Image();"),
         ("s2", "card.js", "medium", "network", 9, "new WebSocket(u); new Image();"),
+        ("s2", "card.js", "low", "telemetry", 21, "this.sentry.go();"),
         ("s2", "card.js", "medium", "obfuscation", 13, "atob(x); String.fromCharCode(1);"),
+        ("s2", "card.js", "medium", "obfuscation", 19, "/'/.test(b); unescape(q); /'/.test(c);"),
+        ("s2", "card.js", "medium", "obfuscation", 20, "x.map(atob);"),
         ("s2", "card.js", "medium", "script_injection", 12, "img.src = 'https://example.org/x.png';"),
         ("s2", "card.js", "medium", "telemetry", 16, "mixpanel(x);"),
         ("s2", "card.js", "medium", "xss", 1, "el.innerHTML = x; // eval(0)"),
         ("s2", "card.js", "medium", "xss", 2, "el.outerHTML += x;"),
+        ("s2", "newer.mjs", "medium", "data_access", 1, "a?.b(`${document.cookie}`);"),
         ("s2", "package.json", "critical", "malicious_package", None, ""),
+        ("s3", "automations.yaml", "high", "automation_injection", None, ""),
         ("s3", "bad.yaml", "medium", "command_execution", 2, "shell_command:"),
         ("s3", "conf.yaml", "critical", "code_injection", 25, "run: \"{{ eval(x) }}\""),
         ("s3", "conf.yaml", "high", "automation_injection", None, ""),

@@ -57,6 +57,11 @@ localStorage.a = 1; sessionStorage.b = 2;
 gtag('event');
 mixpanel(x);
 'eval(1)';
+html = `<b>${eval(y)}</b> eval(0)`;
+/'/.test(b); unescape(q); /'/.test(c);
+x.map(atob);
+this.sentry.go();
+q = a / eval / b; // no call
 """
 YAML = """automation:
   - action:
@@ -85,6 +90,15 @@ api_key: !secret k
 run: "{{ eval(x) }}"
 # token: abcdefgh12345
 """
+AUTOMATIONS = """- alias: a
+  action:
+    service: "{{ y }}"
+- sequence:
+    - choose:
+        - sequence:
+            - service_template: z
+- nothing
+"""
 INCLUDES = """inc: !include {{ x }}.yaml
 abs: !include /etc/x.yaml
 up: !include ../x.yaml
@@ -101,11 +115,13 @@ SAMPLE = (
     ("s1", "tests/test_x.py", "eval(1)\n"),
     ("s2", "card.js", SCRIPT),
     ("s2", "broken.js", "function ( { eval(x)\n"),
+    ("s2", "newer.mjs", "a?.b(`${document.cookie}`);\n"),
     ("s2", "my-prism.min.js", "eval(x)\n"),
     ("s2", "package.json", '{"dependencies": {"event-stream": "^3.3.6"}, "devDependencies": {"left-pad": "~1.3.0"}}'),
     ("s3", "conf.yaml", YAML),
     ("s3", "includes.yaml", INCLUDES),
     ("s3", "list.yaml", "- service: '{{ x }}'\n"),
+    ("s3", "automations.yaml", AUTOMATIONS),
     ("s3", "bad.yaml", "a: [\nshell_command:\n"),
     ("s3", "requirements.txt", "# none\nflask==2.0\n-r other.txt\nurlib3>=1.0\n"),
     ("s3", "pyproject.toml", "[project]\nname = 'x'\ndependencies = [\n  \"numpy>=1.20\",\n]\n"),

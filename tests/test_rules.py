@@ -1,7 +1,10 @@
 import json
 
+import pytest
+
 from tessera.operators import ast_rules as A
 from tessera.operators import line_rules as L
+from tessera.operators.script_syntax import parse_script
 from tessera.sources import deps, files, sinks
 
 
@@ -30,15 +33,69 @@ def test_platform_rules(spark):
 
 
 def test_script_rules():
-    f = {(k, n, line) for k, n, line in A.script_facts("el.innerHTML = 'x';\n// eval(1)\n'eval(2)';\nnew Function('x');\nif (el.innerHTML == 1) {}\neval(3)\nimg.src = 'http://x'\n")}
-    assert f == {("assign", "innerHTML", 1), ("new", "Function", 4), ("call", "eval", 6), ("source", "src", 7)}
+    f = A.script_facts("el.innerHTML = 'x';\n// eval(1)\n'eval(2)';\nnew Image('x');\nif (el.innerHTML == 1) {}\neval(3)\nimg.src = 'http://x'\n")
+    assert f == [("assign", "innerHTML", 1), ("new", "Image", 4), ("call", "eval", 6), ("source", "src", 7)]
     assert A.script_facts("f(")[0][0] == "unparsed"
 
 
+@pytest.mark.parametrize(
+    "script, found",
+    (
+        ("`<b>${eval(x)}</b>`", ["eval"]),
+        ("`eval(x) ${`${ `eval(y)` } ${unescape(z)}`}`", ["unescape"]),
+        ("/'/.test(b); eval(q); /'/.test(c)", ["eval"]),
+        ("a = b / eval / c", []),
+        ("if (a) /eval(x)/.test(b); x = y\n/ fetch(u) / z", ["fetch"]),
+        ("x.map(atob); ({atob: 1}); atob: for (;;) break atob", ["atob"]),
+        ("this.sentry.go(); Sentry.go()", ["sentry"]),
+        ("f(async (a, {b = eval(c)}) => { await fetch(u) })", ["eval", "fetch"]),
+        ("class A extends B { get x() { return document.cookie } static async m() { localStorage.x = 1 } }", ["document.cookie", "localStorage"]),
+        ("setTimeout('a', 1); setTimeout(`a`, 1); setInterval(go, 1)", ["setTimeout"]),
+        ("document.createElement('script'); document.createElement('div'); document['createElement']('iframe')", ["script"]),
+        ("window.eval(x); (eval)(y)", ["eval"]),
+        ("a.b.src = 'https://x'; c.src += y; src = 'http://z'", ["src"]),
+        ("export default function* g() { yield* fetch(u) }", ["fetch"]),
+    ),
+)
+def test_script_syntax(script, found):
+    assert sorted({name for _, name, _ in A.script_facts(script)}) == found
+
+
+PARSED = ("a\n++b", "let x; let\n[y] = z", "for (var i in a, b);", "for (let [a] of b) ;", "a ? b : c ? d : e", "({get, set, async, get a() {}, set a(b) {}, 'c': 1, [d]: 2, ...e})", "(a, ...b) => ({})", "async x => await x", "new a.b(c).d()", "x = {if: 1}.if", "try { a } catch ({b}) { c } finally { d }", "import a, * as b from 'c'; import('d')", "export {a as default} from 'b'", "tag`x${y}`", "({a = 1} = b)", "0x1F + .5 + 1e3", "a ** b ** c", "if (a) b\nelse c", "do a; while (b) c", "'\\u{41}\\\nb'", "(" * 500 + "a" + ")" * 500)
+NOT_PARSED = ("a?.b", "a ?? b", "class A { x = 1 }", "1n", "1_0", "try {} catch {}", "let x: number = 1", "<a/>", "a b", "`x${", "'a", "()", "(a,)", "({a b})", "async function* f() {}", "=> a", "1 = 2", "/* a", "f(")
+
+
+def test_what_a_script_is():
+    for s in PARSED:
+        parse_script(s)
+    for s in NOT_PARSED:
+        with pytest.raises(SyntaxError):
+            parse_script(s)
+
+
+def test_lines_of_nodes():
+    got = {(x.kind, x.value, x.line) for x in parse_script("a = `\n\n${b}`;\n/* \n */ c\n.d('\\\n', e)").walk() if x.kind in ("Name", "Call")}
+    assert got == {("Name", "a", 1), ("Name", "b", 3), ("Name", "c", 5), ("Name", "d", 6), ("Call", None, 5), ("Name", "e", 7)}
+
+
+def test_large_files(spark):
+    """A Python or YAML file beyond the size isn't looked into; a script is, and told as well."""
+    large = "x = 1\n" * 100_000
+    py = rows(spark, ("a.py", "analytics\n" + large), ("b.py", "analytics\n"))
+    assert [r["file"] for r in L.scan_parts(py).collect()] == ["b.py"] and [r["file"] for r in A.size_findings(py).collect()] == ["a.py"]
+    text = "a: !include /x\n# password: abcdefghijk\nshell_command:\n"
+    y = rows(spark, ("a.yaml", text + "#\n" * 300_000), ("b.yaml", text))
+    for f in (L.scan_includes, L.scan_secret_comments, L.scan_yaml_patterns):
+        assert [r["file"] for r in f(y).collect()] == ["b.yaml"]
+    js = rows(spark, ("a.js", "eval(x);\n" + "y;\n" * 300_000))
+    assert [r["category"] for r in A.script_findings(js).collect()] == ["code_injection"] and A.size_findings(js).count() == 1
+
+
 def test_yaml_rules(spark):
     text = "automation:\n  - action:\n      - service: \"{{ x }}\"\n      - choose:\n          - sequence:\n              - service: shell_command.x\n                data: {a: \"{{ b }}\"}\n      - service: null\n        data: {a: \"{{ b }}\"}\n      - service_template: x\nother: !secret x\nrest: [{resource: http://a}, {resource: http://192.168.1.1/x}]\n"
     assert [(s, c) for s, c, _ in A.yaml_findings_of(text)] == [("high", "automation_injection"), ("high", "template_injection"), ("high", "automation_injection"), ("medium", "insecure_transport")]
     assert A.yaml_findings_of("a: [") == [] and A.yaml_findings_of("- service: '{{ x }}'") == []
+    assert [d for _, _, d in A.yaml_findings_of("- action: {service: '{{ x }}'}\n- actions: [{service_template: a}]\n- b\n- sequence: c")] == ["service by template: {{ x }}", "service_template"]
     y = rows(spark, ("a.yaml", "url: http://10.0.0.1/x\nurl: http://evil.example/x\npassword: abcdefghijk\npassword: !secret x\nshell_command:\nshell_command:\n  a: \"{{ states('x') }}\"\nb: \"{% import x %}\"\n"), ("b.yaml", "a: \"{{ states('x') }}\"\n"))
     got = sorted((r["category"], r["severity"], r["line"]) for r in L.scan_yaml_patterns(y).collect())
     assert got == [("code_injection", "critical", 8), ("command_execution", "medium", 5), ("command_execution", "medium", 6), ("hardcoded_secret", "high", 3), ("insecure_transport", "low", 2), ("template_injection", "high", 7)]
