@@ -63,16 +63,34 @@ def merge_duplicates(findings: DataFrame) -> DataFrame:
     return groups.select("scan_id", one.alias("m")).select("scan_id", "m.seq", *(f"m.{c}" for c in FIELDS))
 
 
+def _parts_of(text: Column, lengths: Column) -> Column:
+    """All parts of a text that have one of the lengths, each once."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substring(text, at, n))
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(text)), of)))
+
+
+def files_holding(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(category, file) of `files` that hold a pattern (category, pattern) of their category somewhere in the name.
+
+    An index of whole patterns: a file name gives its parts of those lengths that patterns of its category have, and a part is a
+    hit if it is a pattern. The work grows with file names, and with how many lengths there are, not with the number of patterns.
+    """
+    w = patterns.select(F.col("category").alias("__c"), F.col("pattern").alias("__p")).where("__p <> ''").distinct()
+    lengths = w.groupBy("__c").agg(F.collect_set(F.length("__p")).alias("__n"))  # as many as file names have characters, at most
+    parts = files.select("category", "file").distinct().join(lengths, F.col("category") == F.col("__c"))
+    parts = parts.select("category", "file", F.explode(_parts_of(F.col("file"), F.col("__n"))).alias("__part"))
+    return parts.join(w, (F.col("category") == F.col("__c")) & (F.col("__part") == F.col("__p")), "left_semi").select("category", "file").distinct()
+
+
 def without_whitelisted(findings: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Findings that no whitelist row (pattern_hash, category, file_pattern) names, by hash or by category and a part of the file name.
 
-    Small whitelists are broadcast by their size; a large one is joined by hash, then by category.
+    Only equal keys are joined, whatever the sizes; each file name is looked up once, however many findings it has.
     """
     h = finding_hash(F.col("category"), F.col("file"), F.col("description"))
-    left = findings.withColumn("__h", h).join(whitelist.select(F.col("pattern_hash").alias("__h")).where("__h is not null").distinct(), "__h", "left_anti").drop("__h")
-    w = whitelist.where("file_pattern <> ''").select(F.col("category").alias("__c"), F.col("file_pattern").alias("__p")).distinct()
-    # each file is held against the patterns once, however many findings it has
-    named = left.select("category", "file").distinct().join(w, (F.col("category") == F.col("__c")) & F.contains(F.col("file"), F.col("__p")), "left_semi")
+    named = files_holding(findings, whitelist.select("category", F.col("file_pattern").alias("pattern")))
+    hashes = whitelist.select(F.col("pattern_hash").alias("__h")).where("__h is not null").distinct()
+    left = findings.withColumn("__h", h).join(hashes, "__h", "left_anti").drop("__h")
     return left.join(named, ["category", "file"], "left_anti").select(*findings.columns)
 
 
@@ -104,10 +122,17 @@ def novel_reviews(reviews: DataFrame, static: DataFrame) -> DataFrame:
 
     A severity that is none becomes medium. A review without a file is matched by category alone only if the static one has no file either.
     """
-    s = static.select(F.col("scan_id").alias("__s"), F.col("category").alias("__c"), F.coalesce("file", F.lit("")).alias("__f")).distinct()
-    mine = F.coalesce(F.col("file"), F.lit(""))
-    ends = ((mine != "") & (F.col("__f") != "") & (F.endswith(mine, F.col("__f")) | F.endswith(F.col("__f"), mine))) | ((mine == "") & (F.col("__f") == ""))
-    out = reviews.join(s, (F.col("scan_id") == F.col("__s")) & (F.col("category") == F.col("__c")) & ends, "left_anti")
+    key = ["scan_id", "category", "file"]
+    of = lambda df: df.select("scan_id", "category", F.coalesce("file", F.lit("")).alias("file")).distinct()
+    mine, theirs = of(reviews), of(static)
+    # a path is known by all its ends: the longer one has the shorter among them, so equal keys are all that is joined
+    ends = F.transform(F.sequence(F.lit(1), F.length("file")), lambda at: F.substring(F.col("file"), at, F.length("file")))
+    by_end = lambda df: df.where("file <> ''").withColumn("end", F.explode(ends))
+    inside = by_end(mine).join(theirs.withColumnRenamed("file", "end"), ["scan_id", "category", "end"], "left_semi").select(*key)
+    outside = mine.join(by_end(theirs).select("scan_id", "category", F.col("end").alias("file")), key, "left_semi")
+    nameless = mine.where("file = ''").join(theirs.where("file = ''"), key, "left_semi")
+    known = inside.unionByName(outside).unionByName(nameless).distinct().withColumnRenamed("file", "__f")
+    out = reviews.withColumn("__f", F.coalesce("file", F.lit(""))).join(known, ["scan_id", "category", "__f"], "left_anti").select(*reviews.columns)
     return out.withColumn("severity", F.when(severity_rank(F.lower("severity")).isNotNull(), F.lower("severity")).otherwise("medium"))
 
 

@@ -47,19 +47,38 @@ def score_delta(history: DataFrame) -> DataFrame:
     return x.where("c = 2").select("domain", "latest", "previous", F.bround(F.col("latest") - F.col("previous"), 1).alias("delta"))
 
 
+#: How far around the rank that is looked for values are taken, and how exact the sketch is that finds where they lie.
+AROUND, ACCURACY = 0.0005, 10_000
+
+
+def value_at(long: DataFrame, share: float) -> DataFrame:
+    """(metric, at_share) of rows (metric, v): the value at index min(int(share * n), n - 1) in order of size.
+
+    A sketch brackets the rank, one pass counts what lies below and up to the bracket, and only distinct values inside it are put in
+    order: a few in a thousand. If the sketch was off, the bracket is opened to that side, so the value is exact in any case.
+    """
+    sketch = long.groupBy("metric").agg(F.percentile_approx("v", [max(0.0, share - AROUND), min(1.0, share + AROUND)], ACCURACY).alias("b"), F.count("*").alias("n"))
+    at = F.least(F.floor(F.col("n") * share), F.col("n") - 1)
+    x = long.join(F.broadcast(sketch.select("metric", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"), at.alias("at"))), "metric")  # a row a metric
+    seen = x.groupBy("metric", "lo", "hi", "at").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.count_if(F.col("v") <= F.col("hi")).alias("upto"))
+    low, high = F.col("at") < F.col("below"), F.col("at") >= F.col("upto")
+    bracket = seen.select("metric", F.when(~low, F.col("lo")).alias("lo"), F.when(~high, F.col("hi")).alias("hi"), "at", F.when(low, 0).otherwise(F.col("below")).alias("below"))
+    x = long.join(F.broadcast(bracket.select("metric", "lo", "hi", "at", "below")), "metric").where("(lo is null or v >= lo) and (hi is null or v <= hi)")
+    inside = x.groupBy("metric", "v", "at", "below").agg(F.count("*").alias("c"))
+    upto = F.col("below") + F.sum("c").over(Window.partitionBy("metric").orderBy("v"))
+    return inside.withColumn("upto", upto).where(F.col("upto") > F.col("at")).groupBy("metric").agg(F.min("v").alias("at_share"))
+
+
 def baseline(history: DataFrame, least: int = 10) -> DataFrame:
     """(metric, mean, stddev, percentile_95, sample_count) over scans with a score, if there are `least`.
 
-    Population deviation; both rounded half-even to 2 places. The percentile is the value at index min(int(0.95 n), n - 1) in order of size:
-    found from counts of distinct values, so no task holds all values of a metric.
+    Population deviation; both rounded half-even to 2 places. The percentile is the value at index min(int(0.95 n), n - 1) in order of size,
+    selected without ordering all values of a metric.
     """
     pairs = ", ".join(f"'{m}', cast({m} as double)" for m in METRICS)
     long = history.where("score is not null").select(F.expr(f"stack({len(METRICS)}, {pairs}) as (metric, v)"))
     stats = long.groupBy("metric").agg(F.bround(F.avg("v"), 2).alias("mean"), F.bround(F.stddev_pop("v"), 2).alias("stddev"), F.count("*").alias("sample_count"))
-    counts = long.groupBy("metric", "v").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("metric").orderBy("v")))
-    at = F.least(F.floor(F.col("sample_count") * 0.95), F.col("sample_count") - 1)
-    p = upto.join(F.broadcast(stats.select("metric", "sample_count")), "metric").where(F.col("upto") > at).groupBy("metric").agg(F.min("v").alias("percentile_95"))
+    p = value_at(long, 0.95).withColumnRenamed("at_share", "percentile_95")
     return stats.join(p, "metric").where(F.col("sample_count") >= least).select("metric", "mean", "stddev", "percentile_95", "sample_count")
 
 
@@ -117,9 +136,13 @@ def total_tracked(fps: DataFrame) -> DataFrame:
 
 
 def _shared(latest: DataFrame, column: str, least: int, top: int | None) -> DataFrame:
+    """(item, count, components): items are counted, the most frequent are picked, and only their components are listed."""
     rows = latest.select("key", F.explode(F.array_distinct(column)).alias("item"))
-    out = rows.groupBy("item").agg(F.count("*").alias("count"), F.array_join(F.array_sort(F.collect_list("key")), ",").alias("components")).where(F.col("count") >= least)
-    return out.orderBy(F.desc("count"), "item").limit(top) if top else out
+    counts = rows.groupBy("item").agg(F.count("*").alias("count")).where(F.col("count") >= least)
+    if top:
+        counts = F.broadcast(counts.orderBy(F.desc("count"), "item").limit(top))
+    out = rows.join(counts, "item").groupBy("item", "count").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("components"))
+    return out.orderBy(F.desc("count"), "item") if top else out
 
 
 def shared_domains(fps: DataFrame, top: int = 20) -> DataFrame:

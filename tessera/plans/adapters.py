@@ -1,6 +1,6 @@
 """The shapes of the engine, made of the tables at hand. The same SQL text serves both sides of a comparison.
 
-{name} stands for a table; Spark gets it as a DataFrame, other engines by its name.
+{name} stands for a table; Spark gets it as a DataFrame, other engines by its name. Braces of a text are doubled.
 """
 
 from __future__ import annotations
@@ -65,6 +65,35 @@ UNION ALL SELECT concat('p', CAST(p_partkey AS STRING)), concat('custom_componen
             ELSE concat(replace(p_name, ' ', '_'), '>=', CAST(p_size AS STRING), chr(10)) END
 FROM {part} CROSS JOIN (SELECT explode(array('manifest.json', 'package.json', 'requirements.txt')) AS name) y
 """
+#: A script for each part, whose lines vary by its key and size: code in templates, behind regular expressions, in callbacks; some are no script.
+SCRIPTS = """
+SELECT concat('p', CAST(p_partkey AS STRING)) AS scan_id, concat('card', CAST(p_partkey % 3 AS STRING), '.js') AS path, p_partkey AS k, p_size AS s,
+       concat_ws(chr(10),
+         CASE p_partkey % 2 WHEN 0 THEN concat('const a = `<b>$', '{{eval(x)}}</b>`;') ELSE 'const a = `<b>eval(x)</b>`;' END,
+         CASE p_size % 3 WHEN 0 THEN 'if (/"/.test(b)) fetch(u); /"/.test(c);' WHEN 1 THEN 'b = 1 / fetch / 2;' ELSE 'b = "fetch(u)"; // fetch(u)' END,
+         CASE p_partkey % 5 WHEN 0 THEN 'x.map(atob);' ELSE 'x.map(btoa);' END,
+         CASE p_size % 4 WHEN 0 THEN 'this.sentry.go();' WHEN 1 THEN concat('f(() => {{ el.innerHTML = `$', '{{y}}`; }});') WHEN 2 THEN 'if (el.innerHTML == y) z();' ELSE 'g({{key: document.cookie}});' END,
+         CASE p_partkey % 7 WHEN 0 THEN 'setTimeout("go()", 1);' WHEN 1 THEN 'setTimeout(() => go(), 1);' ELSE concat('go(/[/`]/, `/$', '{{"`"}}`);') END,
+         CASE WHEN p_partkey % 11 = 0 THEN 'a?.b;' ELSE 'a.b;' END) AS content
+FROM {part}
+"""
+#: A file of automations for each part: as a list of its own, below its key, or with nested sequences.
+AUTOMATIONS = """
+SELECT concat('p', CAST(p_partkey AS STRING)) AS scan_id, concat('auto', CAST(p_partkey % 4 AS STRING), '.yaml') AS path, p_partkey AS k, p_size AS s,
+       CASE p_partkey % 4
+         WHEN 0 THEN concat('- alias: a', chr(10), '  action:', chr(10), '    - service: "{{{{ x', CAST(p_size AS STRING), ' }}}}"', chr(10), '- alias: b', chr(10), '  actions: {{service: light.on}}')
+         WHEN 1 THEN concat('automation:', chr(10), '  action:', chr(10), '    service_template: t', CAST(p_size AS STRING))
+         WHEN 2 THEN concat('- sequence:', chr(10), '    - choose:', chr(10), '        - sequence:', chr(10), '            - service: script.s', CAST(p_size AS STRING), chr(10), '              data: {{v: "{{{{ y }}}}", w: plain}}')
+         ELSE concat('- service: "{{{{ x }}}}"', chr(10), '- plain', CAST(p_size AS STRING)) END AS content
+FROM {part}
+"""
+#: Three files for each part; of every 500th part they are larger than what is looked into.
+SIZED = """
+SELECT concat('p', CAST(p_partkey AS STRING)) AS scan_id, name AS path, p_partkey AS k, p_size AS s,
+       concat(CASE name WHEN 'a.py' THEN concat('import analytics', chr(10), 'eval(x)') WHEN 'a.js' THEN 'eval(x);' ELSE concat('a: !include /x', CAST(p_size AS STRING), chr(10), '# password: abcdefghijk', chr(10), 'shell_command:') END,
+              repeat(concat(chr(10), CASE name WHEN 'a.yaml' THEN '# = 1' ELSE 'x = 1' END), CASE WHEN p_partkey % 500 = 0 THEN 90000 ELSE 2 END)) AS content
+FROM {part} CROSS JOIN (SELECT 'a.py' AS name UNION ALL SELECT 'a.js' UNION ALL SELECT 'a.yaml') n
+"""
 PACKAGES = """
 SELECT p_partkey AS id, concat('s', CAST(p_partkey % 10 AS STRING)) AS scan_id, name, 'PyPI' AS ecosystem,
        concat(name, CASE p_partkey % 4 WHEN 0 THEN '==' WHEN 1 THEN '>=' WHEN 2 THEN ' ~= ' ELSE '' END, CAST(p_size AS STRING), '.', CAST(p_partkey % 3 AS STRING)) AS req
@@ -100,4 +129,4 @@ def text(shape: str) -> str:
     for t in TABLES:
         shape = shape.replace("{" + t + "}", t)
     # the one function that goes by another name
-    return shape.replace("sha2(CAST(", "sha256(CAST(").replace(" AS BINARY), 256)", " AS STRING))").strip()
+    return shape.replace("{{", "{").replace("}}", "}").replace("sha2(CAST(", "sha256(CAST(").replace(" AS BINARY), 256)", " AS STRING))").strip()

@@ -544,6 +544,11 @@ SELECT *, row_number() OVER (PARTITION BY scan_id, file ORDER BY line) AS n FROM
 WHERE regexp_matches(text, {_quoted(line_rules.SECRET_IN_COMMENT)})) WHERE n <= 3"""
 
 
+#: Prose is no script: every document read as one is told as not parsed, and no pattern hits.
+NO_SCRIPTS = "SELECT source AS scan_id, concat(doc_id, '.js') AS file, 'info' AS severity, 'parse_info' AS category, NULL AS line, '' AS code FROM documents"
+NO_SCRIPT_ROWS = "SELECT DISTINCT source, '(repo)', 'info', 'parse_info', NULL, '' FROM documents"
+
+
 def _register_over_files() -> None:
     from tessera.operators.fingerprints import fingerprints
 
@@ -552,11 +557,11 @@ def _register_over_files() -> None:
     _rule("py_imports", lambda s: ast_rules.import_findings(py(s)))
     _rule("py_taint", lambda s: ast_rules.flow_findings(py(s)))
     _rule("api_rules", lambda s: ast_rules.platform_findings(py(s)))
-    _rule("js_rules", lambda s: ast_rules.script_findings(files.files_for(s, "js")))
+    _rule("js_rules", lambda s: ast_rules.script_findings(files.files_for(s, "js")), more=f" UNION ALL {NO_SCRIPTS}")
     _rule("yaml_structural", lambda s: ast_rules.yaml_structure_findings(files.files_for(s, "yaml")), "description")
     _rule("yaml_patterns", lambda s: line_rules.scan_yaml_patterns(files.files_for(s, "yaml")))
     _rule("yaml_includes", lambda s: line_rules.scan_includes(files.files_for(s, "yaml")))
-    _rule("full_scan", scan, more=f" UNION ALL {SECRET_LINES}")
+    _rule("full_scan", scan, more=f" UNION ALL {SECRET_LINES} UNION ALL {NO_SCRIPT_ROWS}")
     found = (("s2", "event-stream", "3.3.6", "package.json", "npm"), ("s2", "left-pad", "1.3.0", "package.json", "npm"), ("s3", "flask", "2.0", "requirements.txt", "PyPI"), ("s3", "urlib3", "1.0", "requirements.txt", "PyPI"), ("s3", "numpy", "1.20", "pyproject.toml", "PyPI"))
     _over_files("deps_discover", deps.discover, f"""{_each_part(found, "own", "package", "version", "source_file", "ecosystem")}
 UNION ALL SELECT concat('p', p_partkey), replace(p_name, ' ', '_'), CAST(p_size AS VARCHAR), concat('custom_components/p', p_partkey, '/requirements.txt'), 'PyPI' FROM part
@@ -587,6 +592,44 @@ UNION ALL SELECT scan_id, count(*), CAST(sum(length(part)) AS BIGINT) FROM cut W
 
 _register_over_files()
 
+LINE = "string_split(content, chr(10))[{}]"
+
+
+def _per_part(rules: tuple, columns: str = "scan_id, path AS file") -> str:
+    """A row for each rule (condition, severity, category, line) of each file of t0."""
+    return " UNION ALL ".join(f"SELECT {columns}, '{sev}' AS severity, '{cat}' AS category, {line} AS line, {LINE.format(line) if line != 'NULL' else _quoted('')} AS code FROM t0 WHERE {where}" for where, sev, cat, line in rules)
+
+
+@query("js_syntax", A.SCRIPTS, sql=_per_part((
+    ("k % 11 = 0", "info", "parse_info", "NULL"), ("k % 11 > 0 AND k % 2 = 0", "critical", "code_injection", 1), ("k % 11 > 0 AND s % 3 = 0", "info", "network", 2), ("k % 11 > 0 AND k % 5 = 0", "medium", "obfuscation", 3),
+    ("k % 11 > 0 AND s % 4 = 0", "low", "telemetry", 4), ("k % 11 > 0 AND s % 4 = 1", "medium", "xss", 4), ("k % 11 > 0 AND s % 4 = 3", "medium", "data_access", 4), ("k % 11 > 0 AND k % 7 = 0", "high", "code_injection", 5),
+)))
+def _(s):
+    return ast_rules.script_findings(s).select("scan_id", "file", "severity", "category", F.col("line").cast("long").alias("line"), "code")
+
+
+@query("yaml_lists", A.AUTOMATIONS, sql="""
+SELECT scan_id, path AS file, 'high' AS severity, CASE k % 4 WHEN 2 THEN 'template_injection' ELSE 'automation_injection' END AS category,
+       CASE k % 4 WHEN 0 THEN concat('service by template: {{ x', s, ' }}') WHEN 1 THEN 'service_template' ELSE concat('template in v goes to script.s', s) END AS description FROM t0 WHERE k % 4 < 3""")
+def _(y):
+    return ast_rules.yaml_structure_findings(y).select("scan_id", "file", "severity", "category", "description")
+
+
+@query("size_guards", A.SIZED, sql="""
+SELECT scan_id, path AS file, severity, category, line FROM t0 JOIN (VALUES
+  ('a.py', true, 'info', 'size', NULL), ('a.py', false, 'low', 'telemetry', 1), ('a.py', false, 'critical', 'code_injection', 2),
+  ('a.js', true, 'info', 'size', NULL), ('a.js', true, 'critical', 'code_injection', 1), ('a.js', false, 'critical', 'code_injection', 1),
+  ('a.yaml', false, 'medium', 'unsafe_include', 1), ('a.yaml', false, 'medium', 'hardcoded_secret', 2), ('a.yaml', false, 'medium', 'command_execution', 3)
+) v(name, large, severity, category, line) ON path = name AND (k % 500 = 0) = large""")
+def _(s):
+    py, js, yml = (files.files_for(s, k) for k in ("python", "js", "yaml"))
+    found = (ast_rules.size_findings(py), ast_rules.size_findings(js), ast_rules.call_findings(ast_rules.facts(py)), line_rules.scan_parts(py), ast_rules.script_findings(js), line_rules.scan_includes(yml), line_rules.scan_secret_comments(yml), line_rules.scan_yaml_patterns(yml))
+    rows = [f.select("scan_id", "file", "severity", "category", F.col("line").cast("long").alias("line")) for f in found]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
