@@ -146,7 +146,7 @@ def default_repositories(spark: SparkSession, folder: str, category: str) -> Dat
     """(full_name) of a category's list, a JSON array of names in folder/<category>; none for a category that isn't known."""
     if category not in ("integration", "plugin", "theme", "python_script", "appdaemon", "netdaemon"):
         return spark.createDataFrame([], "full_name string")
-    lists = spark.read.option("wholetext", "true").text(f"{folder}/{category}")
+    lists = spark.read.text(f"{folder}/{category}", wholetext=True)
     return lists.select(F.explode(F.from_json("value", "array<string>")).alias("full_name"))
 
 
