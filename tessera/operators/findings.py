@@ -102,7 +102,7 @@ def relativised(findings: DataFrame, root: Column | str) -> DataFrame:
 GATES = {"python": ("integration", "python_script", "unknown"), "api": ("integration", "python_script", "unknown"), "js": ("card", "unknown"), "yaml": None, "deps": None}
 
 
-def union_gated(outputs: dict[str, DataFrame], components: DataFrame) -> DataFrame:
+def union_gated(outputs: dict[str, DataFrame], components: DataFrame, gates: dict[str, tuple[str, ...] | None] = GATES) -> DataFrame:
     """All scanners' findings, each only of scans whose component_type its gate lets pass; renumbered by scanner, then own order.
 
     seq becomes (place of the scanner) * 2**40 + seq, so scanners keep the order of `outputs`.
@@ -110,7 +110,7 @@ def union_gated(outputs: dict[str, DataFrame], components: DataFrame) -> DataFra
     types = components.select(F.col("scan_id").alias("__s"), "component_type")
     out = None
     for k, (name, df) in enumerate(outputs.items()):
-        gate = GATES.get(name)
+        gate = gates.get(name)
         kept = df.join(types.where(F.col("component_type").isin(*gate)) if gate else types, F.col("scan_id") == F.col("__s"), "left_semi")
         kept = kept.withColumn("seq", F.lit(k << 40) + F.col("seq"))
         out = kept if out is None else out.unionByName(kept)

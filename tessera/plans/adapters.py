@@ -94,6 +94,26 @@ SELECT concat('p', CAST(p_partkey AS STRING)) AS scan_id, name AS path, p_partke
               repeat(concat(chr(10), CASE name WHEN 'a.yaml' THEN '# = 1' ELSE 'x = 1' END), CASE WHEN p_partkey % 500 = 0 THEN 90000 ELSE 2 END)) AS content
 FROM {part} CROSS JOIN (SELECT 'a.py' AS name UNION ALL SELECT 'a.js' UNION ALL SELECT 'a.yaml') n
 """
+#: A tree of files for each supplier: bytes that are no text, folders that readers pass over, files that none looks at.
+TREES = """
+SELECT concat('s', CAST(s_suppkey AS STRING)) AS scan_id, path, s_suppkey AS k, concat('name = "', s_name, '"', chr(10)) AS text, path LIKE '%.py' AND s_suppkey % 3 = 0 AS broken
+FROM {supplier} CROSS JOIN (SELECT 'a/x.py' AS path UNION ALL SELECT 'tests/y.py' UNION ALL SELECT 'z.yaml' UNION ALL SELECT 'w.bin') t
+"""
+#: Installed components with the address of their files, and their scans so far.
+INSTALLED = """
+SELECT concat('d', CAST(s_suppkey AS STRING)) AS domain, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN concat('o/', CAST(s_suppkey AS STRING)) ELSE concat('https://example.org/', CAST(s_suppkey AS STRING)) END AS repository, CAST(s_suppkey % 3 AS STRING) AS version, s_suppkey AS k FROM {supplier}
+"""
+SCANNED = """
+SELECT CAST(s_suppkey AS STRING) AS id, concat('d', CAST(s_suppkey AS STRING)) AS domain, CASE WHEN s_suppkey % 5 = 1 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-01-02 12:00:00' END AS scanned_at, CASE WHEN s_suppkey % 7 = 0 THEN 'old' ELSE CAST(s_suppkey % 3 AS STRING) END AS version FROM {supplier} WHERE s_suppkey % 4 > 0
+"""
+REPLIES = """
+SELECT CAST(c_custkey AS STRING) AS scan_id, c_custkey AS k,
+       CASE c_custkey % 4 WHEN 0 THEN concat('Here: {{"score": ', CAST(c_custkey % 25 AS STRING), ', "summary": "s", "confidence": ', CAST(c_custkey % 120 AS STRING), '}} and more')
+            WHEN 1 THEN concat('```json', chr(10), '{{"summary": "a {{b}}", "score": "x"}}', chr(10), '```') WHEN 2 THEN 'no object' ELSE '{{"score": 1' END AS reply FROM {customer}
+"""
+CACHED = """
+SELECT concat('/repos/', CAST(c_custkey AS STRING)) AS path, TIMESTAMP '2024-01-31 00:00:00' - c_custkey * INTERVAL '4' HOUR AS mtime, CASE c_custkey % 3 WHEN 0 THEN 'repos' ELSE 'reports' END AS kind, c_custkey * 1000 AS length FROM {customer}
+"""
 PACKAGES = """
 SELECT p_partkey AS id, concat('s', CAST(p_partkey % 10 AS STRING)) AS scan_id, name, 'PyPI' AS ecosystem,
        concat(name, CASE p_partkey % 4 WHEN 0 THEN '==' WHEN 1 THEN '>=' WHEN 2 THEN ' ~= ' ELSE '' END, CAST(p_size AS STRING), '.', CAST(p_partkey % 3 AS STRING)) AS req
@@ -116,7 +136,7 @@ CONTEXT = """
 SELECT concat(source, '-', CAST(CAST(floor(doc_id / 500) AS BIGINT) AS STRING)) AS scan_id, concat('f', lpad(CAST(doc_id AS STRING), 9, '0')) AS path, text AS content, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE 1 END AS prio FROM {documents}
 """
 
-TABLES = ("lineitem", "orders", "part", "events", "pages", "documents")
+TABLES = ("lineitem", "orders", "part", "events", "pages", "documents", "supplier", "customer")
 
 
 def make(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
-from tessera.operators import ast_rules, findings, history, line_rules
+from tessera.operators import ast_rules, findings, history, line_rules, table_functions
 from tessera.plans import adapters as A
 from tessera.plans import jobs
 from tessera.plans.expected import EXPECTED
 from tessera.plans.sample import SAMPLE
 from tessera.plans.scan import scan
-from tessera.sources import deps, files, sinks
+from tessera.sources import deps, feed_service, files, report_files, sinks
 from tessera.sources.tables import Tables
 from tessera.streaming import watch
 
@@ -452,16 +452,20 @@ def _(w):
     return x.select("pattern_hash", F.row_number().over(Window.orderBy(F.desc("created_at"), "pattern_hash")).cast("long").alias("place"))
 
 
-@query("tables_round_trip", A.JOBS, sql="SELECT CAST(id AS VARCHAR) AS id, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, batch_id FROM t0 UNION ALL SELECT concat('again', id), status, batch_id FROM t0")
-def _(j):
-    """Jobs written, recovered into a new version, appended to, and read back."""
+def _new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of one's own that driver and executors share."""
     import uuid
 
-    folder = j.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder and not j.sparkSession.sparkContext.master.startswith(("local[", "local*")):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith(("local[", "local*")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = folder or "file:///tmp/tessera-shared"
-    t = Tables(j.sparkSession, f"{folder.rstrip('/')}/tables-{uuid.uuid4().hex}")
+    return f"{(folder or 'file:///tmp/tessera-shared').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("tables_round_trip", A.JOBS, sql="SELECT CAST(id AS VARCHAR) AS id, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, batch_id FROM t0 UNION ALL SELECT concat('again', id), status, batch_id FROM t0")
+def _(j):
+    """Jobs written, recovered into a new version, appended to, and read back."""
+    t = Tables(j.sparkSession, _new_folder(j.sparkSession, "tables"))
     t.save("jobs", j)
     t.save("jobs", history.recovered(t.load("jobs")))
     t.append("jobs", j.withColumn("id", F.concat(F.lit("again"), F.col("id").cast("string"))))
@@ -631,6 +635,137 @@ def _(s):
     return out
 
 
+COUNTED = "JOIN (SELECT scan_id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) AS total_findings FROM merged GROUP BY scan_id) r ON m.scan_id = r.scan_id"
+SARIF_FILE = "runs array<struct<automationDetails:struct<id:string>,tool:struct<driver:struct<rules:array<struct<id:string,defaultConfiguration:struct<level:string>>>>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:bigint>>>>,properties:struct<seq:bigint>>>>>"
+JSON_FILE = "id string, status string, stats struct<critical:bigint,high:bigint,total_findings:bigint>, findings array<struct<seq:bigint,severity:string,category:string,file:string,line:bigint,code:string,description:string>>"
+
+
+def _scans(c: DataFrame) -> DataFrame:
+    return c.select(F.col("scan_id").alias("id"), F.col("scan_id").alias("name"), F.lit("done").alias("status"))
+
+
+@query("report_files_json", A.FINDINGS, A.COMPONENTS, merged=MERGED, sql=f"""
+SELECT m.scan_id, CAST(seq AS BIGINT) AS seq, critical, high, total_findings, severity, category, file, CAST(line AS BIGINT) AS line, code, description FROM merged m {COUNTED}""")
+def _(f, c):
+    """Reports streamed to files of a thousand findings at most, and read back: a row for each finding, with the totals its document tells."""
+    folder = _new_folder(f.sparkSession, "reports")
+    report_files.write_reports(_scans(c), findings.merge_duplicates(f), folder, "json", 1000)
+    x = report_files.read_documents(f.sparkSession, folder, JSON_FILE)
+    return x.select(F.col("id").alias("scan_id"), "stats.*", F.inline("findings"))
+
+
+@query("report_files_sarif", A.FINDINGS, A.COMPONENTS, merged=MERGED, sql=f"""
+SELECT m.scan_id, CAST(m.seq AS BIGINT) AS seq, category AS rule_id, {LEVEL} AS level, rule_level, description AS message, file AS uri, CAST(greatest(coalesce(line, 1), 1) AS BIGINT) AS start_line
+FROM merged m JOIN (SELECT scan_id AS s, category AS c, CASE WHEN v IN ('critical', 'high') THEN 'error' WHEN v = 'medium' THEN 'warning' ELSE 'note' END AS rule_level FROM (SELECT scan_id, category, arg_min(severity, seq) AS v FROM merged GROUP BY ALL)) ON s = m.scan_id AND c = category""")
+def _(f, c):
+    """SARIF files read back: each result with the level of its rule, as its document has it."""
+    folder = _new_folder(f.sparkSession, "sarif")
+    report_files.write_reports(_scans(c), findings.merge_duplicates(f), folder, "sarif", 1000)
+    x = report_files.read_documents(f.sparkSession, folder, SARIF_FILE).select(F.explode("runs").alias("run"))
+    levels = F.map_from_entries(F.transform("run.tool.driver.rules", lambda r: F.struct(r["id"], r["defaultConfiguration"]["level"])))
+    x = x.select(F.col("run.automationDetails.id").alias("scan_id"), levels.alias("levels"), F.explode("run.results").alias("r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    return x.select("scan_id", F.col("r.properties.seq").alias("seq"), F.col("r.ruleId").alias("rule_id"), "r.level", F.col("levels")[F.col("r.ruleId")].alias("rule_level"), F.col("r.message.text").alias("message"), place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("start_line"))
+
+
+@query("report_csv", A.FINDINGS, sql="SELECT severity, category, file, CAST(line AS BIGINT) AS line, description, nullif(code, '') AS code FROM t0")
+def _(f):
+    folder = _new_folder(f.sparkSession, "csv")
+    sinks.write_csv(f, folder)
+    return f.sparkSession.read.option("header", "true").option("escape", '"').schema("severity string, category string, file string, line long, description string, code string").csv(folder)
+
+
+@query("report_html", A.FINDINGS, A.COMPONENTS, merged=MERGED, sql="SELECT scan_id AS id, count(*) AS n_rows, sum(length(description)) AS n_chars FROM merged GROUP BY scan_id")
+def _(f, c):
+    """The pages' rows and the characters of their last cells, counted in the HTML."""
+    x = sinks.html_reports(_scans(c), findings.merge_duplicates(f)).select("id", F.regexp_extract_all("html", F.lit("<td>([^<]*)</td></tr>"), F.lit(1)).alias("last"))
+    return x.select("id", F.size("last").cast("long").alias("n_rows"), F.reduce("last", F.lit(0).cast("long"), lambda a, t: a + F.length(t)).alias("n_chars")).where("n_rows > 0")
+
+
+@query("deps_feed_batches", A.PACKAGES, A.FEED, req_=REQ, feed_=PART + "t1", sql=f"SELECT id, scan_id, req_.package, req_.version, vuln_id, {VULN} AS severity FROM req_ JOIN feed_ ON lower(req_.package) = lower(feed_.package) AND req_.version = feed_.version WHERE req_.package <> ''")
+def _(p, f):
+    """As deps_vulnerable, but by requests of a hundred packages to a service that answers by place."""
+    need, folder = _required(p), _new_folder(p.sparkSession, "feed")
+    feed_service.write_batches(need, f"{folder}/requests")
+    feed_service.answer_from(f, f"{folder}/requests", f"{folder}/answers")
+    got = feed_service.read_feed(p.sparkSession, f"{folder}/requests", f"{folder}/answers")
+    return deps.vulnerable(need, got).select("id", "scan_id", "package", "version", "vuln_id", "severity")
+
+
+@query("files_landed", A.TREES, sql="""
+SELECT scan_id, path, length(text) + CASE WHEN broken THEN 2 ELSE 0 END AS n_chars, CASE WHEN broken THEN 2 ELSE 0 END AS n_replaced FROM t0 WHERE path = 'a/x.py' OR path = 'z.yaml'""")
+def _(t):
+    """Trees written by executors and read again by suffix: bytes that are no text are replaced."""
+    folder = _new_folder(t.sparkSession, "trees")
+    data = F.col("text").cast("binary")
+    files.land_files(t.select("scan_id", "path", F.when(F.col("broken"), F.concat(data, F.unhex(F.lit("FFFE")))).otherwise(data).alias("content")), folder).write.format("noop").mode("overwrite").save()
+    got = files.read_files(t.sparkSession, folder, "python").unionByName(files.read_files(t.sparkSession, folder, "yaml"))
+    return got.select("scan_id", "path", F.char_length("content").cast("long").alias("n_chars"), F.regexp_count("content", F.lit("\ufffd")).cast("long").alias("n_replaced"))
+
+
+@query("jobs_changed_parts", A.JOBS, sql="SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 50 = 7 THEN 'failed' ELSE status END AS status, batch_id FROM t0")
+def _(j):
+    """A status set for some jobs: only the months they were created in are written."""
+    t = Tables(j.sparkSession, _new_folder(j.sparkSession, "parts"))
+    t.save("jobs", j.withColumn("created_at", F.col("created_at").cast("timestamp")))
+    t.update("jobs", t.load("jobs").where("cast(id as long) % 50 = 7").withColumn("status", F.lit("failed")), "id")
+    return t.load("jobs").select("id", "status", "batch_id")
+
+
+@query("installed_due", A.INSTALLED, A.SCANNED, sql="""
+SELECT t0.domain, name, CASE WHEN k % 2 = 0 THEN concat('https://github.com/', repository, '.git') ELSE repository END AS url, t0.version,
+       CASE WHEN t1.domain IS NULL THEN 'never' WHEN t1.version <> t0.version THEN 'version' ELSE 'age' END AS why
+FROM t0 LEFT JOIN t1 ON t0.domain = t1.domain WHERE t1.domain IS NULL OR t1.version <> t0.version OR t1.scanned_at <= TIMESTAMP '2024-01-02 00:00:00'""")
+def _(i, s):
+    return jobs.due_components(i, s.withColumn("scanned_at", F.col("scanned_at").cast("timestamp")), F.lit("2024-01-03").cast("timestamp"))
+
+
+@query("review_replies", A.REPLIES, sql="""
+SELECT scan_id, CASE k % 4 WHEN 0 THEN least(CAST(k % 25 AS DOUBLE), 10.0) WHEN 1 THEN 5.0 END AS score, CASE k % 4 WHEN 0 THEN CASE WHEN k % 120 < 100 THEN concat('s (confidence: ', k % 120, '%)') ELSE 's' END WHEN 1 THEN 'a {b}' ELSE '' END AS summary, k % 4 < 2 AS ok FROM t0""")
+def _(r):
+    return files.parse_replies(r).select("scan_id", "score", "summary", "ok")
+
+
+@query("cache_evicted", A.CACHED, sql="""
+SELECT path FROM (SELECT path, mtime, row_number() OVER (ORDER BY mtime DESC, path) AS n FROM t0) WHERE n > 50 OR mtime < TIMESTAMP '2024-01-17 00:00:00'""")
+def _(c):
+    return history.cache_evictions(c, F.lit("2024-01-31").cast("timestamp_ntz"))
+
+
+@query("system_info", A.CACHED, sql="SELECT kind, count(*) AS files, round_even(sum(length) / (1024 * 1024), 1) AS megabytes FROM t0 GROUP BY kind")
+def _(c):
+    return history.system_info(c)
+
+
+#: Findings by SQL alone: table functions give facts, a table of rules says what they are worth.
+LATERAL_RULES = """SELECT DISTINCT f.scan_id, f.path AS file, r.severity, r.category, CAST(x.line AS BIGINT) AS line FROM {files} f, LATERAL python_facts(f.content) x
+JOIN {rules} r ON r.language = 'python' AND r.kind = x.kind AND r.name = x.name WHERE x.kind = 'call'"""
+
+
+def _calls_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_functions.register(spark)
+    return spark.sql(LATERAL_RULES, files=files.files_for(_files(spark, sf_dir), "python"), rules=table_functions.rule_table(spark))
+
+
+QUERIES["calls_by_table_function"] = _calls_by_sql
+SQL["calls_by_table_function"] = f"SELECT scan_id, file, severity, category, CAST(line AS BIGINT) AS line FROM ({_each_part(EXPECTED['py_calls'], *FOUND)})"
+
+
+def _recorded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components of files scanned as jobs: what the tables hold of each afterwards."""
+    t = Tables(spark, _new_folder(spark, "scans"))
+    f = A.make(spark, sf_dir, A.SIZED).select("scan_id", "path", "content").where("path <> 'a.yaml'")
+    scores = f.select("scan_id", F.lit(7.0).alias("score")).distinct()
+    jobs.run_scan(t, f, scores, F.lit("2024-01-01").cast("timestamp"), batch_id="b")
+    runs = t.load("history").groupBy(F.col("repo_url").alias("id")).agg(F.count("*").alias("scans"), F.sum("findings_count").alias("findings"))
+    return t.load("jobs").join(runs, "id").select("id", "status", "batch_id", "scans", "findings")
+
+
+QUERIES["scans_recorded"] = _recorded_scan
+#: Small parts: telemetry and injection in Python, injection in the script; large ones: two sizes, and injection in the script.
+SQL["scans_recorded"] = "SELECT concat('p', p_partkey) AS id, 'done' AS status, 'b' AS batch_id, 1 AS scans, 3 AS findings FROM part"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import finding_hash
+from tessera.functions.scalar import finding_hash, repository_url
 from tessera.operators import findings as fnd
 from tessera.operators import history as hst
 from tessera.operators.fingerprints import fingerprints
@@ -36,22 +36,22 @@ def run_scan(tables: Tables, files: DataFrame, scores: DataFrame, at: Column, fe
     """
     own = files.select(F.col("scan_id").alias("id")).distinct()
     rows = own.select("id", F.col("id").alias("name"), F.col("id").alias("repo_url"), F.lit(batch_id).alias("batch_id"), F.lit("running").alias("status"), at.alias("created_at"), F.lit(None).cast("timestamp").alias("completed_at"), F.lit(None).cast("string").alias("error"))
-    tables.save("jobs", hst.upsert(tables.load("jobs"), rows, "id"))
+    tables.update("jobs", rows, "id")
+    at_work = lambda: tables.load("jobs").join(own.select(F.col("id").alias("__own")), F.col("id") == F.col("__own"), "left_semi")
     try:
-        found = scan(files, feed, tables.load("whitelist"))
+        found = _kept(tables, "findings", scan(files, feed, tables.load("whitelist")))
         before, base = tables.load("fingerprints"), hst.baseline(tables.load("history"))
-        scans, prints = learned(files, found, scores, at)
+        scans, prints = (_kept(tables, name, rows) for name, rows in zip(("scans", "prints"), learned(files, found, scores, at)))
         keyed = lambda f: f.withColumn("key", hst.component_key())
         last = hst.latest_fingerprints(before).select("key", F.col("fingerprint_hash").alias("last_hash"))
         changes = keyed(prints).join(last, "key").where("fingerprint_hash <> last_hash").select("key", "id", "last_hash", "fingerprint_hash")
         changes, deviations = _kept(tables, "changes", changes), _kept(tables, "deviations", hst.deviations(scans, base))
-        found = _kept(tables, "findings", found)
         tables.append("history", scans)
         tables.append("fingerprints", prints)
     except Exception as e:
-        tables.save("jobs", hst.with_status(tables.load("jobs"), own, "failed", at).withColumn("error", F.when(F.col("status") == "failed", F.coalesce("error", F.lit(str(e)[:200])))))
+        tables.update("jobs", hst.with_status(at_work(), own, "failed", at).withColumn("error", F.coalesce("error", F.lit(str(e)[:200]))), "id")
         raise
-    tables.save("jobs", hst.with_status(tables.load("jobs"), own, "done", at))
+    tables.update("jobs", hst.with_status(at_work(), own, "done", at), "id")
     return {"findings": found, "changes": changes, "deviations": deviations}
 
 
@@ -64,6 +64,26 @@ def _kept(tables: Tables, name: str, rows: DataFrame) -> DataFrame:
     return tables.spark.read.schema(rows.schema).parquet(path)
 
 
+def due_components(installed: DataFrame, history: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """Installed components (domain, name, repository, version) whose turn it is: never scanned, scanned `hours` ago or longer, or in another version.
+
+    What is due is known by domain; url is where its files come from.
+    """
+    last = history.where("domain <> ''").groupBy(F.col("domain").alias("__d")).agg(F.max(F.struct("scanned_at", "id", "version")).alias("s"))
+    x = installed.join(last, F.col("domain") == F.col("__d"), "left")
+    why = F.when(F.col("s").isNull(), "never").when(~F.col("s.version").eqNullSafe(F.col("version")), "version").when(F.col("s.scanned_at") <= now - F.expr(f"INTERVAL {int(hours)} HOURS"), "age")
+    return x.withColumn("why", why).where("why is not null").select("domain", "name", repository_url(F.col("repository")).alias("url"), "version", "why")
+
+
+def rescan_installed(tables: Tables, installed: DataFrame, files: DataFrame, at: Column, hours: int = 24, **scan_with) -> dict[str, DataFrame] | None:
+    """The scheduled job over what is installed: scans the files (scan_id: the domain) of components whose turn it is; None if none is."""
+    due = due_components(installed, tables.load("history"), at, hours)
+    own = files.join(due.select(F.col("domain").alias("__d")), F.col("scan_id") == F.col("__d"), "left_semi")
+    if own.isEmpty():
+        return None
+    return run_scan(tables, own, own.select("scan_id", F.lit(None).cast("double").alias("score")).distinct(), at, batch_id="scheduled", **scan_with)
+
+
 def rescan(tables: Tables, arrivals: DataFrame, at: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
     """The scheduled job, for Scheduler.start over a stream of files: scans each batch of arrivals under the batch id `scheduled`."""
 

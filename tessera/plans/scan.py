@@ -1,12 +1,15 @@
-"""The whole scan as one plan: files in, findings out."""
+"""The whole scan as one plan over a registry of scanners: files in, findings out."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import ast_rules, line_rules
-from tessera.operators.findings import FIELDS, aggregate_noisy, cap_per_file, merge_duplicates, union_gated, without_whitelisted
+from tessera.operators.findings import FIELDS, GATES, aggregate_noisy, cap_per_file, merge_duplicates, union_gated, without_whitelisted
 from tessera.sources import deps
 from tessera.sources.files import component_types, files_for, manifests
 
@@ -26,29 +29,77 @@ def _numbered(*parts: DataFrame) -> DataFrame:
     return out.withColumn("seq", F.row_number().over(w).cast("long")).select("scan_id", "seq", *FIELDS)
 
 
-def scan(files: DataFrame, feed: DataFrame | None = None, whitelist: DataFrame | None = None, more: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Findings of all components in files (scan_id, path, content), capped, aggregated, merged and filtered.
+@dataclass(frozen=True)
+class Scanner:
+    """A scanner by name: which files it looks at (a reader's name, or all), of which component types (none: any), and what it finds.
 
-    feed holds known vulnerabilities; `more` adds scanners by name: findings in the common fields, of any component type.
+    find gets the files and gives findings in the common fields, or several such tables, in the order their findings are told;
+    `capped` keeps the first findings of each file and category.
     """
-    py, js, yml = (files_for(files, k) for k in ("python", "js", "yaml"))
+
+    name: str
+    reader: str | None
+    types: tuple[str, ...] | None
+    find: Callable[[DataFrame], DataFrame | tuple[DataFrame, ...]]
+    capped: bool = True
+
+
+def _dependencies(files: DataFrame, feed: DataFrame | None = None) -> tuple[DataFrame, ...]:
+    named = deps.distinct_first(deps.discover(files).unionByName(deps.manifest_requirements(manifests(files))))
+    as_finding = lambda d, sev, cat, text: d.select("scan_id", sev.alias("severity"), F.lit(cat).alias("category"), F.col("source_file").alias("file"), text.alias("description"))
+    pin = F.concat("package", F.lit("=="), "version")
+    known = (as_finding(deps.malicious(named), F.lit("critical"), "malicious_package", F.concat(F.lit("Known bad package "), pin)),)
+    return known if feed is None else (*known, as_finding(deps.vulnerable(named, feed), F.col("severity"), "cve", F.concat("vuln_id", F.lit(": "), pin)))
+
+
+def _python(py: DataFrame) -> tuple[DataFrame, ...]:
     facts = ast_rules.facts(py)
+    return ast_rules.size_findings(py), ast_rules.call_findings(facts), ast_rules.import_findings(facts), ast_rules.flow_findings(facts), line_rules.scan_parts(py)
+
+
+def _scripts(js: DataFrame) -> tuple[DataFrame, ...]:
     script = ast_rules.script_findings(js)
     bad = script.where("category = 'parse_info'")
     fallback = line_rules.scan_script_patterns(js.join(bad.select("scan_id", F.col("file").alias("path")), ["scan_id", "path"], "left_semi"))
-    named = deps.distinct_first(deps.discover(files).unionByName(deps.manifest_requirements(manifests(files))))
-    as_finding = lambda d, sev, cat, text: d.select("scan_id", sev.alias("severity"), F.lit(cat).alias("category"), F.col("source_file").alias("file"), text.alias("description"))
-    pin = F.concat("package", F.lit("=="), "version")
-    known = [as_finding(deps.malicious(named), F.lit("critical"), "malicious_package", F.concat(F.lit("Known bad package "), pin))]
-    if feed is not None:
-        known.append(as_finding(deps.vulnerable(named, feed), F.col("severity"), "cve", F.concat("vuln_id", F.lit(": "), pin)))
-    outputs = {
-        "deps": _numbered(*known),
-        "python": cap_per_file(_numbered(ast_rules.size_findings(py), ast_rules.call_findings(facts), ast_rules.import_findings(facts), ast_rules.flow_findings(facts), line_rules.scan_parts(py))),
-        "js": cap_per_file(_numbered(line_rules.obfuscation_findings(js), script.where("category <> 'parse_info'"), fallback, line_rules.parse_info_rollup(bad), ast_rules.size_findings(js))),
-        "yaml": cap_per_file(_numbered(line_rules.scan_yaml_patterns(yml), line_rules.scan_includes(yml), line_rules.scan_secret_comments(yml), ast_rules.yaml_structure_findings(yml))),
-        "api": cap_per_file(_numbered(ast_rules.platform_findings(facts))),
-    }
-    outputs |= {k: _numbered(v) for k, v in (more or {}).items()}
-    out = merge_duplicates(aggregate_noisy(union_gated(outputs, component_types(files))))
+    return line_rules.obfuscation_findings(js), script.where("category <> 'parse_info'"), fallback, line_rules.parse_info_rollup(bad), ast_rules.size_findings(js)
+
+
+def _yaml(yml: DataFrame) -> tuple[DataFrame, ...]:
+    return line_rules.scan_yaml_patterns(yml), line_rules.scan_includes(yml), line_rules.scan_secret_comments(yml), ast_rules.yaml_structure_findings(yml)
+
+
+def _platform(py: DataFrame) -> DataFrame:
+    return ast_rules.platform_findings(ast_rules.facts(py))
+
+
+#: The scanners that every scan runs, in the order of their findings. add_scanner puts more in.
+SCANNERS: dict[str, Scanner] = {
+    s.name: s
+    for s in (
+        Scanner("deps", None, GATES["deps"], _dependencies, capped=False),
+        Scanner("python", "python", GATES["python"], _python),
+        Scanner("js", "js", GATES["js"], _scripts),
+        Scanner("yaml", "yaml", GATES["yaml"], _yaml),
+        Scanner("api", "api", GATES["api"], _platform),
+    )
+}
+
+
+def add_scanner(scanner: Scanner) -> None:
+    """Lets a scanner take part in all further scans; one of the same name is replaced."""
+    SCANNERS[scanner.name] = scanner
+
+
+def scan(files: DataFrame, feed: DataFrame | None = None, whitelist: DataFrame | None = None, scanners: dict[str, Scanner] | None = None) -> DataFrame:
+    """Findings of all components in files (scan_id, path, content), capped, aggregated, merged and filtered.
+
+    feed holds known vulnerabilities; scanners are those registered, unless some are named.
+    """
+    outputs, gates = {}, {}
+    for s in (SCANNERS if scanners is None else scanners).values():
+        own = files_for(files, s.reader) if s.reader else files
+        found = _dependencies(own, feed) if s.find is _dependencies else s.find(own)
+        rows = _numbered(*(found if isinstance(found, tuple) else (found,)))
+        outputs[s.name], gates[s.name] = cap_per_file(rows) if s.capped else rows, s.types
+    out = merge_duplicates(aggregate_noisy(union_gated(outputs, component_types(files), gates)))
     return without_whitelisted(out, whitelist) if whitelist is not None else out

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,11 +28,44 @@ SALTS = 16
 PRIORITY = ("manifest.json", "hacs.json", "__init__.py", "const.py")
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below root/<scan_id>/...; bytes that are no UTF-8 become U+FFFD."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    tail = F.regexp_extract("path", r"^(?:[a-z0-9]+:/*)?" + "/*" + root.split(":", 1)[-1].strip("/").replace(".", r"\.") + "/+(.*)$", 1)
-    return raw.select(F.split_part(tail, F.lit("/"), F.lit(1)).alias("scan_id"), F.regexp_replace(tail, "^[^/]+/", "").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+def read_files(spark: SparkSession, root: str, reader: str | None = None, scans: list[str] | None = None) -> DataFrame:
+    """The files below root/<scan_id>/...; bytes that are no UTF-8 become U+FFFD.
+
+    With a reader, only files of its suffixes are opened (they are picked while folders are listed), and those in folders that it passes
+    over are left out; with `scans`, only their folders are listed.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if reader:
+        raw = raw.option("pathGlobFilter", "*{" + ",".join(READERS[reader][0]) + "}")
+    raw = raw.load([f"{root.rstrip('/')}/{s}" for s in scans] if scans else root)
+    tail = F.regexp_extract("path", r"^(?:[a-z0-9]+:/*)?" + "/*" + re.escape(root.split(":", 1)[-1].strip("/")) + "/+(.*)$", 1)
+    out = raw.select(F.split_part(tail, F.lit("/"), F.lit(1)).alias("scan_id"), F.regexp_replace(tail, "^[^/]+/", "").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return files_for(out, reader) if reader else out
+
+
+def land_files(files: DataFrame, root: str) -> DataFrame:
+    """Writes files (scan_id, path, content as bytes) below root/<scan_id>/, each by the executor that holds it; (scan_id, path, bytes) of what was written.
+
+    It happens as the result is computed; a repeated task writes the same files. A path that leaves its folder is refused.
+    """
+    from tessera.sources import storage
+
+    def run(batches):
+        fs, at = storage.opened(root)
+        for b in batches:
+            sizes = []
+            for scan, path, data in zip(*(b.column(k).to_pylist() for k in range(3))):
+                parts = [scan, *path.split("/")]
+                if any(p in ("", ".", "..") for p in parts) or "/" in scan:
+                    raise ValueError(f"no path below its folder: {scan}/{path}")
+                fs.create_dir(f"{at}/{'/'.join(parts[:-1])}", recursive=True)
+                with fs.open_output_stream(f"{at}/{'/'.join(parts)}") as f:
+                    f.write(data or b"")
+                sizes.append(len(data or b""))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], ["scan_id", "path", "bytes"])
+
+    x = files.select(F.col("scan_id").cast("string"), F.col("path").cast("string"), F.col("content").cast("binary"))
+    return x.mapInArrow(run, "scan_id string, path string, bytes long")
 
 
 def files_for(files: DataFrame, reader: str) -> DataFrame:

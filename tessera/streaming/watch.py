@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: Characters of a description that name an alert.
 NAME = 80
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def new_alerts(checks: DataFrame) -> DataFrame:
@@ -23,21 +24,46 @@ def new_alerts(checks: DataFrame) -> DataFrame:
     return x.select("component", "checked_at", "id", F.explode(F.array_except("now", "before")).alias("alert"))
 
 
-def _watch(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    known = set(state.get[0]) if state.exists else set()
-    rows = pd.concat(list(batches)).sort_values(["checked_at", "id"])
-    out = []
-    for at, i, alerts in zip(rows["checked_at"], rows["id"], rows["alerts"]):
-        now = list(dict.fromkeys(a[:NAME] for a in (alerts if alerts is not None else [])))
-        out += [(key[0], at, i, a) for a in now if a not in known]
-        known = set(now)
-    state.update((sorted(known),))
-    yield pd.DataFrame(out, columns=["component", "checked_at", "id", "alert"])
+class _Alerts(StatefulProcessor):
+    """State of a component: the number of its last check, and each alert with the number of the last check that had it."""
 
+    def __init__(self, forget_after: int | None):
+        self.forget_after = forget_after
 
-def watch_alerts(checks: DataFrame) -> DataFrame:
-    """The stream form of new_alerts; the state of a component is its last list of alerts."""
-    return checks.groupBy("component").applyInPandasWithState(_watch, "component string, checked_at timestamp, id long, alert string", "known array<string>", "append", "NoTimeout")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "alert string", "number long", self.forget_after)
+        self.last = handle.getValueState("last", "number long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        n = self.last.get()[0] if self.last.exists() else 0
+        for r in sorted(rows, key=lambda r: (r["checked_at"], r["id"])):
+            now = list(dict.fromkeys(a[:NAME] for a in (r["alerts"] or [])))
+            for a in now:
+                if not self.known.containsKey((a,)) or self.known.getValue((a,))[0] != n:
+                    yield Row(component=key[0], checked_at=r["checked_at"], id=r["id"], alert=a)
+                self.known.updateValue((a,), (n + 1,))
+            n += 1
+        self.last.update((n,))
+        for k in [k for k, v in self.known.iterator() if v[0] != n]:
+            self.known.removeKey(k)
+
+    def close(self) -> None:
+        pass
+
+
+def watch_alerts(checks: DataFrame, forget_after: int | None = None) -> DataFrame:
+    """The stream form of new_alerts: equal to it as long as checks of a component arrive in their order.
+
+    Each alert is a state entry of its own, so a check rewrites only what it names; what the last check hasn't is removed. With
+    forget_after (milliseconds), an alert that no check has named for so long is forgotten, and new when it comes again; such a stream looks
+    for what has expired for ever, so it needs an interval, and no trigger that ends by itself. State lies in
+    RocksDB beside the checkpoint, and is there again after a restart. A micro-batch holds the checks of one component in a worker.
+    """
+    conf = checks.sparkSession.conf
+    if not conf.get(STORE, "").endswith("RocksDBStateStoreProvider"):
+        conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    x = checks.select("component", "checked_at", "id", "alerts").groupBy("component")
+    return x.transformWithState(_Alerts(forget_after), "component string, checked_at timestamp, id long, alert string", "Append", "ProcessingTime" if forget_after else "None")
 
 
 def newest_status(scans: DataFrame) -> DataFrame:
