@@ -1,6 +1,6 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Equal vectors fold into one first. A bounded sample gives centroids: k-means, with clusters cut in two while they hold too much.
+Vectors of one direction fold into one first. A bounded sample gives centroids: k-means, with clusters cut in two while they hold too much.
 Every vector is posted under its nearest centroid and, near boundaries, under others almost as near. Centroids are found by
 best-first search of a graph in memory, whose size is bounded. A query opens the lists whose centroids are within a ratio of the
 distance of its nearest one, up to a share of all lists. Lists are cut into blocks of bounded expected size, and so are the queries
@@ -50,8 +50,13 @@ def _valid(batch_ids, column, dim: int | None):
     return at, out
 
 
+def _direction(v: np.ndarray) -> np.ndarray:
+    """A vector by its largest part: what the cosine is measured on, the same for all vectors that are told apart by their length only."""
+    return v / np.abs(v).max() + 0.0
+
+
 def _fold(vectors: DataFrame, dim: int, keep: int) -> DataFrame:
-    """(h, rep, ids, vec): each distinct vector, with its `keep` smallest ids."""
+    """(h, rep, ids, vec): each distinct direction, with the `keep` smallest ids of the vectors that have it."""
 
     def part(batches):
         for b in batches:
@@ -59,7 +64,7 @@ def _fold(vectors: DataFrame, dim: int, keep: int) -> DataFrame:
             at, vecs = _valid(ids, b.column(1), dim)
             own: dict[bytes, list[int]] = {}
             for i, v in zip(at, vecs):
-                own.setdefault((v + 0.0).tobytes(), []).append(ids[i])
+                own.setdefault(_direction(v).tobytes(), []).append(ids[i])
             rows = [(xxhash.xxh3_64_intdigest(v) >> 1, i, v) for v, x in own.items() for i in heapq.nsmallest(keep, x)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["h", "id", "vec"])
 
@@ -220,8 +225,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
 
     queries are rows (vec_id, embedding) too; a row with the query's own id is no candidate. Vectors that are null, empty, zero, or
     hold null or non-finite values take no part on either side, nor do null ids. Vectors of different lengths are compared with
-    their like only: each length is a search of its own. Equal vectors are searched once and all rows get the result; of equal
-    candidates, the k + 1 smallest ids are enough for any query. With fewer candidates than k, all of them are returned; tables of
+    their like only: each length is a search of its own. Vectors of one direction are searched once and all rows get the result; of
+    candidates of one direction, the k + 1 smallest ids are enough for any query. With fewer candidates than k, all of them are returned; tables of
     up to LEAST lists are searched whole. Other columns are not read.
     """
 
@@ -315,10 +320,10 @@ def _search(vectors: DataFrame, queries: DataFrame, dim: int, k: int, ratio: flo
                     for lo in range(0, len(q), QUERIES):
                         s = q[lo : lo + QUERIES] @ v.T
                         few = min(most, s.shape[1])
-                        top = np.argpartition(-s, few - 1, axis=1)[:, :few]
+                        last = np.partition(s, s.shape[1] - few, axis=1)[:, -few]
                         for i in range(len(s)):
                             x = best[lo + i]
-                            for j in top[i]:
+                            for j in np.flatnonzero(s[i] >= last[i]):  # all that are as near as the last one: the smallest ids stay
                                 e = (float(s[i, j]), -int(ids[j]))
                                 if len(x) < most:
                                     heapq.heappush(x, e)
@@ -347,7 +352,7 @@ def _search(vectors: DataFrame, queries: DataFrame, dim: int, k: int, ratio: flo
         for b in batches:
             own = b.column(0).to_pylist()
             at, vecs = _valid(own, b.column(1), dim)
-            yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in at], pa.int64()), pa.array([xxhash.xxh3_64_intdigest((v + 0.0).tobytes()) >> 1 for v in vecs], pa.int64())], ["query_id", "hq"])
+            yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in at], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(_direction(v).tobytes()) >> 1 for v in vecs], pa.int64())], ["query_id", "hq"])
 
     every = queries.mapInArrow(named, "query_id long, hq long").join(wanted.select(F.col("h").alias("hq"), F.col("rep").alias("q")), "hq").join(answer, "q")
     mine = every.select("query_id", F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k).alias("f")).distinct()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 _words = str.split
 #: Elements without an end tag; whose content isn't markup; that never hold the article: fixed values of html.
 VOID = frozenset(_words("area base br col embed hr img input link meta param source track wbr"))
-RAW = frozenset(_words("script style textarea title noscript iframe noframes template xmp svg math canvas select"))
+RAW = frozenset(_words("script style textarea title noscript iframe noframes template xmp svg canvas select"))
 DROP = RAW | frozenset(_words("head button object audio video datalist label"))
 #: Elements that seldom hold the article: as good as a whole name.
 ASIDE = frozenset(_words("nav footer aside form dialog menu fieldset"))
@@ -41,6 +41,8 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""", re.S)
 #: Headings over what readers wrote, in the languages at hand.
 REMARKS = re.compile(r"\W*(?:\d+\W+)?(?:(?:reader |user )?comments?|responses?|replies|leave a (?:reply|comment)|join the (?:discussion|conversation)|(?:leser)?kommentare?|commentaires?|réactions|comentarios?|opiniones)\b", re.I)
+#: Such a heading and no more: whatever follows it, up to the next heading, is by readers too.
+ONLY_REMARKS = re.compile(r"\W*(?:\d+\W+)?(?:(?:reader |user )?comments?|responses?|replies|(?:leser)?kommentare?|commentaires?|réactions|comentarios?|opiniones)\W*(?:\d+\W*)?", re.I)
 HEADS = frozenset(_words("h1 h2 h3 h4 h5 h6"))
 #: Who wrote a remark, or when, stands in one of these, in no more than so many characters.
 BYLINE, BYLINE_CHARS = frozenset(_words("b strong a span cite time small address em i h4 h5 h6 div header")), 60
@@ -214,6 +216,30 @@ def _remarks(x: Node) -> bool:
     return all(map(signed, blocks))
 
 
+#: Who wrote a remark inside an article stands in one of these; in `_remarks`, headings and blocks count too.
+NAMED = frozenset(("a", "address", "b", "cite", "em", "i", "small", "span", "strong", "time"))
+REMARK = ("article", "blockquote", "dd", "div", "li", "section")
+
+
+def _signed(x: Node) -> bool:
+    """Is this a remark: a short name, and blocks of text by it?"""
+    own = [y for y in x.children if isinstance(y, Node) and y.chars or isinstance(y, str) and y.strip()]
+    if len(own) < 2 or not isinstance(own[0], Node) or own[0].tag not in NAMED or own[0].chars > BYLINE_CHARS:
+        return False
+    return own[0].chars * 2 < x.chars and any(isinstance(y, Node) and y.tag in ("p", "div", "blockquote") for y in own[1:])
+
+
+def _signed_tail(x: Node) -> set[int]:
+    """The remarks that end a node: two or more children alike, each a name and its text. A list of them only is one as a whole."""
+    rest = [c for c in x.children if isinstance(c, Node) and c.chars or isinstance(c, str) and c.strip()]
+    out: list[Node] = []
+    for c in reversed(rest):
+        if not isinstance(c, Node) or c.tag not in REMARK or out and c.tag != out[-1].tag or not _signed(c):
+            break
+        out.append(c)
+    return {id(c) for c in out} if len(out) > 1 else set()
+
+
 def cut_furniture(root: Node) -> None:
     """Takes out the nodes that tags, names or headings hint at, where their text agrees.
 
@@ -244,10 +270,21 @@ def cut_furniture(root: Node) -> None:
             return False
         return _headed(x) or isinstance(before, Node) and before.tag in HEADS and x.tag != "p" and bool(REMARKS.match(html.unescape(_plain(before)).strip()))
 
+    def by_readers(x: Node) -> set[int]:
+        """Children of x that readers wrote: below a heading that says so, or signed one by one at its end; never half of the page's text."""
+        cut, under = _signed_tail(x), False
+        for c in x.children:
+            if isinstance(c, Node) and c.tag in HEADS and c.chars:
+                under = c.chars < 60 and bool(ONLY_REMARKS.fullmatch(html.unescape(_plain(c)).strip()))
+            if under and isinstance(c, Node):
+                cut.add(id(c))
+        lost = [c for c in x.children if id(c) in cut]
+        return cut if not any(id(c) in held for c in lost) and sum(c.chars - c.linked for c in lost) * 2 <= whole else set()
+
     for x in nodes:
-        out, before = [], None
+        out, before, readers = [], None, by_readers(x)
         for c in x.children:
-            if goes(c, before):
+            if id(c) in readers or goes(c, before):
                 if isinstance(before, Node) and before.tag in HEADS and REMARKS.match(html.unescape(_plain(before)).strip()) and before in out:
                     out.remove(before)
                 out.append(Node("br", x) if c.tag in BLOCK else " ")

@@ -502,6 +502,8 @@ def test_no_attribute_takes_the_article_away(attrs):
     "page",
     [
         f"<article>{P * 4}</article><div class=c1>{REMARKS}</div>", f"<div>{P * 4}</div><div class=c1>{REMARKS}</div>", f"<article>{P * 4}<section><h3>5 Comments</h3>{REMARKS}</section></article>",
+        f"<article>{P * 4}<ul class='c-list'><li><b>bob</b><p>Nice one.</p></li><li><b>ann</b><p>I think so too, all in all.</p></li></ul></article>", f"<div>{P * 4}<ul><li><b>bob</b><p>Nice one.</p></li><li><b>ann</b><p>So it is.</p></li></ul></div>",
+        f"<article>{P * 4}<h3>3 Comments</h3><p>Nice one.</p><p>So it is, all in all.</p></article>", f"<div>{P * 4}<h2>Kommentare (2)</h2><p>Schön.</p><div>Gut.</div></div>", f"<div>{P * 4}{REMARKS}</div>", f"<article>{P * 4}{REMARKS}</article>",
         f"<div>{P * 4}</div><div class=comments>{REMARKS * 9}</div>", f"<form action=x>{P * 4}<input name=q></form>", f"<div><div>{P * 4}</div><div class=s><ul>{'<li><a href=x>Some other headline here</a></li>' * 9}</ul></div></div>", f"<aside>{P}</aside><main>{P * 4}</main>",
     ],
 )
@@ -509,6 +511,19 @@ def test_density_decides_what_the_article_is(page):
     assert html_extract.main_text(f"<body>{MENU}{page}<footer>Some footer text</footer></body>") == "\n".join([P[3:-4]] * 4)
 
 
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        ("<p>Let <math><mi>x</mi><mo>&lt;</mo><mn>1</mn></math> be large.</p>", "Let x<1 be large."),
+        ("<ul><li><b>Salt</b> a spoon of it</li><li><b>Oil</b> two spoons of it</li></ul>", "Salt a spoon of it\nOil two spoons of it"),
+        ("<h2>Comments on the law</h2><p>The law says much.</p>", "Comments on the law\nThe law says much."),
+        ("<h3>Comments</h3><p>By a reader.</p><h3>Sources</h3><p>A book.</p>", "Sources\nA book."),
+    ],
+)
+def test_what_stays_in_an_article(part, text):
+    assert html_extract.main_text(f"<body>{MENU}<article>{P * 4}{part}</article></body>") == "\n".join([*[P[3:-4]] * 4, text])
+
+
 def test_signs_that_are_no_tags():
     assert html_extract.main_text("<body><p>1 < 2 and if a<b then more</p></body>") == "1 < 2 and if a<b then more"
 
@@ -607,6 +622,22 @@ def test_neighbours_against_brute_force(spark):
     assert ann.search(df.limit(0), df).count() == 0 and ann.search(df, df.limit(0)).count() == 0
 
 
+def test_ties_go_to_smaller_ids(spark):
+    """Vectors of one direction, and different ones with equal cosines."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 8))
+    base = x[100].copy()
+    x[100:160] = base * 2.0 ** np.arange(-30, 30)[rng.permutation(60), None]
+    x[0] = base + 0.1 * x[0]
+    x[200:230] = np.eye(8)[1] + 0.125 * np.eye(8)[2 + np.arange(30) % 3] * np.where(np.arange(30) % 2, 1, -1)[:, None]
+    x[50] = np.eye(8)[1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict[int, list] = {}
+    for r in ann.search(df, df.where("vec_id in (0, 50, 130)")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {0: [100, 101, 102, 103, 104], 130: [100, 101, 102, 103, 104], 50: [200, 201, 202, 203, 204]}
+
+
 def test_lists_are_pruned_and_boundaries_replicated():
     """In clusters, nine in ten of the nearest are found in under a fifth of the rows; in shapeless data every vector is near boundaries."""
     rng = np.random.default_rng(5)
