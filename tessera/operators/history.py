@@ -124,7 +124,7 @@ def fingerprint_diffs(fps: DataFrame) -> DataFrame:
     pct = F.bround((F.col("new_total_lines") - F.col("old_total_lines")) / F.col("old_total_lines") * 100, 1)
     both = (F.col("old_total_lines") > 0) & (F.col("new_total_lines") > 0)
     size = F.when(both & (F.abs(pct) > 10), pct)
-    return x.select("key", *cols, "old_total_lines", "new_total_lines", F.when(both, size).alias("change_pct"), (F.col("old_fingerprint_hash") != F.col("new_fingerprint_hash")).alias("changed"))
+    return x.select("key", *cols, "old_total_lines", "new_total_lines", F.when(both, size).alias("change_pct"), (F.col("old_fingerprint_hash") != F.col("new_fingerprint_hash")).alias("changed"), "old_fingerprint_hash", "new_fingerprint_hash")
 
 
 def changed_components(fps: DataFrame) -> DataFrame:

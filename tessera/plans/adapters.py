@@ -111,6 +111,9 @@ SELECT CAST(c_custkey AS STRING) AS scan_id, c_custkey AS k,
        CASE c_custkey % 4 WHEN 0 THEN concat('Here: {{"score": ', CAST(c_custkey % 25 AS STRING), ', "summary": "s", "confidence": ', CAST(c_custkey % 120 AS STRING), '}} and more')
             WHEN 1 THEN concat('```json', chr(10), '{{"summary": "a {{b}}", "score": "x"}}', chr(10), '```') WHEN 2 THEN 'no object' ELSE '{{"score": 1' END AS reply FROM {customer}
 """
+REPOS = """
+SELECT CASE c_custkey % 3 WHEN 0 THEN concat('https://example.org/r', CAST(c_custkey % 40 AS STRING)) WHEN 1 THEN concat(' o/r', CAST(c_custkey AS STRING)) ELSE '' END AS url, CAST(c_nationkey AS STRING) AS name FROM {customer}
+"""
 CACHED = """
 SELECT concat('/repos/', CAST(c_custkey AS STRING)) AS path, TIMESTAMP '2024-01-31 00:00:00' - c_custkey * INTERVAL '4' HOUR AS mtime, CASE c_custkey % 3 WHEN 0 THEN 'repos' ELSE 'reports' END AS kind, c_custkey * 1000 AS length FROM {customer}
 """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar as S
 from tessera.operators import ast_rules, findings, history, line_rules, table_functions
 from tessera.plans import adapters as A
-from tessera.plans import jobs
+from tessera.plans import jobs, requests
 from tessera.plans.expected import EXPECTED
 from tessera.plans.sample import SAMPLE
 from tessera.plans.scan import scan
@@ -218,9 +218,9 @@ def _fps(f: DataFrame) -> DataFrame:
     return f.withColumn("fingerprint_hash", history.fingerprint_hash("imports", "ha_apis", "network_domains"))
 
 
-def _diff(f: DataFrame) -> DataFrame:
+def _diff(f: DataFrame, *more: str) -> DataFrame:
     text = lambda c: F.array_join(c, ",")
-    return f.select("key", text("imports_added").alias("imports_added"), text("imports_removed").alias("imports_removed"), text("network_domains_added").alias("domains_added"), text("network_domains_removed").alias("domains_removed"), "change_pct", "changed")
+    return f.select("key", text("imports_added").alias("imports_added"), text("imports_removed").alias("imports_removed"), text("network_domains_added").alias("domains_added"), text("network_domains_removed").alias("domains_removed"), "change_pct", "changed", *more)
 
 
 @query("fp_latest", A.FINGERPRINTS, keyed=KEYED, sql="SELECT key, id, hash AS fingerprint_hash FROM keyed WHERE place = 1")
@@ -737,6 +737,41 @@ def _(c):
     return history.system_info(c)
 
 
+LAST_TWO = "SELECT replace(domain, 'd', 'c') AS domain, max(score) FILTER (WHERE n = 2) AS old_score, max(score) FILTER (WHERE n = 1) AS new_score, max(findings_count) FILTER (WHERE n = 2) AS old_findings_count, max(findings_count) FILTER (WHERE n = 1) AS new_findings_count FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY scanned_at DESC, id DESC) AS n FROM t1) WHERE n <= 2 GROUP BY domain HAVING count(*) = 2"
+HASHES = "SELECT n.key, o.hash AS old_hash, n.hash AS new_hash FROM keyed n JOIN keyed o ON n.key = o.key AND n.place = 1 AND o.place = 2 WHERE n.domain <> ''"
+
+
+@query("request_diffs", A.FINGERPRINTS, A.HISTORY, keyed=KEYED, sql=f"""
+SELECT d.key AS domain, imports_added, imports_removed, domains_added, domains_removed, change_pct, changed, old_hash, new_hash, old_score, new_score, old_findings_count, new_findings_count
+FROM ({DIFFS}) d JOIN ({HASHES}) k ON k.key = d.key LEFT JOIN ({LAST_TWO}) s ON s.domain = d.key""")
+def _(f, h):
+    x = requests.domain_diffs(_fps(f), h.withColumn("domain", F.replace("domain", F.lit("d"), F.lit("c"))))
+    told = ("old_score", "new_score", "old_findings_count", "new_findings_count")
+    return _diff(x.withColumnRenamed("domain", "key").select("*", F.struct(F.col("old_fingerprint_hash").alias("old_hash"), F.col("new_fingerprint_hash").alias("new_hash"), *told).alias("told")), "told.*").withColumnRenamed("key", "domain")
+
+
+@query("request_intelligence", A.FINGERPRINTS, keyed=KEYED, latest="SELECT key, total_lines, avg(total_lines) FILTER (WHERE total_lines > 0) OVER () AS mean, count(*) OVER () AS n FROM keyed WHERE place = 1", sql=f"""
+SELECT 'shared_domain' AS kind, * FROM ({_items("network_domains", "", 2, "ORDER BY count DESC, item LIMIT 20")}) UNION ALL SELECT 'shared_import', * FROM ({_items("imports", "WHERE item <> 'os'", 2, "ORDER BY count DESC, item LIMIT 20")})
+UNION ALL SELECT 'suspicious_domain', * FROM ({_items("network_domains", "WHERE contains(item, 'pastebin.com')", 1, "")})
+UNION ALL SELECT 'size', key, total_lines, CASE WHEN total_lines / mean > 3 THEN 'larger' ELSE 'smaller' END FROM latest WHERE n >= 3 AND total_lines > 0 AND (total_lines / mean > 3 OR total_lines / mean < 0.1)""")
+def _(f):
+    return requests.intelligence(f)
+
+
+@query("request_system", A.CACHED, A.JOBS, sql="""
+SELECT '3' AS version, count(*) FILTER (WHERE kind = 'reports') AS reports, count(DISTINCT CASE WHEN kind = 'repos' THEN path END) AS repos_cached,
+       round_even(sum(length) FILTER (WHERE kind = 'repos') / (1024 * 1024), 1) AS cache_size_mb, (SELECT count(*) FROM t1 WHERE status = 'running') AS running FROM t0""")
+def _(c, j):
+    return requests.system_state(c, j)
+
+
+@query("request_batch", A.REPOS, sql="""
+SELECT 'b1' AS batch_id, repo_url, max(name) AS name, 'running' AS status, substr(sha256(concat('b1|', repo_url)), 1, 12) AS id FROM (
+  SELECT CASE WHEN starts_with(trim(url), 'http') THEN trim(url) ELSE concat('https://github.com/', trim(url), '.git') END AS repo_url, name FROM t0 WHERE trim(url) <> '') GROUP BY repo_url""")
+def _(r):
+    return requests.batch_jobs(r, "b1", F.lit("2024-01-01").cast("timestamp")).select("batch_id", "repo_url", "name", "status", "id")
+
+
 #: Findings by SQL alone: table functions give facts, a table of rules says what they are worth.
 LATERAL_RULES = """SELECT DISTINCT f.scan_id, f.path AS file, r.severity, r.category, CAST(x.line AS BIGINT) AS line FROM {files} f, LATERAL python_facts(f.content) x
 JOIN {rules} r ON r.language = 'python' AND r.kind = x.kind AND r.name = x.name WHERE x.kind = 'call'"""

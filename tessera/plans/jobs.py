@@ -49,12 +49,20 @@ def run_scan(tables: Tables, files: DataFrame, scores: DataFrame, at: Column, fe
         tables.append("history", scans)
         tables.append("fingerprints", prints)
     except Exception as e:
-        tables.update("jobs", hst.with_status(at_work(), own, "failed", at).withColumn("error", F.coalesce("error", F.lit(str(e)[:200]))), "id")
+        tables.update("jobs", hst.with_status(at_work(), own, "failed", at).withColumn("error", F.coalesce("error", F.lit(_cause(e)[:200]))), "id")
         raise
     tables.update("jobs", hst.with_status(at_work(), own, "done", at), "id")
     return {"findings": found, "changes": changes, "deviations": deviations}
 
 
+def _cause(e: Exception) -> str:
+    """The message of what went wrong first, below all that failed because of it."""
+    x = getattr(e, "_origin", None)
+    while x is not None and x.getCause() is not None:
+        x = x.getCause()
+    return str(e) if x is None else x.getMessage() or x.toString()
+
+
 def _kept(tables: Tables, name: str, rows: DataFrame) -> DataFrame:
     """rows as written, so that what is appended later doesn't change them."""
     import uuid
