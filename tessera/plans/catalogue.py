@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
@@ -408,11 +408,12 @@ def _(h, j):
     return sinks.result_messages(h.select("id", F.col("domain").alias("name"), F.lit("done").alias("status"), "score", "scanned_at"), "node", history.scans_total(j))
 
 
-@query("discovery_messages", A.JOBS, sql="""
-SELECT concat('homeassistant/sensor/node/', k, '/config') AS topic, n AS name, concat('node_', k) AS unique_id, concat('node/', k) AS state_topic, i AS icon
-FROM (VALUES ('status', 'Status', 'mdi:shield-search'), ('last_scan', 'Last Scan', 'mdi:clock-check'), ('last_score', 'Last Score', 'mdi:counter'), ('scans_total', 'Total Scans', 'mdi:numeric')) v(k, n, i)""")
-def _(j):
-    x = sinks.discovery_messages(j.sparkSession, "node")
+@query("discovery_messages", A.HISTORY, sql="""
+SELECT concat('homeassistant/sensor/', d, '/', k, '/config') AS topic, n AS name, concat(d, '_', k) AS unique_id, concat(d, '/', k) AS state_topic, i AS icon
+FROM (SELECT DISTINCT domain AS d FROM t0) c, (VALUES ('status', 'Status', 'mdi:shield-search'), ('last_scan', 'Last Scan', 'mdi:clock-check'), ('last_score', 'Last Score', 'mdi:counter'), ('scans_total', 'Total Scans', 'mdi:numeric')) v(k, n, i)""")
+def _(h):
+    """The messages of every component, their payloads read again as JSON."""
+    x = sinks.discovery_messages(h.select(F.col("domain").alias("node")))
     return x.select("topic", F.from_json("payload", "name string, unique_id string, state_topic string, icon string").alias("p")).select("topic", "p.*")
 
 
@@ -446,10 +447,10 @@ def _(w):
     return jobs.remove_whitelist(w, "none1")
 
 
-@query("whitelist_newest", A.WHITELIST, sql="SELECT pattern_hash, row_number() OVER (ORDER BY file_pattern DESC, pattern_hash) AS place FROM (SELECT * FROM t0 WHERE file_pattern <> '') ORDER BY place LIMIT 50")
+@query("whitelist_newest", A.WHITELIST, sql="SELECT pattern_hash, category, file_pattern FROM t0 WHERE file_pattern <> ''")
 def _(w):
-    x = jobs.whitelist_newest(w.where("file_pattern <> ''").withColumn("created_at", F.col("file_pattern"))).limit(50)
-    return x.select("pattern_hash", F.row_number().over(Window.orderBy(F.desc("created_at"), "pattern_hash")).cast("long").alias("place"))
+    """The whole list, as it is told, newest first."""
+    return jobs.whitelist_newest(w.where("file_pattern <> ''").withColumn("created_at", F.col("file_pattern"))).drop("created_at")
 
 
 def _new_folder(spark: SparkSession, name: str) -> str:
@@ -578,14 +579,16 @@ UNION ALL SELECT DISTINCT concat('p', p_partkey), 'integration' FROM part UNION
 SELECT scan_id, domain, CASE WHEN domain = '' THEN scan_id ELSE name END AS name, requirements FROM ({_each_part(names, "own", "domain", "name", "requirements")})
 UNION ALL SELECT concat('p', p_partkey), concat('p', p_partkey), p_name, concat(replace(p_name, ' ', '-'), '==', p_size) FROM part UNION ALL SELECT DISTINCT source, '', source, '' FROM documents""")
     imports = "aiohttp,ctypes,ftplib,httpx,marshal,os,pickle,requests,shelve,smtplib,socket,subprocess,telnetlib,urllib,urllib3,voluptuous,webbrowser"
-    prints = (("s1", imports, "hass.bus,hass.services,hass.states", "api.example.com", 6, 0, 52), ("s2", "", "", "example.org", 0, 3, 19), ("s3", "", "", "", 0, 0, 0))
+    prints = (("s1", imports, "hass.bus,hass.services,hass.states", "api.example.com", 6, 0, 52), ("s2", "", "", "example.org", 0, 3, 24), ("s3", "", "", "", 0, 0, 0))
     text = lambda c: F.array_join(c, ",").alias(c)
     _over_files("fp_extract", lambda s: fingerprints(s).select("scan_id", text("imports"), text("ha_apis"), text("network_domains"), "py_files", "js_files", "total_lines"), f"""
 SELECT scan_id, imports, ha_apis, network_domains, CAST(py_files AS BIGINT) AS py_files, CAST(js_files AS BIGINT) AS js_files, CAST(total_lines AS BIGINT) AS total_lines FROM ({_each_part(prints, "own", "imports", "ha_apis", "network_domains", "py_files", "js_files", "total_lines")})
 UNION ALL SELECT DISTINCT concat('p', p_partkey), '', '', '', 0, 0, 0 FROM part
 UNION ALL SELECT source, '', '', array_to_string(list_sort(list_distinct(list_filter(flatten(list(list_transform(regexp_extract_all(text, 'https?://([a-zA-Z0-9._-]+)', 1), lambda x: lower(x)))), lambda x: x NOT IN ('0.0.0.0', '127.0.0.1', 'localhost')))), ','),
   count(*), count(*), CAST(2 * sum(len(string_split(text, chr(10))) - CASE WHEN text IS NULL OR text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END) AS BIGINT) FROM documents GROUP BY source""")
-    told = (("s1", 6, sum(len(c) for _, p, c in SAMPLE if _ == "s1" and "tests/" not in p)), ("s2", 4, sum(len(c) for _, p, c in SAMPLE if _ == "s2")), ("s3", 4, sum(len(c) for _, p, c in SAMPLE if _ == "s3" and p.endswith(".yaml"))))
+    suffixes = files.READERS["context"][0]
+    chars = {own: sum(len(c) for scan, p, c in SAMPLE if scan == own and p.endswith(suffixes) and "tests/" not in p) for own in ("s1", "s2", "s3")}
+    told = (("s1", 6, chars["s1"]), ("s2", 4, chars["s2"]), ("s3", 5, chars["s3"]))
     _over_files("code_context", lambda s: files.code_context(files.files_for(s, "context")).select("scan_id", "n_files", F.col("n_chars").cast("long").alias("n_chars")), f"""
 WITH f AS (SELECT source AS scan_id, concat(doc_id, suffix) AS path, left(text, 8000) AS part FROM documents, (VALUES ('.py'), ('.js'), ('.yaml')) s(suffix)),
 cut AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY scan_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)

@@ -49,7 +49,7 @@ def run_scan(tables: Tables, files: DataFrame, scores: DataFrame, at: Column, fe
         tables.append("history", scans)
         tables.append("fingerprints", prints)
     except Exception as e:
-        tables.update("jobs", hst.with_status(at_work(), own, "failed", at).withColumn("error", F.coalesce("error", F.lit(_cause(e)[:200]))), "id")
+        tables.update("jobs", hst.with_status(at_work(), own, "failed", at).withColumn("error", F.coalesce("error", F.lit(_cause(e)[:500]))), "id")
         raise
     tables.update("jobs", hst.with_status(at_work(), own, "done", at), "id")
     return {"findings": found, "changes": changes, "deviations": deviations}
@@ -57,7 +57,7 @@ def run_scan(tables: Tables, files: DataFrame, scores: DataFrame, at: Column, fe
 
 def _cause(e: Exception) -> str:
     """The message of what went wrong first, below all that failed because of it."""
-    x = getattr(e, "_origin", None)
+    x = getattr(e, "_origin", None) or getattr(e, "java_exception", None)
     while x is not None and x.getCause() is not None:
         x = x.getCause()
     return str(e) if x is None else x.getMessage() or x.toString()
@@ -92,7 +92,7 @@ def rescan_installed(tables: Tables, installed: DataFrame, files: DataFrame, at:
     return run_scan(tables, own, own.select("scan_id", F.lit(None).cast("double").alias("score")).distinct(), at, batch_id="scheduled", **scan_with)
 
 
-def rescan(tables: Tables, arrivals: DataFrame, at: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
+def rescan(tables: Tables, at: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
     """The scheduled job, for Scheduler.start over a stream of files: scans each batch of arrivals under the batch id `scheduled`."""
 
     def each(batch: DataFrame, _: int) -> None:

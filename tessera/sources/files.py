@@ -31,7 +31,7 @@ PRIORITY = ("manifest.json", "hacs.json", "__init__.py", "const.py")
 def read_files(spark: SparkSession, root: str, reader: str | None = None, scans: list[str] | None = None) -> DataFrame:
     """The files below root/<scan_id>/...; bytes that are no UTF-8 become U+FFFD.
 
-    With a reader, only files of its suffixes are opened (they are picked while folders are listed), and those in folders that it passes
+    Files without a byte are passed over, as by all of Spark's readers. With a reader, only files of its suffixes are opened (they are picked while folders are listed), and those in folders that it passes
     over are left out; with `scans`, only their folders are listed.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

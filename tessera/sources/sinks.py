@@ -66,12 +66,14 @@ def status_topics(scans: DataFrame) -> DataFrame:
 SENSORS = (("status", "Status", "mdi:shield-search"), ("last_scan", "Last Scan", "mdi:clock-check"), ("last_score", "Last Score", "mdi:counter"), ("scans_total", "Total Scans", "mdi:numeric"))
 
 
-def discovery_messages(spark, node: str, maker: str = "tessera", version: str = "1") -> DataFrame:
-    """(topic, payload, retain): a message for each sensor that tells a dashboard where its value is published."""
-    rows = [(f"homeassistant/sensor/{node}/{key}/config", name, f"{node}_{key}", f"{node}/{key}", icon) for key, name, icon in SENSORS]
-    x = spark.createDataFrame(rows, "topic string, name string, unique_id string, state_topic string, icon string")
-    device = F.struct(F.array(F.lit(node)).alias("identifiers"), F.lit(maker).alias("name"), F.lit(version).alias("model"), F.lit(maker).alias("manufacturer"))
-    return x.select("topic", F.to_json(F.struct("name", "unique_id", "state_topic", device.alias("device"), "icon")).alias("payload"), F.lit(True).alias("retain"))
+def discovery_messages(nodes: DataFrame, maker: str = "tessera", version: str = "1") -> DataFrame:
+    """(topic, payload, retain) for rows (node): a message for each sensor of each node, that tells a dashboard where its value is published."""
+    sensors = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(n).alias("name"), F.lit(i).alias("icon")) for k, n, i in SENSORS))
+    x = nodes.select("node").where("node <> ''").distinct().select("node", F.inline(sensors))
+    part = lambda *cs: F.concat(*(F.col(c) if c in ("node", "key") else F.lit(c) for c in cs))
+    device = F.struct(F.array("node").alias("identifiers"), F.lit(maker).alias("name"), F.lit(version).alias("model"), F.lit(maker).alias("manufacturer"))
+    payload = F.struct("name", part("node", "_", "key").alias("unique_id"), part("node", "/", "key").alias("state_topic"), device.alias("device"), "icon")
+    return x.select(part("homeassistant/sensor/", "node", "/", "key", "/config").alias("topic"), F.to_json(payload).alias("payload"), F.lit(True).alias("retain"))
 
 
 def result_messages(scans: DataFrame, node: str, total: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def test_facts_by_lateral_join(spark):
 
 
 def test_only_files_of_a_reader_are_opened(spark, tmp_path):
-    tree = [("s1", "a.py", b"x\xff\xc3\xa9\n"), ("s1", "tests/b.py", b"y"), ("s1", "deep/er/c.yaml", b""), ("s2", "d.py", b"z"), ("s2", "e.bin", b"\0\1")]
+    tree = [("s1", "a.py", b"x\xff\xc3\xa9\n"), ("s1", "tests/b.py", b"y"), ("s1", "deep/er/c.yaml", b"c: 1"), ("s2", "d.py", b"z"), ("s2", "e.bin", b"\0\1")]
     assert files.land_files(spark.createDataFrame(tree, "scan_id string, path string, content binary"), f"file://{tmp_path}").selectExpr("sum(bytes)").first()[0] == sum(len(c) for _, _, c in tree)
     os.chmod(tmp_path / "s2/e.bin", 0)
     paths = lambda *a, **k: sorted((r["scan_id"], r["path"]) for r in files.read_files(spark, f"file://{tmp_path}", *a, **k).collect())
@@ -135,3 +135,32 @@ def test_installed_components_are_scanned_when_due(spark, tmp_path):
     assert {(r["domain"], r["why"]) for r in jobs.due_components(installed, t.load("history"), at(2)).collect()} == {("x", "age"), ("y", "version")}
     assert jobs.rescan_installed(t, installed.where("domain = 'x'"), f, at(1)) is None
     assert [r["batch_id"] for r in t.load("jobs").collect()] == ["scheduled"] * 2
+
+
+def test_requests_over_reports_and_lists(spark, tmp_path):
+    from tessera.plans import requests
+
+    found = "array<struct<severity:string,category:string,file:string,line:int,code:string,description:string>>"
+    reports = spark.createDataFrame([("r", [("low", "a", "f", 1, "", ""), ("critical", "b", "f", 2, "", ""), ("odd", "c", "f", 3, "", "")]), ("s", [])], f"id string, findings {found}")
+    assert [r["severity"] for r in jobs.report_findings(reports, "r").collect()] == ["critical", "low", "odd"]
+    assert jobs.report_findings(reports, "s").count() == 0 and jobs.report(reports, "none").count() == 0
+    storage.write_text(f"{tmp_path}/lists/integration", '["o/a",\n "o/b"]')
+    assert sorted(r["full_name"] for r in files.default_repositories(spark, f"{tmp_path}/lists", "integration").collect()) == ["o/a", "o/b"]
+    assert files.default_repositories(spark, f"{tmp_path}/lists", "other").count() == 0
+    t = Tables(spark, f"file://{tmp_path}/t")
+    repos = spark.createDataFrame([("o/a", "A"), (" o/a ", "B"), ("http://h/x", None), ("", "none")], "url string, name string")
+    got = requests.start_batch(t, repos, "b9", F.lit("2024-01-01").cast("timestamp")).first()
+    assert (got["total"], got["completed"], got["status"]) == (2, 0, "running")
+    assert sorted(r["repo_url"] for r in t.load("jobs").collect()) == ["http://h/x", "https://github.com/o/a.git"]
+    with pytest.raises(ValueError, match="no repositories"):
+        requests.start_batch(t, repos.where("url = ''"), "b", F.lit("2024-01-01").cast("timestamp"))
+
+
+def test_arrivals_are_scanned_as_they_come(spark, tmp_path):
+    t = Tables(spark, f"file://{tmp_path}/t")
+    f = "scan_id string, path string, content string"
+    spark.createDataFrame([("a", "custom_components/a/__init__.py", "eval(x)\n")], f).write.parquet(f"{tmp_path}/in")
+    s = watch.Scheduler(spark)
+    q = s.start("scan", spark.readStream.schema(f).parquet(f"{tmp_path}/in"), jobs.rescan(t, lambda: F.lit("2024-01-01").cast("timestamp")), f"{tmp_path}/state")
+    assert q.awaitTermination(150)
+    assert [(r["id"], r["status"], r["batch_id"]) for r in t.load("jobs").collect()] == [("a", "done", "scheduled")] and t.load("history").first()["findings_count"] == 1
