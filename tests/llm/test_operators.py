@@ -111,6 +111,41 @@ def test_overlaps_either_way(spark):
     assert decontaminate.overlaps(d, b.limit(0)).count() == 0 and decontaminate.overlaps(d.limit(0), b).count() == 0
 
 
+def overlap_brute(doc, item, share=0.75, least=12):
+    """Is there, at any alignment, a seed whose surroundings match? Every window around it is tried, word by word."""
+    need = min(least, len(item))
+    for shift in range(-len(item) + 1, len(doc)):
+        lo, hi = max(0, shift), min(len(doc), shift + len(item))
+        same = [doc[k] == item[k - shift] for k in range(lo, hi)]
+        n = len(same)
+        hits = {k for m in decontaminate.MASKS for k in range(n - len(m) + 1) if all(same[k + j] for j, on in enumerate(m) if on == "1")}
+        for p in hits:
+            windows = [(a, b) for a in range(p + 1) for b in range(p + 1, n + 1)]
+            gain = {(a, b): sum(same[a:b]) - share * (b - a) for a, b in windows}
+            most = max(gain.values())
+            a, b = max((w for w in windows if gain[w] > most - 1e-9), key=lambda w: w[1] - w[0])
+            if b - a >= need and most > -1e-9 or b - a < need <= n and any(y - x == need and gain[x, y] > -1e-9 for x, y in windows):
+                return True
+    return False
+
+
+def test_overlaps_against_brute_force(spark):
+    rng = random.Random(12)
+    items = [(i, [f"v{rng.randrange(9)}" for _ in range(rng.choice((5, 9, 16, 24)))]) for i in range(12)]
+    docs = []
+    for i in range(60):
+        w = [f"v{rng.randrange(9)}" for _ in range(rng.randrange(4, 22))]
+        own = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(7)):
+            own[rng.randrange(len(own))] = "x"
+        docs.append((i, w[:6] + own[rng.randrange(3) :] + w[6:] if i % 3 else w))
+    want = {(i, k) for i, w in docs for k, t in items if overlap_brute(w, t)}
+    d, b = (spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id")))
+    for most in (1000, 0):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(d, b, broadcast_words=most).collect()} == want
+    assert 15 < len(want) < 400
+
+
 def test_overlaps_of_texts_that_share_an_id(spark):
     one, two = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(25))
     b = spark.createDataFrame([(1, one), (1, two), (1, one)], "item_id long, text string")
