@@ -52,11 +52,12 @@ AROUND, ACCURACY = 0.0005, 10_000
 
 
 def value_at(long: DataFrame, share: float) -> DataFrame:
-    """(metric, at_share) of rows (metric, v): the value at index min(int(share * n), n - 1) in order of size.
+    """(metric, at_share) of rows (metric, v): the value at index min(int(share * n), n - 1) in order of size, of those that aren't null.
 
     A sketch brackets the rank, one pass counts what lies below and up to the bracket, and only distinct values inside it are put in
     order: a few in a thousand. If the sketch was off, the bracket is opened to that side, so the value is exact in any case.
     """
+    long = long.where("v is not null")
     sketch = long.groupBy("metric").agg(F.percentile_approx("v", [max(0.0, share - AROUND), min(1.0, share + AROUND)], ACCURACY).alias("b"), F.count("*").alias("n"))
     at = F.least(F.floor(F.col("n") * share), F.col("n") - 1)
     x = long.join(F.broadcast(sketch.select("metric", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"), at.alias("at"))), "metric")  # a row a metric

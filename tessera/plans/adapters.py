@@ -56,9 +56,9 @@ UNION ALL SELECT 'f1', 'b.js', concat('new Function("x")', chr(10), 'document.co
 UNION ALL SELECT 'f2', 'c.yaml', concat('# password: hunter2hunter2', chr(10), 'ok: 1', chr(10), '# token = abcdefgh12345', chr(10), '# secret: 123456789', chr(10), '# api_key: 987654321')
 UNION ALL SELECT 'f2', 'd.js', concat('function _0xabcd(_0x1234);', chr(10), '_0xabcd[0]; _0xbeef(1); _0xcafe=2; ', repeat('license activation premium ', 4), repeat('paypal ', 6), repeat('iframe ', 3), 'https://evil.example.com/path/x https://github.com/some/repo')
 """
-#: All documents as files of every language that is scanned, and a component with a manifest and requirements for each part.
+#: All documents as files of every language that is scanned, 500 of a source to a component, and a component with a manifest and requirements for each part.
 FILES = """
-SELECT source AS scan_id, concat(CAST(doc_id AS STRING), suffix) AS path, text AS content FROM {documents} CROSS JOIN (SELECT explode(array('.py', '.js', '.yaml')) AS suffix) x
+SELECT concat(source, '-', CAST(CAST(floor(doc_id / 500) AS BIGINT) AS STRING)) AS scan_id, concat(CAST(doc_id AS STRING), suffix) AS path, text AS content FROM {documents} CROSS JOIN (SELECT explode(array('.py', '.js', '.yaml')) AS suffix) x
 UNION ALL SELECT concat('p', CAST(p_partkey AS STRING)), concat('custom_components/p', CAST(p_partkey AS STRING), '/', name),
        CASE name WHEN 'manifest.json' THEN to_json(named_struct('domain', concat('p', CAST(p_partkey AS STRING)), 'name', p_name, 'requirements', array(concat(replace(p_name, ' ', '-'), '==', CAST(p_size AS STRING)))))
             WHEN 'package.json' THEN to_json(named_struct('dependencies', map(replace(p_name, ' ', '-'), concat('^', CAST(p_size AS STRING), '.0.0'))))

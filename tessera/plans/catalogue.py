@@ -543,15 +543,19 @@ def _rule(name: str, f: Callable[[DataFrame], DataFrame], last: str = "code", mo
     _over_files(name, lambda s: f(s).select("scan_id", "file", "severity", "category", F.col("line").cast("long").alias("line"), last), cast + more)
 
 
+#: Documents with the component they are files of as their source: ranges, so that components don't grow with the table.
+DOCS = "(SELECT * REPLACE (concat(source, '-', CAST(floor(doc_id / 500) AS BIGINT)) AS source) FROM documents) d"
+
+
 #: Comments of documents that hold a secret, as YAML files: the first three of a file.
 SECRET_LINES = f"""SELECT scan_id, file, 'medium' AS severity, 'hardcoded_secret' AS category, line, left(trim(text), 120) AS code FROM (
-SELECT *, row_number() OVER (PARTITION BY scan_id, file ORDER BY line) AS n FROM (SELECT source AS scan_id, concat(doc_id, '.yaml') AS file, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT *, row_number() OVER (PARTITION BY scan_id, file ORDER BY line) AS n FROM (SELECT source AS scan_id, concat(doc_id, '.yaml') AS file, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM {DOCS})
 WHERE regexp_matches(text, {_quoted(line_rules.SECRET_IN_COMMENT)})) WHERE n <= 3"""
 
 
 #: Prose is no script: every document read as one is told as not parsed, and no pattern hits.
-NO_SCRIPTS = "SELECT source AS scan_id, concat(doc_id, '.js') AS file, 'info' AS severity, 'parse_info' AS category, NULL AS line, '' AS code FROM documents"
-NO_SCRIPT_ROWS = "SELECT DISTINCT source, '(repo)', 'info', 'parse_info', NULL, '' FROM documents"
+NO_SCRIPTS = "SELECT source AS scan_id, concat(doc_id, '.js') AS file, 'info' AS severity, 'parse_info' AS category, NULL AS line, '' AS code FROM " + DOCS
+NO_SCRIPT_ROWS = "SELECT DISTINCT source, '(repo)', 'info', 'parse_info', NULL, '' FROM " + DOCS
 
 
 def _register_over_files() -> None:
@@ -573,11 +577,11 @@ UNION ALL SELECT concat('p', p_partkey), replace(p_name, ' ', '_'), CAST(p_size
 UNION ALL SELECT concat('p', p_partkey), replace(p_name, ' ', '-'), concat(p_size, '.0.0'), concat('custom_components/p', p_partkey, '/package.json'), 'npm' FROM part""")
     kinds = (("s1", "integration"), ("s2", "card"), ("s3", "unknown"))
     _over_files("component_types", files.component_types, f"""{_each_part(kinds, "own", "component_type")}
-UNION ALL SELECT DISTINCT concat('p', p_partkey), 'integration' FROM part UNION ALL SELECT DISTINCT source, 'unknown' FROM documents""")
+UNION ALL SELECT DISTINCT concat('p', p_partkey), 'integration' FROM part UNION ALL SELECT DISTINCT source, 'unknown' FROM {DOCS}""")
     names = (("s1", "x", "X", "ctx==1.0,requests>=2.1"), ("s2", "", "s2", ""), ("s3", "", "s3", ""))
     _over_files("component_manifests", lambda s: files.manifests(s).select("scan_id", "domain", "name", F.array_join("requirements", ",").alias("requirements")), f"""
 SELECT scan_id, domain, CASE WHEN domain = '' THEN scan_id ELSE name END AS name, requirements FROM ({_each_part(names, "own", "domain", "name", "requirements")})
-UNION ALL SELECT concat('p', p_partkey), concat('p', p_partkey), p_name, concat(replace(p_name, ' ', '-'), '==', p_size) FROM part UNION ALL SELECT DISTINCT source, '', source, '' FROM documents""")
+UNION ALL SELECT concat('p', p_partkey), concat('p', p_partkey), p_name, concat(replace(p_name, ' ', '-'), '==', p_size) FROM part UNION ALL SELECT DISTINCT source, '', source, '' FROM {DOCS}""")
     imports = "aiohttp,ctypes,ftplib,httpx,marshal,os,pickle,requests,shelve,smtplib,socket,subprocess,telnetlib,urllib,urllib3,voluptuous,webbrowser"
     prints = (("s1", imports, "hass.bus,hass.services,hass.states", "api.example.com", 6, 0, 52), ("s2", "", "", "example.org", 0, 3, 24), ("s3", "", "", "", 0, 0, 0))
     text = lambda c: F.array_join(c, ",").alias(c)
@@ -585,12 +589,12 @@ UNION ALL SELECT concat('p', p_partkey), concat('p', p_partkey), p_name, concat(
 SELECT scan_id, imports, ha_apis, network_domains, CAST(py_files AS BIGINT) AS py_files, CAST(js_files AS BIGINT) AS js_files, CAST(total_lines AS BIGINT) AS total_lines FROM ({_each_part(prints, "own", "imports", "ha_apis", "network_domains", "py_files", "js_files", "total_lines")})
 UNION ALL SELECT DISTINCT concat('p', p_partkey), '', '', '', 0, 0, 0 FROM part
 UNION ALL SELECT source, '', '', array_to_string(list_sort(list_distinct(list_filter(flatten(list(list_transform(regexp_extract_all(text, 'https?://([a-zA-Z0-9._-]+)', 1), lambda x: lower(x)))), lambda x: x NOT IN ('0.0.0.0', '127.0.0.1', 'localhost')))), ','),
-  count(*), count(*), CAST(2 * sum(len(string_split(text, chr(10))) - CASE WHEN text IS NULL OR text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END) AS BIGINT) FROM documents GROUP BY source""")
+  count(*), count(*), CAST(2 * sum(len(string_split(text, chr(10))) - CASE WHEN text IS NULL OR text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END) AS BIGINT) FROM {DOCS} GROUP BY source""")
     suffixes = files.READERS["context"][0]
     chars = {own: sum(len(c) for scan, p, c in SAMPLE if scan == own and p.endswith(suffixes) and "tests/" not in p) for own in ("s1", "s2", "s3")}
     told = (("s1", 6, chars["s1"]), ("s2", 4, chars["s2"]), ("s3", 5, chars["s3"]))
     _over_files("code_context", lambda s: files.code_context(files.files_for(s, "context")).select("scan_id", "n_files", F.col("n_chars").cast("long").alias("n_chars")), f"""
-WITH f AS (SELECT source AS scan_id, concat(doc_id, suffix) AS path, left(text, 8000) AS part FROM documents, (VALUES ('.py'), ('.js'), ('.yaml')) s(suffix)),
+WITH f AS (SELECT source AS scan_id, concat(doc_id, suffix) AS path, left(text, 8000) AS part FROM {DOCS}, (VALUES ('.py'), ('.js'), ('.yaml')) s(suffix)),
 cut AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY scan_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
 SELECT scan_id, CAST(n_files AS BIGINT) AS n_files, CAST(n_chars AS BIGINT) AS n_chars FROM ({_each_part(told, "own", "n_files", "n_chars")})
 UNION ALL SELECT concat('p', p_partkey), 2, length(concat('{{"domain":"p', p_partkey, '","name":"', p_name, '","requirements":["', replace(p_name, ' ', '-'), '==', p_size, '"]}}')) + length(concat('{{"dependencies":{{"', replace(p_name, ' ', '-'), '":"^', p_size, '.0.0"}}}}')) FROM part

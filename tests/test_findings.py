@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
@@ -54,3 +56,26 @@ def test_labels(spark):
     m = spark.createDataFrame([("abcdefghijklmnop",), ("short",), (None,)], "s string").select(S.masked(F.col("s"))).collect()
     assert [r[0] for r in m] == ["abcdefgh...mnop", "*****", None]
     assert [r[0] for r in spark.createDataFrame([("a\nb\r\nc\n",), ("",), (None,)], "s string").select(S.lines(F.col("s"))).collect()] == [["a", "b", "c"], [], []]
+
+
+def random_paths(rng, n):
+    return ["/".join(rng.choice(("a", "ab", "b.py", "aab", "")) for _ in range(rng.randrange(4))) or None if rng.random() < 0.9 else None for _ in range(n)]
+
+
+def test_whitelists_and_reviews_against_every_pair(spark):
+    rng = random.Random(6)
+    files, cats = random_paths(rng, 120), ("x", "y", None)
+    rows = [("s", k, "low", rng.choice(cats), f, 1, "", "d") for k, f in enumerate(files)]
+    f = spark.createDataFrame(rows, SCHEMA)
+    patterns = [(f"h{k}", rng.choice(cats), rng.choice(("a", "ab", "b.p", "/", "aab/b.py", "", None, "z"))) for k in range(14)]
+    w = spark.createDataFrame(patterns, "pattern_hash string, category string, file_pattern string")
+    got = O.without_whitelisted(f, w)
+    assert sorted(r["seq"] for r in got.collect()) == [r[1] for r in rows if not any(c is not None and c == r[3] and p and r[4] is not None and p in r[4] for _, c, p in patterns)]
+    theirs = [("s" if k % 3 else "t", k, "odd" if k % 2 else "HIGH", rng.choice(cats), p, 1, "", "d") for k, p in enumerate(random_paths(rng, 90))]
+    ends = lambda a, b: bool(a and b and (a.endswith(b) or b.endswith(a))) or not a and not b
+    want = [r[1] for r in theirs if not any(r[0] == s[0] and r[3] is not None and r[3] == s[3] and ends(r[4], s[4]) for s in rows)]
+    novel = O.novel_reviews(spark.createDataFrame(theirs, SCHEMA), f)
+    assert sorted(r["seq"] for r in novel.collect()) == want and {r["severity"] for r in novel.collect()} <= {"medium", "high"}
+    for df in (got, novel):  # equal keys only
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "contains(" not in plan.lower()

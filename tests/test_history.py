@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -31,6 +32,18 @@ def test_baseline_percentile_is_an_index(spark):
     assert [(r["metric"], r["direction"]) for r in got] == [("score", "above")]
 
 
+def test_value_at_a_share_is_exact_however_bad_the_sketch(spark, monkeypatch):
+    rng = random.Random(4)
+    values = {"ties": [rng.choice((1.0, 2.0, 3.0)) for _ in range(900)], "wide": [rng.expovariate(1) * 10 ** rng.randrange(9) for _ in range(1300)], "one": [5.0], "hot": [7.0] * 800 + [float(k) for k in range(100)]}
+    long = spark.createDataFrame([(m, v) for m, x in values.items() for v in [*x, None]], "metric string, v double").repartition(7)
+    for around, accuracy in ((0.0005, 10_000), (0.0, 3), (0.2, 2)):
+        monkeypatch.setattr(H, "AROUND", around)
+        monkeypatch.setattr(H, "ACCURACY", accuracy)
+        for share in (0.95, 0.5, 0.0):
+            got = {r["metric"]: r["at_share"] for r in H.value_at(long, share).collect()}
+            assert got == {m: sorted(x)[min(int(share * len(x)), len(x) - 1)] for m, x in values.items()}
+
+
 def test_fingerprint_diff(spark):
     rows = [(1, "x", "u", ["a", "b"], [], ["h"], 100, 1), (2, "x", "u", ["b", "c"], [], ["h"], 200, 2), (3, "", "u2", ["a"], [], [], 5, 1)]
     f = spark.createDataFrame(rows, "id long, domain string, repo_url string, imports array<string>, ha_apis array<string>, network_domains array<string>, total_lines long, created_at long")
