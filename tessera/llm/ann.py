@@ -32,6 +32,8 @@ RATIO, SHARE, LEAST = 2.2, 0.13, 18
 DEGREE, OPEN = 24, 96
 #: Vectors and queries that a task should hold of a list; queries multiplied at once; candidates measured again besides k.
 ROWS, ASKED, QUERIES, SPARE = 8192, 8192, 4096, 8
+#: Queries whose nearest a task holds, beyond those of one list, before it tells them.
+TOLD = 50_000
 
 
 def _valid(batch_ids, column, dim: int | None):
@@ -286,13 +288,13 @@ def _search(vectors: DataFrame, queries: DataFrame, dim: int, k: int, ratio: flo
     most = k + 1 + SPARE
 
     def scanned(batches):
-        """(q, rep, score) of the nearest of each query in each block of a list."""
-        key, names, held, q, best = None, [], [], None, None
+        """(q, rep, score) of the nearest of each query in the lists of this task; those of very many queries are told in parts."""
+        key, names, held, q = None, [], [], None
+        best: dict[int, list[tuple[float, int]]] = {}
 
-        def result():
-            if best is None:
-                return None
-            rows = [(names[i], r, s) for i, x in enumerate(best) for s, r in x]
+        def told():
+            rows = [(i, r, s) for i, x in best.items() for s, r in x]
+            best.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([-r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["q", "rep", "score"])
 
         for b in batches:
@@ -304,9 +306,9 @@ def _search(vectors: DataFrame, queries: DataFrame, dim: int, k: int, ratio: flo
                 while end < len(lists) and (lists[end], blocks[end], parts[end]) == here:
                     end += 1
                 if here != key:
-                    if (r := result()) is not None:
-                        yield r
-                    key, names, held, q, best = here, [], [], None, None
+                    if len(best) >= TOLD:
+                        yield told()
+                    key, names, held, q = here, [], [], None
                 mid = at
                 while mid < end and qs[mid] is not None:
                     mid += 1
@@ -314,7 +316,7 @@ def _search(vectors: DataFrame, queries: DataFrame, dim: int, k: int, ratio: flo
                 held += vecs[at:mid]
                 if mid < end and names:
                     if q is None:
-                        q, best, held = np.frombuffer(b"".join(held), np.float32).reshape(-1, dim), [[] for _ in names], []
+                        q, held = np.frombuffer(b"".join(held), np.float32).reshape(-1, dim), []
                     v = np.frombuffer(b"".join(vecs[mid:end]), np.float32).reshape(-1, dim)
                     ids = np.array(rs[mid:end])
                     for lo in range(0, len(q), QUERIES):
@@ -322,16 +324,19 @@ def _search(vectors: DataFrame, queries: DataFrame, dim: int, k: int, ratio: flo
                         few = min(most, s.shape[1])
                         last = np.partition(s, s.shape[1] - few, axis=1)[:, -few]
                         for i in range(len(s)):
-                            x = best[lo + i]
-                            for j in np.flatnonzero(s[i] >= last[i]):  # all that are as near as the last one: the smallest ids stay
+                            x = best.setdefault(names[lo + i], [])
+                            bar = max(last[i], x[0][0]) if len(x) == most else last[i]
+                            for j in np.flatnonzero(s[i] >= bar):  # all that are as near as the last one: the smallest ids stay
                                 e = (float(s[i, j]), -int(ids[j]))
+                                if any(y[1] == e[1] for y in x):
+                                    continue  # met in another list
                                 if len(x) < most:
                                     heapq.heappush(x, e)
                                 elif e > x[0]:
                                     heapq.heapreplace(x, e)
                 at = end
-        if (r := result()) is not None:
-            yield r
+        if best:
+            yield told()
 
     found = stream.repartition("list", "block", "part").sortWithinPartitions("list", "block", "part", F.col("q").asc_nulls_last()).mapInArrow(scanned, "q long, rep long, score double")
     near = found.groupBy("q", "rep").agg(F.max("score").alias("score"))
