@@ -35,17 +35,23 @@ def fresh(names, *wanted: str) -> list[str]:
     return out
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of one's own in the shared folder, that drop_tables removes."""
+    path = f"{shared_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_tables(spark: SparkSession) -> int:
-    """Removes the tables that this application wrote to the shared folder; for when its results are written. Returns how many."""
+    """Removes the tables and archives that this application wrote to the shared folder; for when its results are written. Returns how many."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:

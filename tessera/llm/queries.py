@@ -94,13 +94,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and digest are those of the payload as read back; for a revisit, those its record states."""
-    import uuid
-
-    from tessera.llm._common import shared_dir
+    from tessera.llm._common import new_folder
     from tessera.llm.warc import round_trip
 
-    path = f"{shared_dir(spark).rstrip('/')}/tessera/warc-{uuid.uuid4().hex}"
-    got = round_trip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    got = round_trip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"), new_folder(spark, "warc"))
     revisit = F.col("type") == "revisit"
     return got.select("page_id", F.when(revisit, F.col("length")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"), F.when(revisit, F.col("digest")).otherwise(F.sha1("payload")).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
@@ -153,13 +150,11 @@ def _file_digests(listed: DataFrame) -> DataFrame:
 
 def op11_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per file of the layout that late rows have overwritten: what it holds, read back, and whether it was written anew."""
-    import uuid
-
-    from tessera.llm._common import shared_dir
+    from tessera.llm._common import new_folder
     from tessera.llm.late_overwrite import Layout, create, manifest, overwrite_late
 
     sales = _read(spark, sf_dir, "sales").select("sale_id", "client_id", "status", "total", "sold_at", "arrived_at", "priority")
-    to = Layout(f"{shared_dir(spark).rstrip('/')}/tessera/late-{uuid.uuid4().hex}", "sale_id", "sold_at", "arrived_at", 1 + sales.count() // 700)
+    to = Layout(new_folder(spark, "late"), "sale_id", "sold_at", "arrived_at", 1 + sales.count() // 700)
     h = F.crc32(F.col("sale_id").cast("string").cast("binary"))
     copies = sales.where((h % 3 == 0) & (to.day() % 7 == 0)).withColumns({"total": F.col("total") + 1, "sold_at": F.col("sold_at") + F.make_dt_interval((h % 2).cast("int")), "arrived_at": F.col("arrived_at") + F.make_dt_interval((1 + h % 97).cast("int"))})
     rows = sales.unionByName(copies)
@@ -232,5 +227,19 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN least ON w.doc_id = least.x
 """
 
 
+#: Every string of 200 bytes by digest, over texts in hexadecimal digits, two for a byte.
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT r, x, unnest(range(greatest(n - 199, 0))) AS i FROM d)),
+again AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+opens AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS opens FROM again),
+spans AS (SELECT r, min(i) AS lo, max(i) + 200 AS hi FROM (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS k FROM opens) GROUP BY r, k),
+parts AS (SELECT r, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY r ORDER BY lo) AS before FROM spans),
+cut AS (SELECT p.r, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS last, string_agg(substr(x, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head FROM parts p JOIN d ON p.r = d.r GROUP BY p.r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN last IS NULL THEN x ELSE head || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut ON d.r = cut.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_rules": OP6_SQL, "op8_minhash": OP8_SQL, "op10_warc": OP10_SQL}
+    return {"op6_url_rules": OP6_SQL, "op8_minhash": OP8_SQL, "op10_warc": OP10_SQL, "op13_suffix_array": OP13_SQL}
