@@ -78,3 +78,13 @@ def test_all_findings_are_reviews(spark):
 @pytest.mark.parametrize("name", ("findings_llm_novel", "findings_whitelist_filter", "vuln_severity"))
 def test_whole_shapes_equal_sql(spark, db, name):
     test_query_equals_sql(spark, db, name)
+
+
+def test_rows_that_become_files_are_dealt_to_tasks(spark, monkeypatch):
+    from tessera.plans import adapters as A
+    from tessera.plans.catalogue import _files
+
+    monkeypatch.setattr(A, "ROWS_PER_TASK", 20)
+    for shape in (A.SCRIPTS, A.AUTOMATIONS, A.SIZED):
+        assert A.make(spark, SF, shape).rdd.getNumPartitions() == 10  # 200 parts
+    assert _files(spark, SF).rdd.getNumPartitions() >= 20

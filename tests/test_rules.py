@@ -152,3 +152,41 @@ def test_files_and_reports_round_trip(spark, tmp_path):
     assert doc["runs"][0]["results"][0]["ruleId"] == "xss" and doc["runs"][0]["tool"]["driver"]["rules"][0]["defaultConfiguration"]["level"] == "error"
     sinks.write_csv(found, str(tmp_path / "csv"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).columns == ["severity", "category", "file", "line", "description", "code"]
+
+
+def test_a_text_is_parsed_once_for_all_files_that_hold_it(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.operators import ast_rules
+
+    asked = []
+    rows_of = lambda t: asked.append(t) or [("call", n, k, "", t) for k, n in enumerate(t.split())]
+    texts = ["a b", "", "c", "a b", "c", "a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"s{k}" for k in range(6)]), pa.array([f"{k}.py" for k in range(6)]), pa.array(texts)], ["scan_id", "path", "content"])
+    monkeypatch.setattr(ast_rules, "MOST_ROWS", 3)
+    out = list(ast_rules._each_text(rows_of, ast_rules.FACT)([batch]))
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert got == [(f"s{k}", f"{k}.py", "call", n, i, "", t) for k, t in enumerate(texts) for i, n in enumerate(t.split())]
+    assert asked == ["a b", "", "c"] and [b.num_rows for b in out] == [3, 3, 2]
+
+
+def test_texts_are_remembered_up_to_a_number_of_characters(monkeypatch):
+    from tessera.operators import ast_rules
+
+    asked = []
+    f = ast_rules.remembered(lambda t: asked.append(t) or [t])
+    monkeypatch.setattr(ast_rules, "REMEMBERED", 5)
+    assert [f(t) for t in ("aa", "bb", "aa", "cc", "aa", "bb", "longest", "aa")] == [["aa"], ["bb"], ["aa"], ["cc"], ["aa"], ["bb"], ["longest"], ["aa"]]
+    assert asked == ["aa", "bb", "cc", "bb", "longest", "aa"]
+
+
+def test_yaml_that_can_hold_no_finding_is_not_parsed():
+    import time
+
+    from tessera.operators.ast_rules import yaml_findings_of
+
+    start = time.perf_counter()
+    assert yaml_findings_of("a few words of prose, at rest\n" * 5_000) == []
+    assert time.perf_counter() - start < 0.1
+    hidden = '- sequence:\n    - "ser\\x76ice_template": t\n'
+    assert yaml_findings_of(hidden) == [("high", "automation_injection", "service_template")]
