@@ -88,3 +88,12 @@ def test_rows_that_become_files_are_dealt_to_tasks(spark, monkeypatch):
     for shape in (A.SCRIPTS, A.AUTOMATIONS, A.SIZED):
         assert A.make(spark, SF, shape).rdd.getNumPartitions() == 10  # 200 parts
     assert _files(spark, SF).rdd.getNumPartitions() >= 20
+
+
+def test_files_are_grouped_without_their_content(spark):
+    from tessera.sources import files
+
+    x = spark.createDataFrame([("a", "hacs.json", '{"category": "Theme"}')], "scan_id string, path string, content string")
+    for f in (files.component_types, files.manifests):
+        plan = f(x)._jdf.queryExecution().sparkPlan().toString()
+        assert "content" not in "".join(line for line in plan.splitlines() if "Sort" in line or "Aggregate" in line)
