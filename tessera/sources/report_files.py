@@ -149,12 +149,20 @@ def write_reports(scans: DataFrame, findings: DataFrame, path: str, kind: str =
     """Writes a report of each scan (id, name, status); a scan without findings has one without items."""
     spark = findings.sparkSession
     spark.dataSource.register(ReportSource)
-    about = scans.select(F.col("id").alias("scan_id"), "name", "status").join(severity_counts(findings, "scan_id"), "scan_id", "left")
-    levels = sarif_rules(findings).select("scan_id", F.col("rule_id").alias("category"), F.col("level").alias("rule_level"))
-    rows = about.join(findings.select("scan_id", "seq", *FIELDS).join(levels, ["scan_id", "category"], "left"), "scan_id", "left")
-    rows = rows.fillna(0, ["critical", "high", "total_findings"]).select("scan_id", "name", "status", "critical", "high", "total_findings", "seq", *FIELDS, "rule_level")
-    rows = rows.repartitionByRange("scan_id", F.col("seq").asc_nulls_first()).sortWithinPartitions("scan_id", "seq")
-    rows.write.format(FORMAT).mode("append").options(path=path, kind=kind, rows_per_file=str(rows_per_file)).save()
+    kinds = {"seq": "long", "line": "int"}
+    kept = f"{path.rstrip('/')}/_findings-{uuid.uuid4().hex}"
+    # findings are read several times, for totals, levels, ranges and reports: they are computed once
+    findings.select("scan_id", *(F.col(c).cast(kinds.get(c, "string")).alias(c) for c in ("seq", *FIELDS))).write.parquet(kept)
+    try:
+        findings = spark.read.parquet(kept)
+        about = scans.select(F.col("id").alias("scan_id"), "name", "status").join(severity_counts(findings, "scan_id"), "scan_id", "left")
+        levels = sarif_rules(findings).select("scan_id", F.col("rule_id").alias("category"), F.col("level").alias("rule_level"))
+        rows = about.join(findings.join(levels, ["scan_id", "category"], "left"), "scan_id", "left")
+        rows = rows.fillna(0, ["critical", "high", "total_findings"]).select("scan_id", "name", "status", "critical", "high", "total_findings", "seq", *FIELDS, "rule_level")
+        rows = rows.repartitionByRange("scan_id", F.col("seq").asc_nulls_first()).sortWithinPartitions("scan_id", "seq")
+        rows.write.format(FORMAT).mode("append").options(path=path, kind=kind, rows_per_file=str(rows_per_file)).save()
+    finally:
+        storage.delete_folder(kept)
 
 
 def report_folders(path: str) -> list[str]:

@@ -97,3 +97,10 @@ def test_files_are_grouped_without_their_content(spark):
     for f in (files.component_types, files.manifests):
         plan = f(x)._jdf.queryExecution().sparkPlan().toString()
         assert "content" not in "".join(line for line in plan.splitlines() if "Sort" in line or "Aggregate" in line)
+
+
+@pytest.mark.parametrize("name", ("report_files_sarif", "report_sarif"))
+def test_a_result_is_opened_without_its_run(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    opened = [line for line in plan.splitlines() if "Generate" in line and "explode(" in line and "results" in line]
+    assert opened and not [line for line in opened if "run#" in line]

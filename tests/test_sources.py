@@ -93,3 +93,24 @@ def test_a_failed_batch_is_told(spark, tmp_path):
     got = feed_service.read_feed(spark, f"{at}/ask", f"{at}/answers").collect()
     assert {r["package"] for r in got if r["error"]} == {"pack0", "pack2", "pack3", "pack4"} and [r["vuln_id"] for r in got if not r["error"]] == ["X"]
     assert feed_service.read_feed(spark, f"{at}/nothing", f"{at}/answers").count() == 0
+
+
+def test_findings_of_reports_are_computed_once(spark, tmp_path):
+    from tessera.sources import report_files
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(f"s{k % 3}", k, "high", "xss", "a.js", k, "c", "d") for k in range(30)]
+    schema = "scan_id string, seq long, severity string, category string, file string, line int, code string, description string"
+    found = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    scans = spark.createDataFrame([(f"s{k}", "n", "done") for k in range(4)], "id string, name string, status string")
+    report_files.write_reports(scans, found, f"file://{tmp_path}/r")
+    assert seen.value == 30
+    assert not [p for p in (tmp_path / "r").iterdir() if p.name.startswith("_findings")]
+    got = report_files.read_documents(spark, f"file://{tmp_path}/r", "id string, findings array<struct<seq:bigint>>").collect()
+    assert sorted((r["id"], len(r["findings"])) for r in got) == [("s0", 10), ("s1", 10), ("s2", 10), ("s3", 0)]
