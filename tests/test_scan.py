@@ -1,7 +1,10 @@
 """The whole scan over a small component of every kind, and scans as recorded jobs."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tessera.operators import history
 from tessera.plans import jobs
 from tessera.plans.expected import EXPECTED
@@ -9,6 +12,7 @@ from tessera.plans.sample import SAMPLE
 from tessera.plans.scan import scan
 from tessera.sources.tables import Tables
 
+SF = "/root/testdata/sf0.001"
 FILE = "scan_id string, path string, content string"
 
 
@@ -47,3 +51,33 @@ def test_a_failed_scan_leaves_failed_jobs(spark, tmp_path):
         pass
     got = t.load("jobs").collect()
     assert [r["status"] for r in got] == ["failed"] and "broken" in got[0]["error"]
+
+
+def test_a_scan_passes_over_files_once_for_each_language(spark):
+    """Python runs five times over files (rules of Python, of the platform, of scripts twice over, of YAML) and once for the totals of scripts; no content is shuffled."""
+    plan = scan(spark.createDataFrame(SAMPLE, FILE))._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("MapInArrow") <= 6
+    assert "NestedLoop" not in plan
+
+
+def test_all_python_rules_in_one_pass_tell_what_each_tells_of_facts(spark):
+    from tessera.operators import ast_rules as A
+
+    texts = [c for _, p, c in SAMPLE if p.endswith(".py")] + ["import os.path, osx, pickle.x\nfrom urllib3.util import a\nimport urllib, urllib\nrequest.data and open(request.args)\nb = request.form\nopen(b); run(b); eval(b); run(b, shell=True)\n", "(", "", "x = 1\n" * 90_000]
+    py = spark.createDataFrame([("s", f"{k}.py", t) for k, t in enumerate(texts)], FILE)
+    f = A.facts(py)
+    apart = (A.size_findings(py), A.call_findings(f), A.import_findings(f), A.flow_findings(f), A.platform_findings(f))
+    fields = ("file", "severity", "category", "line", "code", "description")
+    want = sorted(repr((k, *(r[c] for c in fields))) for k, x in enumerate(apart) for r in x.collect())
+    got = A.python_findings(py, *A.PYTHON_GROUPS)
+    assert sorted(repr((r["own"], *(r[c] for c in fields))) for r in got.collect()) == want and len(want) > 40
+
+
+@pytest.mark.parametrize("name", ("full_scan", "scans_recorded", "size_guards"))
+def test_scans_equal_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("part", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(entry.oracle_sql()[name])
+    cols = want.columns
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in entry.queries()[name](spark, SF).collect()) == sorted(map(repr, want.fetchall()))
