@@ -19,12 +19,16 @@ from tessera.sources.files import manifests
 from tessera.sources.tables import Tables
 
 
-def learned(files: DataFrame, found: DataFrame, scores: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
-    """(history, fingerprints) rows of scanned files: scan_id becomes the id; scores: scan_id, score (null or absent: none)."""
+def learned(files: DataFrame, found: DataFrame, scores: DataFrame, at: Column) -> DataFrame:
+    """What is learned of scanned files, a row for each scan: scan_id becomes the id; scores: scan_id, score (null or absent: none)."""
     n = found.groupBy("scan_id").agg(F.count("*").alias("findings_count"))
     m = manifests(files).select("scan_id", "domain", "version")
     x = fingerprints(files).join(m, "scan_id").join(n, "scan_id", "left").join(scores.select("scan_id", "score"), "scan_id", "left")
-    x = x.select(F.col("scan_id").alias("id"), "domain", F.col("scan_id").alias("repo_url"), "version", at.alias("scanned_at"), "score", F.coalesce("findings_count", F.lit(0)).cast("long").alias("findings_count"), "fingerprint_hash", "total_lines", "py_files", "js_files", F.size("network_domains").cast("long").alias("network_domain_count"), "imports", "ha_apis", "network_domains", "file_types", at.alias("created_at"))
+    return x.select(F.col("scan_id").alias("id"), "domain", F.col("scan_id").alias("repo_url"), "version", at.alias("scanned_at"), "score", F.coalesce("findings_count", F.lit(0)).cast("long").alias("findings_count"), "fingerprint_hash", "total_lines", "py_files", "js_files", F.size("network_domains").cast("long").alias("network_domain_count"), "imports", "ha_apis", "network_domains", "file_types", at.alias("created_at"))
+
+
+def remembered_as(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(history, fingerprints) rows of what is learned."""
     return x.drop("imports", "ha_apis", "network_domains", "file_types", "created_at"), x.drop("version", "scanned_at", "score", "findings_count", "network_domain_count")
 
 
@@ -39,9 +43,12 @@ def run_scan(tables: Tables, files: DataFrame, scores: DataFrame, at: Column, fe
     tables.update("jobs", rows, "id")
     at_work = lambda: tables.load("jobs").join(own.select(F.col("id").alias("__own")), F.col("id") == F.col("__own"), "left_semi")
     try:
-        found = _kept(tables, "findings", scan(files, feed, tables.load("whitelist")))
+        # written before a whitelist is applied, which reads findings twice: they are computed once
+        found, known = _kept(tables, "findings", scan(files, feed)), tables.load("whitelist")
+        if not known.isEmpty():
+            found = _kept(tables, "findings", fnd.without_whitelisted(found, known))
         before, base = tables.load("fingerprints"), hst.baseline(tables.load("history"))
-        scans, prints = (_kept(tables, name, rows) for name, rows in zip(("scans", "prints"), learned(files, found, scores, at)))
+        scans, prints = remembered_as(_kept(tables, "learned", learned(files, found, scores, at)))
         keyed = lambda f: f.withColumn("key", hst.component_key())
         last = hst.latest_fingerprints(before).select("key", F.col("fingerprint_hash").alias("last_hash"))
         changes = keyed(prints).join(last, "key").where("fingerprint_hash <> last_hash").select("key", "id", "last_hash", "fingerprint_hash")

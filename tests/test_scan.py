@@ -73,6 +73,27 @@ def test_all_python_rules_in_one_pass_tell_what_each_tells_of_facts(spark):
     assert sorted(repr((r["own"], *(r[c] for c in fields))) for r in got.collect()) == want and len(want) > 40
 
 
+def test_a_recorded_scan_looks_at_each_file_once_for_a_scanner(spark, tmp_path, monkeypatch):
+    from tessera.plans import scan as plans
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    one = plans.Scanner("own", None, None, lambda f: f.select("scan_id", "path").mapInArrow(each, "scan_id string, path string").select("scan_id", F.col("path").alias("file"), F.lit("low").alias("severity"), F.lit("own").alias("category")))
+    monkeypatch.setattr(plans, "SCANNERS", {"own": one})
+    t = Tables(spark, f"file://{tmp_path}")
+    at = F.lit("2024-01-01").cast("timestamp")
+    t.save("whitelist", jobs.add_whitelist(t.load("whitelist"), "own", "manifest.json", "d", "known", at))
+    files = spark.createDataFrame([r for r in SAMPLE if r[0] == "s1"], FILE)
+    out = jobs.run_scan(t, files, spark.createDataFrame([], "scan_id string, score double"), at)
+    assert seen.value == files.count()
+    assert out["findings"].count() == files.count() - 1 and t.load("history").first()["findings_count"] == files.count() - 1
+
+
 @pytest.mark.parametrize("name", ("full_scan", "scans_recorded", "size_guards"))
 def test_scans_equal_sql(spark, name):
     con = duckdb.connect()
