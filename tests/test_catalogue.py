@@ -104,3 +104,8 @@ def test_a_result_is_opened_without_its_run(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     opened = [line for line in plan.splitlines() if "Generate" in line and "explode(" in line and "results" in line]
     assert opened and not [line for line in opened if "run#" in line]
+
+
+def test_findings_under_review_are_joined_once(spark):
+    plan = entry.queries()["findings_llm_novel"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "Window" not in plan
