@@ -114,3 +114,15 @@ def test_findings_of_reports_are_computed_once(spark, tmp_path):
     assert not [p for p in (tmp_path / "r").iterdir() if p.name.startswith("_findings")]
     got = report_files.read_documents(spark, f"file://{tmp_path}/r", "id string, findings array<struct<seq:bigint>>").collect()
     assert sorted((r["id"], len(r["findings"])) for r in got) == [("s0", 10), ("s1", 10), ("s2", 10), ("s3", 0)]
+
+
+def test_files_of_several_readers_come_by_one_listing(spark, tmp_path):
+    from tessera.sources import files
+
+    for p in ("s1/a.py", "s1/tests/b.py", "s1/c.yaml", "s1/d.js", "s1/.git/e.yaml", "s1/.git/f.py"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x")
+    got = files.read_files(spark, str(tmp_path), ("python", "yaml"))
+    apart = {r["path"] for k in ("python", "yaml") for r in files.read_files(spark, str(tmp_path), k).collect()}
+    assert sorted(r["path"] for r in got.collect()) == sorted(apart) and {"a.py", "c.yaml"} <= apart and "tests/b.py" not in apart
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("relation") == 1
