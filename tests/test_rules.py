@@ -113,6 +113,15 @@ def test_first_line_of_each_pattern(spark):
     assert got == {(0, 2), (1, 4)}
 
 
+def test_a_text_is_cut_into_lines_once(spark):
+    """Each rule looks only at the lines that any rule hits, whatever ends them."""
+    y = rows(spark, ("a.yaml", "shell_command:\n\x0cpassword: abcdefghijk\r\n\r\nurl: http://evil.example/x"), ("b.yaml", "\n\nshell_command:\n\n"))
+    got = sorted((r["file"], r["category"], r["line"], r["code"]) for r in L.scan_yaml_patterns(y).collect())
+    assert got == [("a.yaml", "command_execution", 1, "shell_command:"), ("a.yaml", "hardcoded_secret", 3, "password: abcdefghijk"), ("a.yaml", "insecure_transport", 5, "url: http://evil.example/x"), ("b.yaml", "command_execution", 3, "shell_command:")]
+    plan = L.scan_yaml_patterns(y)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # at \n, or at all line ends
+
+
 def test_dependencies(spark):
     f = rows(spark, ("requirements.txt", "# x\n\n-r y\nA.b>=1.2,<2\nnone\nx[y]==1\n"), ("pyproject.toml", "x = [\n'no==1',\n]\ndependencies = [\n  \"numpy>=1.20\",\n  'ctx==0.1',\n]\n'late==1'"), ("package.json", '{"dependencies": {"event-stream": "^3.3.6", "g": "git+x"}, "devDependencies": {"b": "1.2"}}'), ("node_modules/package.json", '{"dependencies": {"c": "1.2"}}'))
     d = deps.discover(f)
