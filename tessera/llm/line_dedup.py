@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import U64, alike, connected_components, flags, fresh, materialize, mix, plain_word, plain_words, portions
+from tessera.llm._common import U64, alike, connected_components, flags, fresh, materialize, mix, plain_word, plain_words, portions, wide_rows
 
 SIMILARITY = 0.85
 #: Keys of a line, and minima of a key; a line of fewer words than keys has keys with words left out instead of minima.
@@ -224,7 +224,8 @@ def _texts(ids: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), U64).view(np.int64)), pa.array([plain_line(x.decode("utf-8", "replace")) for x in found.values()], pa.string())], ["r", "s"])
 
     s = docs.mapInArrow(texts, "r long, s string").join(ends, F.col("r") == F.col("raw")).select("h", "s").dropDuplicates(["h"])
-    return materialize(s, "lines")
+    with wide_rows(docs.sparkSession):
+        return materialize(s, "lines")
 
 
 def _counts(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -362,7 +363,8 @@ def _group_links(groups: DataFrame, docs: DataFrame, distinct: DataFrame, simila
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc, line, keep_doc, keep_line) of every line that goes, and the occurrence that stays for it; lines count from 0."""
     d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("_t")).where("_id is not null and _t is not null")
-    lines = materialize(_lines(d), "line-hashes")
+    with wide_rows(docs.sparkSession):
+        lines = materialize(_lines(d), "line-hashes")
     distinct = lines.groupBy("h").agg(F.min(_place("doc", "line")).alias("place"), F.count("*").alias("n"), F.min("raw").alias("raw"), F.min("size").alias("size"), *(F.min(k).alias(k) for k in _NAMES))
     distinct = materialize(distinct, "distinct-lines")
     buckets = max(1, -(-distinct.count() * KEYS // BUCKET))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import U64, byte_words, connected_components, flags, materialize, mix, portions
+from tessera.llm._common import PORTION, U64, byte_words, connected_components, flags, materialize, mix, portions, wide_rows
 
 SEEDS = np.random.default_rng(20240229).integers(1, 2**63, 4096, dtype=np.uint64)
 #: Slots of the table of posting counts that orders the postings.
@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     def run(batches):
         for b in batches:
             ids, texts = b.column(0), b.column(1)
-            for first, held in portions(texts):
+            for first, held in portions(texts, PORTION // 4):
                 sets = shingle_sets(held, size)
                 live = [s for s in sets if len(s)]
                 sig = iter(_signatures(live, coords)) if live else iter(())
@@ -320,13 +320,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Other columns of docs are not read. match is how many of the coords minima a pair must share to be confirmed;
     with the defaults, a pair of similarity 0.75 has fewer with a probability of about one in 100,000.
     """
-    sigs = materialize(signatures(docs, doc_id, text, size, coords), "signatures")
+    spark = docs.sparkSession
+    with wide_rows(spark):
+        sigs = materialize(signatures(docs, doc_id, text, size, coords), "signatures")
     live = sigs.where("_id is not null and n_shingles > 0")
     reps = materialize(live.groupBy("hi", "lo").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "sets")
-    postings = materialize(_postings(reps, coords, match), "postings")
+    with wide_rows(spark):
+        postings = materialize(_postings(reps, coords, match), "postings")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return materialize(_confirmed(materialize(pairs, "pairs"), docs, doc_id, text, size, percent), "links")
+        pairs = materialize(pairs, "pairs")
+        with wide_rows(spark):
+            return materialize(_confirmed(pairs, docs, doc_id, text, size, percent), "links")
 
     first = materialize(_first_links(postings, percent), "first")
     # one link each, to the earliest document: it alone joins most groups, whatever their size
@@ -337,7 +342,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = materialize(connected_components(links, "a", "b"), "parts")
     groups = materialize(_open_groups(postings, parts, reps, percent, match), "groups")
     if not groups.isEmpty():
-        links = links.unionByName(materialize(_group_links(groups, docs, doc_id, text, size, percent), "links"))
+        with wide_rows(spark):
+            links = links.unionByName(materialize(_group_links(groups, docs, doc_id, text, size, percent), "links"))
         parts = materialize(connected_components(links, "a", "b"), "parts")
     # a row's set -> the set's first document -> the component of that
     named = reps.select("hi", "lo", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("c"))

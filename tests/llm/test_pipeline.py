@@ -80,3 +80,25 @@ def test_stages_over_a_table(spark):
         docs = corpus_pipeline.materialize(stage(spark, docs, sf), name)
         assert docs.columns == names and 0 < docs.count() <= before
         before = docs.count()
+
+
+def test_whole_texts_and_sets_go_to_python_in_small_batches(spark, monkeypatch):
+    """Where rows hold texts or sets, few go at once; afterwards the session is as before, and results are the same."""
+    from tessera.llm import line_dedup, minhash
+
+    key, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, minhash.materialize
+    before = spark.conf.get(key)
+
+    def kept(df, name):
+        seen.setdefault(name, set()).add(int(spark.conf.get(key)))
+        return real(df, name)
+
+    monkeypatch.setattr(minhash, "materialize", kept)
+    monkeypatch.setattr(line_dedup, "materialize", kept)
+    words = "one two three four five six seven eight nine ten".split()
+    docs = spark.createDataFrame([(i, " ".join(words + [str(i // 2)]) + "\nanother line of the text " + str(i)) for i in range(6)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    left = line_dedup.dedup_lines(docs).count()
+    assert 0 < left < 6 and set(got) == set(range(6))
+    assert all(seen[n] == {1_000} for n in ("signatures", "postings", "line-hashes", "lines")) and 1_000 in seen["links"]
+    assert spark.conf.get(key) == before
