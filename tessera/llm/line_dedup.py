@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import U64, alike, connected_components, flags, fresh, materialize, mix, plain_word, plain_words, portions, wide_rows
+from tessera.llm._common import U64, alike, alike_pairs, connected_components, flags, fresh, letters, materialize, mix, plain_word, plain_words, portions, wide_rows
 
 SIMILARITY = 0.85
 #: Keys of a line, and minima of a key; a line of fewer words than keys has keys with words left out instead of minima.
@@ -28,6 +28,8 @@ WORDS, CHARS = 3, 12
 BUCKET, PACKED, MANY = 500_000, 1_000_000, 64
 #: Lines of a key that are compared with one another, or with as many others, in one task.
 BLOCK = 500
+#: Pairs of lines of a key that are looked at first, and at most, before what was found joins them; pairs whose letters are counted at once.
+WAVE, WAVES, SLICE = 1 << 12, 1 << 18, 1 << 14
 #: Hash values by which runs of three characters are counted.
 GRAMS = 1024
 #: Parts of a large group that are told its first line apart.
@@ -122,13 +124,14 @@ def _place(doc: str, line: str) -> Column:
 _HOT = 1 << 30
 
 
-def _packed(distinct: DataFrame, buckets: int) -> DataFrame:
+def _packed(lines: DataFrame, buckets: int) -> DataFrame:
     """(bucket, keys, lines, sizes, leads): the keys of lines, packed by bucket. Lines of a key that very many of the lines at hand
-    have are left in place, with the first of them as lead, which alone goes into the bucket for them all."""
+    have are left in place, with the first of them as lead, which alone goes into the bucket for them all. Equal lines at hand count once."""
 
     def run(batches):
         def pack(h, key, size):
             order = np.lexsort((h, key))
+            order = order[np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1])])]
             h, key, size = h[order], key[order], size[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             n = np.diff([*first, len(key)])
@@ -163,7 +166,7 @@ def _packed(distinct: DataFrame, buckets: int) -> DataFrame:
         if n:
             yield from pack(*map(np.concatenate, held))
 
-    return distinct.select("h", "size", *_NAMES).mapInArrow(run, "bucket int, keys binary, lines binary, sizes binary, leads binary")
+    return lines.select("h", "size", *_NAMES).mapInArrow(run, "bucket int, keys binary, lines binary, sizes binary, leads binary")
 
 
 _BLOBS = ["bucket", "keys", "lines", "sizes", "leads"]
@@ -181,6 +184,7 @@ def _shared(packed: DataFrame, similarity: float) -> DataFrame:
             hot = np.isin(key, key[size >= _HOT])  # such a key stays in one piece, as its lines were left in place under its name
             size = np.where(hot, 0, size)
             order = np.lexsort((h, size, key))
+            order = order[np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1])])]  # equal lines of several batches
             key, h, size, hot = key[order], h[order], size[order], hot[order]
             first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (size[:-1] < similarity * size[1:] - 1e-9)]))
             n = np.diff([*first, len(key)])
@@ -263,9 +267,8 @@ def _near(size, counts, other_size, other_counts, similarity: float) -> np.ndarr
     return (np.abs(size - other_size) <= most) & (np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= most)
 
 
-def _verified(ties: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """The ties whose normalised lines are alike enough, over their whole length."""
-    s = _texts(ties.select(F.col("a").alias("h")).union(ties.select("b")), docs, distinct)
+def _verified(ties: DataFrame, s: DataFrame, similarity: float) -> DataFrame:
+    """The ties whose normalised lines (s, of each h) are alike enough, over their whole length."""
     both = ties.join(s.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches):
@@ -273,8 +276,10 @@ def _verified(ties: DataFrame, docs: DataFrame, distinct: DataFrame, similarity:
             if not b.num_rows:
                 continue
             x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            near = _near(*_counts(x), *_counts(y), similarity)
-            keep = pa.array([bool(ok) and alike(p, q, similarity) for ok, p, q in zip(near.tolist(), x, y)], pa.bool_())
+            keep = _near(*_counts(x), *_counts(y), similarity)
+            at = np.flatnonzero(keep)
+            keep[at] = alike_pairs(x + y, letters(x + y), at, len(x) + at, similarity)
+            keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -291,37 +296,68 @@ def _open_groups(shared: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.join(once, "key")
 
 
-def joining(lines: list[str], c: np.ndarray, similarity: float, left: np.ndarray | None = None, counted: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Pairs of alike lines that join the components c: each two lines are compared unless something joins theirs already.
+def _waves(size: np.ndarray, counts: np.ndarray, c: np.ndarray, similarity: float, left: np.ndarray | None = None, own_pairs=None):
+    """Yields pairs (i, j) of lines that may be alike and lie in different components c, is sent which are, and returns links that join
+    components: each two lines are compared unless something joins theirs already. Waves grow, as one line may join a whole group.
 
-    With `left`, only pairs of a line of the left and one of the right."""
-    own = c.copy()
-    size, counts = counted or _counts(lines)
-    grams = None
+    With `left`, only pairs of a line of the left and one of the right; with `own_pairs`, only those that it lets through."""
+    own, links = c.copy(), []
     names, many = np.unique(c, return_counts=True)
     largest = names[np.argmax(many)]
     order = np.concatenate([np.flatnonzero(c != largest), np.flatnonzero(c == largest)])
-    out = []
     # two lines of the largest need no comparison, so only those of the others look at all after them
-    for place, i in enumerate(order[: int((c != largest).sum())].tolist()):
-        at = order[place + 1 :]
-        at = at[own[at] != own[i]]
+    place, upto, cells = 0, int((c != largest).sum()), WAVE
+    while place < upto:
+        rest = order[place:]
+        first = rest[: min(upto - place, max(1, cells // len(rest)))]
+        ok = (own[first][:, None] != own[rest]) & (np.arange(len(first))[:, None] < np.arange(len(rest)))
         if left is not None:
-            at = at[left[at] != left[i]]
-        at = at[_near(size[at], counts[at], size[i], counts[i], similarity)]
-        if len(at):
-            grams = _grams(lines) if grams is None else grams
-            at = at[_close(size[at], grams[at], size[i], grams[i], similarity)]
-        joined = set()
-        for j, d in zip(at.tolist(), own[at].tolist()):
-            if d not in joined and alike(lines[i], lines[j], similarity):
-                joined.add(d)
-                out.append((j, i))
-        if joined:
-            own[np.isin(own, list(joined))] = own[i]
+            ok &= left[first][:, None] != left[rest]
+        short, long = np.minimum(size[first][:, None], size[rest]), np.maximum(size[first][:, None], size[rest])
+        i, j = np.nonzero(ok & (long - short <= (1 - similarity) * long + 1e-9))
+        i, j = first[i], rest[j]
+        near = [_near(size[j[k : k + SLICE]], counts[j[k : k + SLICE]], size[i[k : k + SLICE]], counts[i[k : k + SLICE]], similarity) for k in range(0, len(i), SLICE)]
+        if near:
+            near = np.concatenate(near)
+            i, j = i[near], j[near]
+            if own_pairs is not None:
+                mine = own_pairs(i, j)
+                i, j = i[mine], j[mine]
+            hit = yield i, j
+            for p, q in zip(i[hit].tolist(), j[hit].tolist()):
+                if own[p] != own[q]:
+                    own[own == own[q]] = own[p]
+                    links.append((q, p))
+        place, cells = place + len(first), min(4 * cells, WAVES)
+    return links
+
+
+def _joined(lines: list[str], told, waves: list, starts: list[int], similarity: float) -> list[tuple[int, int]]:
+    """The links of many waves at once; those of a wave count lines from its start."""
+    out, sent = [], [None] * len(waves)
+    while waves:
+        asked, live = [], []
+        for wave, lo, x in zip(waves, starts, sent):
+            try:
+                i, j = wave.send(x)
+            except StopIteration as end:
+                out += [(lo + p, lo + q) for p, q in end.value]
+                continue
+            asked.append((lo + i, lo + j))
+            live.append((wave, lo))
+        if not live:
+            break
+        hits = alike_pairs(lines, told, *map(np.concatenate, zip(*asked)), similarity)
+        sent = np.split(hits, np.cumsum([len(i) for i, _ in asked])[:-1])
+        waves, starts = map(list, zip(*live))
     return out
 
 
+def joining(lines: list[str], c: np.ndarray, similarity: float, left: np.ndarray | None = None, counted: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs of alike lines that join the components c. With `left`, only pairs of a line of the left and one of the right."""
+    return _joined(lines, letters(lines), [_waves(*(counted or _counts(lines)), c, similarity, left)], [0], similarity)
+
+
 def _runs(batches, columns: int):
     """Whole keys of a stream sorted by its first column, as arrays of columns; later ones than integers as objects."""
     held = None
@@ -338,23 +374,39 @@ def _runs(batches, columns: int):
         yield held
 
 
-def _group_links(groups: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links of alike lines that join the components of each group.
+def _first_shared(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The smallest key that stands in a row of both."""
+    out = np.full(len(keys), np.iinfo(np.int64).max)
+    for t in range(others.shape[1]):
+        shared = (keys == others[:, t : t + 1]).any(1)
+        out[shared] = np.minimum(out[shared], others[shared, t])
+    return out
+
+
+def _group_links(groups: DataFrame, s: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of alike lines that join the components of each group; s: the normalised line of each h.
 
-    A group is cut into blocks of about BLOCK lines, and every two blocks meet in a task of their own: none holds more than two blocks."""
-    rows = groups.join(_texts(groups.select("h"), docs, distinct), "h")
+    A group is cut into blocks of about BLOCK lines, and every two blocks meet in a task of their own: none holds more than two blocks.
+    Two lines that several groups hold are compared in that of the smallest key alone."""
+    own = groups.groupBy("h").agg(F.collect_list(F.struct("key", "c", "size")).alias("own"))
+    rows = own.join(s, "h").select("h", "s", F.col("own.key").alias("keys"), F.explode("own").alias("of")).select("h", "s", "keys", "of.*")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "h", "c", "s", (F.col("own") <= F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("within"))
+    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "h", "c", "s", (F.col("own") <= F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("within"), "key", "keys")
 
     def run(batches):
-        for task, h, c, s, first, within in _runs(batches, 6):
+        for task, h, c, s, first, within, key, every in _runs(batches, 8):
             starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])).tolist()
-            links = []
-            size, counts = _counts(s.tolist())
-            for lo, hi in zip(starts, [*starts[1:], len(task)]):
-                left = None if within[lo] else first[lo:hi].astype(bool)
-                links += [(int(h[lo + i]), int(h[lo + j])) for i, j in joining(s[lo:hi].tolist(), c[lo:hi], similarity, left, (size[lo:hi], counts[lo:hi]))]
+            lines = s.tolist()
+            size, counts = _counts(lines)
+            keys = np.full((len(h), max(map(len, every))), np.iinfo(np.int64).max)
+            keys[np.arange(keys.shape[1]) < np.fromiter(map(len, every), np.int64, len(h))[:, None]] = np.concatenate(every)
+
+            def smallest(lo):
+                return lambda i, j: _first_shared(keys[lo + i], keys[lo + j]) == key[lo]
+
+            waves = [_waves(size[lo:hi], counts[lo:hi], c[lo:hi], similarity, None if within[lo] else first[lo:hi].astype(bool), smallest(lo)) for lo, hi in zip(starts, [*starts[1:], len(task)])]
+            links = [(int(h[i]), int(h[j])) for i, j in _joined(lines, letters(lines), waves, starts, similarity)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return rows.repartition("task").sortWithinPartitions("task", "h").mapInArrow(run, "a long, b long").distinct()
@@ -365,16 +417,17 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("_t")).where("_id is not null and _t is not null")
     with wide_rows(docs.sparkSession):
         lines = materialize(_lines(d), "line-hashes")
-    distinct = lines.groupBy("h").agg(F.min(_place("doc", "line")).alias("place"), F.count("*").alias("n"), F.min("raw").alias("raw"), F.min("size").alias("size"), *(F.min(k).alias(k) for k in _NAMES))
+    distinct = lines.groupBy("h").agg(F.min(_place("doc", "line")).alias("place"), F.count("*").alias("n"), F.min("raw").alias("raw"), F.min("size").alias("size"))
     distinct = materialize(distinct, "distinct-lines")
     buckets = max(1, -(-distinct.count() * KEYS // BUCKET))
-    shared = materialize(_shared(_packed(distinct, buckets), similarity), "shared")
+    shared = materialize(_shared(_packed(lines, buckets), similarity), "shared")
     ties = materialize(shared.where("h <> lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct(), "ties")
-    links = materialize(_verified(ties, d, distinct, similarity), "links")
+    s = _texts(ties.select(F.col("a").alias("h")).union(ties.select("b")), d, distinct)
+    links = materialize(_verified(ties, s, similarity), "links")
     parts = materialize(connected_components(links, "a", "b"), "parts")
     groups = materialize(_open_groups(shared, parts), "groups")
     if not groups.isEmpty():
-        links = links.unionByName(materialize(_group_links(groups, d, distinct, similarity), "links"))
+        links = links.unionByName(materialize(_group_links(groups, s, similarity), "links"))
         parts = materialize(connected_components(links, "a", "b"), "parts")
     named = distinct.join(parts, F.col("h") == F.col("node"), "left").select("h", F.coalesce("component", "h").alias("c"), "place", "n", F.col("node").isNotNull().alias("tied")).where("tied or n > 1")
     # a group may hold very many lines: it is told its first one in SALTS parts

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontaminate, html_extract, line_dedup, minhash, packing, secret_scan, toxicity, url_filter, warc
+from tessera.llm import _common, ann, decontaminate, html_extract, line_dedup, minhash, packing, secret_scan, toxicity, url_filter, warc
 from tessera.llm._common import LOCAL_SHARED, byte_words, connected_components, drop_tables, edit_distance, materialize, plain_words, shared_dir
 from tessera.llm.queries import vocabulary
 
@@ -710,3 +710,50 @@ def test_lengths_are_searched_apart_and_scores_do_not_depend_on_blocks(spark):
 
 def test_shared_folder_is_the_session_s(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir", LOCAL_SHARED)
+
+
+def test_pairs_are_measured_alike_together_and_one_by_one():
+    """Batches of pairs, with bands of one to four words, against the distance of each pair; short, long and foreign ones among them."""
+    rnd = random.Random(23)
+    lines: list[str] = []
+    for _ in range(1500):
+        n = rnd.choice([1, 2, 12, 40, 63, 64, 65, 128, 300, 430, 900])
+        letters_ = rnd.choice(["ab", "abcdefgh 123", "aé一\U0001f600"])
+        a = [rnd.choice(letters_) for _ in range(n)]
+        b = list(a)
+        for _ in range(int(n * rnd.choice([0, 0.1, 0.15, 0.2, 0.5, 1])) + rnd.randrange(2)):
+            k = rnd.randrange(len(b) + 1)
+            b[k : k + rnd.randrange(2)] = rnd.choice(["z", rnd.choice(letters_), ""])
+        b = b[n // 9 :] + b[: n // 9] if rnd.random() < 0.1 else b
+        lines += rnd.sample(["".join(a), "".join(b)], 2)
+    i = np.arange(0, len(lines), 2)
+    for similarity in (0.85, 0.6):
+        got = _common.alike_pairs(lines, _common.letters(lines), i, i + 1, similarity)
+        assert got.tolist() == [line_dedup.alike(lines[k], lines[k + 1], similarity) for k in i.tolist()]
+        assert 300 < got.sum() < 1400
+
+
+def test_lines_of_several_keys_are_read_and_compared_once(spark, monkeypatch):
+    """Lines that share many keys are held against each other under one of them; texts are read once, and keys aren't summed up by line."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in range(24)]
+    rows = []
+    for i in range(60):  # a sixth of the words differ, so most pairs share keys and aren't alike
+        own = list(words)
+        for k in rnd.sample(range(24), 4):
+            own[k] = "".join(rnd.choices("qrstuvwxyz", k=7))
+        rows.append((i, " ".join(own)))
+    tables, measured = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: tables.append((name, df.columns)) or measured(df, name))
+    left = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
+    plain = [line_dedup.plain_line(t) for _, t in rows]
+    part = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if part[i] != part[j] and line_dedup.alike(plain[i], plain[j], 0.85):
+                part = [part[j] if p == part[i] else p for p in part]
+    assert left == {min(i for i in range(60) if part[i] == p) for p in set(part)}
+    assert [n for n, _ in tables].count("groups") == 1 and [n for n, _ in tables].count("lines") == 1
+    assert all("k0" not in columns for n, columns in tables if n == "distinct-lines")
+    shared = line_dedup._first_shared(np.array([[1, 5, 9], [4, 6, 7]]), np.array([[5, 8, 9], [2, 3, 7]]))
+    assert shared.tolist() == [5, 7]
