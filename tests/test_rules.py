@@ -73,6 +73,14 @@ def test_what_a_script_is():
             parse_script(s)
 
 
+def test_a_text_that_does_nothing_is_no_script():
+    for s in ("", " \n", "// a", "word", "One. Two. Three", "One, two\nthree;", "one | two", "https://example.org\nword", "- a\n- b", "'eval(x)'"):
+        assert A.script_facts(s) == [("unparsed", "", 0)]
+    for s in ("a()", "a = 1", "a++", "delete a.b", "let x", "import 'a'", "function f() {}", "if (a) b", "new A", "a`b`"):
+        assert A.script_facts(s) == []
+    assert A.script_facts("document.cookie") == [("member", "document.cookie", 1)]
+
+
 def test_lines_of_nodes():
     got = {(x.kind, x.value, x.line) for x in parse_script("a = `\n\n${b}`;\n/* \n */ c\n.d('\\\n', e)").walk() if x.kind in ("Name", "Call")}
     assert got == {("Name", "a", 1), ("Name", "b", 3), ("Name", "c", 5), ("Name", "d", 6), ("Call", None, 5), ("Name", "e", 7)}

@@ -102,3 +102,18 @@ def test_scans_equal_sql(spark, name):
     want = con.sql(entry.oracle_sql()[name])
     cols = want.columns
     assert sorted(repr(tuple(r[c] for c in cols)) for r in entry.queries()[name](spark, SF).collect()) == sorted(map(repr, want.fetchall()))
+
+
+@pytest.mark.parametrize("name", ("js_rules", "full_scan"))
+def test_prose_that_is_a_script_by_chance_equals_sql(spark, tmp_path, name):
+    """A component of documents that are in the language of scripts, empty or null, and one of prose."""
+    texts = ("Eran. Eran. Eran. sch", "ouch | erzu", "Les, les, la", "word", "", "  \n", "https://example.org/x\nword", None)
+    docs = [(k, t, "en", "web", len(t or "")) for k, t in enumerate(texts)] + [(500, "Of this and that.", "en", "web", 17)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/part.parquet").limit(2).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("part", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(entry.oracle_sql()[name])
+    cols = want.columns
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in entry.queries()[name](spark, str(tmp_path)).collect()) == sorted(map(repr, want.fetchall()))
