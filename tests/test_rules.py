@@ -99,6 +99,15 @@ def test_large_files(spark):
     assert [r["category"] for r in A.script_findings(js).collect()] == ["code_injection"] and A.size_findings(js).count() == 1
 
 
+def test_fingerprints_are_of_whole_files(spark):
+    """Imports of files beyond the size that scanners look into, by the tree and, of one that is no Python, by pattern."""
+    from tessera.operators.fingerprints import fingerprints
+
+    large = "x = 1\n" * 100_000
+    x = fingerprints(rows(spark, ("a.py", "import os.path\n" + large + "from json import loads\n"), ("b.py", "from re import match\ndef (:\n" + large + "import sys\n"))).first()
+    assert x["imports"] == ["json", "os", "re", "sys"] and (x["py_files"], x["total_lines"]) == (2, 200_005)
+
+
 def test_yaml_rules(spark):
     text = "automation:\n  - action:\n      - service: \"{{ x }}\"\n      - choose:\n          - sequence:\n              - service: shell_command.x\n                data: {a: \"{{ b }}\"}\n      - service: null\n        data: {a: \"{{ b }}\"}\n      - service_template: x\nother: !secret x\nrest: [{resource: http://a}, {resource: http://192.168.1.1/x}]\n"
     assert [(s, c) for s, c, _ in A.yaml_findings_of(text)] == [("high", "automation_injection"), ("high", "template_injection"), ("high", "automation_injection"), ("medium", "insecure_transport")]
