@@ -139,6 +139,45 @@ def test_a_text_is_cut_into_lines_once(spark):
     assert plan.count("split(") == 2  # at \n, or at all line ends
 
 
+def test_a_pattern_hits_only_texts_that_hold_its_words():
+    import re
+
+    from tessera.plans.sample import SAMPLE
+
+    patterns = [p for p, *_ in (*L.SCRIPT_PATTERNS, *L.YAML_PATTERNS)] + [L.SECRET_IN_COMMENT, "!include", *(r"(?i)" + re.escape(p) for p, *_ in L.PYTHON_PARTS)]
+    own = [x for _, _, c in SAMPLE for x in c.splitlines()]
+    hits = [(p, x) for p in patterns for x in (*own, *map(str.upper, own)) if re.search(p, x)]
+    assert len({p for p, _ in hits}) > 20
+    for p, x in hits:
+        assert any(w in x.lower() for w in L.signs(p)), (p, x)
+    assert L.signs(r"(?i)google[\-_]?analytics|gtag|ga\s*\(") == ("analytics", "gtag", "ga") and L.signs(r"(?i)\Qbase64.b64decode\E") == ("base64.b64decode",)
+    assert L.signs(r"(?i)#.*\b(password|token)\s*[:=]\s*\S{8,}") == ("password", "token") and L.signs(r"^\s*url:\s*http://(?!a|b(c|d))") == ("http://",)
+    for p in ("a", "ab?", "(ab|cd)?e", "ab|.", r"[abc]d", r"\x41bc", "(?x)a b", "(?iu)ask", r"a{2}b"):
+        assert L.signs(p) == ()
+
+
+def test_lines_are_found_with_and_without_words(spark):
+    y = rows(spark, ("a", "x\nEVAL(1)\n\u00c9val (eval)\n12 eval (2)"), ("b", "EVA\n34"), ("c", "eval"))
+    one, two = (r"(?i)\beval\s*\(", "high", "a"), (r"[0-9]{2}", "low", "b")
+    told = lambda *rules: sorted((r["file"], r["category"], r["line"]) for r in L.scan_script_patterns(y, rules).collect())
+    assert told(one) == [("a", "a", 2)] and told(one, two) == [("a", "a", 2), ("a", "b", 4), ("b", "b", 2)]
+
+
+def test_dependencies_are_found_in_one_pass(spark):
+    f = rows(spark, ("pyproject.toml", "  dependencies = [\n    'a==1.0',\n  ]\n  'b==2.0'"), ("x/requirements.txt", "  c==3.5 \r\n# d==1\n"), (".venv/requirements.txt", "e==1"), ("package.json", '{"dependencies": 5}'), ("b/package.json", None))
+    d = deps.discover(f)
+    assert sorted((r["package"], r["version"]) for r in d.collect()) == [("a", "1.0"), ("c", "3.5")]
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_component_types_are_grouped_without_a_sort(spark):
+    hacs = ("Theme", "zzz", "CARD", "a", "integration", "lovelace")
+    f = spark.createDataFrame([(f"s{k}", "hacs.json", '{"category": "%s"}' % c) for k, c in enumerate(hacs)] + [("s5", "hacs.json", '{"category": "theme"}'), ("s1", "a.js", ""), ("s3", "b.py", ""), ("t", "c.yaml", "")], "scan_id string, path string, content string")
+    x = files.component_types(f)
+    assert {r["scan_id"]: r["component_type"] for r in x.collect()} == {"s0": "theme", "s1": "card", "s2": "card", "s3": "integration", "s4": "integration", "s5": "theme", "t": "unknown"}
+    assert "Sort" not in x._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dependencies(spark):
     f = rows(spark, ("requirements.txt", "# x\n\n-r y\nA.b>=1.2,<2\nnone\nx[y]==1\n"), ("pyproject.toml", "x = [\n'no==1',\n]\ndependencies = [\n  \"numpy>=1.20\",\n  'ctx==0.1',\n]\n'late==1'"), ("package.json", '{"dependencies": {"event-stream": "^3.3.6", "g": "git+x"}, "devDependencies": {"b": "1.2"}}'), ("node_modules/package.json", '{"dependencies": {"c": "1.2"}}'))
     d = deps.discover(f)

@@ -60,6 +60,13 @@ def test_a_scan_passes_over_files_once_for_each_language(spark):
     assert "NestedLoop" not in plan
 
 
+def test_unparsed_scripts_are_told_once_by_the_same_pass(spark):
+    x = scan(spark.createDataFrame([("a", "x.js", "f("), ("a", "y/x.js", "eval(x); ("), ("a", "z.js", "a?.b"), ("a", "w.js", "f()"), ("a", "v.js", "el.innerHTML = x"), ("b", "x.js", "f()")], FILE))
+    got = sorted((r["scan_id"], r["file"], r["category"], r["description"]) for r in x.collect() if r["category"] != "xss")
+    assert [g[:3] for g in got] == [("a", "(repo)", "parse_info"), ("a", "y/x.js", "code_injection")] and got[0][3] == "3 files were read by patterns only"
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 5
+
+
 def test_all_python_rules_in_one_pass_tell_what_each_tells_of_facts(spark):
     from tessera.operators import ast_rules as A
 
